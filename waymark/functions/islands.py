@@ -88,6 +88,29 @@ def session_spans(
         spans.withColumn("_opens", opens.cast("int"))
         .withColumn("session_id", F.sum("_opens").over(
             w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .drop("_opens", "_local")
-        .withColumnRenamed("_chunk", "chunk")
+        .drop("_opens")
+        .withColumnsRenamed({"_chunk": "chunk", "_local": "piece"})
+    )
+
+
+def rows_of_sessions(
+    rows: DataFrame, keys: list, gap_seconds: int, spans: DataFrame, *, into: str,
+    inclusive: bool = False, order: tuple = (), chunk_seconds: int = DAY, chunk_offset: int = 0,
+) -> DataFrame:
+    """The rows of chosen ``session_spans``, numbered with the spans' ``into`` column.
+
+    The few pieces of a chunk travel as one map, so the join is again on ``(keys, chunk)``,
+    as the rows are partitioned. The rules must be those the spans were made with.
+    """
+    marked = _split_in_chunks(
+        rows, keys, gap_seconds, inclusive, order, chunk_seconds, chunk_offset
+    )
+    pieces = spans.groupBy(*keys, F.col("chunk").alias("_chunk")).agg(
+        F.map_from_entries(F.collect_list(F.struct("piece", F.col(into).cast("long")))).alias("_ids")
+    )
+    return (
+        marked.join(pieces, [*keys, "_chunk"])
+        .withColumn(into, F.try_element_at("_ids", F.col("_local")))
+        .filter(F.col(into).isNotNull())
+        .select(*rows.columns, into)
     )

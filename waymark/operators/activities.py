@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.islands import rows_of_sessions
 from waymark.functions.stats import share, top_with_ties
 from waymark.functions.timefn import epoch, local
 from waymark.operators.revisits import HIGH, ONE_DAY
-from waymark.operators.track import split_trajectories, trajectory_summary
+from waymark.operators.track import trajectory_spans
 from waymark.params import LOCAL_TIMEZONE, MAINTAINED, MetricParams
 
 TRAJECTORY = ["source_address", "trajectory_id"]
@@ -23,10 +24,23 @@ def quality_filter(trajectories: DataFrame, p: MetricParams = MAINTAINED) -> Dat
 
 
 def qualifying_rows(located: DataFrame, p: MetricParams = MAINTAINED) -> DataFrame:
-    """Located rows of accepted trajectories, with the trajectory number."""
-    valid = quality_filter(trajectory_summary(located, p.visit_gap_seconds), p)
-    rows = split_trajectories(located, p.visit_gap_seconds)
-    return rows.join(valid.select(*TRAJECTORY), TRAJECTORY, "left_semi")
+    """Located rows of accepted trajectories, with the trajectory number.
+
+    Totals per trajectory come from a window over its few day pieces; the rows themselves
+    are read once more, to be picked by piece.
+    """
+    pieces = trajectory_spans(located, p.visit_gap_seconds)
+    w = Window.partitionBy(*TRAJECTORY)
+    totals = pieces.select(
+        "source_address", "trajectory_id", "chunk", "piece",
+        F.sum("n_windows").over(w).alias("n_windows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("sensors").over(w)))).alias("n_sensors"),
+        (F.max("end_epoch").over(w) - F.min("start_epoch").over(w)).alias("duration_seconds"),
+    )
+    return rows_of_sessions(
+        located, ["source_address"], p.visit_gap_seconds, quality_filter(totals, p),
+        into="trajectory_id", order=("sensor_name",),
+    )
 
 
 def anchor_clusters(rows: DataFrame, metres: float = 75.0) -> DataFrame:

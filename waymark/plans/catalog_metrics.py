@@ -373,15 +373,15 @@ EXTREME = BANDS + ",\nxb AS (SELECT * FROM bands WHERE band IN ('1 day', '5–7
 
 @query("revisit_r4_band_hourly_profile", with_base(
     f"""SELECT band AS observed_day_band, hour, n, {r6('n * 100.0 / sum(n) OVER (PARTITION BY band)')} AS pct
-        FROM (SELECT band, {hour('w')} AS hour, count(DISTINCT id) AS n FROM t20 JOIN xb USING (id)
+        FROM (SELECT band, {hour('w')} AS hour, count(DISTINCT id) AS n FROM week JOIN xb USING (id)
               GROUP BY 1, 2)""", EXTREME))
 def _(c: Context):
-    return revisits.band_hourly_profile(c.t20, c.bands)
+    return revisits.band_hourly_profile(c.week, c.bands)
 
 
 DIFF = EXTREME + """,
 shares AS (SELECT band, sensor, count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY band) AS pct
-           FROM t20 JOIN xb USING (id) GROUP BY 1, 2),
+           FROM week JOIN xb USING (id) GROUP BY 1, 2),
 diffs AS (SELECT sensor, coalesce(max(pct) FILTER (WHERE band = '1 day'), 0) AS p1,
                  coalesce(max(pct) FILTER (WHERE band = '5–7 days'), 0) AS p5 FROM shares GROUP BY 1)"""
 _DIFF = f"""SELECT sensor AS sensor_name, {r6('p1')} AS pct_one_day, {r6('p5')} AS pct_five_to_seven_days,
@@ -391,25 +391,25 @@ _DIFF = f"""SELECT sensor AS sensor_name, {r6('p1')} AS pct_one_day, {r6('p5')}
 
 @query("revisit_r5_band_sensor_difference", with_base(_DIFF + "diffs", DIFF))
 def _(c: Context):
-    return revisits.band_sensor_difference(c.t20, c.bands)
+    return revisits.band_sensor_difference(c.week, c.bands)
 
 
 @query("revisit_r6_top_differences", with_base(
     _DIFF + "(SELECT *, rank() OVER (ORDER BY abs(p1 - p5) DESC) AS r FROM diffs) WHERE r <= 10", DIFF))
 def _(c: Context):
-    return revisits.top_differences(revisits.band_sensor_difference(c.t20, c.bands))
+    return revisits.top_differences(revisits.band_sensor_difference(c.week, c.bands))
 
 
 DAYSTATS = EXTREME + f""",
 daystats AS (SELECT id, band, (w + {KST}) // 86400 AS d, count(*) AS n, count(DISTINCT sensor) AS s,
-                    (max(w) - min(w)) / 60.0 AS m FROM t20 JOIN xb USING (id) GROUP BY 1, 2, 3)"""
+                    (max(w) - min(w)) / 60.0 AS m FROM week JOIN xb USING (id) GROUP BY 1, 2, 3)"""
 
 
 @query("revisit_r7_identifier_day_stats", with_base(
     f"""SELECT id AS source_address, {day(f'(d * 86400 - {KST})')} AS local_date, n AS n_detections,
         s AS n_sensors, {r6('m')} AS duration_mins, band AS observed_day_band FROM daystats""", DAYSTATS))
 def _(c: Context):
-    return revisits.identifier_day_stats(c.t20, c.bands)
+    return revisits.identifier_day_stats(c.week, c.bands)
 
 
 @query("revisit_r7_identifier_day_summary", with_base(
@@ -419,7 +419,7 @@ def _(c: Context):
         {r6('median(m)')} AS median_duration, {r6('avg(m)')} AS mean_duration
         FROM daystats GROUP BY 1""", DAYSTATS))
 def _(c: Context):
-    return revisits.identifier_day_summary(revisits.identifier_day_stats(c.t20, c.bands))
+    return revisits.identifier_day_summary(revisits.identifier_day_stats(c.week, c.bands))
 
 
 VDAYS = VISITS + f""",

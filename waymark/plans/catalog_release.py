@@ -395,9 +395,37 @@ def _scan_sql(table, key, text):
            "WHERE finding IS NOT NULL"
 
 
-@query("disclosure_x17_document_findings", _scan_sql("documents", "doc_id", "text"))
+# The documents name no class the scan looks for, so each class is planted in some of them:
+# values come from the document number, its hash and the tokens the texts do contain.
+
+def _planted_documents(c):
+    h, n = F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id") % 12
+    address = F.concat_ws(":", *[F.substring(h, 2 * i + 1, 2) for i in range(6)])
+    extra = (
+        F.when(n == 0, address).when(n == 1, F.concat(F.lit("x"), address, F.lit("-")))
+        .when(n == 2, F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))))
+        .when(n == 3, F.concat(F.lit("ghp_"), h)).when(n == 4, F.concat(F.lit("AIza"), h, F.lit("abc")))
+        .when(n == 5, F.concat(F.lit("xoxb-"), h)).when(n == 6, F.concat(F.lit("http://u:"), h, F.lit("@host")))
+        .when(n == 7, F.lit("Mapping_File")).when(n == 8, F.lit("key_hex")).when(n == 9, F.lit("BSSID"))
+        .when(n == 10, F.concat(F.lit("-----BEGIN "), F.lit("PRIVATE KEY-----"))).otherwise("")
+    )
+    text = F.replace(F.col("text"), F.lit('token = "'), F.lit('access_token = "'))
+    return c.table("documents").select("doc_id", F.concat(text, F.lit(" "), extra).alias("text"))
+
+
+_PLANTED_SQL = """(SELECT doc_id, replace(text, 'token = "', 'access_token = "') || ' ' || CASE doc_id % 12
+    WHEN 0 THEN a WHEN 1 THEN 'x' || a || '-' WHEN 2 THEN 'AKIA' || upper(substr(h, 1, 16)) WHEN 3 THEN 'ghp_' || h
+    WHEN 4 THEN 'AIza' || h || 'abc' WHEN 5 THEN 'xoxb-' || h WHEN 6 THEN 'http://u:' || h || '@host'
+    WHEN 7 THEN 'Mapping_File' WHEN 8 THEN 'key_hex' WHEN 9 THEN 'BSSID'
+    WHEN 10 THEN '-----BEGIN ' || 'PRIVATE KEY-----' ELSE '' END AS text
+  FROM (SELECT *, substr(h, 1, 2) || ':' || substr(h, 3, 2) || ':' || substr(h, 5, 2) || ':' || substr(h, 7, 2)
+               || ':' || substr(h, 9, 2) || ':' || substr(h, 11, 2) AS a
+        FROM (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)))"""
+
+
+@query("disclosure_x17_document_findings", _scan_sql(_PLANTED_SQL, "doc_id", "text"))
 def _(c: Context):
-    return scan.content_findings(c.table("documents"), "doc_id", "text")
+    return scan.content_findings(_planted_documents(c), "doc_id", "text")
 
 
 @query("disclosure_x17_page_scan",
@@ -407,6 +435,6 @@ def _(c: Context):
 
 
 @query("disclosure_x17_document_scan",
-       f"SELECT finding, count(*) AS n_texts FROM ({_scan_sql('documents', 'doc_id', 'text')}) GROUP BY 1")
+       f"SELECT finding, count(*) AS n_texts FROM ({_scan_sql(_PLANTED_SQL, 'doc_id', 'text')}) GROUP BY 1")
 def _(c: Context):
-    return scan.content_scan(c.table("documents"), "doc_id", "text")
+    return scan.content_scan(_planted_documents(c), "doc_id", "text")

@@ -282,21 +282,21 @@ def _(c: Context):
 
 
 _NIGHT = f"""(SELECT id, count(DISTINCT (w + {KST}) // 86400) AS night_days FROM loc
-              WHERE {hour('w')} <= 4 GROUP BY id HAVING count(DISTINCT (w + {KST}) // 86400) >= 20)"""
+              WHERE {hour('w')} <= 4 GROUP BY id HAVING count(DISTINCT (w + {KST}) // 86400) >= 15)"""
 
 
 @query("filter_f10_night_persistence", with_base(
     f"""SELECT id AS source_address, count(*) AS n FROM loc
         WHERE id NOT IN (SELECT id FROM {_NIGHT}) GROUP BY 1"""))
 def _(c: Context):
-    kept = filters.drop_night_persistent(c.located, min_days=20)
+    kept = filters.drop_night_persistent(c.located, min_days=15)
     return kept.groupBy("source_address").agg(F.count("*").alias("n"))
 
 
 @query("filter_f10_night_persistent_ids", with_base(
     f"SELECT id AS source_address, night_days FROM {_NIGHT}"))
 def _(c: Context):
-    return filters.night_persistent(c.located, min_days=20)
+    return filters.night_persistent(c.located, min_days=15)
 
 
 UPTIME_SQL = f""",

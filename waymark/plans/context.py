@@ -1,4 +1,5 @@
-"""Inputs of the registered queries, each a lazy DataFrame over the given tables."""
+"""Inputs of the registered queries: lazy DataFrames over the given tables, and the stages
+(one second, 20 seconds, located), which the first query of a session writes and all read."""
 
 import uuid
 from functools import cached_property
@@ -32,9 +33,12 @@ class Context:
     def packets_text(self):
         return synthetic.packets_text(self.spark, self.dir)
 
+    def staged(self, name: str, build) -> DataFrame:
+        return tables.staged_once(self.spark, self.dir, name, build)
+
     @cached_property
     def sec1(self):
-        return aggregate.one_second(self.packets)
+        return self.staged("one_second", lambda: aggregate.one_second(self.packets))
 
     @cached_property
     def cleaned(self):
@@ -42,13 +46,17 @@ class Context:
 
     @cached_property
     def t20(self):
-        return aggregate.twenty_second(self.cleaned)
+        return self.staged("twenty_second", lambda: aggregate.twenty_second(self.cleaned))
 
     @cached_property
     def t20_narrow(self):
         """The same table from a narrower RSSI range: the "other version" of release checks."""
-        rules = CleaningParams(rssi_min=-74)
-        return aggregate.twenty_second(cleaning.clean(aggregate.one_second(self.packets, rules), rules))
+        def build():
+            seconds = self.staged("one_second_narrow", lambda: aggregate.one_second(
+                self.packets, CleaningParams(rssi_min=-74)))
+            return aggregate.twenty_second(cleaning.clean(seconds))
+
+        return self.staged("twenty_second_narrow", build)
 
     @cached_property
     def sensors(self):
@@ -60,7 +68,7 @@ class Context:
 
     @cached_property
     def located(self):
-        return location.locate_proximity(self.t20, self.sensors)
+        return self.staged("located", lambda: location.locate_proximity(self.t20, self.sensors))
 
     @cached_property
     def trips(self):
@@ -74,9 +82,15 @@ class Context:
     def visits(self):
         return track.trajectory_summary(self.located, 7200)
 
+    @cached_property
+    def week(self):
+        """One local week at four sensors: there, identifiers fall into all observed-day bands."""
+        rows = filters.local_period(self.t20, "2024-01-08 00:00:00", "2024-01-15 00:00:00")
+        return filters.only_sensors(rows, ["s00", "s01", "s02", "s03"])
+
     @cached_property
     def bands(self):
-        return revisits.observed_day_bands(self.t20)
+        return revisits.observed_day_bands(self.week)
 
     @cached_property
     def episodes(self):

@@ -77,10 +77,13 @@ TRIPS = trajectories(1800, "trips")
 VISITS = trajectories(7200, "visits")
 
 BANDS = f""",
+week AS (
+  SELECT * FROM t20 WHERE w + {KST} >= epoch(TIMESTAMP '2024-01-08 00:00:00')
+    AND w + {KST} < epoch(TIMESTAMP '2024-01-15 00:00:00') AND sensor IN ('s00', 's01', 's02', 's03')),
 bands AS (
   SELECT id, n_days, CASE WHEN n_days = 1 THEN '1 day' WHEN n_days >= 5 THEN '5–7 days'
                      ELSE '2–4 days' END AS band
-  FROM (SELECT id, count(DISTINCT (w + {KST}) // 86400) AS n_days FROM t20 GROUP BY id))"""
+  FROM (SELECT id, count(DISTINCT (w + {KST}) // 86400) AS n_days FROM week GROUP BY id))"""
 
 
 def episodes(visits: str, keep: str, metres: float, name: str = "ep") -> str:

@@ -2,6 +2,7 @@
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from waymark import schemas
 from waymark.functions.timefn import ntz_as_utc, utc_text
 from waymark.operators.quality import ContractError, require_columns
 
-_scratch = {}
+_scratch, _stages = {}, {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +38,14 @@ def stager(spark: SparkSession, run: str):
     return stage
 
 
+def staged_once(spark: SparkSession, source: str, name: str, build) -> DataFrame:
+    """A stage of a session: written to the shared folder by its first reader."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _stages:
+        _stages[key] = stager(spark, f"stages-{uuid.uuid4().hex}")(build(), name)
+    return _stages[key]
+
+
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """Landed capture files (a file, a folder of service runs, or a glob), timestamps parsed.
 
