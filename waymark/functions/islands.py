@@ -19,6 +19,26 @@ def _breaks(gap: Column, gap_seconds: int, inclusive: bool) -> Column:
     return gap >= gap_seconds if inclusive else gap > gap_seconds
 
 
+def with_gaps(
+    rows: DataFrame, keys: list, *, into: str, order: tuple = (), chunk_seconds: int = DAY
+) -> DataFrame:
+    """Seconds since the previous row of the same ``keys``; NULL on the first one.
+
+    A chunk's first row takes the end of the previous chunk from the chunk summary.
+    """
+    chunked = rows.withColumn("_chunk", F.floor(epoch("timestamp") / chunk_seconds))
+    w = Window.partitionBy(*keys, "_chunk").orderBy("timestamp", *order)
+    ends = chunked.groupBy(*keys, "_chunk").agg(F.max(epoch("timestamp")).alias("_last"))
+    before = ends.withColumn(
+        "_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))).drop("_last")
+    return (
+        chunked.withColumn("_previous", F.lag(epoch("timestamp")).over(w))
+        .join(before, [*keys, "_chunk"])
+        .withColumn(into, epoch("timestamp") - F.coalesce("_previous", "_before"))
+        .select(*rows.columns, into)
+    )
+
+
 def _split_in_chunks(rows, keys, gap_seconds, inclusive, order, chunk_seconds, chunk_offset):
     shifted = epoch("timestamp") + F.lit(chunk_offset)
     chunked = rows.withColumn("_chunk", F.floor(shifted / chunk_seconds))

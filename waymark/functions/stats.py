@@ -35,17 +35,24 @@ def average_rank(df: DataFrame, value: str, within: list, into: str) -> DataFram
 def exact_quantiles(
     df: DataFrame, group: list, value: str, probs: dict, bucket_width: float
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles of a column with unboundedly many values.
+    """Exact linear-interpolation quantiles of a column with unboundedly many values, and the
+    number of rows ``n`` and their ``mean``.
 
     A histogram of ``bucket_width`` locates the buckets that hold the wanted ranks; only
     rows of those buckets are ranked, each bucket on its own. ``percentile`` would keep
     every distinct value of a group in one task instead.
     """
-    counts = df.groupBy(
-        *group, F.floor(F.col(value) / bucket_width).alias("_bucket"), F.col(value).alias("_v")
+    # the group is one struct and the bucket never NULL: a join on them infers no extra filter,
+    # so histogram and ranking share one shuffle of the counts
+    counts = df.filter(F.col(value).isNotNull()).groupBy(
+        F.struct(*group).alias("_g"),
+        F.coalesce(F.floor(F.col(value) / bucket_width), F.lit(0)).alias("_bucket"),
+        F.col(value).alias("_v"),
     ).agg(F.count("*").alias("_n"))
-    histogram = counts.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_rows"))
-    w = Window.partitionBy(*group)
+    histogram = counts.groupBy("_g", "_bucket").agg(
+        F.sum("_n").alias("_rows"), F.sum(F.col("_v") * F.col("_n")).alias("_sum")
+    )
+    w = Window.partitionBy("_g")
     upto = w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wanted = F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in probs.items()
@@ -54,33 +61,36 @@ def exact_quantiles(
     targets = (
         histogram.withColumn("_end", F.sum("_rows").over(upto))
         .withColumn("_total", F.sum("_rows").over(w))
+        .withColumn("_mean", F.sum("_sum").over(w) / F.sum("_rows").over(w))
         .withColumn("_q", F.explode(wanted))
         .withColumn("_pos", F.col("_q.p") * (F.col("_total") - 1))
         .withColumn("_r", F.explode(F.array(F.floor("_pos"), F.floor("_pos") + 1)))
         .filter((F.col("_r") >= F.col("_end") - F.col("_rows")) & (F.col("_r") < F.col("_end")))
         .select(
-            *group, "_bucket", F.col("_q.name").alias("_name"), "_r",
+            "_g", "_bucket", F.col("_q.name").alias("_name"), "_r",
             (F.col("_end") - F.col("_rows")).alias("_before"),
-            (1 - F.abs(F.col("_pos") - F.col("_r"))).alias("_weight"),
+            (1 - F.abs(F.col("_pos") - F.col("_r"))).alias("_weight"), "_total", "_mean",
         )
         .filter(F.col("_weight") > 0)
     )
-    hit = targets.select(*group, "_bucket", "_before").distinct()
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_v")
-    ranked = (
-        counts.join(hit, [*group, "_bucket"])
-        .withColumn("_hi", F.col("_before") + F.sum("_n").over(
-            inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("_lo", F.col("_hi") - F.col("_n"))
-        .select(*group, "_bucket", "_v", "_lo", "_hi")
+    # the wanted ranks of a bucket (a few per quantile) travel with it as one array
+    hit = targets.groupBy("_g", "_bucket").agg(
+        F.collect_list(F.struct("_name", "_r", "_weight", "_before", "_total", "_mean")).alias("_t")
     )
-    picked = targets.join(ranked, [*group, "_bucket"]).filter(
-        (F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi"))
+    inside = Window.partitionBy("_g", "_bucket").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    picked = (
+        counts.join(hit, ["_g", "_bucket"])
+        .withColumn("_upto", F.sum("_n").over(inside))
+        .withColumn("_t", F.explode("_t"))
+        .filter((F.col("_t._r") < F.col("_t._before") + F.col("_upto"))
+                & (F.col("_t._r") >= F.col("_t._before") + F.col("_upto") - F.col("_n")))
     )
-    return picked.groupBy(*group).agg(*[
-        F.sum(F.when(F.col("_name") == name, F.col("_v") * F.col("_weight"))).alias(name)
-        for name in probs
-    ])
+    return picked.groupBy("_g").agg(
+        *[F.sum(F.when(F.col("_t._name") == name, F.col("_v") * F.col("_t._weight"))).alias(name)
+          for name in probs],
+        F.first("_t._total").alias("n"), F.first("_t._mean").alias("mean"),
+    ).select("_g.*", *probs, "n", "mean")
 
 
 def euclid(x1, y1, x2, y2) -> Column:

@@ -48,36 +48,31 @@ def anchor_clusters(rows: DataFrame, metres: float = 75.0) -> DataFrame:
     first row opens the next cluster.
 
     The accepted duration bounds a trajectory to one row per 20 s window (361 rows for two
-    hours), so its points fit in one array. The fold carries only the anchor and the times
-    at which clusters start; each point then counts the starts up to itself.
+    hours), so its points fit in one array, over which a fold carries the anchor.
     """
     point = F.struct("timestamp", "sensor_name", "x", "y")
     bundled = rows.groupBy(*TRAJECTORY).agg(F.array_sort(F.collect_list(point)).alias("points"))
     first = F.element_at("points", 1)
-    start = F.struct(
-        first["x"].alias("ax"), first["y"].alias("ay"), F.array(first["timestamp"]).alias("starts")
-    )
-
-    def step(state, p):
-        far = F.sqrt(F.pow(p["x"] - state["ax"], 2) + F.pow(p["y"] - state["ay"], 2)) > metres
-        opened = F.struct(
-            p["x"].alias("ax"), p["y"].alias("ay"),
-            F.array_append(state["starts"], p["timestamp"]).alias("starts"),
-        )
-        return F.when(far, opened).otherwise(state)
 
-    starts = F.aggregate("points", start, step, lambda state: state["starts"])
-    # clusters are contiguous: pair each start with the next one and cut the point array
+    def state(p, cluster, ids):
+        return F.struct(p["x"].alias("ax"), p["y"].alias("ay"), cluster.alias("cluster"),
+                        F.array_append(ids, cluster).alias("ids"))
+
+    def step(s, p):
+        far = F.sqrt(F.pow(p["x"] - s["ax"], 2) + F.pow(p["y"] - s["ay"], 2)) > metres
+        stay = F.struct(s["ax"].alias("ax"), s["ay"].alias("ay"), s["cluster"].alias("cluster"),
+                        F.array_append(s["ids"], s["cluster"]).alias("ids"))
+        return F.when(far, state(p, s["cluster"] + 1, s["ids"])).otherwise(stay)
+
+    # the first point opens cluster 1 in the initial state and, at distance 0, joins it
+    start = F.struct(first["x"].alias("ax"), first["y"].alias("ay"), F.lit(1).alias("cluster"),
+                     F.array().cast("array<int>").alias("ids"))
+    ids = F.aggregate("points", start, step, lambda s: s["ids"])
+    # explode_outer: an inner explode would add a size filter and fold a second time
     return (
-        bundled.withColumn("starts", starts)
-        .select(*TRAJECTORY, "points", F.posexplode("starts").alias("i", "from"), "starts")
-        .withColumn("until", F.get("starts", F.col("i") + 1))
-        .withColumn("p", F.explode(F.filter(
-            "points",
-            lambda p: (p["timestamp"] >= F.col("from"))
-            & (F.col("until").isNull() | (p["timestamp"] < F.col("until"))),
-        )))
-        .select(*TRAJECTORY, (F.col("i") + 1).cast("long").alias("cluster_id"), "p.*")
+        bundled.select(*TRAJECTORY, F.explode_outer(F.arrays_zip(
+            F.col("points").alias("p"), ids.alias("cluster"))).alias("z"))
+        .select(*TRAJECTORY, F.col("z.cluster").cast("long").alias("cluster_id"), "z.p.*")
     )
 
 

@@ -99,7 +99,7 @@ def site_correlation_summary(per_sensor: DataFrame) -> DataFrame:
     r = per_sensor.filter(F.col("pearson_r").isNotNull())
     quantiles = exact_quantiles(
         r, SITE, "pearson_r", {"r_median": 0.5, "r_q25": 0.25, "r_q75": 0.75}, 0.05
-    )
+    ).drop("n", "mean")
     counts = r.groupBy("site").agg(
         F.count("*").alias("n_sensors"),
         F.count_if(F.col("pearson_r") > 0.9).alias("n_above_09"),

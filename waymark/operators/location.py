@@ -120,14 +120,9 @@ def location_error(est: DataFrame, gps: DataFrame, max_width: int = max(SWEEP_WI
 
 def error_summary(errors: DataFrame, bucket_metres: float = 1.0) -> DataFrame:
     """Median, quartiles, mean and n by method and width; exact for any number of rows."""
-    group = ["method", "width"]
-    quantiles = exact_quantiles(
-        errors, group, "error", {"median_error": 0.5, "q25": 0.25, "q75": 0.75}, bucket_metres
-    )
-    means = errors.groupBy(*group).agg(
-        F.avg("error").alias("mean_error"), F.count("*").alias("n")
-    )
-    return quantiles.join(means, group)
+    probs = {"median_error": 0.5, "q25": 0.25, "q75": 0.75}
+    return exact_quantiles(errors, ["method", "width"], "error", probs, bucket_metres) \
+        .withColumnRenamed("mean", "mean_error")
 
 
 def ground_truth_rows(raw: DataFrame, gps: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from waymark.sources.tables import stager
     f"""SELECT w AS timestamp, id AS source_address, sensor AS sensor_name, {r6('x')} AS x, {r6('y')} AS y,
         {r6('strength_sum')} AS strength_sum, detections FROM loc"""))
 def _(c: Context):
-    return c.located
+    return location.locate_proximity(c.t20, c.sensors)
 
 
 GT_SQL = GPS + """,

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.functions.islands import split_sessions
+from waymark.functions.islands import split_sessions, with_gaps
 from waymark.functions.stats import average_rank, exact_quantiles, share, top_with_ties
 from waymark.functions.timefn import epoch, local_date, local_hour
 from waymark.operators import activities as act
@@ -52,7 +52,7 @@ _T20 = f"""SELECT w AS timestamp, id AS source_address, sensor AS sensor_name, {
 
 @query("agg_g4_twenty_second", with_base(_T20 + "t20"))
 def _(c: Context):
-    return c.t20
+    return aggregate.twenty_second(c.cleaned)
 
 
 @query("agg_g5_twenty_second_by_minute", with_base(
@@ -112,10 +112,8 @@ def _(c: Context):
         {r6('quantile_cont(strength_sum, 0.25)')} AS q25, {r6('quantile_cont(strength_sum, 0.75)')} AS q75,
         count(*) AS n FROM t20 GROUP BY 1"""))
 def _(c: Context):
-    quantiles = exact_quantiles(
+    return exact_quantiles(
         c.t20, ["sensor_name"], "strength_sum", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, 10.0)
-    means = c.t20.groupBy("sensor_name").agg(F.avg("strength_sum").alias("mean"), F.count("*").alias("n"))
-    return means.join(quantiles, "sensor_name")
 
 
 @query("agg_g11_share_within_group", with_base(
@@ -375,11 +373,8 @@ def _(c: Context):
     """SELECT gap, count(*) AS n FROM (
        SELECT w - lag(w) OVER (PARTITION BY id ORDER BY w) AS gap, w FROM loc) GROUP BY 1"""))
 def _(c: Context):
-    """Gaps to the previous row of the identifier; the located table has one row per window,
-    so an identifier's window is bounded by the length of the period."""
-    w = Window.partitionBy("source_address").orderBy("timestamp")
-    gap = epoch("timestamp") - F.lag(epoch("timestamp")).over(w)
-    return c.located.select(gap.alias("gap")).groupBy("gap").agg(F.count("*").alias("n"))
+    rows = with_gaps(c.located, ["source_address"], into="gap")
+    return rows.groupBy("gap").agg(F.count("*").alias("n"))
 
 
 @query("window_w4_islands", with_base(

@@ -11,6 +11,7 @@ from waymark.operators import diagnostics, disclosure, quality, release, scan
 from waymark.plans.catalog_relational import _FIT, NARROW, SEQ_SQL, STREAMS
 from waymark.plans.context import Context, query
 from waymark.plans.oracle import KST, RAW, big, day, r6, with_base
+from waymark.sources import tables
 
 # Public test key and domains: the registered queries publish nothing.
 TEST_KEY = bytes(range(32))
@@ -412,7 +413,7 @@ def _planted_documents(c):
         .when(n == 10, F.concat(F.lit("-----BEGIN "), F.lit("PRIVATE KEY-----"))).otherwise("")
     )
     text = F.replace(F.col("text"), F.lit('token = "'), F.lit('access_token = "'))
-    return c.table("documents").select("doc_id", F.concat(text, F.lit(" "), extra).alias("text"))
+    return tables.spread(c.table("documents"), "doc_id").select("doc_id", F.concat(text, F.lit(" "), extra).alias("text"))
 
 
 _PLANTED_SQL = """(SELECT doc_id, replace(text, 'token = "', 'access_token = "') || ' ' || CASE doc_id % 12
@@ -433,7 +434,7 @@ def _(c: Context):
 @query("disclosure_x17_page_scan",
        f"SELECT finding, count(*) AS n_texts FROM ({_scan_sql('pages', 'page_id', 'html')}) GROUP BY 1")
 def _(c: Context):
-    return scan.content_scan(c.table("pages"), "page_id", "html")
+    return scan.content_scan(tables.spread(c.table("pages"), "page_id"), "page_id", "html")
 
 
 @query("disclosure_x17_document_scan",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark import schemas
 from waymark.functions.timefn import ntz_as_utc
+from waymark.sources.tables import spread
 
 N_SENSORS = 17
 
@@ -18,13 +19,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A file with fewer splits than the cluster has cores is spread out before each row is
-    expanded some 60 times; a large table has splits enough and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, "event_id") if df.rdd.getNumPartitions() < cores else df
-
-
 def sensor_name(index: Column) -> Column:
     return F.concat(F.lit("s"), F.lpad(index.cast("string"), 2, "0"))
 
@@ -84,7 +78,7 @@ def _bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.when(e % 50 == 7, 75).when(e % 2 == 0, 9).otherwise(25)
     dwells = (e % 4).isin(0, 1) | (e % 50 == 7)
     return (
-        _spread(events(spark, sf_dir))
+        spread(events(spark, sf_dir), "event_id")
         .withColumn("us", F.unix_micros(ntz_as_utc("ts")))
         .withColumn("source_address", identifier(F.col("user_id")))
         .withColumn("k", F.explode(F.sequence(F.lit(0), (e * 17 % 60).cast("int"))))
