@@ -107,3 +107,20 @@ def test_scan_reports_classes_and_never_values(spark):
         (1, "MAC-like value"), (1, "private identifier-mapping field"), (2, "GitHub access token"),
         (3, "assigned credential or key material"), (5, "MAC-like value")]
     assert address not in repr(found.collect())
+
+
+def test_stage_is_written_once_and_again_when_cleared(spark):
+    from waymark.sources import tables
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(5)
+
+    for _ in range(2):
+        assert tables.staged_once(spark, "test", "numbers", build).count() == 5
+    assert built == [1]
+    key = (spark.sparkContext.applicationId, "test", "numbers")
+    tables._stages[key] = (tables._stages[key][0] + "-cleared", tables._stages[key][1])
+    assert tables.staged_once(spark, "test", "numbers", build).count() == 5
+    assert built == [1, 1]

@@ -4,6 +4,7 @@ import json
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,11 +47,19 @@ def stager(spark: SparkSession, run: str):
 
 
 def staged_once(spark: SparkSession, source: str, name: str, build) -> DataFrame:
-    """A stage of a session: written to the shared folder by its first reader."""
+    """A stage of a session: written to the shared folder by its first reader, and written
+    anew if the folder has been cleared since."""
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _stages:
-        _stages[key] = stager(spark, f"stages-{uuid.uuid4().hex}")(build(), name)
-    return _stages[key]
+    if key in _stages:
+        path, schema = _stages[key]
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException:
+            del _stages[key]
+    run = f"stages-{uuid.uuid4().hex}"
+    staged = stager(spark, run)(build(), name)
+    _stages[key] = (f"{shared_dir(spark)}/{run}/{name}", staged.schema)
+    return staged
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
