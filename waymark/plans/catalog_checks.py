@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from waymark import schemas
 from waymark.functions.identifiers import legacy_identifier
 from waymark.functions.timefn import epoch
-from waymark.operators import aggregate, filters, joins, quality, release, track
+from waymark.operators import aggregate, filters, joins, quality, release
 from waymark.operators.count import count_sensor_window
 from waymark.plans.catalog_relational import NARROW
 from waymark.plans.context import Context, query
-from waymark.plans.oracle import RAW, TRIPS, big, r6, with_base
+from waymark.plans.oracle import RAW, TRIPS, with_base
 
 
 def _schema_sql(schema, table):

@@ -7,11 +7,13 @@ from waymark.functions.islands import split_sessions, with_gaps
 from waymark.functions.stats import average_rank, exact_quantiles, share, top_with_ties
 from waymark.functions.timefn import epoch, local_date, local_hour
 from waymark.operators import activities as act
-from waymark.operators import aggregate, cleaning, count, diagnostics, disclosure, filters, joins, location, release, track
-from waymark.plans.catalog_metrics import _HIST, _SEC, EXTREME, GT_SQL, HIST_SQL, HOURLY
+from waymark.operators import (
+    aggregate, cleaning, count, diagnostics, disclosure, filters, joins, location, release,
+)
+from waymark.plans.catalog_metrics import _HIST, _SEC, GT_SQL, HIST_SQL, HOURLY
 from waymark.plans.context import Context, query
 from waymark.plans.oracle import (
-    BANDS, EPISODES, GPS, KST, RAW, TRIPS, VISITS, big, day, day_type, hour, r6, with_base,
+    BANDS, GPS, KST, RAW, TRIPS, VISITS, big, day, day_type, hour, r6, with_base,
 )
 
 # Aggregations ----------------------------------------------------------------------------
@@ -276,10 +278,6 @@ def _(c: Context):
     return joins.fill_sensor_days(per_day, c.sensors, per_day, "n")
 
 
-def _impact_sql(body):
-    return with_base(body, NARROW)
-
-
 NARROW = """,
 nsec AS (SELECT t, id, sensor, min(flag) AS flag, median(strength) AS m FROM accepted
          WHERE strength >= -74 GROUP BY 1, 2, 3),
