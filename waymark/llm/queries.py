@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waymark.llm import chat
+from waymark.llm import chat, matroska, warc
 from waymark.llm.textops import documents
 
 _QUERIES, _ORACLES = {}, {}
@@ -48,3 +48,20 @@ def op3(spark, sf_dir):
     own = spark.sql("""SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
                        FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)""")
     return chat.chat_digest(given.unionByName(own))
+
+
+@query("op4_matroska_columns")
+def op4(spark, sf_dir):
+    return matroska.media_digest(matroska.mux(documents(spark, sf_dir)))
+
+
+@query("op8_warc_records", """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN k.keeper IS NULL OR p.page_id = k.keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id <> k.keeper THEN k.keeper END AS refers_to
+FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000""")
+def op8(spark, sf_dir):
+    return warc.digest(documents(spark, sf_dir, "pages"))
