@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, matroska, warc
+from waymark.llm import chat, matroska, pii, warc
 from waymark.llm.textops import documents
 
 _QUERIES, _ORACLES = {}, {}
@@ -65,3 +65,9 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000""")
 def op8(spark, sf_dir):
     return warc.digest(documents(spark, sf_dir, "pages"))
+
+
+@query("op9_personal_data")
+def op9(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.train(pii.labelled_table(docs)))
