@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, matroska, pii, warc
+from waymark.llm import chat, decontaminate, matroska, pii, warc
 from waymark.llm.textops import documents
 
 _QUERIES, _ORACLES = {}, {}
@@ -71,3 +71,8 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return pii.find(docs, pii.train(pii.labelled_table(docs)))
+
+
+@query("op10_benchmark_decontamination")
+def op10(spark, sf_dir):
+    return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
