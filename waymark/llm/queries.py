@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontaminate, matroska, pii, warc
+from waymark.llm import chat, decontaminate, matroska, pii, quality, warc
 from waymark.llm.textops import documents
 
 _QUERIES, _ORACLES = {}, {}
@@ -76,3 +76,8 @@ def op9(spark, sf_dir):
 @query("op10_benchmark_decontamination")
 def op10(spark, sf_dir):
     return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query("op6_quality_classifier")
+def op6(spark, sf_dir):
+    return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
