@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontaminate, matroska, pii, quality, warc
+from waymark.llm import chat, decontaminate, langid, matroska, pii, quality, toxicity, warc
 from waymark.llm.textops import documents
 
 _QUERIES, _ORACLES = {}, {}
@@ -81,3 +81,13 @@ def op10(spark, sf_dir):
 @query("op6_quality_classifier")
 def op6(spark, sf_dir):
     return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    return toxicity.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query("op2_language_mixture")
+def op2(spark, sf_dir):
+    return langid.classify(documents(spark, sf_dir))
