@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontaminate, langid, matroska, pii, quality, toxicity, warc
+from waymark.llm import chat, decontaminate, jaccard, langid, matroska, pii, quality, toxicity, warc
 from waymark.llm.textops import documents
 
 _QUERIES, _ORACLES = {}, {}
@@ -91,3 +91,8 @@ def op1(spark, sf_dir):
 @query("op2_language_mixture")
 def op2(spark, sf_dir):
     return langid.classify(documents(spark, sf_dir))
+
+
+@query("op7_jaccard_join")
+def op7(spark, sf_dir):
+    return jaccard.join(documents(spark, sf_dir))
