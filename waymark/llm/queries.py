@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontaminate, jaccard, langid, matroska, pii, quality, toxicity, warc
+from waymark.llm import chat, decontaminate, jaccard, langid, matroska, mixing, pii, quality, toxicity, warc
 from waymark.llm.textops import documents
 
 _QUERIES, _ORACLES = {}, {}
@@ -96,3 +96,64 @@ def op2(spark, sf_dir):
 @query("op7_jaccard_join")
 def op7(spark, sf_dir):
     return jaccard.join(documents(spark, sf_dir))
+
+
+def _case(name: str, column: str) -> str:
+    whens = " ".join(f"WHEN {column} = '{k}' THEN {w}" for k, w in mixing.WEIGHTS[name].items())
+    return f"CASE {whens} ELSE 1 END"
+
+
+def _level(name: str, path: str, parent: str, parents: str, on: str) -> str:
+    """One level of the budget, children of ``parent`` (a CTE with ``budget``)."""
+    return f"""
+{name}_n AS (SELECT {path}, sum(capacity) AS capacity FROM leaf GROUP BY {path}),
+{name}_w AS (SELECT n.*, p.budget, CAST({_case(name, 'n.' + name)} AS HUGEINT) AS weight FROM {name}_n n JOIN {parent} p ON {on}),
+{name}_o AS (
+  SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev,
+         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM {name}_w WINDOW o AS (PARTITION BY {parents} ORDER BY CAST(capacity AS DOUBLE) / CAST(weight AS DOUBLE), {name})),
+{name}_f AS (SELECT *, CAST(capacity * rest AS HUGEINT) <= CAST(weight * (budget - prev) AS HUGEINT) AS fullup FROM {name}_o),
+{name}_s AS (
+  SELECT *, budget - coalesce(sum(capacity) FILTER (fullup) OVER (PARTITION BY {parents}), 0) AS remain,
+         sum(weight) FILTER (NOT fullup) OVER (PARTITION BY {parents}) AS openw FROM {name}_f),
+{name}_b AS (
+  SELECT {path}, CAST(CASE WHEN fullup THEN capacity ELSE CAST(weight * remain AS HUGEINT) // CAST(openw AS HUGEINT) END AS HUGEINT) AS budget
+  FROM {name}_s)"""
+
+
+MIXING_SQL = f"""
+WITH raw AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(source, 'none') AS source, coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+         coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) AS tokens, md5(coalesce(source, 'none'))[1] AS h FROM documents),
+d AS (
+  SELECT *, CASE WHEN h < '5' THEN 'web' WHEN h < '9' THEN 'books' WHEN h < 'd' THEN 'forum' ELSE 'news' END AS domain,
+         md5('{mixing.SEED}:' || k)[1:{mixing.DIGITS}] AS bucket FROM raw),
+sizes AS (SELECT domain, lang, source, bucket, CAST(sum(tokens) AS HUGEINT) AS tokens FROM d GROUP BY ALL),
+leaf AS (
+  SELECT domain, lang, source, CAST(sum(tokens) AS HUGEINT) AS tokens, CAST(sum(tokens) * {mixing.EPOCHS} AS HUGEINT) AS capacity
+  FROM sizes GROUP BY ALL HAVING sum(tokens) > 0),
+root AS (
+  SELECT least(CAST(sum(tokens) * {mixing.BUDGET[0]} AS HUGEINT) // {mixing.BUDGET[1]}, CAST(sum(capacity) AS HUGEINT)) AS budget FROM leaf),
+{_level('domain', 'domain', 'root', "1", 'TRUE')},
+{_level('lang', 'domain, lang', 'domain_b', 'domain', 'n.domain = p.domain')},
+{_level('source', 'domain, lang, source', 'lang_b', 'domain, lang', 'n.domain = p.domain AND n.lang = p.lang')},
+e AS (
+  SELECT l.domain, l.lang, l.source, CAST(b.budget // l.tokens AS BIGINT) AS q, CAST(b.budget % l.tokens AS BIGINT) AS r
+  FROM leaf l JOIN source_b b ON l.domain = b.domain AND l.lang = b.lang AND l.source = b.source),
+p AS (
+  SELECT s.*, e.q, e.r, md5('{mixing.SEED}:' || e.q || ':' || s.bucket) AS place
+  FROM sizes s JOIN e ON s.domain = e.domain AND s.lang = e.lang AND s.source = e.source),
+x AS (
+  SELECT d.doc_id, d.domain, d.lang, d.source, d.tokens, p.q, p.r,
+         sum(d.tokens) OVER (PARTITION BY d.domain, d.lang, d.source
+                             ORDER BY p.place, md5('{mixing.SEED}:' || p.q || ':' || d.k)) AS upto
+  FROM d JOIN p ON d.domain = p.domain AND d.lang = p.lang AND d.source = p.source AND d.bucket = p.bucket)
+SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, q + CASE WHEN upto <= r THEN 1 ELSE 0 END AS epochs
+FROM x WHERE q + CASE WHEN upto <= r THEN 1 ELSE 0 END > 0"""
+
+
+@query("op5_source_mixing", MIXING_SQL)
+def op5(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).select(
+        "doc_id", F.col("mix_domain").alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"),
+        F.coalesce("source", F.lit("none")).alias("source"), F.col("mix_tokens").alias("tokens"), F.col("mix_epochs").alias("epochs"))
