@@ -129,13 +129,13 @@ class _Stream:
 
     def _more(self) -> bool:
         if self.gz.eof:
-            self.rest, self.gz = self.gz.unused_data + self.rest, zlib.decompressobj(31)
+            # At the end of a member the tail not consumed is the data after it, given twice.
+            self.rest, self.gz = self.gz.unused_data, zlib.decompressobj(31)
         piece = self.rest or self.raw.read(CHUNK)
-        if not piece:
-            return False
-        self.ready += self.gz.decompress(piece, CHUNK)
+        more = self.gz.decompress(piece, CHUNK)
+        self.ready += more
         self.rest = self.gz.unconsumed_tail
-        return True
+        return bool(piece or more)
 
     def line(self) -> bytes:
         while (at := self.ready.find(b"\r\n")) < 0 and self._more():
