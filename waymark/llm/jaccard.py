@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textops import WordHash, shingles, staged
+from waymark.llm.textops import WordHash, shingles, staged, with_hit, without
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -220,13 +220,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lists = staged(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"),
                                            F.min("bands").alias("bands")), "lists")
     member = lists.select("key", F.explode("bands").alias("band"))
-    full = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    component = components(staged(member.join(full, "band"), "edges"))
+    full = staged(member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "bands")
+    meeting = with_hit(member, "band", full).filter("__hit").drop("__hit")
+    component = components(staged(meeting.join(full, "band"), "edges"))
     sizes = component.groupBy("label").agg(F.count("*").alias("n"))
     wanted = component.join(sizes, "label").select(
         "key", F.col("label").alias("component"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     wanted = staged(wanted.join(lists.select("key", "doc_id", "n_copies"), "key").withColumnRenamed("doc_id", "_id"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = with_hit(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", wanted.select("_id")).filter("__hit")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
     sets = _with_grams(texts).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     blocks = (sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other")))
@@ -234,11 +236,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     # Parts with one head are tied; each list is tied to the head of each of its parts.
     label = components(found.select("key", F.col("head").alias("band")).distinct())
-    known = lists.select("key", "doc_id", "n_copies").join(label, "key", "left").join(links, "key", "left")
-    least = known.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    told = known.join(least, "label", "left").filter("n_copies > 1 OR label IS NOT NULL").select(
-        "key", F.coalesce("class_id", "doc_id").alias("class_id"),
-        (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    label = staged(label.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")), "classes")
+    least = label.join(lists.select("key", "doc_id"), "key").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = label.join(least, ["label", "salt"]).select("key", "class_id", F.lit(True).alias("near"))
+    told = (lists.select("key", "doc_id", "n_copies").join(near, "key", "left").join(links, "key", "left")
+            .filter("n_copies > 1 OR near").select(
+                "key", F.coalesce("class_id", "doc_id").alias("class_id"),
+                (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
     salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(SALTS)).cast("int").alias("salt")
     return rows.select("doc_id", "key", salt).join(salted, ["key", "salt"], "left").select(
@@ -252,16 +257,18 @@ def join(docs: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, the one with the least id; a class of null ids keeps one row as well."""
-    found = staged(classes(docs, threshold), "classes")
+    found = staged(classes(docs, threshold), "rows")
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    single = keep.join(twice, keep["doc_id"].eqNullSafe(twice["doc_id"]), "left_anti").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(staged(single, "kept"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    twice = staged(twice, "twice")
+    copies = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
+    kept = without(docs, "doc_id", staged(copies.union(twice).distinct(), "gone"))
     if twice.isEmpty():
         return kept
     # Ids in several rows: there the words decide which row is meant, and one of equal rows stays.
     again = keep.join(twice, keep["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi").select(
         F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    docs = with_hit(docs, "doc_id", twice).filter("__hit").drop("__hit")
     keyed = docs.withColumn("_own", F.pandas_udf(
         lambda c: pd.Series([key_of(words_of(t)) for t in c], dtype=object), "binary")(F.col("text")))
     more = keyed.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))

@@ -57,6 +57,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict
     return joined.select("_y", share(F.col("_id"), seed + 1).alias("_u"), *[f"_{c}" for c in keep])
 
 
+FILTER_BITS = 26  # of the filter below: 8 MB, whatever the data
+
+
+def with_hit(rows: DataFrame, key: str, members: DataFrame, hit: str = "__hit") -> DataFrame:
+    """Adds whether the key may be in the one column of ``members``: true for each member, and for few others while
+    members are far fewer than the filter's bits. The filter is a table of fixed size (``FILTER_BITS`` bits), so it may
+    be broadcast; it only saves shuffling rows that a join would drop, an exact join follows.
+    """
+    def slots(c):
+        return F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+
+    chunk, word, bit = (lambda s: F.shiftright(s, 14).cast("int")), (lambda s: F.shiftright(s, 6).bitwiseAND(255).cast("int")), (
+        lambda s: s.bitwiseAND(63).cast("int"))
+    own = members.select(slots(F.col(members.columns[0])).alias("s"))
+    words = own.select(chunk(F.col("s")).alias("__chunk"), word(F.col("s")).alias("w"), bit(F.col("s")).alias("b")).groupBy(
+        "__chunk", "w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+    table = words.groupBy("__chunk").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("__words"))
+    at = rows.withColumn("__slot", slots(F.col(key)))
+    at = at.withColumn("__chunk", chunk(F.col("__slot"))).join(F.broadcast(table), "__chunk", "left")
+    found = at.withColumn("__own", F.element_at("__words", word(F.col("__slot")))).withColumn("__bit", bit(F.col("__slot")))
+    return found.withColumn(hit, F.expr("coalesce(shiftright(__own, __bit) & 1L, 0L) = 1")).select(*rows.columns, hit)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in the one column of ``gone``. Only rows that the filter holds for possible
+    members are shuffled for the exact join."""
+    checked = with_hit(rows, key, gone)
+    some = checked.filter("__hit").drop("__hit")
+    name = gone.columns[0]
+    rest = some.join(gone.withColumnRenamed(name, "__gone"), F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
+    return checked.filter("NOT __hit").drop("__hit").unionByName(rest)
+
+
 class WordHash(dict):
     """word -> 64-bit hash, remembered for words seen before."""
 
