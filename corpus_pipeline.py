@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, jaccard, mixing, pii, quality
-from waymark.llm.textops import documents, staged
+from waymark.llm.textops import documents, staged, without
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     pairs = decontaminate.contaminated(docs, documents(spark, sf_dir, "benchmark"))
-    bad = staged(pairs.select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return without(docs, "doc_id", staged(pairs.select("doc_id").distinct(), "contaminated"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
