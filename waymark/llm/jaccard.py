@@ -102,32 +102,31 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 11) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """key, label of the (key, band) graph: keys that share a band, directly or in steps, get one label, their least key.
+    """node, label of the (node, band) graph: nodes that share a band, directly or in steps, get one label, their least node.
 
-    Minima go from keys to bands and back until no label changes; sums of minima are combined before each shuffle, and
+    Minima go from nodes to bands and back until no label changes; minima are combined before each shuffle, and
     each round is written, so lost executors cost one round at most.
     """
-    edges = edges.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    edges = edges.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    labels = edges.select("key", F.col("key").alias("label")).distinct()
+    low, labels = edges.groupBy("band").agg(F.min("node").alias("low")), None
     while True:
-        low = edges.join(labels, "key").groupBy("band").agg(F.min("label").alias("low"))
-        # A band may hold a third of all keys: its minimum goes to every salt.
+        # A band may hold a third of all nodes: its minimum goes to every salt.
         spread = low.select("band", "low", salts)
-        moved = edges.join(spread, ["band", "salt"]).groupBy("key").agg(F.min("low").alias("label"))
-        # Labels are keys themselves, so a key may go on to the label of its label at once.
-        ahead = moved.select(F.col("key").alias("label"), F.col("label").alias("further"))
-        jumped = moved.join(ahead, "label", "left").select(
-            "key", F.least("label", F.coalesce("further", "label")).alias("label"))
-        now = staged(jumped, "labels")
-        if now.join(labels, ["key", "label"], "left_anti").isEmpty():
+        moved = edges.join(spread, ["band", "salt"]).groupBy("node").agg(F.min("low").alias("label"))
+        # Labels are nodes themselves, so a node may go on to the label of its label at once.
+        ahead = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        now = staged(moved.join(ahead, "label", "left").select(
+            "node", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        if labels is not None and now.join(labels, ["node", "label"], "left_anti").isEmpty():
             return now
         labels = now
+        low = edges.join(labels, "node").groupBy("band").agg(F.min("label").alias("low"))
 
 
 def _verified(rows: list, threshold: float):
-    """Links and least connected key of the lists of two blocks, or of one with itself."""
-    keys, copies, sides = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows])
+    """Links and least connected node of the lists of two blocks, or of one with itself."""
+    nodes, copies, sides = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows])
     sets = [np.frombuffer(r[3], np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -152,19 +151,19 @@ def _verified(rows: list, threshold: float):
         linked &= sides[:, None] != sides[None, :]
     links = (linked * copies[None, :]).sum(1)
     head = np.full(len(sets), -1)
-    for i in sorted(range(len(sets)), key=keys.__getitem__):
+    for i in sorted(range(len(sets)), key=nodes.__getitem__):
         if head[i] < 0:
             head[i], todo = i, [i]
             while todo:
                 more = np.flatnonzero(linked[todo.pop()] & (head < 0))
                 head[more] = i
                 todo += more.tolist()
-    return [(k, int(n), keys[h]) for k, n, h in zip(keys, links, head)]
+    return [(k, int(n), nodes[h]) for k, n, h in zip(nodes, links, head)]
 
 
 def verify(blocks: DataFrame, threshold: float) -> DataFrame:
-    """``blocks``: component, a, b, key, n_copies, side, grams. Gives component, key, links, head."""
-    schema = pa.schema([("component", pa.binary()), ("key", pa.binary()), ("links", pa.int64()), ("head", pa.binary())])
+    """``blocks``: component, a, b, node, n_copies, side, grams. Gives component, node, links, head."""
+    schema = pa.schema([("component", pa.int64()), ("node", pa.int64()), ("links", pa.int64()), ("head", pa.int64())])
 
     def read(batches):
         group, rows, out = None, [], []
@@ -176,11 +175,11 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
             rows = []
 
         for batch in batches:
-            for *at, key, n, side, grams in zip(*[batch.column(i).to_pylist() for i in range(7)]):
+            for *at, node, n, side, grams in zip(*[batch.column(i).to_pylist() for i in range(7)]):
                 if at != group:
                     flush()
                     group = at
-                rows.append((key, n, side, grams))
+                rows.append((node, n, side, grams))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                 out = []
@@ -188,14 +187,14 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return (blocks.select("component", "a", "b", "key", "n_copies", "side", "grams")
+    return (blocks.select("component", "a", "b", "node", "n_copies", "side", "grams")
             .repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
-            .mapInArrow(read, "component binary, key binary, links long, head binary"))
+            .mapInArrow(read, "component long, node long, links long, head long"))
 
 
 def _with_grams(rows: DataFrame) -> DataFrame:
     """Adds grams of the rows whose text has the wanted key (an id may stand in several rows)."""
-    kept = ["component", "blocks", "key", "n_copies"]
+    kept = ["component", "blocks", "node", "n_copies"]
 
     def read(batches):
         cache = WordHash()
@@ -210,40 +209,40 @@ def _with_grams(rows: DataFrame) -> DataFrame:
                 [*[batch.column(c).take(pa.array(keep, pa.int64())) for c in kept], pa.array(grams, pa.binary())],
                 [*kept, "grams"])
 
-    return rows.select(*kept, "text").mapInArrow(
-        read, "component binary, blocks int, key binary, n_copies long, grams binary")
+    return rows.select(*kept, "key", "text").mapInArrow(
+        read, "component long, blocks int, node long, n_copies long, grams binary")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, key, class_id (least id of the class), n_links (other documents at least ``threshold`` similar)."""
     rows = staged(signatures(docs, threshold), "signatures")
-    lists = staged(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"),
-                                           F.min("bands").alias("bands")), "lists")
-    member = lists.select("key", F.explode("bands").alias("band"))
+    lists = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.min("bands").alias("bands"))
+    lists = staged(lists.withColumn("node", F.monotonically_increasing_id()), "lists")  # fixed once written
+    member = lists.select("node", F.explode("bands").alias("band"))
     full = staged(member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "bands")
     meeting = with_hit(member, "band", full).filter("__hit").drop("__hit")
     component = components(staged(meeting.join(full, "band"), "edges"))
     sizes = component.groupBy("label").agg(F.count("*").alias("n"))
     wanted = component.join(sizes, "label").select(
-        "key", F.col("label").alias("component"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    wanted = staged(wanted.join(lists.select("key", "doc_id", "n_copies"), "key").withColumnRenamed("doc_id", "_id"), "wanted")
+        "node", F.col("label").alias("component"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    about = lists.select("node", "key", F.col("doc_id").alias("_id"), "n_copies")
+    wanted = staged(wanted.join(about, "node"), "wanted")
     texts = with_hit(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", wanted.select("_id")).filter("__hit")
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = _with_grams(texts).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sets = _with_grams(texts).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocks = (sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other")))
     found = staged(verify(blocks, threshold), "verified")
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
     # Parts with one head are tied; each list is tied to the head of each of its parts.
-    label = components(found.select("key", F.col("head").alias("band")).distinct())
-    label = staged(label.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")), "classes")
-    least = label.join(lists.select("key", "doc_id"), "key").groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    label = components(staged(found.select("node", F.col("head").alias("band")).distinct(), "ties"))
+    label = label.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    least = label.join(about, "node").groupBy("label").agg(F.min("_id").alias("class_id"))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near = label.join(least, ["label", "salt"]).select("key", "class_id", F.lit(True).alias("near"))
-    told = (lists.select("key", "doc_id", "n_copies").join(near, "key", "left").join(links, "key", "left")
-            .filter("n_copies > 1 OR near").select(
-                "key", F.coalesce("class_id", "doc_id").alias("class_id"),
-                (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    near = label.join(least, ["label", "salt"]).join(links, "node").select("node", "class_id", "links", F.lit(True).alias("near"))
+    told = about.join(near, "node", "left").filter("n_copies > 1 OR near").select(
+        "key", F.coalesce("class_id", "_id").alias("class_id"),
+        (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(SALTS)).cast("int").alias("salt")
     return rows.select("doc_id", "key", salt).join(salted, ["key", "salt"], "left").select(

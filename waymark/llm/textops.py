@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 from waymark.sources.tables import shared_dir
 
-WORD_CACHE = 300_000  # distinct words a task remembers; then the cache starts anew
+WORD_CACHE = 100_000  # distinct words a task remembers; then the cache starts anew
+
+
+def lean_batches(spark) -> None:
+    """Texts may be very long, so Arrow batches are kept smaller than Spark's defaults, unless the session says otherwise."""
+    for key, usual, own in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "16777216b")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) == usual:
+            spark.conf.set(key, own)
 
 
 def documents(spark, sf_dir: str, table: str = "documents") -> DataFrame:
+    lean_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -24,6 +33,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    lean_batches(spark)
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
