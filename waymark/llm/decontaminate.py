@@ -3,8 +3,8 @@
 One pass over the documents looks up every run of ``SEED`` words in the n-grams of the test items
 and writes, for each document, (a) the n-grams it holds, for document frequencies over all documents, and (b) the
 passages in which at least ``HITS`` different n-grams of one item stand close together, as word hashes.
-An item's seeds are the rarer half of its n-grams (all up to its median frequency), so an item that
-was copied very often still has seeds. Passages joined to their item by a seed are aligned with
+An item's seeds are its n-grams in at most ``RARE`` of all documents that hold any (``FEW`` of them at least), and always the
+rarer half of its n-grams (up to its median frequency), so an item that was copied very often still has seeds. Passages joined to their item by a seed are aligned with
 the whole item, words as letters; ``score`` is the best local alignment as a share of the item's alignment with itself.
 
 The benchmark is worked on in blocks of about ``BLOCK`` items, so what is sent to the executors is bounded. Passages are
@@ -24,6 +24,7 @@ from waymark.llm.textops import WordHash, shingles, staged
 
 SEED = 3
 HITS = 2
+RARE, FEW = 0.001, 1000
 BLOCK = 2000
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -192,13 +193,14 @@ def _block(docs: DataFrame, items: list, least: float) -> DataFrame:
     found = staged(scan(docs, seeds), "passages")
     held = found.filter("item = -1").select("doc_id", F.explode("grams").alias("gram"))
     frequency = held.groupBy("gram").agg(F.count("*").alias("n"))
-    # An item's seeds: its n-grams up to its median frequency. n-grams and items are those of the block.
+    few = max(FEW, int(RARE * found.filter("item = -1").count()))
+    # n-grams and items here are those of the block.
     owners = spark.createDataFrame(
         [(int(g), int(i)) for g in range(len(seeds.grams)) for i in seeds.owners[seeds.first[g]:seeds.ends[g]]],
         "gram int, item int")
     counted = owners.join(frequency, "gram", "left").na.fill(0, ["n"])
     median = counted.groupBy("item").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)").alias("most"))
-    rare = counted.join(median, "item").filter("n <= most").groupBy("item").agg(F.collect_set("gram").alias("seeds"))
+    rare = counted.join(median, "item").filter(f"n <= most OR n <= {few}").groupBy("item").agg(F.collect_set("gram").alias("seeds"))
     joined = found.filter("item >= 0").join(F.broadcast(rare), "item").filter(F.arrays_overlap("grams", "seeds"))
     names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], "item int, item_id long")
     return (aligned(joined, items).filter(F.col("score") >= least).join(F.broadcast(names), "item")

@@ -89,17 +89,20 @@ def budgets(sizes: DataFrame, share: tuple = BUDGET, epochs: int = EPOCHS) -> Da
     """Leaves with their budget ``own``. ``sizes``: leaf and tokens."""
     leaves = sizes.groupBy(*LEVELS).agg(F.sum("tokens").cast(_WHOLE).alias("tokens"))
     leaves = leaves.withColumn("capacity", (F.col("tokens") * epochs).cast(_WHOLE)).filter("tokens > 0")
-    root = F.lit(0).alias("__root")
-    total = leaves.agg(F.sum("tokens").cast(_WHOLE).alias("t"), F.sum("capacity").cast(_WHOLE).alias("c")).select(
-        root, F.least(F.expr(f"CAST((CAST(t * {share[0]} AS decimal(38,0)) div {share[1]}) AS decimal(38,0))"), "c").alias("budget"))
-    parents, known = ["__root"], total
+    everything = W.partitionBy("__root")
+    total = F.sum("tokens").over(everything).cast(_WHOLE) * share[0]
+    known, parents = None, ["__root"]
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[:depth + 1])
-        nodes = leaves.groupBy(*path).agg(F.sum("capacity").cast(_WHOLE).alias("capacity"))
+        nodes = leaves.groupBy(*path).agg(F.sum("capacity").cast(_WHOLE).alias("capacity"), F.sum("tokens").alias("tokens"))
         nodes = nodes.withColumn("__root", F.lit(0)).withColumn("weight", _weight(level[2:], F.col(level)))
-        known = share_out(nodes.join(known, parents), parents, level)
+        if known is None:
+            whole = nodes.withColumn("_t", total.cast(_WHOLE)).withColumn("_c", F.sum("capacity").over(everything).cast(_WHOLE))
+            below = whole.withColumn("budget", F.least(F.expr(f"CAST(_t div {share[1]} AS decimal(38,0))"), "_c"))
+        else:
+            below = nodes.join(known, parents)
+        known = share_out(below, parents, level).select(*path, F.col("own").alias("budget"))
         parents = path
-        known = known.select(*path, F.col("own").alias("budget"))
     return leaves.join(known, list(LEVELS))
 
 
