@@ -35,7 +35,7 @@ def stationary_identifiers(rows: DataFrame, rules: CleaningParams = MAINTAINED_C
 
 def remove_stationary(rows: DataFrame, rules: CleaningParams = MAINTAINED_CLEANING) -> DataFrame:
     """A stationary identifier goes everywhere, not only at the sensor that saw it stay."""
-    return rows.join(stationary_identifiers(rows, rules), "source_address", "left_anti")
+    return filters.without_identifiers(rows, stationary_identifiers(rows, rules))
 
 
 def clean(one_second: DataFrame, rules: CleaningParams = MAINTAINED_CLEANING) -> DataFrame:

@@ -90,9 +90,20 @@ def keep_unflagged(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("source_address_randomized") == 0)
 
 
+SALTS = 16
+
+
+def without_identifiers(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of identifiers that are not in ``gone``. An identifier may hold a third of all rows, so its rows are spread over
+    salts taken from their times, and each listed identifier is given to every salt."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = rows.withColumn("_salt", F.pmod(F.hash("timestamp"), F.lit(SALTS)))
+    return salted.join(gone.select("source_address", salts), ["source_address", "_salt"], "left_anti").drop("_salt")
+
+
 def drop_rare(rows: DataFrame, minimum: int = 5) -> DataFrame:
     rare = rows.groupBy("source_address").count().filter(F.col("count") < minimum)
-    return rows.join(rare.select("source_address"), "source_address", "left_anti")
+    return without_identifiers(rows, rare)
 
 
 def only_sensors(rows: DataFrame, names: list) -> DataFrame:
@@ -117,8 +128,7 @@ def night_persistent(
 
 
 def drop_night_persistent(rows: DataFrame, **rule) -> DataFrame:
-    ids = night_persistent(rows, **rule).select("source_address")
-    return rows.join(ids, "source_address", "left_anti")
+    return without_identifiers(rows, night_persistent(rows, **rule))
 
 
 def keep_dates(rows: DataFrame, dates: DataFrame, tz: str = LOCAL_TIMEZONE) -> DataFrame:

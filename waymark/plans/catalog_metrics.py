@@ -478,12 +478,15 @@ def _(c: Context):
 @query("activity_a2_sensor_distances", with_base(
     f"""SELECT a.sensor AS origin, b.sensor AS destination,
         {r6('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))')} AS distance, n_segments
-        FROM flows JOIN sensors a ON origin = a.sensor JOIN sensors b ON destination = b.sensor
-        WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 150""", TRIPS, FLOWS))
+        FROM flows JOIN sensors a ON origin = a.sensor JOIN sensors b ON destination = b.sensor""", TRIPS, FLOWS))
 def _(c: Context):
-    """Distances of the flows between sensors at most 150 m apart."""
+    """Distance of every observed flow."""
     flows = c.od_trips.groupBy("origin", "destination").agg(F.count("*").alias("n_segments"))
-    return flows.join(joins.pairs_within(c.sensors, 150.0), ["origin", "destination"])
+    a = c.sensors.select(F.col("sensor_name").alias("origin"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = c.sensors.select(F.col("sensor_name").alias("destination"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    return flows.join(a, "origin").join(b, "destination").select(
+        "origin", "destination", F.sqrt(dx * dx + dy * dy).alias("distance"), "n_segments")
 
 
 @query("activity_a3_anchor_clusters", with_base(

@@ -263,17 +263,17 @@ def _(c: Context):
        (SELECT id FROM sess WHERE t1 - t0 > 7200) GROUP BY 1"""))
 def _(c: Context):
     fixed = cleaning.stationary_identifiers(filters.keep_unflagged(c.sec1))
-    return c.sec1.join(fixed, "source_address", "left_anti").groupBy("source_address").agg(
+    return filters.without_identifiers(c.sec1, fixed).groupBy("source_address").agg(
         F.count("*").alias("n"))
 
 
 @query("join_j7_zero_filled_grid", with_base(
     f"""SELECT s.sensor AS sensor_name, {day(f'(g.d * 86400 - {KST})')} AS local_date, coalesce(n, 0) AS n
-        FROM sensors s CROSS JOIN (SELECT DISTINCT (w + {KST}) // 86400 AS d FROM loc WHERE detections > 2) g
-        LEFT JOIN (SELECT sensor, (w + {KST}) // 86400 AS d, count(*) AS n FROM loc WHERE detections > 2
+        FROM sensors s CROSS JOIN (SELECT DISTINCT (w + {KST}) // 86400 AS d FROM loc) g
+        LEFT JOIN (SELECT sensor, (w + {KST}) // 86400 AS d, count(*) AS n FROM loc
                    GROUP BY 1, 2) a ON a.sensor = s.sensor AND a.d = g.d"""))
 def _(c: Context):
-    per_day = c.located.filter(F.col("detections") > 2).groupBy(
+    per_day = c.located.groupBy(
         "sensor_name", local_date("timestamp").alias("local_date")).agg(F.count("*").alias("n"))
     return joins.fill_sensor_days(per_day, c.sensors, per_day, "n")
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from waymark import schemas
 from waymark.functions.timefn import ntz_as_utc
-from waymark.sources.tables import spread
 
 N_SENSORS = 17
 
@@ -78,7 +77,7 @@ def _bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.when(e % 50 == 7, 75).when(e % 2 == 0, 9).otherwise(25)
     dwells = (e % 4).isin(0, 1) | (e % 50 == 7)
     return (
-        spread(events(spark, sf_dir), "event_id")
+        events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "event_id")
         .withColumn("us", F.unix_micros(ntz_as_utc("ts")))
         .withColumn("source_address", identifier(F.col("user_id")))
         .withColumn("k", F.explode(F.sequence(F.lit(0), (e * 17 % 60).cast("int"))))

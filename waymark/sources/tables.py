@@ -28,13 +28,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch.setdefault(key, tempfile.mkdtemp(prefix="waymark-"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """For work that is heavy per row: a file with fewer splits than the cluster has cores is
-    spread out first. A large table has splits enough and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def stager(spark: SparkSession, run: str):
     """``stage(df, name)``: write a stage once and go on from the written table, so later
     consumers neither recompute it nor depend on executors that may be lost."""
