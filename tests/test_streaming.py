@@ -1,15 +1,47 @@
-"""Stateful sessions: order independence of the merge; the streams themselves run in test_queries."""
+"""Streams over several batches: what they emit and what they still hold make up the batch result."""
 
-import itertools
+from helpers import located, seconds
 
-from waymark.streaming.flows import merge_spans
+from waymark.operators import cleaning, track
+from waymark.streaming import flows
 
+ROWS = [(t, f"id{i}", "s0") for i in range(3) for t in (0, 300, 601, 5000 + 40 * i, 9000)]
 
-def test_spans_merge_in_any_order():
-    spans = [(0, 10, 2), (310, 310, 1), (611, 620, 3), (2000, 2000, 1)]
-    expected = [(0, 310, 3), (611, 620, 3), (2000, 2000, 1)]
-    for order in itertools.permutations(spans):
-        merged = []
-        for span in order:
-            merged = merge_spans(merged + [span], 300)
-        assert merged == expected
+
+def emitted(spark, tmp_path, table, flow):
+    source = str(tmp_path / "source")
+    for part in ("t < 1000", "t >= 1000 AND t < 9000", "t >= 9000"):
+        table.selectExpr("*", "unix_seconds(timestamp) - 1705276800 AS t").filter(part).drop("t") \
+            .write.mode("append").parquet(source)
+    stream = flows.read_packets_stream(spark, source, table.schema, files_per_batch=1)
+    out = str(tmp_path / "out")
+    watermark = flows.run_available(flow(stream), out, str(tmp_path / "progress"))
+    return spark.read.parquet(out), watermark
+
+
+def test_windows_of_a_finished_archive(spark, tmp_path):
+    table = seconds(spark, ROWS)
+    got, watermark = emitted(spark, tmp_path, table, flows.twenty_second_direct)
+    rest = flows.twenty_second_direct(flows.open_windows(table, watermark, 20))
+    assert rest.count() == 3 and got.count() == 12
+    assert sorted(map(tuple, got.unionByName(rest).collect())) == \
+        sorted(map(tuple, flows.twenty_second_direct(table).collect()))
+
+
+def test_sessions_of_a_finished_archive(spark, tmp_path):
+    """300 s joins, 301 s splits, and the last session of each identifier is still open."""
+    table, keys = seconds(spark, ROWS), ["source_address", "sensor_name"]
+    got, watermark = emitted(spark, tmp_path, table, flows.sensor_sessions)
+    held = flows.sensor_sessions(flows.open_sessions(table, keys, watermark, 300))
+    rest = flows.still_open(held, watermark, 300)
+    assert rest.count() == 3
+    expected = cleaning.sessions(table).select(*got.columns)
+    assert sorted(map(tuple, got.unionByName(rest).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_trajectories_without_a_watermark_are_the_batch_result(spark):
+    table = located(spark, [(*r, 0.0, 0.0) for r in ROWS])
+    held = flows.trajectories(flows.open_sessions(table, ["source_address"], None, 1800))
+    got = flows.still_open(held, None, 1800).select("source_address", "start_epoch", "end_epoch", "n_windows")
+    expected = track.trajectory_summary(table).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
