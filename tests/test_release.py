@@ -70,6 +70,37 @@ def test_rekey_keeps_blanks_and_other_columns(spark):
     assert {r[0] for r in rows(release.already_public(got), "column")} == {"source_address", "mac_address"}
 
 
+@pytest.mark.parametrize("value", [None, "", "NOT-HEX", "abc"])
+def test_mapping_refuses_other_forms(spark, value):
+    ids = spark.createDataFrame([("a" * 16,), (value,)], "source_address string")
+    mapping = release.build_mapping(ids, "d", KEY, DOMAIN)
+    with pytest.raises(Exception, match="accepted form"):
+        mapping.collect()
+    with pytest.raises(Exception, match="accepted form"):
+        release.rewrite_ids(ids, mapping).collect()
+
+
+def test_rewrite_refuses_rows_without_pseudonym(spark):
+    mapping = release.build_mapping(
+        spark.createDataFrame([("a" * 16,)], "source_address string"), "d", KEY, DOMAIN)
+    for stray in (None, "b" * 16):
+        table = spark.createDataFrame([("a" * 16,), (stray,)], "source_address string")
+        with pytest.raises(Exception, match="without a pseudonym"):
+            release.rewrite_ids(table, mapping).collect()
+
+
+def test_colliding_pseudonyms_are_refused(spark):
+    mapping = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q")], "internal string, public string")
+    with pytest.raises(Exception, match="share a pseudonym"):
+        release._injective(mapping, "internal", "public").collect()
+
+
+def test_rekey_refuses_pseudonyms(spark):
+    df = spark.createDataFrame([("aa:bb:cc:dd:ee:0f",), ("0" * 32,)], "source_address string")
+    with pytest.raises(Exception, match="pseudonyms already"):
+        release.rekey(df, "scope", KEY, DOMAIN).collect()
+
+
 def test_row_and_location_impact(spark):
     a = t20(spark, [(0, "i", "A", -50.0), (20, "i", "A", -50.0), (40, "i", "A", -50.0)])
     b = t20(spark, [(0, "i", "A", -50.0), (20, "i", "A", -51.0), (20, "i", "B", -40.0), (60, "j", "A", -1.0)])

@@ -11,6 +11,7 @@ from waymark.params import LOCAL_TIMEZONE
 KEY = ["timestamp", "source_address", "sensor_name"]
 MEASURES = ["rssi_median", "rssi_sum", "detections", "strength_sum"]
 TOLERANCE = 1e-9
+INTERNAL_FORM, PUBLIC_FORM = "^[0-9a-f]{16,64}$", "^[0-9a-f]{32}$"
 
 # Column names that hold identifiers.
 IDENTIFIER_COLUMNS = (
@@ -47,19 +48,33 @@ def capture_pseudonyms(
     )
 
 
+def _or_fail(good, value, message: str):
+    """The value, or an error that stops the job, and with it any write, and names no identifier."""
+    return F.when(good, value).otherwise(F.raise_error(F.lit(message)))
+
+
+def _injective(mapping: DataFrame, internal: str, public: str) -> DataFrame:
+    """A mapping of distinct identifiers; reading it fails where two of them share a pseudonym."""
+    one = mapping.groupBy(public).agg(F.max(internal).alias(internal), F.count("*").alias("_n"))
+    return one.select(internal, _or_fail(
+        F.col("_n") == 1, F.col(public), "two identifiers share a pseudonym").alias(public))
+
+
 def build_mapping(
     rows: DataFrame, dataset: str, key: bytes, domain: bytes, column: str = "source_address"
 ) -> DataFrame:
-    """Distinct internal identifiers and their public pseudonyms."""
+    """Distinct internal identifiers and their public pseudonyms. A missing or malformed identifier and a collision
+    fail the job that reads the mapping."""
     hashed = identifiers.keyed_hash(identifiers.release_prefix(domain, dataset), key)
-    return rows.select(F.col(column).alias("internal")).distinct().withColumn(
-        "public", hashed("internal")
-    )
+    name = F.col("internal")
+    checked = _or_fail(name.isNotNull() & name.rlike(INTERNAL_FORM), name, "identifier outside the accepted form")
+    ids = rows.select(F.col(column).alias("internal")).distinct()
+    return _injective(ids.withColumn("public", hashed(checked)), "internal", "public")
 
 
 def invalid_internal(rows: DataFrame, column: str = "source_address") -> DataFrame:
     """Identifiers outside the accepted form; a release must have none."""
-    return rows.filter(F.col(column).isNull() | ~F.col(column).rlike("^[0-9a-f]{16,64}$"))
+    return rows.filter(F.col(column).isNull() | ~F.col(column).rlike(INTERNAL_FORM))
 
 
 def mapping_collisions(mapping: DataFrame) -> DataFrame:
@@ -68,19 +83,23 @@ def mapping_collisions(mapping: DataFrame) -> DataFrame:
 
 def rewrite_ids(table: DataFrame, mapping: DataFrame, column: str = "source_address") -> DataFrame:
     """Replace identifiers by joining the distinct-identifier mapping. The mapping can be as
-    long as the data has identifiers, so its side is left to Spark's runtime sizes."""
+    long as the data has identifiers, so its side is left to Spark's runtime sizes. A row whose
+    identifier has no pseudonym, NULL included, fails the job."""
     m = mapping.select(F.col("internal").alias(column), F.col("public").alias("_public"))
-    return table.join(m, column).withColumn(column, F.col("_public")).select(*table.columns)
+    public = _or_fail(F.col("_public").isNotNull(), F.col("_public"), "identifier without a pseudonym")
+    return table.join(m, column, "left").withColumn(column, public).select(*table.columns)
 
 
 def rekey(table: DataFrame, scope: str, key: bytes, domain: bytes) -> DataFrame:
-    """Re-pseudonymise every identifier column of a table. Blank values stay blank."""
+    """Re-pseudonymise every identifier column of a table. Blank values stay blank; a value that is a
+    pseudonym already and a collision fail the job."""
     hashed = identifiers.keyed_hash(identifiers.scope_prefix(domain, scope), key)
     result = table
     for name in [c for c in table.columns if c.lower() in IDENTIFIER_COLUMNS]:
         canonical = F.lower(F.trim(F.col(name)))
-        mapping = result.select(canonical.alias("_id")).filter(F.col("_id") != "").distinct() \
-            .withColumn("_new", hashed("_id"))
+        ids = result.select(canonical.alias("_id")).filter(F.col("_id") != "").distinct()
+        checked = _or_fail(~F.col("_id").rlike(PUBLIC_FORM), F.col("_id"), "input holds pseudonyms already")
+        mapping = _injective(ids.withColumn("_new", hashed(checked)), "_id", "_new")
         result = (
             result.withColumn("_id", canonical).join(mapping, "_id", "left")
             .withColumn(name, F.coalesce("_new", "_id", F.lit(""))).select(*table.columns)
@@ -95,7 +114,7 @@ def already_public(table: DataFrame) -> DataFrame:
         F.struct(F.lit(n).alias("column"), F.col(n).alias("value")) for n in names
     ]))
     return table.select(values.alias("v")).select("v.*").filter(
-        F.col("value").rlike("^[0-9a-f]{32}$")
+        F.col("value").rlike(PUBLIC_FORM)
     ).groupBy("column").agg(F.countDistinct("value").alias("n_identifiers"))
 
 

@@ -1,12 +1,11 @@
 """Queries for randomization diagnostics, pseudonyms, release differences and disclosure (B, X).
 
-Keyed pseudonyms have no SQL counterpart (it would have to spell out the key), so those queries
-reduce to what must hold for every key; the tests compare the values with fixed vectors.
+The key of the registered queries is a public test key, so the counterparts spell out HMAC in SQL.
 """
 
 from pyspark.sql import functions as F
 
-from waymark.functions.identifiers import legacy_identifier
+from waymark.functions.identifiers import capture_prefix, legacy_identifier, release_prefix
 from waymark.operators import diagnostics, disclosure, quality, release, scan
 from waymark.plans.catalog_relational import _FIT, NARROW, SEQ_SQL, STREAMS
 from waymark.plans.context import Context, query
@@ -107,7 +106,20 @@ def _(c: Context):
 
 # Pseudonyms ------------------------------------------------------------------------------
 
-@query("release_x1_capture_pseudonyms")
+def _hmac(prefix: bytes, text: str) -> str:
+    """HMAC-SHA-256 with the test key, as 32 hex digits, in SQL."""
+    inner, outer = (bytes(k ^ pad for k in TEST_KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    first = f"unhex(sha256(unhex('{inner}') || unhex('{prefix.hex()}') || encode({text})))"
+    return f"substr(sha256(unhex('{outer}') || {first}), 1, 32)"
+
+
+@query("release_x1_capture_pseudonyms", with_base(
+    f"""SELECT address, CAST(substr(address, 2, 1) IN ('2', '6', 'a', 'e') AS BIGINT) AS randomized,
+        {_hmac(capture_prefix(TEST_DOMAIN, "test-site"), "address")} AS identifier
+        FROM (SELECT DISTINCT lower(address) AS address FROM raw
+              WHERE regexp_full_match(lower(address), '([0-9a-f]{{2}}:){{5}}[0-9a-f]{{2}}')
+                AND lower(address) <> '00:00:00:00:00:00'
+                AND substr(lower(address), 2, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e'))""", RAW))
 def _(c: Context):
     return release.capture_pseudonyms(c.raw, "test-site", TEST_KEY, TEST_DOMAIN)
 
@@ -122,7 +134,9 @@ def _(c: Context):
     return release.capture_pseudonyms(c.raw, "test-site", TEST_KEY, TEST_DOMAIN).drop("identifier")
 
 
-@query("release_x2_release_pseudonyms")
+@query("release_x2_release_pseudonyms", with_base(
+    f"""SELECT id AS internal, {_hmac(release_prefix(TEST_DOMAIN, "test"), "id")} AS public
+        FROM (SELECT DISTINCT id FROM t20)"""))
 def _(c: Context):
     return release.build_mapping(c.t20, "test", TEST_KEY, TEST_DOMAIN)
 
@@ -172,12 +186,13 @@ def _(c: Context):
     return release.already_public(c.t20)
 
 
-@query("release_x5_scope_overlap", with_base("SELECT count(DISTINCT id) AS n_ids, 0 AS n_shared FROM t20"))
+@query("release_x5_scope_overlap", with_base(
+    "SELECT count(DISTINCT lower(trim(address))) AS n_ids, 0 AS n_shared FROM raw", RAW))
 def _(c: Context):
     """Two scopes with different keys must not share a pseudonym."""
     other = bytes(reversed(TEST_KEY))
-    a = release.rekey(c.t20, "scope-a", TEST_KEY, TEST_DOMAIN)
-    b = release.rekey(c.t20, "scope-b", other, TEST_DOMAIN)
+    a = release.rekey(c.raw, "scope-a", TEST_KEY, TEST_DOMAIN)
+    b = release.rekey(c.raw, "scope-b", other, TEST_DOMAIN)
     shared = quality.identifier_overlap(a, b).agg(F.count("*")).scalar()
     return a.agg(F.countDistinct("source_address").alias("n_ids")).withColumn("n_shared", shared)
 
