@@ -7,11 +7,14 @@ import pytest
 from helpers import BASE, located, seconds
 from pyspark.sql import functions as F
 
+from waymark import schemas
 from waymark.functions.islands import split_sessions, with_gaps
 from waymark.functions.stats import average_rank, exact_quantiles, share, top_with_ties
 from waymark.operators import activities as act
 from waymark.operators import aggregate, cleaning, count, filters, joins, location, quality, revisits, track
 from waymark.params import MAINTAINED, CleaningParams
+from waymark.plans import stages
+from waymark.sources import tables
 
 
 def rows(df, *columns):
@@ -221,3 +224,30 @@ def test_uptime_counts_missing_days_as_zero(spark):
     rows_ = located(spark, [(t, "a", "A01", 0.0, 0.0) for t in (0, 1800, 3600)] + [(86400, "a", "A02", 0.0, 0.0)])
     got = rows(count.sensor_uptime(rows_, sensors), "sensor_name", "n_slots", "healthy")
     assert got == [("A01", 0, 0), ("A01", 3, 1), ("A02", 0, 0), ("A02", 1, 0)]
+
+
+def test_revisit_dates_follow_daylight_saving(spark):
+    """New York on 2024-03-10: midnight is 05:00 UTC that day and 04:00 UTC the next."""
+    midnight = 1710046800  # 2024-03-10 05:00 UTC
+    times = [midnight - 20, midnight, midnight + 23 * 3600 - 20, midnight + 23 * 3600]
+    rows_ = located(spark, [(t - BASE, f"id{i}", "A01", 0.0, 0.0) for i, t in enumerate(times)])
+    got = rows(revisits.revisits(rows_, min_windows=1, tz="America/New_York"), "source_address", "observed_local_dates")
+    assert got == [("id0", "2024-03-09"), ("id1", "2024-03-10"), ("id2", "2024-03-10"), ("id3", "2024-03-11")]
+
+
+def test_metrics_refuse_unknown_sensors(spark):
+    t20 = spark.createDataFrame(
+        [("a", "A01", 50.0), ("a", "A99", 60.0)], "source_address string, sensor_name string, strength_sum double",
+    ).withColumn("timestamp", F.timestamp_seconds(F.lit(BASE))).withColumn("detections", F.lit(1))
+    known = spark.createDataFrame([("A01", 0.0, 0.0)], "sensor_name string, x double, y double")
+    with pytest.raises(quality.ContractError, match="A99"):
+        stages.five_metrics(t20, known)
+    assert stages.five_metrics(t20.filter("sensor_name = 'A01'"), known)["location"].count() == 1
+
+
+def test_packets_need_every_column(spark, tmp_path):
+    path = str(tmp_path / "packets")
+    names = [n for n in schemas.PACKETS_RAW.names if n != "channel"]
+    spark.createDataFrame([], schemas.PACKETS_RAW).select(*names).write.parquet(path)
+    with pytest.raises(quality.ContractError, match="channel"):
+        tables.read_packets(spark, path)

@@ -39,9 +39,8 @@ def with_gaps(
     )
 
 
-def _split_in_chunks(rows, keys, gap_seconds, inclusive, order, chunk_seconds, chunk_offset):
-    shifted = epoch("timestamp") + F.lit(chunk_offset)
-    chunked = rows.withColumn("_chunk", F.floor(shifted / chunk_seconds))
+def _split_in_chunks(rows, keys, gap_seconds, inclusive, order, chunk_seconds):
+    chunked = rows.withColumn("_chunk", F.floor(epoch("timestamp") / chunk_seconds))
     w = Window.partitionBy(*keys, "_chunk").orderBy("timestamp", *order)
     gap = epoch("timestamp") - F.lag(epoch("timestamp")).over(w)
     flagged = chunked.withColumn("_gap", gap)
@@ -52,7 +51,7 @@ def _split_in_chunks(rows, keys, gap_seconds, inclusive, order, chunk_seconds, c
 
 def split_sessions(
     rows: DataFrame, keys: list, gap_seconds: int, *, into: str, inclusive: bool = False,
-    order: tuple = (), chunk_seconds: int = DAY, chunk_offset: int = 0,
+    order: tuple = (), chunk_seconds: int = DAY,
 ) -> DataFrame:
     """Rows plus a session number (1, 2, ...) that starts anew per ``keys`` after a gap.
 
@@ -60,7 +59,7 @@ def split_sessions(
     on ``(keys, chunk)``, the partitioning the rows already have from the chunk window.
     """
     marked = _split_in_chunks(
-        rows, keys, gap_seconds, inclusive, order, chunk_seconds, chunk_offset
+        rows, keys, gap_seconds, inclusive, order, chunk_seconds
     )
     per_chunk = marked.groupBy(*keys, "_chunk").agg(
         F.min(epoch("timestamp")).alias("_first"),
@@ -87,14 +86,14 @@ def split_sessions(
 
 def session_spans(
     rows: DataFrame, keys: list, gap_seconds: int, measures: dict, *,
-    inclusive: bool = False, order: tuple = (), chunk_seconds: int = DAY, chunk_offset: int = 0,
+    inclusive: bool = False, order: tuple = (), chunk_seconds: int = DAY,
 ) -> DataFrame:
     """Per chunk-local session: ``keys``, ``session_id``, ``start_epoch``, ``end_epoch`` and the
     given aggregate ``measures``. A session that crosses chunk borders has one row per chunk;
     callers merge them with a second, far smaller, ``groupBy(keys, session_id)``.
     """
     marked = _split_in_chunks(
-        rows, keys, gap_seconds, inclusive, order, chunk_seconds, chunk_offset
+        rows, keys, gap_seconds, inclusive, order, chunk_seconds
     )
     spans = marked.groupBy(*keys, "_chunk", "_local").agg(
         F.min(epoch("timestamp")).alias("start_epoch"),
@@ -115,7 +114,7 @@ def session_spans(
 
 def rows_of_sessions(
     rows: DataFrame, keys: list, gap_seconds: int, spans: DataFrame, *, into: str,
-    inclusive: bool = False, order: tuple = (), chunk_seconds: int = DAY, chunk_offset: int = 0,
+    inclusive: bool = False, order: tuple = (), chunk_seconds: int = DAY,
 ) -> DataFrame:
     """The rows of chosen ``session_spans``, numbered with the spans' ``into`` column.
 
@@ -123,7 +122,7 @@ def rows_of_sessions(
     as the rows are partitioned. The rules must be those the spans were made with.
     """
     marked = _split_in_chunks(
-        rows, keys, gap_seconds, inclusive, order, chunk_seconds, chunk_offset
+        rows, keys, gap_seconds, inclusive, order, chunk_seconds
     )
     pieces = spans.groupBy(*keys, F.col("chunk").alias("_chunk")).agg(
         F.map_from_entries(F.collect_list(F.struct("piece", F.col(into).cast("long")))).alias("_ids")

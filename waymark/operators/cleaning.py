@@ -38,9 +38,12 @@ def remove_stationary(rows: DataFrame, rules: CleaningParams = MAINTAINED_CLEANI
     return filters.without_identifiers(rows, stationary_identifiers(rows, rules))
 
 
-def clean(one_second: DataFrame, rules: CleaningParams = MAINTAINED_CLEANING) -> DataFrame:
-    """Maintained cleaning: unique seconds, unflagged identifiers, no stationary sources."""
-    unique = aggregate.deduplicate_one_second(one_second)
+def clean(
+    one_second: DataFrame, rules: CleaningParams = MAINTAINED_CLEANING, deduplicate: bool = True
+) -> DataFrame:
+    """Maintained cleaning: unique seconds, unflagged identifiers, no stationary sources. The result of
+    ``aggregate.one_second`` is unique already and needs no second aggregation."""
+    unique = aggregate.deduplicate_one_second(one_second) if deduplicate else one_second
     return remove_stationary(filters.keep_unflagged(unique), rules)
 
 

@@ -3,32 +3,35 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.islands import DAY
+from waymark.functions.islands import session_spans
 from waymark.functions.stats import share, top_with_ties
 from waymark.functions.timefn import local, local_date, local_hour
-from waymark.operators.track import trajectory_spans
+from waymark.operators.track import ID
 from waymark.params import LOCAL_TIMEZONE
 
 ONE_DAY, MIDDLE, HIGH = "1 day", "2–4 days", "5–7 days"
 
 
 def revisits(
-    located: DataFrame, gap_seconds: int = 7200, min_windows: int = 2, utc_offset_seconds: int = 32400
+    located: DataFrame, gap_seconds: int = 7200, min_windows: int = 2, tz: str = LOCAL_TIMEZONE
 ) -> DataFrame:
     """Local dates on which any row of a qualifying trajectory lies.
 
-    Trajectory pieces are cut at local midnight, so each piece has exactly one local date
-    and the rows themselves are not needed again. The zone enters as its (fixed) offset.
+    Trajectory pieces lie within a UTC day, so each carries the two or three local dates of its
+    rows, daylight saving included, and the rows themselves are not needed again.
     """
-    pieces = trajectory_spans(located, gap_seconds, chunk_offset=utc_offset_seconds)
+    pieces = session_spans(
+        located, ID, gap_seconds,
+        {"n_windows": F.count("*"), "days": F.collect_set(local_date("timestamp", tz))}, order=("sensor_name",),
+    )
     qualifying = (
-        pieces.groupBy("source_address", "trajectory_id")
-        .agg(F.sum("n_windows").alias("n"), F.collect_set("chunk").alias("days"))
+        pieces.groupBy("source_address", "session_id")
+        .agg(F.sum("n_windows").alias("n"), F.array_distinct(F.flatten(F.collect_list("days"))).alias("days"))
         .filter(F.col("n") >= min_windows)
     )
     dates = F.transform(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("days")))),
-        lambda d: F.date_format(F.timestamp_seconds(d * DAY), "yyyy-MM-dd"),
+        lambda d: F.date_format(d, "yyyy-MM-dd"),
     )
     return (
         qualifying.groupBy("source_address")

@@ -16,14 +16,14 @@ def split_trajectories(located: DataFrame, gap_seconds: int = 1800) -> DataFrame
     return split_sessions(located, ID, gap_seconds, into="trajectory_id", order=("sensor_name",))
 
 
-def trajectory_spans(located: DataFrame, gap_seconds: int, chunk_offset: int = 0) -> DataFrame:
+def trajectory_spans(located: DataFrame, gap_seconds: int) -> DataFrame:
     """Trajectory pieces per identifier and day, before they are merged across days."""
     at = F.struct("timestamp", "sensor_name")
     return session_spans(
         located, ID, gap_seconds,
         {"n_windows": F.count("*"), "opens": F.min(at), "closes": F.max(at),
          "sensors": F.collect_set("sensor_name")},
-        order=("sensor_name",), chunk_offset=chunk_offset,
+        order=("sensor_name",),
     ).withColumnRenamed("session_id", "trajectory_id")
 
 

@@ -334,19 +334,29 @@ def _(c: Context):
 
 # Revisits --------------------------------------------------------------------------------
 
-@query("revisit_r1_revisits", with_base(
-    f"""SELECT source_address, n_qualifying_trajectories, len(ds) AS n_observed_local_dates,
-        array_to_string(ds, ';') AS observed_local_dates, ds[1] AS first_local_date,
-        ds[len(ds)] AS last_local_date,
-        CASE WHEN len(ds) = 1 THEN 'Single-day observed' ELSE 'Multi-day observed' END AS revisit_class
-        FROM (SELECT r.id AS source_address, count(DISTINCT r.tid) AS n_qualifying_trajectories,
-              list_sort(list(DISTINCT {day('w')})) AS ds FROM visits_rows r
-              JOIN (SELECT id, tid FROM visits WHERE n >= 2) v ON r.id = v.id AND r.tid = v.tid GROUP BY r.id)""",
-    VISITS))
+def _revisits_sql(date: str) -> str:
+    return with_base(
+        f"""SELECT source_address, n_qualifying_trajectories, len(ds) AS n_observed_local_dates,
+            array_to_string(ds, ';') AS observed_local_dates, ds[1] AS first_local_date,
+            ds[len(ds)] AS last_local_date,
+            CASE WHEN len(ds) = 1 THEN 'Single-day observed' ELSE 'Multi-day observed' END AS revisit_class
+            FROM (SELECT r.id AS source_address, count(DISTINCT r.tid) AS n_qualifying_trajectories,
+                  list_sort(list(DISTINCT {date})) AS ds FROM visits_rows r
+                  JOIN (SELECT id, tid FROM visits WHERE n >= 2) v ON r.id = v.id AND r.tid = v.tid GROUP BY r.id)""",
+        VISITS)
+
+
+@query("revisit_r1_revisits", _revisits_sql(day("w")))
 def _(c: Context):
     return revisits.revisits(c.located)
 
 
+# all events lie in January, when New York is five hours behind
+@query("revisit_r1_new_york", _revisits_sql("strftime(make_timestamp((w - 18000) * 1000000), '%Y-%m-%d')"))
+def _(c: Context):
+    return revisits.revisits(c.located, tz="America/New_York")
+
+
 @query("revisit_r2_observed_day_bands", with_base(
     "SELECT id AS source_address, n_days, band AS observed_day_band FROM bands", BANDS))
 def _(c: Context):

@@ -42,7 +42,7 @@ class Context:
 
     @cached_property
     def cleaned(self):
-        return cleaning.clean(self.sec1)
+        return cleaning.clean(self.sec1, deduplicate=False)
 
     @cached_property
     def t20(self):
@@ -54,7 +54,7 @@ class Context:
         def build():
             seconds = self.staged("one_second_narrow", lambda: aggregate.one_second(
                 self.packets, CleaningParams(rssi_min=-74)))
-            return aggregate.twenty_second(cleaning.clean(seconds))
+            return aggregate.twenty_second(cleaning.clean(seconds, deduplicate=False))
 
         return self.staged("twenty_second_narrow", build)
 
@@ -101,7 +101,7 @@ class Context:
 
     @cached_property
     def gps(self):
-        return synthetic.gps(self.spark, self.dir)
+        return self.staged("gps", lambda: synthetic.gps(self.spark, self.dir))
 
     @cached_property
     def frames(self):
@@ -110,8 +110,11 @@ class Context:
     @cached_property
     def located_raw(self):
         """One-second-grade rows of the identifiers with ground truth."""
-        rows = self.packets.withColumnRenamed("strength", "rssi")
-        return location.ground_truth_rows(rows, self.gps)
+        def build():
+            rows = self.packets.withColumnRenamed("strength", "rssi")
+            return location.ground_truth_rows(rows, self.gps)
+
+        return self.staged("located_raw", build)
 
     def new_path(self, name: str) -> str:
         return f"{tables.shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"

@@ -36,7 +36,7 @@ packets AS (
 accepted AS (
   SELECT * FROM packets WHERE strength BETWEEN -80 AND -30
     AND lower(subtype) NOT IN ('beacon', 'probe-response')),
-sec1 AS (
+sec1 AS MATERIALIZED (
   SELECT t, id, sensor, min(flag) AS flag, median(strength) AS m, count(*) AS n
   FROM accepted GROUP BY t, id, sensor),
 sess AS (
@@ -46,8 +46,8 @@ sess AS (
              CASE WHEN t - lag(t) OVER (PARTITION BY id, sensor ORDER BY t) <= 300 THEN 0 ELSE 1 END AS brk
       FROM sec1 WHERE flag = 0)) GROUP BY id, sensor, g),
 cleaned AS (
-  SELECT * FROM sec1 WHERE flag = 0
-    AND id NOT IN (SELECT id FROM sess WHERE t1 - t0 > 7200)),
+  SELECT * FROM sec1 a WHERE flag = 0
+    AND NOT EXISTS (SELECT 1 FROM sess b WHERE b.id = a.id AND t1 - t0 > 7200)),
 t20 AS (
   SELECT t // 20 * 20 AS w, id, sensor, median(m) AS rssi_median, sum(m) AS rssi_sum,
          count(*) AS detections, 100 * count(*) + sum(m) AS strength_sum

@@ -7,11 +7,12 @@ from waymark import schemas
 from waymark.functions.timefn import utc_text
 from waymark.operators import activities as act
 from waymark.operators import aggregate, cleaning, count, location, revisits, track
+from waymark.operators.quality import require, unknown_sensors
 from waymark.params import MAINTAINED, MAINTAINED_CLEANING, CleaningParams, MetricParams
 
 
 def cleaned_one_second(packets: DataFrame, rules: CleaningParams = MAINTAINED_CLEANING) -> DataFrame:
-    return cleaning.clean(aggregate.one_second(packets, rules), rules)
+    return cleaning.clean(aggregate.one_second(packets, rules), rules, deduplicate=False)
 
 
 def twenty_second(packets: DataFrame, rules: CleaningParams = MAINTAINED_CLEANING) -> DataFrame:
@@ -24,8 +25,10 @@ def five_metrics(
     """The six metric tables with their contract columns.
 
     ``stage(df, name)`` may write and re-read the Location table, which feeds all others
-    (see ``sources.tables.stager``); without it every table is computed from ``t20``.
+    (see ``sources.tables.stager``); without it every table is computed from ``t20``. Rows of a
+    sensor that is not in the dimension would vanish from Location, so they are refused at once.
     """
+    require(unknown_sensors(t20, sensors), "unknown sensor")
     located = stage(location.locate_proximity(t20, sensors), "located")
     trips = track.trajectory_summary(located, p.track_gap_seconds)
     return {
@@ -34,7 +37,7 @@ def five_metrics(
         "track_trajectories": track_table(trips),
         "track_od": track.od_matrix(trips).select(*schemas.OD_COLUMNS),
         "revisits": revisits.revisits(
-            located, p.visit_gap_seconds, p.revisit_min_windows
+            located, p.visit_gap_seconds, p.revisit_min_windows, p.local_timezone
         ).select(*schemas.REVISIT_COLUMNS),
         "activities": activity_table(act.activities(located, p)),
     }

@@ -60,6 +60,7 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
 
     The text is parsed strictly by ``quality.packet_violations``; here it only becomes a time.
     """
+    require_columns(spark.read.parquet(path), schemas.PACKETS_RAW.names, "packets")
     raw = spark.read.schema(schemas.PACKETS_RAW).parquet(path)
     return raw.withColumn("timestamp", F.to_timestamp("timestamp"))
 
