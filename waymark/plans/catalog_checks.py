@@ -9,7 +9,7 @@ from waymark.operators import aggregate, filters, joins, quality, release
 from waymark.operators.count import count_sensor_window
 from waymark.plans.catalog_relational import NARROW
 from waymark.plans.context import Context, query
-from waymark.plans.oracle import RAW, TRIPS, with_base
+from waymark.plans.oracle import PLANTED, RAW, TRIPS, with_base
 
 
 def _schema_sql(schema, table):
@@ -244,29 +244,40 @@ def _(c: Context):
     return quality.invalid_coordinates(seen).select("sensor_name", "n")
 
 
-_COUNTERS = """SELECT 0 AS null_rows, 0 AS invalid_id_rows, 0 AS duplicate_keys,
-    count(*) FILTER (WHERE detections NOT BETWEEN 1 AND 20) AS invalid_detection_rows,
-    count(*) FILTER (WHERE abs(strength_sum - (100.0 * detections + rssi_sum)) > 1e-9) AS invalid_formula_rows,
-    count(*) FILTER (WHERE w % 20 <> 0) AS misaligned_timestamp_rows FROM t20"""
+_COUNTS = {
+    "null_rows": "u % 17 = 0", "invalid_id_rows": "u % 19 = 0",
+    "invalid_detection_rows": "detections NOT BETWEEN 1 AND 20",
+    "invalid_formula_rows": "abs(strength_sum - (100.0 * detections + rssi_sum)) > 1e-9",
+    "misaligned_timestamp_rows": "u % 7 = 0",
+}
+_COUNTERS = "SELECT " + "".join(
+    f"CAST(coalesce(sum(copies) FILTER (WHERE {rule}), 0) AS BIGINT) AS {name}, " for name, rule in _COUNTS.items()
+) + "count(*) FILTER (WHERE copies = 2) AS duplicate_keys FROM planted"
 
 
-@query("check_v20_data_counters", with_base(_COUNTERS))
+@query("check_v20_data_counters", with_base(_COUNTERS, PLANTED))
 def _(c: Context):
-    return quality.data_counters(c.t20)
+    return quality.data_counters(c.t20_planted)
 
 
-_LINES = """SELECT unnest(['null_rows', 'invalid_id_rows', 'duplicate_keys', 'invalid_detection_rows',
-    'invalid_formula_rows', 'misaligned_timestamp_rows']) AS check_id"""
+_NAMES = [*_COUNTS, "duplicate_keys"]
+_LINES = f"""SELECT check_id, n = 0 AS passed, CAST(n AS VARCHAR) AS evidence FROM (
+    SELECT unnest({_NAMES}) AS check_id, unnest([{', '.join(_NAMES)}]) AS n FROM ({_COUNTERS}))"""
 
 
-@query("check_v21_check_table", with_base(f"SELECT check_id, TRUE AS passed, '0' AS evidence FROM ({_LINES})"))
+@query("check_v21_check_table", with_base(_LINES, PLANTED))
 def _(c: Context):
-    return quality.counter_checks(quality.data_counters(c.t20))
+    return quality.counter_checks(quality.data_counters(c.t20_planted))
 
 
-@query("check_v21_overall", with_base("SELECT 8 AS n_checks, 8 AS n_passed, TRUE AS all_passed"))
+@query("check_v21_overall", with_base(
+    f"""SELECT count(*) AS n_checks, count(*) FILTER (WHERE passed) AS n_passed, bool_and(passed) AS all_passed FROM (
+        SELECT passed FROM ({_LINES})
+        UNION ALL SELECT (SELECT sum(n) FROM (SELECT count(*) AS n FROM loc GROUP BY w, sensor)) = (SELECT count(*) FROM loc)
+        UNION ALL SELECT count(*) = 0 FROM trips WHERE is_od = 1 AND (n < 2 OR origin = destination))""",
+    PLANTED, TRIPS))
 def _(c: Context):
-    checks = quality.counter_checks(quality.data_counters(c.t20))
+    checks = quality.counter_checks(quality.data_counters(c.t20_planted))
     return quality.overall(checks.unionByName(_metric_checks(c)))
 
 

@@ -82,13 +82,23 @@ def _(c: Context):
 
 
 @query("agg_g7_source_audit", with_base(
-    f"""SELECT (SELECT count(*) FROM raw) AS mapped_rows, {big('sum(n)')} AS accepted_numeric_filter_rows,
-        {big('sum(n)')} AS accepted_old_rounded_filter_rows, 0 AS filter_row_difference,
-        count(*) AS unique_one_second_keys, count(*) FILTER (WHERE n > 1) AS duplicated_one_second_keys,
-        {big('sum(n - 1)')} AS duplicate_excess_rows, max(n) AS maximum_rows_per_one_second_key,
-        0 AS fractional_rssi_rows FROM secs""", RAW20))
-def _(c: Context):
-    return aggregate.source_audit(c.raw, c.district)
+    f"""SELECT {big('sum(mapped)')} AS mapped_rows, {big('sum(n)')} AS accepted_numeric_filter_rows,
+        {big('sum(old)')} AS accepted_old_rounded_filter_rows, {big('sum(n) - sum(old)')} AS filter_row_difference,
+        count(*) FILTER (WHERE n > 0) AS unique_one_second_keys,
+        count(*) FILTER (WHERE n > 1) AS duplicated_one_second_keys,
+        {big('sum(greatest(n - 1, 0))')} AS duplicate_excess_rows, max(n) AS maximum_rows_per_one_second_key,
+        {big('sum(fractional)')} AS fractional_rssi_rows
+        FROM (SELECT count(*) AS mapped, count(*) FILTER (WHERE r > -100 AND r < 0) AS n,
+                     count(*) FILTER (WHERE whole > -100 AND whole < 0) AS old,
+                     count(*) FILTER (WHERE r > -100 AND r < 0 AND r <> whole) AS fractional
+              FROM (SELECT *, round_even(r, 0) AS whole FROM (
+                      SELECT *, CAST(CASE WHEN t % 13 = 0 THEN rssi - 0.4 ELSE rssi END AS DOUBLE) AS r FROM raw))
+              GROUP BY t, lower(trim(address)), sensor)""", RAW))
+def _(c: Context):
+    """Some strengths are given a fraction, so that the rounded range keeps other rows than the numeric one."""
+    rssi = F.col("rssi").cast("double")
+    rows = c.raw.withColumn("rssi", F.when(epoch("timestamp") % 13 == 0, rssi - 0.4).otherwise(rssi))
+    return aggregate.source_audit(rows, c.district)
 
 
 @query("agg_g8_cleaning_funnel", with_base(

@@ -204,11 +204,16 @@ def _(c: Context):
 
 
 @query("release_x7_values_preserved", with_base(
-    """SELECT count(*) FILTER (WHERE id IS NULL) AS missing_rows,
-       count(*) FILTER (WHERE detections IS NULL) AS changed_value_rows FROM t20"""))
+    """SELECT count(*) FILTER (WHERE sensor = 's03') AS missing_rows,
+       count(*) FILTER (WHERE sensor <> 's03' AND (w // 20 % 5 = 0 OR w // 20 % 7 = 0)) AS changed_value_rows FROM t20"""))
 def _(c: Context):
+    """A release that lost one sensor's rows and changed two measures in some windows."""
     mapping = release.build_mapping(c.t20, "test", TEST_KEY, TEST_DOMAIN)
-    public = c.spark.read.parquet(c.landed(release.rewrite_ids(c.t20, mapping), "public"))
+    u = F.floor(F.unix_seconds("timestamp") / 20)
+    spoilt = release.rewrite_ids(c.t20, mapping).filter(F.col("sensor_name") != "s03").withColumn(
+        "detections", F.when(u % 5 == 0, F.col("detections") + 1).otherwise(F.col("detections"))).withColumn(
+        "rssi_sum", F.when(u % 7 == 0, F.lit(None)).otherwise(F.col("rssi_sum")))
+    public = c.spark.read.parquet(c.landed(spoilt, "public"))
     return release.values_preserved(c.t20, public, mapping)
 
 

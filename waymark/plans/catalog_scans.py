@@ -9,7 +9,7 @@ from waymark.params import MAINTAINED
 from waymark.plans import stages
 from waymark.plans.context import Context, query
 from waymark.plans.oracle import (
-    GPS, KST, RAW, big, day, day_type, hour, r6, utc_text as sql_utc, with_base,
+    GPS, KST, PLANTED, RAW, big, day, day_type, hour, r6, utc_text as sql_utc, with_base,
 )
 from waymark.sources import tables
 from waymark.streaming import flows
@@ -149,12 +149,15 @@ def _(c: Context):
 
 
 @query("scan_s11_slim_report", with_base(
-    f"""SELECT count(*) AS n_rows, {r6('max(abs(strength_sum - (100 * detections + rssi_sum)))')}
-        AS max_deviation, 0 AS n_differences FROM t20"""))
+    f"""SELECT {big('sum(copies)')} AS n_rows,
+        {r6('max(abs(strength_sum - (100 * detections + rssi_sum)))')} AS max_deviation,
+        {big("""sum(CASE WHEN u % 7 = 0 OR u % 11 = 0 OR u % 17 = 0 OR u % 19 = 0 THEN copies + 1
+                    ELSE copies - 1 END)""")} AS n_differences FROM planted""", PLANTED))
 def _(c: Context):
+    """A table with planted defects against the slim form of the sound one."""
     public = c.spark.read.parquet(c.landed(tables.slim(c.t20), "slim"))
-    apart = joins.multiset_difference(tables.slim(c.t20), public).agg(F.count("*")).scalar()
-    return tables.slim_report(c.t20).withColumn("n_differences", apart)
+    apart = joins.multiset_difference(tables.slim(c.t20_planted), public).agg(F.count("*")).scalar()
+    return tables.slim_report(c.t20_planted).withColumn("n_differences", apart)
 
 
 @query("scan_s12_local_week", with_base(

@@ -48,6 +48,21 @@ class Context:
     def t20(self):
         return self.staged("twenty_second", lambda: aggregate.twenty_second(self.cleaned))
 
+    @cached_property
+    def t20_planted(self):
+        """The 20-second table with planted defects, by the number u of the window; ``oracle.PLANTED`` says the same."""
+        u = F.floor(F.unix_seconds("timestamp") / 20)
+
+        def where(n, changed, column):
+            return F.when(F.col("u") % n == 0, changed).otherwise(F.col(column)).alias(column)
+
+        copies = F.explode(F.sequence(F.lit(1), F.when(u % 23 == 0, 2).otherwise(1)))
+        return self.t20.withColumn("u", u).withColumn("copy", copies).select(
+            where(7, F.timestamp_seconds(F.unix_seconds("timestamp") + 1), "timestamp"),
+            where(19, F.concat(F.lit("X"), "source_address"), "source_address"), "sensor_name",
+            where(17, F.lit(None), "rssi_median"), "rssi_sum", where(11, F.lit(21).cast("long"), "detections"),
+            where(13, F.col("strength_sum") + 0.5, "strength_sum"))
+
     @cached_property
     def t20_narrow(self):
         """The same table from a narrower RSSI range: the "other version" of release checks."""

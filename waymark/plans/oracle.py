@@ -58,6 +58,14 @@ loc AS (
     FROM t20) a JOIN sensors s ON a.sensor = s.sensor WHERE rn = 1)"""
 
 
+PLANTED = """,
+planted AS (
+  SELECT u, CASE WHEN u % 23 = 0 THEN 2 ELSE 1 END AS copies, rssi_sum,
+         CASE WHEN u % 11 = 0 THEN 21 ELSE detections END AS detections,
+         CASE WHEN u % 13 = 0 THEN strength_sum + 0.5 ELSE strength_sum END AS strength_sum
+  FROM (SELECT *, w // 20 AS u FROM t20))"""
+
+
 def trajectories(gap: int, name: str) -> str:
     """Rows ``name_rows`` with trajectory number ``tid``, and their summary ``name``."""
     return f""",
