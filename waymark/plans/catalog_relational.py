@@ -10,6 +10,7 @@ from waymark.operators import activities as act
 from waymark.operators import (
     aggregate, cleaning, count, diagnostics, disclosure, filters, joins, location, release,
 )
+from waymark.params import CAMPUS
 from waymark.plans.catalog_metrics import _HIST, _SEC, GT_SQL, HIST_SQL, HOURLY
 from waymark.plans.context import Context, query
 from waymark.plans.oracle import (
@@ -335,12 +336,12 @@ def _(c: Context):
 @query("join_j10_sensor_pairs", with_base(
     f"""SELECT a.sensor AS origin, b.sensor AS destination,
         {r6('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))')} AS distance, n AS n_rows
-        FROM sensors a JOIN sensors b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 160000
+        FROM sensors a JOIN sensors b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 22500
         JOIN (SELECT sensor, count(*) AS n FROM t20 GROUP BY 1) t ON t.sensor = a.sensor"""))
 def _(c: Context):
-    """All pairs of this network (400 m covers it), with the rows at the origin."""
+    """Pairs within the activity distance of 150 m, with the rows at the origin."""
     rows = c.t20.groupBy(F.col("sensor_name").alias("origin")).agg(F.count("*").alias("n_rows"))
-    return joins.pairs_within(c.sensors, 400.0).join(rows, "origin")
+    return joins.pairs_within(c.sensors, CAMPUS.activity_distance_metres).join(rows, "origin")
 
 
 @query("join_j11_scalar_counts", with_base(
