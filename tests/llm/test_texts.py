@@ -102,6 +102,23 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(frame(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_an_edited_copy_in_many_documents(spark):
+    rng = random.Random(8)
+    words = [f"{a}{k}" for k, a in enumerate(rng.choices(WORDS, k=30))]  # no word twice
+    edited = list(words)
+    for k in range(3, 30, 4):  # one word in four changed: fewer than half of the runs of three are left
+        edited[k] = "other"
+    held = sum(edited[k:k + 3] == words[k:k + 3] for k in range(28))
+    assert 2 <= held < 14
+    share = round(smith_waterman(words, edited) / 2 / len(words), 6)
+    assert share >= 0.5
+    rows = [(k, prose(rng, 5 + k % 7) + " " + " ".join(edited) + " " + prose(rng, 5)) for k in range(1100)]
+    rows += [(5000 + k, prose(rng, 40)) for k in range(50)]
+    benchmark = spark.createDataFrame([(1, " ".join(words), 0)], "item_id long, text string, doc_id int")
+    got = [tuple(r) for r in decontaminate.contaminated(frame(spark, rows), benchmark).collect()]
+    assert sorted(got) == [(k, 1, share) for k in range(1100)]
+
+
 def test_personal_data_base_and_mask(spark):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     texts = ["mail a.b@c-d.example.com, or @x.y and a@b", "ip 1.2.3.4 or 1.2.3.400 or 00255.1.1.1.5",

@@ -1,11 +1,9 @@
-"""Operator 10, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Operator 10, benchmark decontamination: n-gram hits, then Smith-Waterman alignment.
 
-One pass over the documents looks up every run of ``SEED`` words in the n-grams of the test items
-and writes, for each document, (a) the n-grams it holds, for document frequencies over all documents, and (b) the
-passages in which at least ``HITS`` different n-grams of one item stand close together, as word hashes.
-An item's seeds are its n-grams in at most ``RARE`` of all documents that hold any (``FEW`` of them at least), and always the
-rarer half of its n-grams (up to its median frequency), so an item that was copied very often still has seeds. Passages joined to their item by a seed are aligned with
-the whole item, words as letters; ``score`` is the best local alignment as a share of the item's alignment with itself.
+One pass over the documents looks up every run of ``SEED`` words in the n-grams of the test items. Each passage in which
+at least ``HITS`` different n-grams of one item stand close together is aligned with the whole item, words as letters,
+however common its n-grams are; equal passages of a batch are aligned once. ``score`` is the best local
+alignment as a share of the item's alignment with itself.
 
 The benchmark is worked on in blocks of about ``BLOCK`` items, so what is sent to the executors is bounded. Passages are
 windows of four item lengths laid every two item lengths: a copy of up to an item's length lies whole in one of them.
@@ -20,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textops import WordHash, shingles, staged
+from waymark.llm.textops import WordHash, shingles
 
 SEED = 3
 HITS = 2
-RARE, FEW = 0.001, 1000
 BLOCK = 2000
+CELLS = 1 << 20  # passages aligned at once, in words
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 22
@@ -88,7 +86,7 @@ class Seeds:
         return at[same], number[same]
 
     def passages(self, at: np.ndarray, number: np.ndarray, size: int):
-        """(item, begin, end, distinct n-gram numbers) of windows with enough hits of an item."""
+        """(item, begin, end) of windows with enough hits of an item."""
         counts = self.ends[number] - self.first[number]
         item = self.owners[np.concatenate([np.arange(a, z) for a, z in zip(self.first[number], self.ends[number])])]
         at, number = np.repeat(at, counts), np.repeat(number, counts)
@@ -105,36 +103,7 @@ class Seeds:
             if z - a >= min(HITS, self.lengths[found[0, a]] - SEED + 1):
                 i, w = found[0, a], found[1, a]
                 n = self.lengths[i]
-                yield int(i), int(max(0, 2 * n * w - n)), int(min(size, 2 * n * (w + 1) + n)), found[2, a:z].tolist()
-
-
-def scan(docs: DataFrame, seeds: Seeds) -> DataFrame:
-    """Rows of two kinds: item -1 with the n-grams of a document, else a passage."""
-    schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int32()), ("begin", pa.int64()),
-                        ("grams", pa.list_(pa.int32())), ("words", pa.binary())])
-
-    def read(batches):
-        cache = CoreHash()
-        for batch in batches:
-            rows, held = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = word_hashes(text.as_py(), cache)
-                at, number = seeds.hits(words)
-                if not len(at):
-                    continue
-                rows.append((doc_id, -1, 0, np.unique(number).tolist(), None))
-                if len(at) > 1 or seeds.lengths.min() == SEED:
-                    for item, begin, end, grams in seeds.passages(at, number, len(words)):
-                        rows.append((doc_id, item, begin, grams, words[begin:end].tobytes()))
-                        held += 8 * (end - begin)
-                if held > 1 << 24:
-                    yield _rows(schema, *zip(*rows))
-                    rows, held = [], 0
-            if rows:
-                yield _rows(schema, *zip(*rows))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        read, "doc_id long, item int, begin long, grams array<int>, words binary")
+                yield int(i), int(max(0, 2 * n * w - n)), int(min(size, 2 * n * (w + 1) + n))
 
 
 def smith_waterman(items: list, passages: list) -> np.ndarray:
@@ -158,21 +127,47 @@ def smith_waterman(items: list, passages: list) -> np.ndarray:
     return best
 
 
-def aligned(passages: DataFrame, items: list) -> DataFrame:
+def shares(items: list, passages: list) -> list:
+    """Score of each passage, given as (item number, bytes of its word hashes). Equal passages are aligned once."""
+    score = dict.fromkeys(passages)
+    todo = sorted(score, key=lambda p: len(items[p[0]][1]), reverse=True)
+    while todo:
+        size = max(1, min(256, CELLS // (4 * len(items[todo[0][0]][1]))))
+        part, todo = todo[:size], todo[size:]
+        own = [items[i][1] for i, _ in part]
+        best = smith_waterman(own, [np.frombuffer(words, np.uint64) for _, words in part])
+        score.update(zip(part, (best / (MATCH * np.array([len(w) for w in own]))).tolist()))
+    return [score[p] for p in passages]
+
+
+def scan(docs: DataFrame, items: list, least: float) -> DataFrame:
+    """doc_id, item (its number) and score of the passages whose score is at least ``least``."""
     schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int32()), ("score", pa.float64())])
+    seeds = Seeds(items)
 
-    def score(batches):
+    def scored(owners, passages):
+        rows = [(d, p[0], s) for d, p, s in zip(owners, passages, shares(items, passages)) if s >= least]
+        if rows:
+            yield _rows(schema, *zip(*rows))
+
+    def read(batches):
+        cache = CoreHash()
         for batch in batches:
-            numbers = batch.column(1).to_numpy()
-            order = np.argsort([len(items[i][1]) for i in numbers], kind="stable")
-            for part in np.array_split(order, max(1, len(order) // 256)):
-                if len(part):
-                    own = [items[numbers[k]][1] for k in part]
-                    texts = [np.frombuffer(batch.column(2)[int(k)].as_buffer(), np.uint64) for k in part]
-                    share = smith_waterman(own, texts) / (MATCH * np.array([len(w) for w in own]))
-                    yield _rows(schema, batch.column(0).take(pa.array(part)), numbers[part], share)
+            owners, passages, held = [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = word_hashes(text.as_py(), cache)
+                at, number = seeds.hits(words)
+                if len(at) > 1 or len(at) and seeds.lengths.min() == SEED:
+                    for item, begin, end in seeds.passages(at, number, len(words)):
+                        owners.append(doc_id)
+                        passages.append((item, words[begin:end].tobytes()))
+                        held += 8 * (end - begin)
+                        if held > 1 << 24:
+                            yield from scored(owners, passages)
+                            owners, passages, held = [], [], 0
+            yield from scored(owners, passages)
 
-    return passages.select("doc_id", "item", "words").mapInArrow(score, "doc_id long, item int, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, item int, score double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
@@ -189,19 +184,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) ->
 
 
 def _block(docs: DataFrame, items: list, least: float) -> DataFrame:
-    spark, seeds = docs.sparkSession, Seeds(items)
-    found = staged(scan(docs, seeds), "passages")
-    held = found.filter("item = -1").select("doc_id", F.explode("grams").alias("gram"))
-    frequency = held.groupBy("gram").agg(F.count("*").alias("n"))
-    few = max(FEW, int(RARE * found.filter("item = -1").count()))
-    # n-grams and items here are those of the block.
-    owners = spark.createDataFrame(
-        [(int(g), int(i)) for g in range(len(seeds.grams)) for i in seeds.owners[seeds.first[g]:seeds.ends[g]]],
-        "gram int, item int")
-    counted = owners.join(frequency, "gram", "left").na.fill(0, ["n"])
-    median = counted.groupBy("item").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)").alias("most"))
-    rare = counted.join(median, "item").filter(f"n <= most OR n <= {few}").groupBy("item").agg(F.collect_set("gram").alias("seeds"))
-    joined = found.filter("item >= 0").join(F.broadcast(rare), "item").filter(F.arrays_overlap("grams", "seeds"))
-    names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], "item int, item_id long")
-    return (aligned(joined, items).filter(F.col("score") >= least).join(F.broadcast(names), "item")
+    names = docs.sparkSession.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], "item int, item_id long")
+    return (scan(docs, items, least).join(F.broadcast(names), "item")
             .groupBy("doc_id", "item_id").agg(F.round(F.max("score"), 6).alias("score")))
