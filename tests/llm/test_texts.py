@@ -64,6 +64,23 @@ def test_jaccard_against_brute_force(spark, n_near):
     assert sorted(kept, key=str) == sorted({least[find(i)] for i in range(len(rows))}, key=str)
 
 
+def test_one_near_copy_stays_without_and_under_repeated_ids(spark):
+    rng = random.Random(21)
+
+    def near(base, n):
+        return [" ".join(w if k != 7 * i else "other" for k, w in enumerate(base)) for i in range(n)]
+
+    first, second, third = (prose(rng, 120).split() for _ in range(3))
+    rows = [(None, t) for t in near(first, 6)]            # near copies without ids
+    rows += [(5, t) for t in near(second, 3)] + [(8, near(second, 4)[3])]  # the least id in several rows
+    rows += [(None, near(third, 1)[0]), (9, near(third, 2)[1])]  # an id goes before none
+    rows += [(None, prose(rng, 40)), (5, prose(rng, 40))]  # no copies, under the same ids
+    got = [(r["doc_id"], r["text"]) for r in jaccard.without_near_copies(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got)) == 5 and set(got) <= set(rows) and set(rows[-2:]) <= set(got)
+    assert sum(t in near(first, 6) for _, t in got) == 1
+    assert [i for i, t in got if t in near(second, 4)] == [5] and [i for i, t in got if t in near(third, 2)] == [9]
+
+
 def test_jaccard_empty_and_recall(spark):
     assert jaccard.join(frame(spark, []).limit(0)).count() == 0
     bands, rows = jaccard.band_plan()

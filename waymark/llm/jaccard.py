@@ -192,29 +192,27 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
             .mapInArrow(read, "component long, node long, links long, head long"))
 
 
-def _with_grams(rows: DataFrame) -> DataFrame:
-    """Adds grams of the rows whose text has the wanted key (an id may stand in several rows)."""
-    kept = ["component", "blocks", "node", "n_copies"]
-
+def _with_grams(texts: DataFrame) -> DataFrame:
+    """_id, _key and grams of each text; equal rows of a batch once."""
     def read(batches):
         cache = WordHash()
         for batch in batches:
-            keep, grams = [], []
-            for i, (key, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text"))):
+            found = {}
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
-                if key_of(words) == key:
-                    keep.append(i)
-                    grams.append(_gram_set(words, cache).tobytes())
+                at = doc_id, key_of(words)
+                if at not in found:
+                    found[at] = _gram_set(words, cache).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(pa.array(keep, pa.int64())) for c in kept], pa.array(grams, pa.binary())],
-                [*kept, "grams"])
+                [pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary()),
+                 pa.array(found.values(), pa.binary())], ["_id", "_key", "grams"])
 
-    return rows.select(*kept, "key", "text").mapInArrow(
-        read, "component long, blocks int, node long, n_copies long, grams binary")
+    return texts.select("doc_id", "text").mapInArrow(read, "_id long, _key binary, grams binary")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, key, class_id (least id of the class), n_links (other documents at least ``threshold`` similar)."""
+    """doc_id, key, class_id (least id of the class), n_links (other documents at least ``threshold`` similar), and
+    head: whether the words are those of the one list of the class that stays, the least in (id, key), null ids last."""
     rows = staged(signatures(docs, threshold), "signatures")
     lists = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.min("bands").alias("bands"))
     lists = staged(lists.withColumn("node", F.monotonically_increasing_id()), "lists")  # fixed once written
@@ -228,8 +226,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     about = lists.select("node", "key", F.col("doc_id").alias("_id"), "n_copies")
     wanted = staged(wanted.join(about, "node"), "wanted")
     texts = with_hit(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", wanted.select("_id")).filter("__hit")
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = _with_grams(texts).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # By the words as well, since null and repeated ids stand in many rows.
+    texts = _with_grams(texts).join(
+        wanted.withColumnRenamed("_id", "own"), F.col("_id").eqNullSafe(F.col("own")) & (F.col("_key") == F.col("key")))
+    sets = texts.select("component", "blocks", "node", "n_copies", "grams").withColumn(
+        "side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocks = (sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other")))
     found = staged(verify(blocks, threshold), "verified")
@@ -237,17 +238,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Parts with one head are tied; each list is tied to the head of each of its parts.
     label = components(staged(found.select("node", F.col("head").alias("band")).distinct(), "ties"))
     label = label.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    least = label.join(about, "node").groupBy("label").agg(F.min("_id").alias("class_id"))
+    least = label.join(about, "node").groupBy("label").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "key")).alias("least"))
+    least = least.select("label", F.col("least._id").alias("class_id"), F.col("least.key").alias("head"))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near = label.join(least, ["label", "salt"]).join(links, "node").select("node", "class_id", "links", F.lit(True).alias("near"))
+    near = label.join(least, ["label", "salt"]).join(links, "node").select(
+        "node", "class_id", "head", "links", F.lit(True).alias("near"))
     told = about.join(near, "node", "left").filter("n_copies > 1 OR near").select(
         "key", F.coalesce("class_id", "_id").alias("class_id"),
-        (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce(F.col("head") == F.col("key"), F.lit(True)).alias("head"))
     salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(SALTS)).cast("int").alias("salt")
     return rows.select("doc_id", "key", salt).join(salted, ["key", "salt"], "left").select(
         "doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("head", F.lit(True)).alias("head"))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -257,10 +261,11 @@ def join(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, the one with the least id; a class of null ids keeps one row as well."""
     found = staged(classes(docs, threshold), "rows")
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    stays = F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    keep = found.filter(stays)
     twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     twice = staged(twice, "twice")
-    copies = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id")
+    copies = found.filter(~stays).select("doc_id")
     kept = without(docs, "doc_id", staged(copies.union(twice).distinct(), "gone"))
     if twice.isEmpty():
         return kept
