@@ -25,9 +25,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    pairs = decontaminate.contaminated(docs, documents(spark, sf_dir, "benchmark"))
-    return without(docs, "doc_id", staged(pairs.select("doc_id").distinct(), "contaminated"))
+    """Documents that hold a passage of the benchmark go, and no others: a row is named by its id and its text, as ids may
+    be null or repeated."""
+    row = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.col("text")))
+    pairs = decontaminate.contaminated(docs, documents(spark, sf_dir, "benchmark"), key=row)
+    gone = staged(pairs.select("doc_id").distinct(), "contaminated")
+    return without(docs.withColumn("__row", row), "__row", gone).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,16 @@ def test_pipeline_stages_take_empty_tables(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_only_contaminated_rows_go_under_null_and_repeated_ids(spark, tmp_path):
+    item = " ".join(f"word{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [(None, "one clean text"), (None, None), (7, "another clean text"), (7, None), (8, "one clean text")]
+    docs = spark.createDataFrame(
+        clean + [(None, f"before {item} after"), (7, f"{item} after"), (9, item)], "doc_id long, text string")
+    got = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(clean, key=repr) and got.columns == docs.columns
+
+
 @pytest.mark.parametrize("name", ["op3_chat_formatting", "op5_source_mixing", "op8_warc_records"])
 def test_sql(spark, name):
     text, _, ok = check.compare(spark, check.database(SF), SF, name)

@@ -15,7 +15,7 @@ id counts once with its best score; an empty table gives no pairs; further colum
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.textops import WordHash, shingles
@@ -142,10 +142,10 @@ def shares(items: list, passages: list) -> list:
 
 def scan(docs: DataFrame, items: list, least: float) -> DataFrame:
     """doc_id, item (its number) and score of the passages whose score is at least ``least``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int32()), ("score", pa.float64())])
     seeds = Seeds(items)
 
-    def scored(owners, passages):
+    def scored(kind, owners, passages):
+        schema = pa.schema([("doc_id", kind), ("item", pa.int32()), ("score", pa.float64())])
         rows = [(d, p[0], s) for d, p, s in zip(owners, passages, shares(items, passages)) if s >= least]
         if rows:
             yield _rows(schema, *zip(*rows))
@@ -163,19 +163,20 @@ def scan(docs: DataFrame, items: list, least: float) -> DataFrame:
                         passages.append((item, words[begin:end].tobytes()))
                         held += 8 * (end - begin)
                         if held > 1 << 24:
-                            yield from scored(owners, passages)
+                            yield from scored(batch.column(0).type, owners, passages)
                             owners, passages, held = [], [], 0
-            yield from scored(owners, passages)
+            yield from scored(batch.column(0).type, owners, passages)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, item int, score double")
+    return docs.mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item int, score double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
-    """doc_id, item_id, score of the pairs whose score is at least ``least``."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, key: Column = None) -> DataFrame:
+    """doc_id, item_id, score of the pairs whose score is at least ``least``; ``key`` may name rows by other than their id."""
     spark = docs.sparkSession
+    docs = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), "text")
     rows = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     blocks = max(1, -(-rows.count() // BLOCK))
-    result = spark.createDataFrame([], "doc_id long, item_id long, score double")
+    result = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, score double")
     for b in range(blocks):
         items = _items(rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b))
         if items:
