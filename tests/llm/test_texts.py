@@ -136,6 +136,18 @@ def test_decontamination_of_an_edited_copy_in_many_documents(spark):
     assert sorted(got) == [(k, 1, share) for k in range(1100)]
 
 
+def test_decontamination_writes_each_block_before_the_next(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(k, prose(rng, 20)) for k in range(12)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(k, prose(rng, 5) + " " + t) for k, t in items])
+    want = sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK", 4)
+    pairs = decontaminate.contaminated(docs, benchmark)
+    assert "MapInArrow" not in pairs._jdf.queryExecution().toString()  # no block's items wait in the plan
+    assert sorted(map(tuple, pairs.collect())) == want and {(k, k) for k in range(12)} <= {r[:2] for r in want}
+
+
 def test_personal_data_base_and_mask(spark):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     texts = ["mail a.b@c-d.example.com, or @x.y and a@b", "ip 1.2.3.4 or 1.2.3.400 or 00255.1.1.1.5",

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textops import WordHash, shingles
+from waymark.llm.textops import WordHash, shingles, staged
 
 SEED = 3
 HITS = 2
@@ -180,7 +180,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, ke
     for b in range(blocks):
         items = _items(rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b))
         if items:
-            result = result.unionByName(_block(docs, items, least))
+            # Written at once, so the items of one block only are held by the driver.
+            result = result.unionByName(staged(_block(docs, items, least), "pairs"))
     return result
 
 
