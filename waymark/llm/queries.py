@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontaminate, jaccard, langid, matroska, mixing, pii, quality, toxicity, warc
+from waymark.llm import chat, decontaminate, jaccard, langid, matroska, mixing, pii, quality, repair, toxicity, warc
 from waymark.llm.textops import documents
 
 _QUERIES, _ORACLES = {}, {}
@@ -157,3 +157,80 @@ def op5(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", F.col("mix_domain").alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"),
         F.coalesce("source", F.lit("none")).alias("source"), F.col("mix_tokens").alias("tokens"), F.col("mix_epochs").alias("epochs"))
+
+
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text as an SQL expression, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda x, b: xor(xor(x, b) >> 1, 3988292384 * (xor(x, b) & 1))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), {step}))"
+
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE
+h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+c AS (SELECT *, {_crc32('name')} % 20 AS kind FROM h),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, (VALUES (0), (1)) t(again) WHERE kind <> 0 AND (again = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k FROM d),
+f AS (
+  SELECT *, left(role, 1) AS i,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM o),
+ins(a, b, cost, edits) AS (VALUES
+  (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (1, 2, 2, 'I'), (3, 2, 2, 'I'), (2, 3, 2, 'I'),
+  (0, 3, 4, 'II'), (1, 3, 4, 'II'), (2, 2, 4, 'II'), (3, 3, 4, 'II')),
+act(e, i, a, b, cost) AS (VALUES
+  ('D', '', 0, 0, 3), ('D', '', 1, 1, 3), ('D', '', 2, 2, 3), ('D', '', 3, 3, 3),
+  ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0),
+  ('R', '', 0, 2, 2), ('R', '', 1, 2, 2), ('R', '', 3, 2, 2), ('R', '', 2, 3, 2)),
+s(conv_id, k, state, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {{'cost': 0, 'edits': ''}} FROM f
+  UNION ALL
+  SELECT f.conv_id, f.k, act.b,
+         min({{'cost': s.best.cost + ins.cost + act.cost + CASE WHEN act.e <> 'D' AND f.fault = 't' THEN 1 ELSE 0 END,
+               'edits': s.best.edits || ins.edits || act.e}})
+  FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.k = s.k + 1
+       JOIN ins ON ins.a = s.state
+       JOIN act ON act.a = ins.b AND (act.e = 'D' OR f.fault NOT IN ('b', 'd') AND (act.e = 'R' OR act.i = f.i))
+  GROUP BY f.conv_id, f.k, act.b),
+ends(state, cost, edits) AS (VALUES (0, 0, ''), (1, 4, 'II'), (2, 2, 'I'), (3, 0, '')),
+n AS (SELECT conv_id, max(k) AS k FROM f GROUP BY conv_id),
+best AS (
+  SELECT s.conv_id, min({{'cost': s.best.cost + ends.cost, 'edits': s.best.edits || ends.edits}}) AS best
+  FROM s JOIN n ON n.conv_id IS NOT DISTINCT FROM s.conv_id AND n.k = s.k JOIN ends ON ends.state = s.state GROUP BY s.conv_id),
+chars AS (
+  SELECT conv_id, p, substr(best.edits, p, 1) AS e,
+         length(replace(substr(best.edits, 1, p), 'I', '')) AS k, length(replace(substr(best.edits, 1, p), 'D', '')) AS j
+  FROM (SELECT conv_id, best, unnest(range(1, length(best.edits) + 1)) AS p FROM best)),
+kept AS (
+  SELECT x.conv_id, x.j, x.e, f.role, f.text, bool_or(x.e = 'K' AND x.j = 1 AND f.i = 's') OVER (PARTITION BY x.conv_id) AS led
+  FROM chars x LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.k = x.k AND x.e <> 'I' WHERE x.e <> 'D'),
+told AS (
+  SELECT conv_id, sha256(string_agg(
+           CASE WHEN e = 'K' THEN role WHEN (j + CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+           || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS digest
+  FROM kept GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.best.cost, 0) AS BIGINT) AS cost,
+       coalesce(b.best.edits, '') AS audit, coalesce(told.digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+@query("op11_structure_repair", REPAIR_SQL)
+def op11(spark, sf_dir):
+    return repair.repair_damaged(documents(spark, sf_dir, "conversations"))
