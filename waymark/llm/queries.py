@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from waymark.llm import chat, decontaminate, jaccard, langid, matroska, mixing, pii, quality, repair, toxicity, warc
+from waymark.llm import (chat, decontaminate, jaccard, langid, manifest, matroska, mixing, pii, quality, repair, toxicity,
+                         warc)
 from waymark.llm.textops import documents
 
 _QUERIES, _ORACLES = {}, {}
@@ -179,9 +180,11 @@ d AS (
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k FROM d),
 f AS (
   SELECT *, left(role, 1) AS i,
-         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b'
               WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd'
-              WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault,
+              WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '' END AS fault,
          lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM o),
 ins(a, b, cost, edits) AS (VALUES
   (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (1, 2, 2, 'I'), (3, 2, 2, 'I'), (2, 3, 2, 'I'),
@@ -234,3 +237,51 @@ LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM e.conv_id"""
 @query("op11_structure_repair", REPAIR_SQL)
 def op11(spark, sf_dir):
     return repair.repair_damaged(documents(spark, sf_dir, "conversations"))
+
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    """Hash of a documents row."""
+    fields = [f"coalesce(octet_length(encode(CAST({f} AS VARCHAR))) || ':' || {f}, '-')"
+              for f in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(fields)})"
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE
+d AS (
+  SELECT doc_id, lang, coalesce('=' || lang, '') AS g, {_leaf()} AS leaf,
+         CASE WHEN {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 7 = 0 AND doc_id IS NOT NULL THEN {_leaf('(n_chars + 1)')} END AS altered
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+low(g, level, pos, h, n) AS (
+  SELECT g, 0, pos, leaf, count(*) OVER (PARTITION BY g) FROM p
+  UNION ALL
+  SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM low WHERE n > 1
+  GROUP BY g, level, pos // 2, n),
+sub AS (SELECT g, level AS height, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM low WHERE n = 1),
+high(level, pos, h, n) AS (
+  SELECT 0, pos, subroot, count(*) OVER () FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY level, pos // 2, n),
+sib AS (
+  SELECT p.g, p.pos, x.level, x.h, p.pos >> x.level AS here FROM p JOIN low x ON x.g = p.g AND x.n > 1 AND x.pos = xor(p.pos >> x.level, 1)
+  UNION ALL
+  SELECT p.g, p.pos, s.height + x.level, x.h, s.pos >> x.level FROM p JOIN sub s ON s.g = p.g
+  JOIN high x ON x.n > 1 AND x.pos = xor(s.pos >> x.level, 1)),
+proof AS (SELECT g, pos, sha256(string_agg(h, '' ORDER BY level)) AS proof FROM sib GROUP BY g, pos),
+fold(g, pos, level, h) AS (
+  SELECT g, pos, 0, coalesce(altered, leaf) FROM p
+  UNION ALL
+  SELECT f.g, f.pos, f.level + 1, sha256(CASE WHEN sib.here % 2 = 1 THEN coalesce(sib.h, '') || f.h ELSE f.h || coalesce(sib.h, '') END)
+  FROM fold f JOIN sub ON sub.g = f.g LEFT JOIN sib ON sib.g = f.g AND sib.pos = f.pos AND sib.level = f.level
+  WHERE f.level < sub.height + (SELECT max(level) FROM high))
+SELECT p.doc_id, p.leaf, sub.subroot, r.h AS root, coalesce(proof.proof, sha256('')) AS proof_sha256, fold.h AS folded_root,
+       fold.h = r.h AS verified
+FROM p JOIN sub ON sub.g = p.g JOIN (SELECT h FROM high WHERE n = 1) r ON TRUE
+LEFT JOIN proof ON proof.g = p.g AND proof.pos = p.pos
+JOIN fold ON fold.g = p.g AND fold.pos = p.pos AND fold.level = sub.height + (SELECT max(level) FROM high)"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13(spark, sf_dir):
+    return manifest.digest(documents(spark, sf_dir))
