@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from waymark.llm import (chat, decontaminate, jaccard, langid, manifest, matroska, mixing, pii, quality, repair, toxicity,
-                         warc)
+from waymark.llm import (chat, decontaminate, jaccard, langid, manifest, matroska, mixing, pii, quality, repair, setsketch,
+                         toxicity, warc)
 from waymark.llm.textops import documents
 
 _QUERIES, _ORACLES = {}, {}
@@ -285,3 +285,31 @@ JOIN fold ON fold.g = p.g AND fold.pos = p.pos AND fold.level = sub.height + (SE
 @query("op13_merkle_manifest", MANIFEST_SQL)
 def op13(spark, sf_dir):
     return manifest.digest(documents(spark, sf_dir))
+
+
+@query("op12_setsketch_duplicates", r"""
+WITH RECURSIVE
+w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS words FROM documents),
+u AS (SELECT r, len(words) AS m, unnest(words) AS a, generate_subscripts(words, 1) AS p FROM w),
+v AS (
+  SELECT r, m, p, hash(a, lead(a) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o, lead(a, 4) OVER o) AS gram
+  FROM u WINDOW o AS (PARTITION BY r ORDER BY p)),
+x AS (SELECT r, list_sort(list(DISTINCT gram)) AS grams FROM v WHERE p <= greatest(m - 4, 1) GROUP BY r),
+g AS (SELECT w.r, w.doc_id, coalesce(x.grams, []) AS grams FROM w LEFT JOIN x ON x.r = w.r),
+s AS (SELECT DISTINCT hash(grams) AS node, len(grams) AS n, grams FROM g WHERE len(grams) > 0),
+e AS (SELECT node, n, unnest(grams) AS gram FROM s),
+l AS (
+  SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.gram = b.gram AND a.node <> b.node AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+t AS (SELECT DISTINCT node, node AS reached FROM s UNION SELECT t.node, l.b FROM t JOIN l ON l.a = t.reached),
+m AS (SELECT hash(grams) AS node, min(doc_id) AS least FROM g WHERE len(grams) > 0 GROUP BY 1),
+c AS (SELECT t.node, min(m.least) AS component_id FROM t JOIN m ON m.node = t.reached GROUP BY t.node)
+SELECT g.doc_id, CAST(len(g.grams) AS BIGINT) AS n_shingles,
+       CASE WHEN len(g.grams) = 0 THEN g.doc_id ELSE c.component_id END AS component_id,
+       coalesce(len(g.grams) = 0 OR g.doc_id = c.component_id, c.component_id IS NULL) AS kept
+FROM g LEFT JOIN c ON c.node = hash(g.grams) AND len(g.grams) > 0""")
+def op12(spark, sf_dir):
+    return setsketch.near_duplicates(documents(spark, sf_dir))

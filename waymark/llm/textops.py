@@ -1,8 +1,10 @@
 """Shared helpers: folds, bounded label samples, stages, word hashes."""
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +102,15 @@ def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return checked.filter("NOT __hit").drop("__hit").unionByName(rest)
 
 
+def tidy() -> None:
+    """At the end of a task: give what the worker no longer needs back to the system, since workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):   # other C libraries have no such call
+        pass
+
+
 class WordHash(dict):
     """word -> 64-bit hash, remembered for words seen before."""
 
