@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from waymark.functions.islands import rows_of_sessions
 from waymark.functions.stats import share, top_with_ties
 from waymark.functions.timefn import epoch, local
+from waymark.operators import folds
 from waymark.operators.revisits import HIGH, ONE_DAY
 from waymark.operators.track import trajectory_spans
 from waymark.params import LOCAL_TIMEZONE, MAINTAINED, MetricParams
 
-TRAJECTORY = ["source_address", "trajectory_id"]
+TRAJECTORY = folds.TRAJECTORY
 EPISODE = [*TRAJECTORY, "cluster_id", "episode_id"]
 
 
@@ -47,33 +48,9 @@ def anchor_clusters(rows: DataFrame, metres: float = 75.0) -> DataFrame:
     """Rows with a cluster number: a row further than ``metres`` (strictly) from the cluster's
     first row opens the next cluster.
 
-    The accepted duration bounds a trajectory to one row per 20 s window (361 rows for two
-    hours), so its points fit in one array, over which a fold carries the anchor.
+    The rows of a trajectory are folded in order, with the anchor as the only state, however many they are.
     """
-    point = F.struct("timestamp", "sensor_name", "x", "y")
-    bundled = rows.groupBy(*TRAJECTORY).agg(F.array_sort(F.collect_list(point)).alias("points"))
-    first = F.element_at("points", 1)
-
-    def state(p, cluster, ids):
-        return F.struct(p["x"].alias("ax"), p["y"].alias("ay"), cluster.alias("cluster"),
-                        F.array_append(ids, cluster).alias("ids"))
-
-    def step(s, p):
-        far = F.sqrt(F.pow(p["x"] - s["ax"], 2) + F.pow(p["y"] - s["ay"], 2)) > metres
-        stay = F.struct(s["ax"].alias("ax"), s["ay"].alias("ay"), s["cluster"].alias("cluster"),
-                        F.array_append(s["ids"], s["cluster"]).alias("ids"))
-        return F.when(far, state(p, s["cluster"] + 1, s["ids"])).otherwise(stay)
-
-    # the first point opens cluster 1 in the initial state and, at distance 0, joins it
-    start = F.struct(first["x"].alias("ax"), first["y"].alias("ay"), F.lit(1).alias("cluster"),
-                     F.array().cast("array<int>").alias("ids"))
-    ids = F.aggregate("points", start, step, lambda s: s["ids"])
-    # explode_outer: an inner explode would add a size filter and fold a second time
-    return (
-        bundled.select(*TRAJECTORY, F.explode_outer(F.arrays_zip(
-            F.col("points").alias("p"), ids.alias("cluster"))).alias("z"))
-        .select(*TRAJECTORY, F.col("z.cluster").cast("long").alias("cluster_id"), "z.p.*")
-    )
+    return folds.anchor_clusters(rows, metres)
 
 
 def split_episodes(clustered: DataFrame, gap_seconds: int = 600) -> DataFrame:
@@ -120,10 +97,10 @@ def classify(episodes: DataFrame, min_seconds: int = 300) -> DataFrame:
 
 
 def episodes_of(rows: DataFrame, p: MetricParams = MAINTAINED) -> DataFrame:
-    """Episodes of rows that already carry an accepted trajectory."""
-    clustered = anchor_clusters(rows, p.activity_distance_metres)
-    split = split_episodes(clustered, p.activity_continuity_gap_seconds)
-    return classify(episode_summary(split), p.activity_min_duration_seconds)
+    """Episodes of rows that already carry an accepted trajectory, in one pass over the sorted rows; the same as
+    ``episode_summary(split_episodes(anchor_clusters(rows)))``."""
+    found = folds.episodes(rows, p.activity_distance_metres, p.activity_continuity_gap_seconds)
+    return classify(found, p.activity_min_duration_seconds)
 
 
 def activities(located: DataFrame, p: MetricParams = MAINTAINED) -> DataFrame:

@@ -503,14 +503,14 @@ def _(c: Context):
     f"""SELECT id AS source_address, tid AS trajectory_id, {big('cl')} AS cluster_id, w AS timestamp,
         sensor AS sensor_name FROM ep_rows""", EPISODES))
 def _(c: Context):
-    return act.anchor_clusters(act.qualifying_rows(c.located)).drop("x", "y")
+    return act.anchor_clusters(c.accepted("maintained")).drop("x", "y")
 
 
 @query("activity_a4_split_episodes", with_base(
     f"""SELECT id AS source_address, tid AS trajectory_id, {big('cl')} AS cluster_id, {big('ep')} AS episode_id,
         count(*) AS n, min(w) AS first, max(w) AS last FROM ep_rows GROUP BY 1, 2, 3, 4""", EPISODES))
 def _(c: Context):
-    rows = act.split_episodes(act.anchor_clusters(act.qualifying_rows(c.located)))
+    rows = act.split_episodes(act.anchor_clusters(c.accepted("maintained")))
     return rows.groupBy(*act.EPISODE).agg(
         F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
 
@@ -546,7 +546,7 @@ def _(c: Context):
 @query("activity_a7_activities_campus", with_base(
     _ACT, TRIPS, episodes("trips", "n >= 3 AND dur <= 7200", 150)))
 def _(c: Context):
-    return stages.activity_table(act.activities(c.located, CAMPUS))
+    return stages.activity_table(act.episodes_of(c.accepted("campus"), CAMPUS))
 
 
 DISTRICT_EP = VISITS + episodes("visits", "n_sensors >= 2 AND dur BETWEEN 60 AND 7200", 75)
@@ -554,7 +554,7 @@ DISTRICT_EP = VISITS + episodes("visits", "n_sensors >= 2 AND dur BETWEEN 60 AND
 
 @query("activity_a7_activities_district", with_base(_ACT, DISTRICT_EP))
 def _(c: Context):
-    return stages.activity_table(act.activities(c.located, DISTRICT))
+    return stages.activity_table(act.episodes_of(c.accepted("district"), DISTRICT))
 
 
 @query("activity_a8_stay_summary", with_base(
@@ -636,7 +636,7 @@ pairs AS (
 
 
 def _pairs(c):
-    rows = act.qualifying_rows(c.located, DISTRICT)
+    rows = c.accepted("district")
     return act.trajectory_sensor_pairs(rows, act.episodes_of(rows, DISTRICT), c.district)
 
 
@@ -709,9 +709,18 @@ def _(c: Context):
     return kept.groupBy("source_address", "sensor_name").agg(F.count("*").alias("n"))
 
 
-@query("clean_c3_cleaned_one_second", with_base(_SEC + "cleaned"))
+@query("clean_c3_cleaned_one_second", with_base(
+    f"""SELECT id AS source_address, t // 86400 AS day, count(*) AS n_rows,
+        {big("sum(CAST('0x' || substr(md5(concat_ws('|', t, id, sensor, flag, CAST(m * 2 AS BIGINT), n)), 1, 7) AS BIGINT))")} AS rows_hash
+        FROM cleaned GROUP BY 1, 2"""))
 def _(c: Context):
-    return c.cleaned
+    """Every cleaned row, told by a hash of all its columns: their sum for each identifier and day. Medians come in halves."""
+    row = F.concat_ws("|", F.unix_seconds("timestamp").cast("string"), "source_address", "sensor_name",
+                      F.col("source_address_randomized").cast("string"), (F.col("rssi_median") * 2).cast("long").cast("string"),
+                      F.col("packet_count").cast("string"))
+    day = F.floor(F.unix_seconds("timestamp") / 86400).alias("day")
+    return c.cleaned.groupBy("source_address", day).agg(
+        F.count("*").alias("n_rows"), F.sum(F.conv(F.substring(F.md5(row), 1, 7), 16, 10).cast("long")).alias("rows_hash"))
 
 
 HIST = """,

@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 
 from waymark.functions.timefn import use_utc
 from waymark.operators import activities, aggregate, cleaning, filters, location, revisits, track
-from waymark.params import CleaningParams
+from waymark.params import CAMPUS, DISTRICT, MAINTAINED, CleaningParams
 from waymark.sources import synthetic, tables
 
+RULES = {"maintained": MAINTAINED, "campus": CAMPUS, "district": DISTRICT}
+
 
 class Context:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -95,7 +97,11 @@ class Context:
 
     @cached_property
     def visits(self):
-        return track.trajectory_summary(self.located, 7200)
+        return self.staged("visits", lambda: track.trajectory_summary(self.located, 7200))
+
+    def accepted(self, rules: str) -> DataFrame:
+        """Located rows of the trajectories that a rule set accepts, numbered."""
+        return self.staged(f"accepted_{rules}", lambda: activities.qualifying_rows(self.located, RULES[rules]))
 
     @cached_property
     def week(self):
@@ -108,7 +114,7 @@ class Context:
 
     @cached_property
     def episodes(self):
-        return activities.activities(self.located)
+        return activities.episodes_of(self.accepted("maintained"))
 
     @cached_property
     def raw(self):
