@@ -3,45 +3,46 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions import bitmaps
 from waymark.functions.timefn import local
 from waymark.params import LOCAL_TIMEZONE
 
 NIGHT = (0, 4)
 
-# Fixed value: sensors in residential surroundings, by name.
-RESIDENTIAL_PATTERN = "dorm|residen|whitehouse|parking_dorm"
 
-
-def identifier_profile(
-    t20: DataFrame, residential: str = RESIDENTIAL_PATTERN, tz: str = LOCAL_TIMEZONE
-) -> DataFrame:
-    """One row per identifier: size, reach, first and last observation, night and home flags.
-
-    Rows are reduced per identifier, sensor and local date first, so the distinct counts
-    and the final aggregation see a few rows per identifier and day.
-    """
+def identifier_days(t20: DataFrame, residential: str, sensors: DataFrame = None, tz: str = LOCAL_TIMEZONE) -> DataFrame:
+    """One row per identifier and local date, with the sensors of the day as a set of words. Days may be written as they come;
+    ``profile_of_days`` merges them. ``sensors`` is a dictionary (``functions.bitmaps``) that all days share; by default that
+    of the rows. ``residential`` is a pattern for sensors in residential surroundings; an empty one names none."""
+    sensors = bitmaps.small_dictionary(t20.select("sensor_name")) if sensors is None else sensors
+    words = bitmaps.words_of(sensors.count())
     here = local("timestamp", tz)
-    at_night = F.hour(here).between(*NIGHT)
-    daily = t20.groupBy("source_address", "sensor_name", F.to_date(here).alias("local_date")).agg(
-        F.count("*").alias("n"),
-        F.min(F.unix_seconds(here)).alias("first"), F.max(F.unix_seconds(here)).alias("last"),
-        F.max(at_night.cast("int")).alias("night"),
-    )
+    night = F.hour(here).between(*NIGHT).cast("int")
     home = F.lower("sensor_name").rlike(residential) if residential else F.lit(False)
+    at = F.unix_seconds(here)
+    names = sensors.select(F.col("value").alias("sensor_name"), "number")
+    return t20.join(names, "sensor_name", "left").groupBy("source_address", F.to_date(here).alias("local_date")).agg(
+        F.count("*").alias("n"),
+        F.min(F.struct(at.alias("first"), "sensor_name")).alias("opens"),
+        F.max(F.struct(at.alias("last"), "sensor_name")).alias("closes"),
+        F.max(night).alias("night"), F.max(home.cast("int")).alias("home"),
+        F.max(F.when(home, night).otherwise(0)).alias("home_night"), *bitmaps.word_sets(F.col("number"), words, "sensors"))
+
+
+def profile_of_days(days: DataFrame) -> DataFrame:
+    """One row per identifier: size, reach, first and last observation, night and home flags. Days are rows here and sensors
+    are sets, so nothing is counted as distinct."""
+    words = sum(c.startswith("sensors_") for c in days.columns)
     return (
-        daily.groupBy("source_address")
+        days.groupBy("source_address")
         .agg(
-            F.sum("n").alias("n_rows"),
-            F.countDistinct("sensor_name").alias("n_sensors"),
-            F.countDistinct("local_date").alias("n_days"),
-            F.min(F.struct("first", "sensor_name")).alias("opens"),
-            F.max(F.struct("last", "sensor_name")).alias("closes"),
-            F.max("night").alias("has_night"),
-            F.max(home.cast("int")).alias("has_residential"),
-            F.max(F.when(home, F.col("night")).otherwise(0)).alias("has_residential_night"),
+            F.sum("n").alias("n_rows"), F.count("*").alias("n_days"),
+            F.min("opens").alias("opens"), F.max("closes").alias("closes"), F.max("night").alias("has_night"),
+            F.max("home").alias("has_residential"), F.max("home_night").alias("has_residential_night"),
+            *bitmaps.word_unions(words, "sensors"),
         )
         .select(
-            "source_address", "n_rows", "n_sensors", "n_days",
+            "source_address", "n_rows", bitmaps.word_count(words, "sensors").alias("n_sensors"), "n_days",
             (F.col("closes.last") - F.col("opens.first")).alias("span_seconds"),
             F.col("opens.sensor_name").alias("first_sensor"),
             F.col("closes.sensor_name").alias("last_sensor"),
@@ -52,6 +53,10 @@ def identifier_profile(
     )
 
 
+def identifier_profile(t20: DataFrame, residential: str, tz: str = LOCAL_TIMEZONE) -> DataFrame:
+    return profile_of_days(identifier_days(t20, residential, tz=tz))
+
+
 def _log_band(n):
     return F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("long")
 
@@ -121,9 +126,10 @@ def _long(one_row: DataFrame, site: str) -> DataFrame:
     return one_row.select(entries).select(F.lit(site).alias("site"), "e.*")
 
 
-def disclosure_indicators(t20: DataFrame, site: str, residential: str = RESIDENTIAL_PATTERN) -> DataFrame:
-    """Long table (site, metric, value) of profile, signature and daily-path indicators."""
-    p = identifier_profile(t20, residential)
+def disclosure_indicators(t20: DataFrame, site: str, residential: str, stage=lambda df, name: df) -> DataFrame:
+    """Long table (site, metric, value) of profile, signature and daily-path indicators. ``stage`` may write the
+    profile and the daily paths, which several indicators read (see ``sources.tables.stager``)."""
+    p = stage(identifier_profile(t20, residential), "profile")
     overview = p.agg(
         F.count("*").alias("identifiers"),
         F.count_if(F.col("n_rows") == 1).alias("one_row_identifiers"),
@@ -137,7 +143,7 @@ def disclosure_indicators(t20: DataFrame, site: str, residential: str = RESIDENT
         F.sum("has_residential").alias("identifiers_at_residential_sensor"),
         F.sum("has_residential_night").alias("identifiers_at_residential_sensor_night"),
     )
-    sequences = daily_sequence_sizes(daily_sequence(t20))
+    sequences = stage(daily_sequence_sizes(daily_sequence(t20)), "daily-sequences")
     tables = [
         overview,
         _size_summary(coarse_signature(p), "coarse_signature"),

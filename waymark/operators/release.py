@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions import identifiers
+from waymark.functions import bitmaps, identifiers
 from waymark.functions.timefn import local
 from waymark.operators.location import strongest_sensor
 from waymark.params import LOCAL_TIMEZONE
@@ -228,13 +228,21 @@ def period_diff_summary(differences: DataFrame, grain: str) -> DataFrame:
 
 
 def dataset_overview(t20: DataFrame) -> DataFrame:
-    windows = t20.groupBy("source_address", "timestamp").agg(F.count("*").alias("n"))
-    return t20.agg(
-        F.count("*").alias("records"),
-        F.countDistinct("source_address").alias("devices"),
-        F.countDistinct("sensor_name").alias("sensors"),
-        F.sum("detections").alias("total_detections"),
-        F.min("detections").alias("minimum_detections"),
-        F.max("detections").alias("maximum_detections"),
-        F.count_if(~F.col("detections").between(1, 20)).alias("rows_outside_one_to_twenty"),
-    ).withColumn("device_windows", windows.agg(F.count("*")).scalar())
+    """Counters of a table in one pass: rows become device windows, those become devices, and nothing is counted as distinct
+    over rows. The sensors are the union of the devices' sensor sets."""
+    sensors = bitmaps.small_dictionary(t20.select("sensor_name"))
+    words = bitmaps.words_of(sensors.count())
+    numbers = sensors.select(F.col("value").alias("sensor_name"), "number")
+    windows = t20.join(numbers, "sensor_name", "left").groupBy("source_address", "timestamp").agg(
+        F.count("*").alias("n"), F.sum("detections").alias("sum"), F.min("detections").alias("min"), F.max("detections").alias("max"),
+        F.count_if(~F.col("detections").between(1, 20)).alias("outside"), *bitmaps.word_sets(F.col("number"), words, "sensors"))
+    devices = windows.groupBy("source_address").agg(
+        F.sum("n").alias("n"), F.count("*").alias("windows"), F.sum("sum").alias("sum"), F.min("min").alias("min"),
+        F.max("max").alias("max"), F.sum("outside").alias("outside"), *bitmaps.word_unions(words, "sensors"))
+    whole = devices.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("source_address").alias("devices"),
+        F.sum("sum").alias("total_detections"), F.min("min").alias("minimum_detections"), F.max("max").alias("maximum_detections"),
+        F.coalesce(F.sum("outside"), F.lit(0)).alias("rows_outside_one_to_twenty"),
+        F.coalesce(F.sum("windows"), F.lit(0)).alias("device_windows"), *bitmaps.word_unions(words, "sensors"))
+    return whole.select("records", "devices", F.coalesce(bitmaps.word_count(words, "sensors"), F.lit(0).cast("long")).alias("sensors"),
+                        "total_detections", "minimum_detections", "maximum_detections", "rows_outside_one_to_twenty", "device_windows")

@@ -383,14 +383,14 @@ INDICATORS = PROFILE + ",\nindicators AS (" + " UNION ALL ".join(
 @query("disclosure_x16_indicators", with_base(
     f"SELECT 'site' AS site, metric, {r6('value')} AS value FROM indicators", INDICATORS))
 def _(c: Context):
-    return disclosure.disclosure_indicators(c.t20, "site", RESIDENTIAL)
+    return disclosure.disclosure_indicators(c.t20, "site", RESIDENTIAL, c.stage())
 
 
 @query("disclosure_x16_indicator_percent", with_base(
     f"""SELECT 'site' AS site, metric, {r6('value')} AS value,
         {r6('value * 100.0 / (SELECT count(*) FROM prof)')} AS percent FROM indicators""", INDICATORS))
 def _(c: Context):
-    return disclosure.as_percent(disclosure.disclosure_indicators(c.t20, "site", RESIDENTIAL))
+    return disclosure.as_percent(disclosure.disclosure_indicators(c.t20, "site", RESIDENTIAL, c.stage()))
 
 
 # The same patterns without look-around, which DuckDB's regular expressions lack.

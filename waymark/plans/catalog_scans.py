@@ -1,18 +1,21 @@
 """Queries for sources, sinks, filters and projections (S, F)."""
 
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from waymark import schemas
+from waymark.functions import bitmaps
 from waymark.functions.timefn import local_date
-from waymark.operators import count, filters, joins, location
+from waymark.operators import aggregate, count, filters, joins, location
+from waymark.operators.quality import ContractError
 from waymark.params import MAINTAINED
 from waymark.plans import stages
 from waymark.plans.context import Context, query
 from waymark.plans.oracle import (
     GPS, KST, PLANTED, RAW, big, day, day_type, hour, r6, utc_text as sql_utc, with_base,
 )
-from waymark.sources import tables
-from waymark.streaming import flows
+from waymark.sources import published, tables
+from waymark.streaming import flows, ledger
 
 _PACKET_COUNTS = """
 SELECT id AS source_address, sensor AS sensor_name, subtype, count(*) AS n_packets,
@@ -116,6 +119,78 @@ def _(c: Context):
     return _packet_counts(c.spark.read.parquet(out))
 
 
+@query("scan_s6_file_ledger", with_base(
+    """SELECT sensor AS run, 1 AS n_files, count(*) AS n_rows, count(*) FILTER (WHERE strength BETWEEN -80 AND -30
+         AND lower(subtype) NOT IN ('beacon', 'probe-response')) AS n_kept FROM packets GROUP BY 1"""))
+def _(c: Context):
+    """The ledger of an extraction whose first run was killed in its second batch, after that batch had written its rows."""
+    source, out, done, book = c.new_path("captures"), c.new_path("extracted"), c.new_path("progress"), c.new_path("ledger")
+    c.packets_text.withColumn("run", F.col("sensor_name")).repartition("run").write.partitionBy("run").parquet(source)
+
+    def keep(rows):
+        return filters.exclude_subtypes(filters.rssi_between(rows))
+
+    def killed(rows):
+        if c.spark.read.parquet(book).count() if published.Files(c.spark, book).exists(book) else 0:
+            keep(rows).write.mode("overwrite").parquet(f"{out}/batch=1")
+            raise RuntimeError("killed")
+        return keep(rows)
+
+    stream = ledger.captures(c.spark, source, schemas.PACKETS_RAW, files_per_batch=6)
+    try:
+        ledger.extract(stream, killed, out, book, done)
+    except StreamingQueryException:
+        pass
+    ledger.extract(stream, keep, out, book, done)
+    run = F.regexp_extract("file", "run=([^/]+)", 1)
+    kept = ledger.extracted(c.spark, out, book).groupBy(F.regexp_extract("input_file", "run=([^/]+)", 1).alias("run")).agg(
+        F.count("*").alias("n_kept"))
+    files = ledger.entries(c.spark, book).groupBy(run.alias("run")).agg(F.count("*").alias("n_files"), F.sum("rows").alias("n_rows"))
+    return files.join(kept, "run")
+
+
+@query("scan_s1_refused_packets", with_base(
+    """SELECT rule, count(*) AS n_rows FROM (
+         SELECT CASE WHEN t % 97 = 0 THEN 'strength' WHEN t % 89 = 0 THEN 'sensor_name' WHEN t % 83 = 0 THEN 'timestamp'
+                     WHEN t % 79 = 0 THEN 'subtype' WHEN t % 73 = 0 THEN 'channel' END AS rule FROM packets)
+       WHERE rule IS NOT NULL GROUP BY 1"""))
+def _(c: Context):
+    """Planted NULLs in required columns stop the publication of the one-second table, in the pass that aggregates it. The NULL
+    strengths would fail the range filter, and still are seen."""
+    t = F.unix_seconds(F.to_timestamp("timestamp"))
+    plants = (("strength", 97), ("sensor_name", 89), ("timestamp", 83), ("subtype", 79), ("channel", 73))
+    free, columns = F.lit(True), {}
+    for name, n in plants:
+        columns[name] = F.when(free & (t % n == 0), None).otherwise(F.col(name))
+        free = free & (t % n != 0)
+    path, target = c.landed(c.packets_text.withColumns(columns), "packets-nulls"), c.new_path("one-second")
+    packets, watch = published.read_checked_packets(c.spark, path)
+    try:
+        published.publish(aggregate.one_second(packets), target, watches=[watch])
+    except ContractError:
+        pass
+    if published.Files(c.spark, target).exists(f"{target}/{published.CURRENT}"):
+        raise AssertionError("a table with refused rows was published")
+    return c.spark.createDataFrame(sorted(published.broken(watch).items()), "rule string, n_rows long")
+
+
+@query("sink_s4_published_versions", _T20_SUMMARY)
+def _(c: Context):
+    """Published twice; then a third write fails in mid-job, and a fourth is refused by a rule: the second version stays."""
+    path = c.new_path("t20-published")
+    published.publish(c.t20.filter("detections > 3"), path)
+    published.publish(c.t20, path, published.required(c.t20.columns))
+    failing = c.t20.withColumn("detections", F.when(F.col("sensor_name") == "s05", F.raise_error(F.lit("lost"))).otherwise(F.col("detections")))
+    empty = c.t20.withColumn("rssi_sum", F.when(F.col("sensor_name") != "s05", F.col("rssi_sum")))
+    for rows in (failing, empty):
+        try:
+            published.publish(rows, path, published.required(c.t20.columns))
+        except (ContractError, PySparkException):
+            continue
+        raise AssertionError("a broken version was published")
+    return _t20_summary(published.read_published(c.spark, path))
+
+
 @query("scan_s7_attach_utc", "SELECT event_id, epoch_us(ts) AS us FROM events")
 def _(c: Context):
     return tables.attach_utc(c.table("events"), "ts").select("event_id", F.unix_micros("ts").alias("us"))
@@ -192,8 +267,18 @@ def _manifest_sql(site, where):
 @query("scan_s14_dataset_manifest", with_base(
     _manifest_sql("full", "TRUE") + " UNION ALL " + _manifest_sql("without_s00", "sensor <> 's00'")))
 def _(c: Context):
-    return tables.dataset_manifest(c.t20, "full").unionByName(
-        tables.dataset_manifest(filters.without_sensors(c.t20, ["s00"]), "without_s00"))
+    """The second dataset comes in two runs: the parts and devices of later days are added to those of the first."""
+    rows, stage = filters.without_sensors(c.t20, ["s00"]), c.stage()
+    early = F.col("timestamp") < "2024-01-11T00:00:00.000Z"
+    sensors = stage(bitmaps.small_dictionary(rows.select("sensor_name")), "sensors")
+    devices = stage(bitmaps.numbered(rows.filter(early).select("source_address")), "devices-0")
+    counters, maps = (stage(df, f"{name}-0") for df, name in zip(
+        tables.manifest_parts(rows.filter(early), devices, sensors), ("counters", "bitmaps")))
+    later = rows.filter(~early)
+    devices = devices.unionByName(stage(bitmaps.numbered(bitmaps.unknown(later.select("source_address"), devices), run=1), "devices-1"))
+    more = tables.manifest_parts(later, devices, sensors)
+    return tables.dataset_manifest(c.t20, "full", c.stage()).unionByName(tables.manifest_of_parts(
+        counters.unionByName(more[0]), maps.unionByName(more[1]), "without_s00"))
 
 
 @query("scan_s15_run_manifest", with_base(

@@ -137,6 +137,10 @@ class Context:
 
         return self.staged("located_raw", build)
 
+    def stage(self):
+        """A ``stage(df, name)`` that writes below a folder of its own."""
+        return tables.stager(self.spark, f"run-{uuid.uuid4().hex}")
+
     def new_path(self, name: str) -> str:
         return f"{tables.shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark import schemas
+from waymark.functions import bitmaps
 from waymark.functions.timefn import ntz_as_utc, utc_text
 from waymark.operators.quality import ContractError, require_columns
+from waymark.sources import published
 
 _scratch, _stages = {}, {}
 
@@ -79,20 +81,31 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return spark.read.schema(schema).parquet(path)
 
 
+def _replaced(df: DataFrame, path: str, write) -> None:
+    """Writes beside the target and swaps it in when complete: a job that fails leaves the old table as it was. Readers that must
+    not see even the moment of the swap use ``published.publish``."""
+    spark, new = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        write(new)
+    except Exception:
+        published.Files(spark, path).delete(new)
+        raise
+    published.swap_in(spark, new, path.rstrip("/"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Parquet with zstd, or CSV with UTC ``Z`` text. The committer publishes whole tables only."""
+    """Parquet with zstd, or CSV with UTC ``Z`` text; an existing table is replaced as a whole or not at all."""
     if fmt == "csv":
         texts = [utc_text(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType)
                  else F.col(f.name) for f in df.schema.fields]
-        df.select(*texts).write.mode("overwrite").option("header", True).csv(path)
+        _replaced(df, path, lambda new: df.select(*texts).write.option("header", True).csv(new))
     else:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        _replaced(df, path, lambda new: df.write.option("compression", "zstd").parquet(new))
 
 
 def write_by_date(df: DataFrame, path: str, day: str = "local_date") -> None:
-    """Large tables: one folder a local date, so a period filter prunes folders."""
-    df.repartition(day).write.mode("overwrite").partitionBy(day).option(
-        "compression", "zstd").parquet(path)
+    """Large tables: one folder a local date, so a period filter prunes folders; replaced as ``write_table`` does."""
+    _replaced(df, path, lambda new: df.repartition(day).write.partitionBy(day).option("compression", "zstd").parquet(new))
 
 
 def attach_utc(df: DataFrame, column: str = "timestamp") -> DataFrame:
@@ -128,20 +141,48 @@ def slim_report(t20: DataFrame) -> DataFrame:
                    F.max(F.abs(F.col("strength_sum") - derived)).alias("max_deviation"))
 
 
-def dataset_manifest(t20: DataFrame, site: str) -> DataFrame:
-    """Size, period and validity counters of one dataset."""
+def manifest_parts(t20: DataFrame, devices: DataFrame, sensors: DataFrame) -> tuple:
+    """What a dataset manifest needs of some days, in two small tables: counters a UTC day with the day's sensors as words,
+    and the day's devices as bitmaps. ``devices`` and ``sensors`` are dictionaries (``functions.bitmaps``). Parts of
+    further days are appended; the rows of the days before are not read again."""
     identity = F.abs(F.col("strength_sum") - (F.col("detections") * 100.0 + F.col("rssi_sum")))
-    return t20.agg(
-        F.lit(site).alias("site"),
-        F.count("*").alias("n_records"),
-        F.countDistinct("source_address").alias("n_devices"),
-        F.countDistinct("sensor_name").alias("n_sensors"),
-        utc_text(F.min("timestamp")).alias("start_utc"),
-        utc_text(F.max("timestamp")).alias("end_utc"),
+    day = F.floor(F.unix_seconds("timestamp") / 86400).alias("day")
+    words = bitmaps.words_of(sensors.count())
+    names = sensors.select(F.col("value").alias("sensor_name"), "number")
+    # One row for each device and day, from which both tables follow: the table's rows are shuffled as partial sums only.
+    daily = t20.join(names, "sensor_name", "left").groupBy(day, "source_address").agg(
+        F.count("*").alias("n_records"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
         F.sum("detections").alias("total_detections"),
         F.count_if(~F.col("detections").between(1, 20)).alias("invalid_detections"),
-        F.count_if(identity > 1e-9).alias("invalid_strength"),
-    )
+        F.count_if(identity > 1e-9).alias("invalid_strength"), *bitmaps.word_sets(F.col("number"), words, "sensors"))
+    counters = daily.groupBy("day").agg(
+        F.sum("n_records").alias("n_records"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.sum("total_detections").alias("total_detections"), F.sum("invalid_detections").alias("invalid_detections"),
+        F.sum("invalid_strength").alias("invalid_strength"), *bitmaps.word_unions(words, "sensors"))
+    return counters, bitmaps.bitmaps(daily, devices, ["day"], "source_address")
+
+
+def manifest_of_parts(counters: DataFrame, maps: DataFrame, site: str) -> DataFrame:
+    """Size, period and validity counters of one dataset, from the parts of its days."""
+    words = sum(c.startswith("sensors_") for c in counters.columns)
+    totals = counters.agg(
+        F.coalesce(F.sum("n_records"), F.lit(0)).alias("n_records"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.sum("total_detections").alias("total_detections"),
+        F.coalesce(F.sum("invalid_detections"), F.lit(0)).alias("invalid_detections"),
+        F.coalesce(F.sum("invalid_strength"), F.lit(0)).alias("invalid_strength"), *bitmaps.word_unions(words, "sensors"))
+    return totals.select(
+        F.lit(site).alias("site"), "n_records", bitmaps.counted(maps, [], "n_devices").scalar().alias("n_devices"),
+        F.coalesce(bitmaps.word_count(words, "sensors"), F.lit(0).cast("long")).alias("n_sensors"),
+        utc_text("first").alias("start_utc"), utc_text("last").alias("end_utc"),
+        "total_detections", "invalid_detections", "invalid_strength")
+
+
+def dataset_manifest(t20: DataFrame, site: str, stage=lambda df, name: df) -> DataFrame:
+    """The manifest of a whole table at once. ``stage`` may write the dictionary and the parts (see ``stager``)."""
+    devices = stage(bitmaps.numbered(t20.select("source_address")), "devices")
+    sensors = stage(bitmaps.small_dictionary(t20.select("sensor_name")), "sensors")
+    counters, maps = manifest_parts(t20, devices, sensors)
+    return manifest_of_parts(stage(counters, "counters"), stage(maps, "bitmaps"), site)
 
 
 def run_manifest(tables: dict, parameters: dict) -> DataFrame:
