@@ -11,10 +11,12 @@ confirmed on full sets: 100 * intersection >= 85 * union.
 2. ``buckets``: nodes that share the registers of a band. Bands and rows miss a pair at the threshold once in ``1 / (1 - RECALL)``.
 3. ``star``: each node against the least node of the buckets it shares most with: one pair a node, sifted, then verified.
    Verified links make components, so a group of thousands of near copies is settled by as many pairs as it has members.
-4. ``rest``: buckets whose members are still in several components. Their members meet in blocks, first sketches only,
-   then the sets of the nodes with a likely partner in another component. So every candidate pair between components is decided; no
-   pairs are written but the links of a spanning forest, and a block holds a bounded number of shingles.
-5. Components of all links; the least id of a component names it.
+4. ``forest``: buckets whose members are still in several components. Their members meet in blocks, sketches only, and the
+   likeliest pairs between components that make a forest are verified: at most one a member.
+5. ``rest``: the same for the buckets that still hold several components, but now the sets of all nodes with a likely partner in
+   another component meet. So every candidate pair between components is decided; no pairs are written but the links of a
+   spanning forest, and a block holds a bounded number of shingles.
+6. Components of all links; the least id of a component names it.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and are linked with nothing; a text of
 fewer words than ``WORDS`` has one shingle, all its words; repeated rows and equal sets are linked, all in one component; a null id
@@ -42,6 +44,7 @@ DOUBT = 5.0             # standard deviations by which a sketch must speak again
 BLOCK = 256             # nodes a block
 BLOCK_GRAMS = 400_000   # shingles a block
 SALTS = 8
+NUMBER = 7              # bits of a band's number
 WORD_BYTES = 8 << 20    # of words a task remembers
 
 
@@ -92,36 +95,48 @@ class Sketcher:
 
 
 class Similar:
-    """Joint likelihood of the similarity, given how many registers are greater, less and equal."""
+    """Joint likelihood of the similarity, given how many registers are greater, less and equal. It is concave, so the sign of
+    its slope tells on which side of a similarity its maximum lies."""
 
     def __init__(self, similarity: float = LINK[0] / LINK[1], doubt: float = DOUBT):
         self.similarity, self.slack = similarity, doubt ** 2 / 2
-        self.grid = np.linspace(0, 1, 201)
+        p = alike(similarity)
+        self.fewest = REGISTERS * p - doubt * math.sqrt(REGISTERS * p * (1 - p))    # equal registers
 
-    def log_likelihood(self, n, m, greater, less, j):
+    def _parts(self, n, m, j):
         u = n / (n + m)
-        p, q = _unlike(u - (1 - u) * j), _unlike(1 - u - u * j)
-        equal = REGISTERS - greater - less
-        return greater * np.log(p) + less * np.log(q) + equal * np.log(np.maximum(1 - p - q, 1e-12))
+        return u, _unlike(u - (1 - u) * j), _unlike(1 - u - u * j)
+
+    def log_likelihood(self, n, m, greater, less, j):
+        _, p, q = self._parts(n, m, j)
+        return greater * np.log(p) + less * np.log(q) + (REGISTERS - greater - less) * np.log(np.maximum(1 - p - q, 1e-12))
+
+    def slope(self, n, m, greater, less, j):
+        u, p, q = self._parts(n, m, j)
+        step = (BASE - 1) / BASE / math.log(BASE)
+        dp, dq = -(1 - u) * step * BASE ** p, -u * step * BASE ** q
+        return greater * dp / p + less * dq / q - (REGISTERS - greater - less) * (dp + dq) / np.maximum(1 - p - q, 1e-12)
 
     def estimate(self, n, m, greater, less):
         """The similarity of the greatest likelihood; all arguments are arrays."""
-        n, m, greater, less = (np.asarray(x, np.float64)[:, None] for x in (n, m, greater, less))
-        most = np.minimum(n, m) / np.maximum(n, m)
-        j = self.grid[None, :] * most
-        at = self.log_likelihood(n, m, greater, less, j).argmax(axis=1)
-        return np.take_along_axis(j, at[:, None], 1)[:, 0]
+        n, m, greater, less = (np.asarray(x, np.float64) for x in (n, m, greater, less))
+        low, high = np.zeros(len(n)), np.minimum(n, m) / np.maximum(n, m)
+        for _ in range(16):
+            middle = (low + high) / 2
+            up = self.slope(n, m, greater, less, middle) > 0
+            low, high = np.where(up, middle, low), np.where(up, high, middle)
+        return (low + high) / 2
 
     def likely(self, n, m, greater, less) -> np.ndarray:
         """Whether the sets may be as similar as a link needs: sizes allow it, and the sketch is not ``doubt`` deviations against it."""
         n, m, greater, less = (np.asarray(x, np.float64) for x in (n, m, greater, less))
-        out = np.minimum(n, m) >= self.similarity * np.maximum(n, m) - 1e-9
+        out = (np.minimum(n, m) >= self.similarity * np.maximum(n, m) - 1e-9) & (REGISTERS - greater - less >= self.fewest)
         at = np.flatnonzero(out)
-        for part in np.array_split(at, max(1, len(at) // 4096)):
-            a = n[part], m[part], greater[part], less[part]
-            best = self.estimate(*a)
-            gain = self.log_likelihood(*a, best) - self.log_likelihood(*a, np.full(len(part), self.similarity))
-            out[part] = (best >= self.similarity) | (gain <= self.slack)
+        below = at[self.slope(n[at], m[at], greater[at], less[at], self.similarity) < 0]
+        if len(below):
+            a = n[below], m[below], greater[below], less[below]
+            gain = self.log_likelihood(*a, self.estimate(*a)) - self.log_likelihood(*a, self.similarity)
+            out[below] = gain <= self.slack
         return out
 
 
@@ -177,8 +192,11 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def bands_of(nodes: DataFrame) -> DataFrame:
-    """node, band: a hash of the registers of each band."""
+    """node, band: a hash of the registers of each band, the band's number in its last ``NUMBER`` bits."""
     bands, rows = band_plan()
+    if bands > 1 << NUMBER:
+        raise ValueError("more bands than their numbers have bits for")
+    number = np.arange(bands, dtype=np.uint64)
     seeds = np.random.default_rng(7).integers(1 << 62, size=bands, dtype=np.uint64)
 
     def read(batches):
@@ -189,6 +207,7 @@ def bands_of(nodes: DataFrame) -> DataFrame:
                 total = np.broadcast_to(seeds, r.shape[:2]).copy()
                 for k in range(rows):
                     total = mix(total * np.uint64(257) + r[:, :, k])
+                total = total >> np.uint64(NUMBER) << np.uint64(NUMBER) | number
                 node = np.repeat(batch.column(0).to_numpy(), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total.reshape(-1).view(np.int64))], ["node", "band"])
 
@@ -263,20 +282,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(read, "key binary, grams binary").join(wanted.select("node", "key"), "key").select("node", "grams")
 
 
-def star_links(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
-    """a, b: verified links of nodes with the least node of the buckets they share most with."""
-    shared = met.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("times"))
-    pairs = shared.groupBy("node").agg(F.max(F.struct("times", (-F.col("leader")).alias("leader"))).alias("best"))
-    pairs = pairs.select(F.col("node").alias("a"), (-F.col("best.leader")).alias("b"))
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
-    lead = met.select(F.col("leader").alias("node")).distinct().join(nodes, "node")
-    lead = lead.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
-    likely = staged(sifted(_salted(pairs.join(left, "a"), lead, "b", "a")), "likely-stars")
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes, "node")
-    sets = staged(sets_of(docs, wanted.select("node", "doc_id", "key")), "star-sets")
-    # A leader's members go to as many groups as their number asks for, each with the leader's set in front.
-    sizes = likely.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
-    member = _salted(likely.withColumn("node", F.col("a")).join(sets, "node").select("a", "b", "grams"), sizes, "b", "a")
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Of the pairs (a, b) those that are linked by their full sets."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
+    sets = staged(sets_of(docs, wanted.select("node", "doc_id", "key")), f"{name}-sets")
+    # The partners of b go to as many groups as their number asks for, each with the set of b in front.
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+    member = _salted(pairs.withColumn("node", F.col("a")).join(sets, "node").select("a", "b", "grams"), sizes, "b", "a")
     member = member.select("b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part"), "a", "grams")
     front = sets.withColumnRenamed("node", "b").join(sizes, "b").select(
         "b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(-1).cast("long").alias("a"), "grams")
@@ -298,6 +310,18 @@ def star_links(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
     return (member.unionByName(front).repartition("b", "part").sortWithinPartitions("b", "part", "a").mapInArrow(read, "a long, b long"))
 
 
+def star_links(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """a, b: verified links of nodes with the least node of the buckets they share most with."""
+    shared = met.filter("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("times"))
+    pairs = shared.groupBy("node").agg(F.max(F.struct("times", (-F.col("leader")).alias("leader"))).alias("best"))
+    pairs = pairs.select(F.col("node").alias("a"), (-F.col("best.leader")).alias("b"))
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
+    lead = met.select(F.col("leader").alias("node")).distinct().join(nodes, "node")
+    lead = lead.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
+    likely = staged(sifted(_salted(pairs.join(left, "a"), lead, "b", "a")), "likely-stars")
+    return verified(docs, nodes, likely, "star")
+
+
 def _grouped(batches, keys: int):
     """Rows of consecutive equal keys as tuples of Arrow scalars; a group is held as a list."""
     group, rows = None, []
@@ -321,15 +345,28 @@ def _facing(side: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.triu(out, 1)
 
 
-def _likely_pairs(n, registers, wanted, similar) -> np.ndarray:
-    """The wanted pairs of a group that may be linked, a boolean matrix."""
-    out = np.zeros(wanted.shape, bool)
+def _likely_pairs(n, registers, wanted, similar, band: int) -> tuple:
+    """The wanted pairs (i, j) of a group that may be linked, with their equal registers. A pair is taken in the first
+    band it shares only."""
+    bands, rows = band_plan()
+    first, second, equal = [], [], []
     for i in range(len(n)):
         js = np.flatnonzero(wanted[i])
         if len(js):
-            greater, less = _counts(registers[i][None, :], registers[js])
-            out[i, js] = similar.likely(np.full(len(js), n[i]), n[js], greater, less)
-    return out
+            same = registers[js] == registers[i]
+            before = same[:, :band * rows].reshape(len(js), band, rows).all(axis=2).any(axis=1)
+            js, same = js[~before], same[~before].sum(axis=1)
+            keep = same >= similar.fewest
+            js, same = js[keep], same[keep]
+            if len(js):
+                greater, less = _counts(registers[i], registers[js])
+                found = similar.likely(np.full(len(js), n[i]), n[js], greater, less)
+                first.append(np.full(int(found.sum()), i))
+                second.append(js[found])
+                equal.append(same[found])
+    if not first:
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(first), np.concatenate(second), np.concatenate(equal)
 
 
 def _common(sets: list) -> np.ndarray:
@@ -351,8 +388,8 @@ def _common(sets: list) -> np.ndarray:
     return out
 
 
-def _forest(pairs: np.ndarray, label: np.ndarray) -> list:
-    """Of the linked pairs of a group, those that join its components."""
+def _forest(first, second, label: np.ndarray) -> list:
+    """Of the pairs of a group, in the order given, those that join its components."""
     root = {}
 
     def find(x):
@@ -361,49 +398,73 @@ def _forest(pairs: np.ndarray, label: np.ndarray) -> list:
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(pairs)):
-        a, b = find(label[i]), find(label[j])
+    for i, j in zip(first.tolist(), second.tolist()):
+        a, b = find(int(label[i])), find(int(label[j]))
         if a != b:
             root[max(a, b)] = min(a, b)
             out.append((i, j))
     return out
 
 
-def rest_links(docs: DataFrame, nodes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: verified links between the components of buckets that hold several."""
+def open_blocks(nodes: DataFrame, met: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """band, x, y, node, label, side, n, registers: the members of buckets that hold several components, in pairs of blocks."""
     told = staged(met.select("band", "node").join(labels, "node", "left").select(
-        "band", "node", F.coalesce("label", "node").alias("label")), "labelled-buckets")
+        "band", "node", F.coalesce("label", "node").alias("label")), f"{name}-buckets")
     open_ = told.groupBy("band").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"),
         F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).filter("low < high")
-    # Buckets of the same members are worked on once.
-    open_ = open_.groupBy("size", "members", "low", "high").agg(F.min("band").alias("band")).select("band", "size")
-    open_ = staged(open_, "open-bands")
-    rows = with_hit(told, "band", open_.select("band")).filter("__hit").drop("__hit")
-    rows = _salted(rows, open_, "band", "node").join(nodes.select("node", "n", "doc_id", "key", "registers"), "node")
+    # Buckets of the same members are worked on once, in the first of their bands.
+    number = F.col("band").bitwiseAND((1 << NUMBER) - 1)
+    open_ = open_.groupBy("size", "members", "low", "high").agg(F.min_by("band", number).alias("band")).select("band")
+    open_ = staged(open_, f"{name}-bands")
+    rows = with_hit(told, "band", open_).filter("__hit").drop("__hit")
+    rows = staged(_salted(rows, open_, "band", "node").join(nodes.select("node", "n"), "node"), f"{name}-members")
     weight = rows.groupBy("band").agg(F.sum("n").alias("grams"), F.count("*").alias("size"))
     weight = weight.select("band", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    rows = _salted(rows.drop("size"), weight, "band", "node")
+    rows = _salted(rows, weight, "band", "node").join(nodes.select("node", "registers"), "node")
     rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
+    return (rows.select("band", "x", "y", "node", "label", "side", "n", "registers").repartition("band", "x", "y")
+            .sortWithinPartitions("band", "x", "y"))
+
+
+def _compared(batches):
+    """For each group with likely pairs: its key, nodes, labels, sides, and the pairs with their equal registers."""
+    similar = Similar()
+    for (band, x, y), part in _grouped(batches, 3):
+        node, label, side, n = (np.array([r[k] for r in part]) for k in range(4))
+        registers = np.stack([np.frombuffer(r[4], np.uint8) for r in part])
+        first, second, equal = _likely_pairs(n, registers, _facing(side, label), similar, band & (1 << NUMBER) - 1)
+        if len(first):
+            yield (band, x, y), node, label, side, first, second, equal
+    tidy()
 
+
+def forest_links(docs: DataFrame, nodes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: verified links of the forests that the likeliest pairs of each group of an open bucket make."""
+    def read(batches):
+        for _, node, label, _, first, second, equal in _compared(batches):
+            order = np.argsort(-equal, kind="stable")
+            links = _forest(first[order], second[order], label)
+            ends = np.sort(np.array([(node[i], node[j]) for i, j in links]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 1]), pa.array(ends[:, 0])], ["a", "b"])
+
+    likely = open_blocks(nodes, met, labels, "forest").mapInArrow(read, "a long, b long").distinct()
+    return verified(docs, nodes, staged(likely, "likely-forest"), "forest")
+
+
+def rest_links(docs: DataFrame, nodes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: verified links between the components of buckets that still hold several; every likely pair between them is decided."""
     def sift(batches):
-        similar = Similar()
-        for (band, x, y), part in _grouped(batches, 3):
-            node, label, side, n = (np.array([r[k] for r in part]) for k in range(4))
-            registers = np.stack([np.frombuffer(r[4], np.uint8) for r in part])
-            found = _likely_pairs(n, registers, _facing(side, label), similar)
-            at = np.flatnonzero(found.any(0) | found.any(1))
-            if len(at):
-                k = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([band] * k, pa.int64()), pa.array([x] * k, pa.int32()), pa.array([y] * k, pa.int32()), pa.array(node[at], pa.int64()),
-                     pa.array(label[at], pa.int64()), pa.array(side[at], pa.int32())], ["band", "x", "y", "node", "label", "side"])
-        tidy()
+        for (band, x, y), node, label, side, first, second, _ in _compared(batches):
+            at = np.unique(np.concatenate([first, second]))
+            k = len(at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([band] * k, pa.int64()), pa.array([x] * k, pa.int32()), pa.array([y] * k, pa.int32()), pa.array(node[at], pa.int64()),
+                 pa.array(label[at], pa.int64()), pa.array(side[at], pa.int32())], ["band", "x", "y", "node", "label", "side"])
 
-    likely = (rows.select("band", "x", "y", "node", "label", "side", "n", "registers").repartition("band", "x", "y")
-              .sortWithinPartitions("band", "x", "y").mapInArrow(sift, "band long, x int, y int, node long, label long, side int"))
+    likely = open_blocks(nodes, met, labels, "rest").mapInArrow(sift, "band long, x int, y int, node long, label long, side int")
     likely = staged(likely, "likely-rest")
     wanted = likely.select("node").distinct().join(nodes, "node")
     sets = staged(sets_of(docs, wanted.select("node", "doc_id", "key")), "rest-sets")
@@ -416,7 +477,7 @@ def rest_links(docs: DataFrame, nodes: DataFrame, met: DataFrame, labels: DataFr
             n = np.array([len(s) for s in sets_])
             common = _common(sets_)
             found = LINK[1] * common >= LINK[0] * (n[:, None] + n[None, :] - common)
-            links = _forest(found & _facing(side, label), label)
+            links = _forest(*np.nonzero(found & _facing(side, label)), label)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([int(node[i]) for i, _ in links], pa.int64()),
                                                   pa.array([int(node[j]) for _, j in links], pa.int64())], ["a", "b"])
@@ -441,9 +502,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = buckets(nodes)
     links = staged(star_links(docs, nodes, met), "star-links")
     labels = _components(links)
-    more = staged(rest_links(docs, nodes, met, labels), "rest-links")
-    if not more.isEmpty():
-        labels = _components(links.union(more))
+    for step in (forest_links, rest_links):
+        more = staged(step(docs, nodes, met, labels), step.__name__)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = _components(links)
 
     # Equal sets are one node, so a node of several rows is told of as well as one with links.
     known = nodes.select("node", "key", "doc_id", "copies").join(labels, "node", "left").filter("copies > 1 OR label IS NOT NULL")
