@@ -1,13 +1,16 @@
 """Operator 9, personal data: base patterns, and a linear-chain conditional random field that adds spans.
 
-The field labels tokens (runs of non-space characters) with BIO states of four kinds from the shapes of a token and its
-neighbours. Its sequences are the neighbourhoods of tokens that hold a digit, ``@`` or ``+``: such tokens with
-``CONTEXT`` tokens on either side, joined where they meet. All other tokens are outside by definition of the
-model, so texts without these characters are settled by one search. Weights come from a small labelled
-table by gradient ascent on the conditional likelihood (forward-backward); decoding is Viterbi
-over numpy batches of sequences. Spans of the field that touch a base span give way to it.
-
-The labelled table may be given; else it is a bounded sample of the documents (``SAMPLE`` rows), with the base matches as its labels.
+The field finds what the patterns cannot see: addresses written out (``name at host dot org``), octets set apart, IPv6, cards in
+groups with odd separators, phone numbers without ``+``, and secrets (keys, tokens, passwords), its own fifth kind. It labels tokens
+(runs of non-space characters) with BIO states from the shapes of a token and its neighbours. Its sequences are the
+neighbourhoods of tokens that hold a digit, ``@`` or ``+`` or spell such a sign out: these tokens with ``CONTEXT`` tokens on either
+side, joined where they meet. All other tokens are outside by definition of the model, so texts without them are settled by one
+search. Weights come from a small labelled table by gradient ascent on the conditional likelihood (forward-backward); decoding is
+Viterbi over numpy batches of sequences. Spans of the field that touch a base span give way to it.
+
+The labelled table may be given. The default one (``labelled_table``) is made by rule: ``FORMS`` writes personal data in each form,
+``PLAIN`` numbers that are none, into words of the documents, from a sample of ``SAMPLE`` texts, the least by a hash of the text, so
+neither null nor repeated ids change its size. ``measure`` gives precision and recall on a table that was not learned from.
 
 Defined cases: null and empty texts have no spans; spans of one start are ordered by kind; a text is worked on
 alone, so repeats and ties need no rule; with nothing to learn from, the field adds nothing;
@@ -15,20 +18,26 @@ further columns are kept by ``mask`` and ignored by ``find``.
 """
 
 import hashlib
+import random
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textops import share
+from waymark.llm.textops import tidy
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 800       # documents to learn from, at most about so many
+NAMES = (*KINDS, "secret")
+SAMPLE = 300       # texts that lend their words to the labelled table
+PIECE = 24         # words of each
+TIMES = 36         # examples of each form in the labelled table
 CONTEXT = 3        # tokens on either side of a token that may be personal
-EPOCHS, RATE, L2 = 50, 0.5, 1e-4
-STATES = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+KNOWN = 20_000     # tokens a worker remembers
+EPOCHS, RATE, L2 = 40, 0.5, 1e-4
+STATES = ("O", *(f"{p}-{k}" for k in NAMES for p in "BI"))
 N = len(STATES)
 
 # The base patterns of the contract.
@@ -38,7 +47,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EMAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
-_HINT = re.compile(r"[0-9@+]")
+_HINT = re.compile(r"[0-9@+]|[(\[{](?:at|AT)[)\]}]|\b(?:dot|DOT)\b")
 _TOKEN = re.compile(r"\S+")
 
 _EDGE = ".,;:!?()[]{}<>\"'|"
@@ -87,16 +96,25 @@ def base_spans(text: str) -> list:
 
 
 def shape(token: str) -> tuple:
-    """Shape features: long shape, runs, length, characters and check digits of the token without edge punctuation."""
+    """Shape features: long shape, runs, length, characters, case, changes between letters and digits, check digits and spelt
+    signs of the token without edge punctuation."""
     core = token.strip(_EDGE) or token
-    kinds = "".join("9" if c in "0123456789" else "x" if c.isalpha() else c for c in core[:24])
+    kinds = "".join("9" if c in "0123456789" else "x" if c.isalpha() else c for c in core[:48])
     runs = re.sub(r"(.)\1+", r"\1", kinds)
     digits = sum(c in "0123456789" for c in core)
-    number = re.sub(r"[ -]", "", core)
-    checks = (luhn(number) if 12 <= digits == len(number) <= 19 else None,
+    letters = [c for c in core if c.isalpha()]
+    turns = sum(a + b in ("9x", "x9") for a, b in zip(runs, runs[1:]))
+    number = re.sub(r"[^0-9]", "", core)
+    checks = (luhn(number) if 12 <= len(number) <= 19 and not letters else None,
               all(map(_small, core.split("."))) if IP.fullmatch(core) else None)
-    return (f"s={kinds}", f"r={runs}", f"d={min(digits, 20)}", f"n={min(len(core), 20)}",
-            f"a={'@' in core}{'.' in core}{core[:1] == '+'}{'-' in core}", f"p={token[:1] in '([{'}{token[-1:]}", f"v={checks}")
+    case = f"{any(c.isupper() for c in letters)}{any(c.islower() for c in letters)}"
+    word = core.lower() if core.lower() in ("at", "dot") else None
+    longest = max((len(p) for p in re.split(r"[^0-9A-Za-z]", core)), default=0)
+    hexed = longest > 3 and all(c in "0123456789abcdefABCDEF" for c in core.split("=")[-1])
+    return (f"s={kinds[:24]}", f"r={runs[:16]}", f"d={min(digits, 20)}", f"n={min(len(core), 40) // 2}", f"t={min(turns, 6)}{case}",
+            f"a={'@' in core}{'.' in core}{core[:1] == '+'}{'-' in core}{'=' in core}{core.count(':') > 1}{'_' in core}{'/' in core}",
+            f"l={min(longest, 40) // 4}{digits > 0}{bool(letters)}{case}", f"h={hexed}{longest // 8}{turns > 1}{'=' in core}",
+            f"p={token[:1] in '([{'}{token[-1:] if token[-1:] in _EDGE else ''}", f"v={checks}", f"w={word}")
 
 
 def sequences(text: str) -> list:
@@ -106,7 +124,7 @@ def sequences(text: str) -> list:
     tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
     out, last = [], -1
     for i, (_, _, token) in enumerate(tokens):
-        if _HINT.search(token):
+        if _HINT.search(token):     # as in the whole text: no hint spans two tokens
             a, z = max(0, i - CONTEXT), min(len(tokens), i + CONTEXT + 1)
             if a <= last:
                 out[-1] += tokens[last:z]
@@ -129,7 +147,7 @@ class Vocabulary(dict):
             ids = [self.features.setdefault(n, len(self.features)) for n in names]
         else:
             ids = [self.features[n] for n in names if n in self.features]
-        if len(self) > 200_000:
+        if len(self) >= KNOWN:
             self.clear()
         self[token] = ids
         return ids
@@ -262,22 +280,157 @@ def train(table: list) -> dict:
     return {"features": vocabulary.features, "weights": weights, "trans": trans}
 
 
-def labelled_table(docs: DataFrame, bound: int = SAMPLE) -> list:
-    """The default labelled table: a bounded sample of rows with a digit, '@' or '+', labelled by the base patterns."""
-    rows = docs.select("doc_id", "text").filter(F.col("text").rlike(r"[0-9@+]"))
-    rate = min(1.0, bound / max(1, rows.count()))
-    picked = rows.filter(share(F.coalesce(F.col("doc_id"), F.lit(0)), 9) < rate).orderBy(F.xxhash64("doc_id", "text"))
+def _digits(rng, n: int) -> str:
+    return "".join(rng.choice("0123456789") for _ in range(n))
+
+
+def _card(rng) -> str:
+    """A card number with a right check digit."""
+    body = rng.choice("3456") + _digits(rng, rng.choice([14, 14, 14, 13, 15]) )
+    return next(body + d for d in "0123456789" if luhn(body + d))
+
+
+def _no_card(rng) -> str:
+    """As long as a card number, with a wrong check digit."""
+    body = _digits(rng, rng.randint(12, 18))
+    return next(body + d for d in "5061728394" if not luhn(body + d))
+
+
+def _grouped_card(rng, separator: str, number: str = None) -> str:
+    number = number or _card(rng)
+    return separator.join(number[i:i + 4] for i in range(0, len(number), 4))
+
+
+def _name(rng, words) -> str:
+    return "".join(c for c in rng.choice(words).lower() if c.isalnum()) or "mail"
+
+
+def _letters(rng, n: int, alphabet: str) -> str:
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_HEX = "0123456789abcdef"
+_ENDS = ("org", "com", "net", "de", "fr", "example", "io")
+_KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth", "key")
+
+
+def _octets(rng, separator: str) -> str:
+    return separator.join(str(rng.randrange(256)) for _ in range(4))
+
+
+def _six(rng) -> str:
+    parts = [format(rng.randrange(1 << 16), "x") for _ in range(rng.randint(5, 8))]
+    if len(parts) < 8:
+        parts[rng.randrange(1, len(parts) - 1)] = ""
+    return ":".join(parts)
+
+
+# Forms of personal data that the base patterns do not see, and some that they do: kind and how one is written.
+FORMS = (
+    ("email", lambda r, w: f"{_name(r, w)} at {_name(r, w)} dot {r.choice(_ENDS)}"),
+    ("email", lambda r, w: f"{_name(r, w)} (at) {_name(r, w)} (dot) {r.choice(_ENDS)}"),
+    ("email", lambda r, w: f"{_name(r, w)}.{_name(r, w)} [at] {_name(r, w)} [dot] {r.choice(_ENDS)}"),
+    ("email", lambda r, w: f"{_name(r, w)}{r.randrange(99)} @ {_name(r, w)}.{r.choice(_ENDS)}"),
+    ("email", lambda r, w: f"{_name(r, w)}.{r.randrange(99)}@{_name(r, w)}{r.randrange(9)}.{_name(r, w)}.{r.choice(_ENDS)}"),
+    ("ip", lambda r, w: _six(r)),
+    ("ip", lambda r, w: _octets(r, " . ")),
+    ("ip", lambda r, w: _octets(r, "[.]")),
+    ("ip", lambda r, w: _octets(r, ".")),
+    ("card", lambda r, w: _grouped_card(r, ".")),
+    ("card", lambda r, w: _grouped_card(r, "/")),
+    ("card", lambda r, w: _grouped_card(r, "_")),
+    ("card", lambda r, w: _grouped_card(r, "  ")),
+    ("card", lambda r, w: _card(r)),
+    ("phone", lambda r, w: f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}"),
+    ("phone", lambda r, w: f"0{_digits(r, 2)}-{_digits(r, 4)}-{_digits(r, 4)}"),
+    ("phone", lambda r, w: f"{r.randint(2, 9)}{_digits(r, 2)}.{_digits(r, 3)}.{_digits(r, 4)}"),
+    ("phone", lambda r, w: f"00{r.randint(30, 49)} {_digits(r, 2)} {_digits(r, 7)}"),
+    ("phone", lambda r, w: f"+{r.randint(1, 49)} ({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}"),
+    ("secret", lambda r, w: "AKIA" + _letters(r, 16, _UPPER)),
+    ("secret", lambda r, w: f"{r.choice(_KEYS)}={_letters(r, r.randint(12, 40), _HEX)}"),
+    ("secret", lambda r, w: f"{r.choice(_KEYS)}={_letters(r, r.randint(10, 30), _MIXED)}"),
+    ("secret", lambda r, w: r.choice(("ghp_", "xoxb-", "sk_live_", "AIza")) + _letters(r, r.randint(24, 36), _MIXED)),
+    ("secret", lambda r, w: _letters(r, r.choice([32, 40, 64]), _HEX)),
+)
+
+# Numbers and words that are no personal data.
+PLAIN = (
+    lambda r: str(r.randint(1000, 2100)), lambda r: str(r.randrange(100)), lambda r: f"{r.randrange(20)}.{r.randrange(10)}",
+    lambda r: f"{r.randrange(5)}.{r.randrange(20)}.{r.randrange(30)}", lambda r: f"v{r.randrange(9)}.{r.randrange(20)}.{r.randrange(9)}",
+    lambda r: f"{r.randrange(24)}:{r.randrange(60):02d}", lambda r: f"20{r.randrange(30):02d}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
+    lambda r: f"{r.randint(1, 28)}/{r.randint(1, 12)}/19{r.randrange(100):02d}", lambda r: f"{r.randrange(1000)},{r.randrange(1000):03d}",
+    lambda r: f"{r.randrange(100)}%", lambda r: f"${r.randrange(1000)}.{r.randrange(100):02d}", lambda r: f"{r.randrange(99)}-{r.randrange(99)}",
+    lambda r: f"x{r.randrange(100)}", lambda r: f"B{r.randrange(20)}", lambda r: f"{r.randrange(100)}km", lambda r: f"#{r.randrange(10000)}",
+    lambda r: _digits(r, r.randint(5, 8)), lambda r: f"({r.randrange(30)})", lambda r: f"No. {r.randrange(100)}", lambda r: f"at {r.randrange(13)} o'clock",
+    lambda r: f"Version {r.randrange(9)}.0.", lambda r: f"{r.randrange(10)} + {r.randrange(10)} = {r.randrange(20)}", lambda r: "the dot above",
+    lambda r: _no_card(r), lambda r: _no_card(r), lambda r: _grouped_card(r, r.choice("./_- "), _no_card(r)),
+    lambda r: f"at and {r.randrange(20)}", lambda r: f"{r.randrange(20)} at an", lambda r: "a dot", lambda r: f"{r.randrange(50)} . {r.randrange(50)}",
+    lambda r: f"{r.randrange(300, 999)}.{r.randrange(999)}.{r.randrange(999)}.{r.randrange(999)}", lambda r: "@home", lambda r: f"[{r.randrange(99)}]", lambda r: f"{r.randrange(9)}th", lambda r: f"{r.randrange(99)}x{r.randrange(99)}",
+)
+
+
+def written_table(pieces: list, times: int = TIMES, seed: int = 23) -> list:
+    """(text, [(start, kind number, end)]): each form ``times`` times, and as many plain numbers, among words of the pieces."""
+    words = [w for p in pieces for w in p if not _HINT.search(w)]
+    if not words:
+        return []
+    rng, table = random.Random(seed), []
+    for form in (*FORMS, *((None, p) for p in PLAIN)):
+        for _ in range(times):
+            begin = rng.randrange(len(words))
+            around = words[begin:begin + 2 * CONTEXT + 2]
+            cut = rng.randrange(len(around) + 1)
+            left, right = " ".join(around[:cut]), " ".join(around[cut:])
+            body = form[1](rng) if form[0] is None else form[1](rng, words)
+            quote = rng.choice(["", "", "", '"', "'", ","]) if form[0] else ""
+            text = f"{left} {quote if quote != ',' else ''}" if left else quote if quote != "," else ""
+            start = len(text)
+            text += body + quote + (f" {right}" if right else "")
+            inner = body.strip(_EDGE)
+            start += body.index(inner)
+            table.append((text, [(start, NAMES.index(form[0]), start + len(inner))] if form[0] else []))
+    return table
+
+
+def pieces(docs: DataFrame, bound: int = SAMPLE) -> list:
+    """Words of at most ``bound`` different texts, those of the least hash: one pass, ``bound`` pieces from a partition at most."""
+    def least(batches):
+        held = {}
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if key not in held and (len(held) < bound or key < top):
+                    words = text.as_py()[:4096].split()
+                    at = key % max(1, len(words) - PIECE)
+                    held[key] = words[at:at + PIECE]
+                    if len(held) > bound:
+                        del held[max(held)]
+                    top = max(held)
+        rows = sorted(held.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.list_(pa.string()))],
+                                         ["key", "words"])
+
+    texts = docs.select(F.xxhash64("text").alias("key"), F.col("text")).filter("text IS NOT NULL AND text <> ''")
+    found = texts.mapInArrow(least, "key long, words array<string>").dropDuplicates(["key"]).orderBy("key").limit(bound)
+    return [r["words"] for r in found.collect()]
 
-    def around(texts: pd.Series) -> pd.Series:
-        """Only the sequences' surroundings leave the executors, cut at token boundaries."""
-        out = []
-        for text in texts:
-            parts = [text[s[0][0]:s[-1][1]] for s in sequences(text)]
-            out.append("\n".join(parts[:: max(1, len(parts) // 20)]))
-        return pd.Series(out)
 
-    texts = [r["t"] for r in picked.select(F.pandas_udf(around, "string")("text").alias("t")).collect()]
-    return [(t, base_spans(t)) for t in texts]
+def labelled_table(docs: DataFrame, bound: int = SAMPLE) -> list:
+    """The default labelled table, made by rule with words of the documents."""
+    return written_table(pieces(docs, bound))
+
+
+def measure(model, table: list) -> dict:
+    """kind -> (precision, recall) of the field alone on a labelled table, spans exact."""
+    found = field_spans([t for t, _ in table], model)
+    out = {}
+    for k, name in enumerate(NAMES):
+        told = {(i, *s) for i, spans in enumerate(found) for s in spans if s[1] == k}
+        true = {(i, *s) for i, (_, spans) in enumerate(table) for s in spans if s[1] == k}
+        right = len(told & true)
+        out[name] = right / len(told) if told else 1.0, right / len(true) if true else 1.0
+    return out
 
 
 def field_spans(texts, model) -> list:
@@ -298,9 +451,11 @@ def field_spans(texts, model) -> list:
         for (start, end, token), state in zip(seq, states[at:at + len(seq)].tolist()):
             kind = (state - 1) // 2 if state else None
             core = token.strip(_EDGE)
-            if kind is None or not core:
+            if kind is None:
                 open_kind = None
                 continue
+            if not core:
+                continue                # a sign between the parts of a span, or nothing
             start += token.index(core)
             end = start + len(core)
             if open_kind == kind and state == 2 + 2 * kind:
@@ -321,19 +476,20 @@ def _spans(texts, model):
 
 
 def _written(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
+    return ",".join(f"{NAMES[k]}:{a}:{z}" for a, k, z in spans)
 
 
 def find(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, counts of base spans, digest of the base spans, all spans."""
+    """key, counts of base spans, digest of the base spans, all spans and their number."""
     def spans(column: pd.Series) -> pd.DataFrame:
         rows = []
         for base, whole in _spans(column.fillna("").tolist(), model):
             kinds = [s[1] for s in base]
-            rows.append([*map(kinds.count, range(4)), hashlib.sha256(_written(base).encode()).hexdigest(), _written(whole)])
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            rows.append([*map(kinds.count, range(4)), hashlib.sha256(_written(base).encode()).hexdigest(), _written(whole),
+                         len(whole)])
+        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    found = F.pandas_udf(spans, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    found = F.pandas_udf(spans, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
     return docs.select(F.col(key), found(F.col(text)).alias("_f")).select(key, "_f.*")
 
 
@@ -342,7 +498,7 @@ def masked(text: str, spans) -> str:
     parts, at = [], 0
     for start, kind, end in spans:
         if start >= at:
-            parts += [text[at:start], f"<{KINDS[kind].upper()}>"]
+            parts += [text[at:start], f"<{NAMES[kind].upper()}>"]
         at = max(at, end)
     return "".join([*parts, text[at:]])
 
