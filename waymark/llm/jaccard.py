@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textops import WordHash, shingles, staged, with_hit, without
+from waymark.llm.textops import WordHash, shingles, staged, tidy, with_hit, without
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 11) ->
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(values))],
                 ["doc_id", "key", "bands"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, key binary, bands array<long>")
 
@@ -115,8 +116,10 @@ def components(edges: DataFrame) -> DataFrame:
         spread = low.select("band", "low", salts)
         moved = edges.join(spread, ["band", "salt"]).groupBy("node").agg(F.min("low").alias("label"))
         # Labels are nodes themselves, so a node may go on to the label of its label at once.
-        ahead = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        now = staged(moved.join(ahead, "label", "left").select(
+        # Nodes that are their own label cannot take anyone further; a label of many nodes is spread over salts.
+        ahead = moved.filter("label < node").select(F.col("node").alias("label"), F.col("label").alias("further"), salts)
+        salted = moved.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        now = staged(salted.join(ahead, ["label", "salt"], "left").select(
             "node", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         if labels is not None and now.join(labels, ["node", "label"], "left_anti").isEmpty():
             return now
@@ -186,6 +189,7 @@ def verify(blocks: DataFrame, threshold: float) -> DataFrame:
         flush()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        tidy()
 
     return (blocks.select("component", "a", "b", "node", "n_copies", "side", "grams")
             .repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
@@ -206,6 +210,7 @@ def _with_grams(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary()),
                  pa.array(found.values(), pa.binary())], ["_id", "_key", "grams"])
+        tidy()
 
     return texts.select("doc_id", "text").mapInArrow(read, "_id long, _key binary, grams binary")
 
@@ -220,8 +225,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     full = staged(member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "bands")
     meeting = with_hit(member, "band", full).filter("__hit").drop("__hit")
     component = components(staged(meeting.join(full, "band"), "edges"))
-    sizes = component.groupBy("label").agg(F.count("*").alias("n"))
-    wanted = component.join(sizes, "label").select(
+    sizes = component.groupBy("label").agg(F.count("*").alias("n")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = component.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    wanted = salted.join(sizes, ["label", "salt"]).select(
         "node", F.col("label").alias("component"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     about = lists.select("node", "key", F.col("doc_id").alias("_id"), "n_copies")
     wanted = staged(wanted.join(about, "node"), "wanted")
@@ -269,11 +276,13 @@ def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
     kept = without(docs, "doc_id", staged(copies.union(twice).distinct(), "gone"))
     if twice.isEmpty():
         return kept
-    # Ids in several rows: there the words decide which row is meant, and one of equal rows stays.
+    # Ids in several rows: there the words decide which row is meant, and one of equal rows stays. Whole rows go as one
+    # struct, so that no column of theirs can clash with the names here.
     again = keep.join(twice, keep["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi").select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    docs = with_hit(docs, "doc_id", twice).filter("__hit").drop("__hit")
-    keyed = docs.withColumn("_own", F.pandas_udf(
-        lambda c: pd.Series([key_of(words_of(t)) for t in c], dtype=object), "binary")(F.col("text")))
-    more = keyed.join(again, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
-    return kept.unionByName(more.dropDuplicates(["_id", "_key"]).select(*docs.columns))
+        F.col("doc_id").alias("id"), "key").distinct()
+    some = with_hit(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"),
+                                F.col("text").alias("own_text")), "own_id", twice).filter("__hit").drop("__hit")
+    keyed = some.withColumn("own", F.pandas_udf(
+        lambda c: pd.Series([key_of(words_of(t)) for t in c], dtype=object), "binary")(F.col("own_text")))
+    more = keyed.join(again, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")))
+    return kept.unionByName(more.dropDuplicates(["id", "key"]).select("row.*"))

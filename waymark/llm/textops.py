@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from waymark.sources.tables import shared_dir
 
-WORD_CACHE = 100_000  # distinct words a task remembers; then the cache starts anew
+WORD_CACHE = 50_000  # distinct words a task remembers; then the cache starts anew
 
 
 def lean_batches(spark) -> None:
     """Texts may be very long, so Arrow batches are kept smaller than Spark's defaults, unless the session says otherwise."""
-    for key, usual, own in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "16777216b")):
+    for key, usual, own in (("maxRecordsPerBatch", "10000", "500"), ("maxBytesPerBatch", "67108864b", "4194304b")):
         key = f"spark.sql.execution.arrow.{key}"
         if spark.conf.get(key, None) == usual:
             spark.conf.set(key, own)
