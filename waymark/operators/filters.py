@@ -140,6 +140,12 @@ def keep_dates(rows: DataFrame, dates: DataFrame, tz: str = LOCAL_TIMEZONE) -> D
     )
 
 
+def keep_folders(rows: DataFrame, days: DataFrame, day: str = "local_date") -> DataFrame:
+    """``keep_dates`` for a table written by date (``tables.write_by_date``): the rows of the listed days. ``days`` should be a
+    written table with a filter of its own; the dates it leaves then prune the folders at run time, before any file is opened."""
+    return rows.join(days.select(day), day, "left_semi")
+
+
 def _names(number: Column, names: dict) -> Column:
     known = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
     return F.coalesce(F.element_at(known, number), F.concat(F.lit("unknown-"), number))

@@ -1,17 +1,15 @@
 """Queries for Location, Count, Track, Revisits, Activities and cleaning (L, N, T, R, A, C)."""
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from waymark.operators import activities as act
 from waymark.operators import cleaning, count, filters, joins, location, revisits, track
-from waymark.params import CAMPUS, DISTRICT, HISTORICAL_CLEANING, MAINTAINED
+from waymark.params import CAMPUS, DISTRICT, MAINTAINED
 from waymark.plans import stages
 from waymark.plans.catalog_scans import UPTIME_SQL
 from waymark.plans.context import Context, query
 from waymark.plans.oracle import (
-    BANDS, EPISODES, GPS, KST, RAW, TRIPS, VISITS, big, day, day_type, episodes, hour, r6, utc_text,
+    BANDS, EPISODES, GPS, KST, RAW_PLANTED, TRIPS, VISITS, big, day, day_type, episodes, hour, r6, utc_text,
     with_base,
 )
 from waymark.sources.tables import stager
@@ -734,16 +732,14 @@ hsess AS (
 moving AS (SELECT * FROM stable WHERE address NOT IN (SELECT address FROM hsess WHERE dur >= {limit})),
 frequent AS (SELECT * FROM moving WHERE address IN
                (SELECT address FROM moving GROUP BY 1 HAVING count(*) >= {rare}))"""
-# lower limits than the defaults, so that both rules drop identifiers of these tables
-_HIST = replace(HISTORICAL_CLEANING, stationary_seconds=4000, min_detections=2500)
-HIST_SQL = RAW + HIST.format(limit=4000, rare=2500)
+HIST_SQL = RAW_PLANTED + HIST.format(limit=7200, rare=5)
 
 
 @query("clean_c4_historical", with_base(
     f"""SELECT substr(sha256(lower(trim(address))), 1, 16) AS source_address, sensor AS sensor_name,
         count(*) AS n, {big('sum(rssi)')} AS rssi_total FROM frequent GROUP BY 1, 2""", HIST_SQL))
 def _(c: Context):
-    rows = cleaning.clean_historical(c.raw, _HIST)
+    rows = cleaning.clean_historical(c.raw_planted)
     return rows.groupBy("source_address", "sensor_name").agg(
         F.count("*").alias("n"), F.sum("rssi").alias("rssi_total"))
 

@@ -11,7 +11,7 @@ from waymark.operators import (
     aggregate, cleaning, count, diagnostics, disclosure, filters, joins, location, release,
 )
 from waymark.params import CAMPUS
-from waymark.plans.catalog_metrics import _HIST, _SEC, GT_SQL, HIST_SQL, HOURLY
+from waymark.plans.catalog_metrics import _SEC, GT_SQL, HIST_SQL, HOURLY
 from waymark.plans.context import Context, query
 from waymark.plans.oracle import (
     BANDS, GPS, KST, RAW, TRIPS, VISITS, big, day, day_type, hour, r6, with_base,
@@ -109,7 +109,7 @@ def _(c: Context):
        UNION ALL SELECT 2, 'after_stationary', count(*), count(DISTINCT address) FROM moving
        UNION ALL SELECT 3, 'after_rare', count(*), count(DISTINCT address) FROM frequent""", HIST_SQL))
 def _(c: Context):
-    return cleaning.cleaning_funnel(c.raw, _HIST)
+    return cleaning.cleaning_funnel(c.raw_planted)
 
 
 @query("agg_g9_mean_sd", with_base(

@@ -50,9 +50,9 @@ def _(c: Context):
 
 SENSOR_STREAMS = RAW + """,
 sstreams AS (SELECT site, sensor, t // 3600 AS h, count(DISTINCT address) FILTER (WHERE rnd) AS a,
-                    count(DISTINCT address) FILTER (WHERE NOT rnd) AS b FROM valid GROUP BY 1, 2, 3),
+                    count(DISTINCT address) FILTER (WHERE NOT rnd) AS b FROM valid {rows} GROUP BY 1, 2, 3),
 sdiag AS (
-  SELECT site, sensor, CASE WHEN count(*) FILTER (WHERE b > 0) >= 100 THEN corr(a, b) END AS pearson_r,
+  SELECT site, sensor, CASE WHEN count(*) FILTER (WHERE b > 0) >= 10 THEN corr(a, b) END AS pearson_r,
          count(*) AS n_hours, avg(a) AS mean_rand, median(a) AS median_rand,
          count(*) FILTER (WHERE a <= 2) * 100.0 / count(*) AS pct_zero_rand,
          stddev_samp(a) / nullif(avg(a), 0) AS cv_rand, avg(b) AS mean_nonrand, median(b) AS median_nonrand,
@@ -61,9 +61,12 @@ sdiag AS (
 
 
 @query("random_b4_sensor_correlation", with_base(
-    f"SELECT site, sensor AS sensor_name, {r6('pearson_r')} AS pearson_r, n_hours FROM sdiag", SENSOR_STREAMS))
+    f"SELECT site, sensor AS sensor_name, {r6('pearson_r')} AS pearson_r, n_hours FROM sdiag",
+    SENSOR_STREAMS.replace("FROM valid {rows}", "FROM valid WHERE NOT (sensor IN ('s03', 's07') AND t // 3600 % 211 <> 0)")))
 def _(c: Context):
-    return diagnostics.sensor_correlation(_hourly(c, "sensor_name"), 100)
+    """Two sensors are heard in a few hours only, too few for the default."""
+    scarce = F.col("sensor_name").isin("s03", "s07") & (F.floor(F.unix_seconds("timestamp") / 3600) % 211 != 0)
+    return diagnostics.sensor_correlation(diagnostics.hourly_streams(diagnostics.flagged(c.raw.filter(~scarce)), "sensor_name"))
 
 
 _DIAG = ", ".join(f"{r6(f'{v}_{n}')} AS {v}_{n}" for n in ("rand", "nonrand")
@@ -71,7 +74,7 @@ _DIAG = ", ".join(f"{r6(f'{v}_{n}')} AS {v}_{n}" for n in ("rand", "nonrand")
 
 
 @query("random_b5_sensor_diagnostics", with_base(
-    f"SELECT site, sensor AS sensor_name, {_DIAG} FROM sdiag", SENSOR_STREAMS))
+    f"SELECT site, sensor AS sensor_name, {_DIAG} FROM sdiag", SENSOR_STREAMS.replace("{rows}", "")))
 def _(c: Context):
     return diagnostics.sensor_diagnostics(_hourly(c, "sensor_name"))
 
@@ -82,7 +85,7 @@ def _(c: Context):
                 AND x.sensor = s.sensor AND x.b > 0) >= 10 THEN pearson_r END AS pearson_r) FROM sdiag s) d
         JOIN (SELECT site, sensor, count(*) AS n_detections FROM valid GROUP BY 1, 2) n
           ON n.site = d.site AND n.sensor = d.sensor""",
-    SENSOR_STREAMS.replace(">= 100 THEN", ">= 0 THEN")))
+    SENSOR_STREAMS.replace("{rows}", "").replace(">= 10 THEN", ">= 0 THEN")))
 def _(c: Context):
     rows = diagnostics.flagged(c.raw)
     return diagnostics.sensor_detail(rows, diagnostics.hourly_streams(rows, "sensor_name"))
@@ -93,10 +96,10 @@ def _(c: Context):
         {r6('quantile_cont(pearson_r, 0.25)')} AS r_q25, {r6('quantile_cont(pearson_r, 0.75)')} AS r_q75,
         count(*) FILTER (WHERE pearson_r > 0.9) AS n_above_09,
         {r6('count(*) FILTER (WHERE pearson_r > 0.9) * 100.0 / count(*)')} AS pct_above_09
-        FROM sdiag WHERE pearson_r IS NOT NULL GROUP BY 1""", SENSOR_STREAMS))
+        FROM sdiag WHERE pearson_r IS NOT NULL GROUP BY 1""", SENSOR_STREAMS.replace("{rows}", "")))
 def _(c: Context):
     return diagnostics.site_correlation_summary(
-        diagnostics.sensor_correlation(_hourly(c, "sensor_name"), 100))
+        diagnostics.sensor_correlation(_hourly(c, "sensor_name")))
 
 
 @query("random_b7_fit_line", with_base(_FIT, STREAMS))
@@ -393,15 +396,21 @@ def _(c: Context):
     return disclosure.as_percent(disclosure.disclosure_indicators(c.t20, "site", RESIDENTIAL, c.stage()))
 
 
-# The same patterns without look-around, which DuckDB's regular expressions lack.
+# Fixed values, written out again for the counterpart: markers by class, and the patterns without look-around, which DuckDB's
+# regular expressions lack.
+_WORDS = {
+    "private identifier-mapping field": "internal_source_address public_source_address mapping_file mapping_path",
+    "release-key field or file marker": "key_file key_path key_hex secret_key private_key release.key",
+    "raw capture field": "raw_mac_address destination_address frame_bytes packet_bytes bssid ssid",
+}
 _RE2 = {
     "MAC-like value": r"(?i)(^|[^0-9a-f])([0-9a-f]{2}[:-]){5}[0-9a-f]{2}([^0-9a-f]|$)",
-    "private-key block": scan.PATTERNS["private-key block"],
+    "private-key block": r"(?i)-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----",
     "AWS access token": r"(^|[^A-Z0-9])AKIA[0-9A-Z]{16}([^A-Z0-9]|$)",
-    "GitHub access token": scan.PATTERNS["GitHub access token"],
-    "Google API token": scan.PATTERNS["Google API token"],
-    "Slack access token": scan.PATTERNS["Slack access token"],
-    "credential-bearing URL": scan.PATTERNS["credential-bearing URL"],
+    "GitHub access token": r"(?i)(github_pat_[a-z0-9_]{20}|gh[opusr]_[a-z0-9_]{20})",
+    "Google API token": r"AIza[0-9A-Za-z_-]{35}",
+    "Slack access token": r"xox[baprs]-[0-9A-Za-z-]{20}",
+    "credential-bearing URL": r"(?i)https?://[^/\s:@]{1,64}:[^/\s@]{4,}@",
     "assigned credential or key material": (
         r"(?i)(^|[^a-z0-9_])(api[_-]?key|secret[_-]?key|access[_-]?token|auth[_-]?token|password|passwd|"
         r"private[_-]?key|deployment[_-]?key|release[_-]?key)\s*[\"']?\s*[:=]\s*[\"']?"
@@ -410,19 +419,19 @@ _RE2 = {
 
 
 def _scan_sql(table, key, text):
-    classes = [f"CASE WHEN {' OR '.join(f'contains(lower({text}), {chr(39)}{w}{chr(39)})' for w in words)} "
-               f"THEN '{name}' END" for name, words in scan.MARKERS.items()]
+    classes = [f"CASE WHEN {' OR '.join(f'contains(lower({text}), {chr(39)}{w}{chr(39)})' for w in words.split())} "
+               f"THEN '{name}' END" for name, words in _WORDS.items()]
     classes += [f"CASE WHEN regexp_matches({text}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{name}' END"
                 for name, p in _RE2.items()]
     return f"SELECT * FROM (SELECT {key}, unnest([{', '.join(classes)}]) AS finding FROM {table}) " \
            "WHERE finding IS NOT NULL"
 
 
-# The documents name no class the scan looks for, so each class is planted in some of them:
-# values come from the document number, its hash and the tokens the texts do contain.
+# The tables name no class the scan looks for, so each class is planted in some of their rows:
+# values come from the row's number, its hash and the tokens the texts do contain.
 
-def _planted_documents(c):
-    h, n = F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id") % 12
+def _planted(c, table, key, column):
+    h, n = F.md5(F.col(key).cast("string").cast("binary")), F.col(key) % 12
     address = F.concat_ws(":", *[F.substring(h, 2 * i + 1, 2) for i in range(6)])
     extra = (
         F.when(n == 0, address).when(n == 1, F.concat(F.lit("x"), address, F.lit("-")))
@@ -432,32 +441,36 @@ def _planted_documents(c):
         .when(n == 7, F.lit("Mapping_File")).when(n == 8, F.lit("key_hex")).when(n == 9, F.lit("BSSID"))
         .when(n == 10, F.concat(F.lit("-----BEGIN "), F.lit("PRIVATE KEY-----"))).otherwise("")
     )
-    text = F.replace(F.col("text"), F.lit('token = "'), F.lit('access_token = "'))
-    return c.table("documents").select("doc_id", F.concat(text, F.lit(" "), extra).alias("text"))
+    text = F.replace(F.col(column), F.lit('token = "'), F.lit('access_token = "'))
+    return c.table(table).select(key, F.concat(text, F.lit(" "), extra).alias(column))
 
 
-_PLANTED_SQL = """(SELECT doc_id, replace(text, 'token = "', 'access_token = "') || ' ' || CASE doc_id % 12
+def _planted_sql(table, key, column):
+    return f"""(SELECT {key}, replace({column}, 'token = "', 'access_token = "') || ' ' || CASE {key} % 12
     WHEN 0 THEN a WHEN 1 THEN 'x' || a || '-' WHEN 2 THEN 'AKIA' || upper(substr(h, 1, 16)) WHEN 3 THEN 'ghp_' || h
     WHEN 4 THEN 'AIza' || h || 'abc' WHEN 5 THEN 'xoxb-' || h WHEN 6 THEN 'http://u:' || h || '@host'
     WHEN 7 THEN 'Mapping_File' WHEN 8 THEN 'key_hex' WHEN 9 THEN 'BSSID'
-    WHEN 10 THEN '-----BEGIN ' || 'PRIVATE KEY-----' ELSE '' END AS text
+    WHEN 10 THEN '-----BEGIN ' || 'PRIVATE KEY-----' ELSE '' END AS {column}
   FROM (SELECT *, substr(h, 1, 2) || ':' || substr(h, 3, 2) || ':' || substr(h, 5, 2) || ':' || substr(h, 7, 2)
                || ':' || substr(h, 9, 2) || ':' || substr(h, 11, 2) AS a
-        FROM (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)))"""
+        FROM (SELECT *, md5(CAST({key} AS VARCHAR)) AS h FROM {table})))"""
+
+
+_DOCUMENTS, _PAGES = ("documents", "doc_id", "text"), ("pages", "page_id", "html")
 
 
-@query("disclosure_x17_document_findings", _scan_sql(_PLANTED_SQL, "doc_id", "text"))
+@query("disclosure_x17_document_findings", _scan_sql(_planted_sql(*_DOCUMENTS), "doc_id", "text"))
 def _(c: Context):
-    return scan.content_findings(_planted_documents(c), "doc_id", "text")
+    return scan.content_findings(_planted(c, *_DOCUMENTS), "doc_id", "text")
 
 
 @query("disclosure_x17_page_scan",
-       f"SELECT finding, count(*) AS n_texts FROM ({_scan_sql('pages', 'page_id', 'html')}) GROUP BY 1")
+       f"SELECT finding, count(*) AS n_texts FROM ({_scan_sql(_planted_sql(*_PAGES), 'page_id', 'html')}) GROUP BY 1")
 def _(c: Context):
-    return scan.content_scan(c.table("pages"), "page_id", "html")
+    return scan.content_scan(_planted(c, *_PAGES), "page_id", "html")
 
 
 @query("disclosure_x17_document_scan",
-       f"SELECT finding, count(*) AS n_texts FROM ({_scan_sql(_PLANTED_SQL, 'doc_id', 'text')}) GROUP BY 1")
+       f"SELECT finding, count(*) AS n_texts FROM ({_scan_sql(_planted_sql(*_DOCUMENTS), 'doc_id', 'text')}) GROUP BY 1")
 def _(c: Context):
-    return scan.content_scan(_planted_documents(c), "doc_id", "text")
+    return scan.content_scan(_planted(c, *_DOCUMENTS), "doc_id", "text")

@@ -12,7 +12,7 @@ from waymark.params import MAINTAINED
 from waymark.plans import stages
 from waymark.plans.context import Context, query
 from waymark.plans.oracle import (
-    GPS, KST, PLANTED, RAW, big, day, day_type, hour, r6, utc_text as sql_utc, with_base,
+    GPS, KST, PLANTED, RAW, RAW_PLANTED, big, day, day_type, hour, r6, utc_text as sql_utc, with_base,
 )
 from waymark.sources import published, tables
 from waymark.streaming import flows, ledger
@@ -326,9 +326,9 @@ def _raw_counts(rows):
         F.count("*").alias("n"), F.sum("rssi").alias("rssi_total"))
 
 
-def _raw_sql(rows):
+def _raw_sql(rows, raw=RAW):
     return with_base(f"""SELECT address AS source_address, site, count(*) AS n,
-        {big('sum(rssi)')} AS rssi_total FROM {rows} GROUP BY 1, 2""", RAW)
+        {big('sum(rssi)')} AS rssi_total FROM {rows} GROUP BY 1, 2""", raw)
 
 
 @query("filter_f4_invalid_addresses", _raw_sql("valid"))
@@ -356,9 +356,9 @@ def _(c: Context):
 
 @query("filter_f8_rare_identifiers", _raw_sql(
     """(SELECT * FROM valid WHERE address IN
-        (SELECT address FROM valid GROUP BY 1 HAVING count(*) >= 1500))"""))
+        (SELECT address FROM valid GROUP BY 1 HAVING count(*) >= 5))""", RAW_PLANTED))
 def _(c: Context):
-    return _raw_counts(filters.drop_rare(filters.drop_invalid_addresses(c.raw), 1500))
+    return _raw_counts(filters.drop_rare(filters.drop_invalid_addresses(c.raw_planted)))
 
 
 @query("filter_f9_sensors", with_base(
@@ -369,22 +369,30 @@ def _(c: Context):
     return rows.groupBy("sensor_name").agg(F.count("*").alias("n"))
 
 
-_NIGHT = f"""(SELECT id, count(DISTINCT (w + {KST}) // 86400) AS night_days FROM loc
-              WHERE {hour('w')} <= 4 GROUP BY id HAVING count(DISTINCT (w + {KST}) // 86400) >= 15)"""
+# Nights are thinned to a few for each identifier, so that the default tells them apart.
+_FEW = f"(SELECT * FROM loc WHERE {hour('w')} > 4 OR ((w + {KST}) // 86400 * 7 + ascii(substr(id, 1, 1))) % 5 = 0)"
+_NIGHT = f"""(SELECT id, count(DISTINCT (w + {KST}) // 86400) AS night_days FROM {_FEW}
+              WHERE {hour('w')} <= 4 GROUP BY id HAVING count(DISTINCT (w + {KST}) // 86400) >= 3)"""
+
+
+def _few_nights(c):
+    here = F.unix_seconds("timestamp") + KST
+    few = (F.floor(here / 86400) * 7 + F.ascii(F.substring("source_address", 1, 1))) % 5 == 0
+    return c.located.filter((F.floor(here / 3600) % 24 > 4) | few)
 
 
 @query("filter_f10_night_persistence", with_base(
-    f"""SELECT id AS source_address, count(*) AS n FROM loc
+    f"""SELECT id AS source_address, count(*) AS n FROM {_FEW}
         WHERE id NOT IN (SELECT id FROM {_NIGHT}) GROUP BY 1"""))
 def _(c: Context):
-    kept = filters.drop_night_persistent(c.located, min_days=15)
+    kept = filters.drop_night_persistent(_few_nights(c))
     return kept.groupBy("source_address").agg(F.count("*").alias("n"))
 
 
 @query("filter_f10_night_persistent_ids", with_base(
     f"SELECT id AS source_address, night_days FROM {_NIGHT}"))
 def _(c: Context):
-    return filters.night_persistent(c.located, min_days=15)
+    return filters.night_persistent(_few_nights(c))
 
 
 UPTIME_SQL = f""",
@@ -400,13 +408,38 @@ valid_days AS (
   FROM uptime GROUP BY d)"""
 
 
-@query("filter_f11_valid_days", with_base(
-    f"""SELECT id AS source_address, count(*) AS n FROM loc
-        WHERE (w + {KST}) // 86400 IN (SELECT d FROM valid_days WHERE pct_healthy >= 60) GROUP BY 1""",
-    UPTIME_SQL))
+# Some sensors are silent on every fourth day: five of 17 on the second, three of 17 on the fourth of four.
+_SILENT = f""",
+heard AS (
+  SELECT * FROM loc WHERE NOT (((w + {KST}) // 86400 % 4 = 1 AND CAST(substr(sensor, 2) AS INT) % 4 = 0)
+                               OR ((w + {KST}) // 86400 % 4 = 3 AND CAST(substr(sensor, 2) AS INT) % 8 = 0)))"""
+
+
+def _heard(c):
+    day, number = F.floor((F.unix_seconds("timestamp") + KST) / 86400) % 4, F.substring("sensor_name", 2, 2).cast("int")
+    return c.located.filter(~(((day == 1) & (number % 4 == 0)) | ((day == 3) & (number % 8 == 0))))
+
+
+_VALID_ROWS = with_base(
+    f"""SELECT id AS source_address, count(*) AS n FROM heard
+        WHERE (w + {KST}) // 86400 IN (SELECT d FROM valid_days WHERE pct_healthy >= 80) GROUP BY 1""",
+    _SILENT, UPTIME_SQL.replace("FROM loc GROUP BY", "FROM heard GROUP BY"))
+
+
+@query("filter_f11_valid_days", _VALID_ROWS)
+def _(c: Context):
+    dates = count.valid_dates(count.sensor_uptime(_heard(c), c.sensors))
+    kept = filters.keep_dates(_heard(c), dates)
+    return kept.groupBy("source_address").agg(F.count("*").alias("n"))
+
+
+@query("filter_f11_pruned_dates", _VALID_ROWS)
 def _(c: Context):
-    dates = count.valid_dates(count.sensor_uptime(c.located, c.sensors), 60.0)
-    kept = filters.keep_dates(c.located, dates)
+    """The same from a table written by local date: the valid dates prune its folders while the query runs."""
+    path = c.new_path("located-by-date")
+    tables.write_by_date(_heard(c).withColumn("local_date", local_date("timestamp")), path)
+    days = tables.day_table(c.spark, c.new_path("days"), count.valid_days(count.sensor_uptime(_heard(c), c.sensors)))
+    kept = filters.keep_folders(c.spark.read.parquet(path), days.filter("pct_healthy >= 80"))
     return kept.groupBy("source_address").agg(F.count("*").alias("n"))
 
 

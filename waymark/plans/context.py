@@ -120,6 +120,18 @@ class Context:
     def raw(self):
         return synthetic.raw_detections(self.spark, self.dir)
 
+    @cached_property
+    def raw_planted(self):
+        """The raw table with rare identifiers and some long stays; ``oracle.RAW_PLANTED`` says the same."""
+        digit = F.substring(F.md5(F.lower("source_address")), 1, 1)
+        every = F.when(digit == "0", 97).when(digit == "1", 499).when(digit == "2", 997).when(digit == "3", 1999).otherwise(1)
+        first = self.raw.groupBy("source_address", "site").agg(F.min("timestamp").alias("t0"))
+        times = F.when(digit == "a", 30).when(digit == "b", 29)
+        stay = first.withColumn("j", F.explode(F.sequence(F.lit(0), times))).select(
+            F.timestamp_seconds(F.unix_seconds("t0") + F.col("j") * 240).alias("timestamp"), "source_address",
+            F.lit("s02").alias("sensor_name"), F.lit("c2").alias("sensor_code"), F.lit(-50).alias("rssi"), "site")
+        return self.raw.filter(F.unix_seconds("timestamp") % every == 0).unionByName(stay)
+
     @cached_property
     def gps(self):
         return self.staged("gps", lambda: synthetic.gps(self.spark, self.dir))

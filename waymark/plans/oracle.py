@@ -150,6 +150,18 @@ valid AS (
   WHERE regexp_full_match(lower(address), '([0-9a-f]{2}:){5}[0-9a-f]{2}')
     AND lower(address) NOT IN ('00:00:00:00:00:00', 'ff:ff:ff:ff:ff:ff'))"""
 
+# The raw table with rare identifiers, and with one long stay each for some: what the default thresholds tell apart.
+# ``Context.raw_planted`` says the same.
+RAW_PLANTED = RAW.replace("raw AS (", "raw0 AS (", 1).replace("""valid AS (""", """first AS (
+  SELECT address, site, min(t) AS t0, substr(md5(lower(address)), 1, 1) AS d FROM raw0 GROUP BY address, site),
+raw AS (
+  SELECT t, address, sensor, code, rssi, site FROM raw0
+  WHERE t % (CASE substr(md5(lower(address)), 1, 1) WHEN '0' THEN 97 WHEN '1' THEN 499 WHEN '2' THEN 997 WHEN '3' THEN 1999
+             ELSE 1 END) = 0
+  UNION ALL
+  SELECT t0 + j * 240, address, 's02', 'c2', -50, site FROM first, range(31) r(j) WHERE d = 'a' OR d = 'b' AND j < 30),
+valid AS (""", 1)
+
 GPS = """
 gps AS (
   SELECT md5(CAST(user_id AS VARCHAR)) AS id, us // 1000000 + 3 AS t,

@@ -108,6 +108,12 @@ def write_by_date(df: DataFrame, path: str, day: str = "local_date") -> None:
     _replaced(df, path, lambda new: df.repartition(day).write.partitionBy(day).option("compression", "zstd").parquet(new))
 
 
+def day_table(spark: SparkSession, path: str, days: DataFrame) -> DataFrame:
+    """A table of days with what is known of each (a few hundred rows a year), written so that a filter on it can prune others."""
+    write_table(days.coalesce(1), path)
+    return spark.read.schema(days.schema).parquet(path)
+
+
 def attach_utc(df: DataFrame, column: str = "timestamp") -> DataFrame:
     """A zone-less column declared to be UTC, epoch unchanged."""
     return df.withColumn(column, ntz_as_utc(column))
