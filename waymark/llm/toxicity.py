@@ -72,12 +72,15 @@ def _pooled(ids, first, table, model):
     """Maximum of each filter over each text, and where it stands (for training)."""
     words = model["embed"][table].sum(1)
     outs, wheres = [], []
+    # The last positions of a text are left out: their windows would reach into the next text.
+    bounds = np.empty(2 * len(first), np.int64)
+    bounds[::2], bounds[1::2] = first, np.append(first[1:], len(ids)) - _SPAN
     for w, kernel in zip(WIDTHS, model["kernels"]):
         # A filter's share of each distinct word is computed once; positions add up shares.
         total = (words @ kernel[0])[ids]
         for j in range(1, w):
             total[:-j] += (words @ kernel[j])[ids[j:]]
-        outs.append(np.maximum.reduceat(total, first, axis=0))
+        outs.append(np.maximum.reduceat(total, bounds, axis=0)[::2])
         wheres.append(total)
     return words, np.hstack(outs), wheres
 
@@ -116,7 +119,7 @@ def _learn(rows: list, seed: int = 3) -> dict:
             for k, (w, kernel, total) in enumerate(zip(WIDTHS, model["kernels"], totals)):
                 gk = np.zeros_like(kernel)
                 gp = g_pool[:, k * FILTERS:(k + 1) * FILTERS]
-                top = np.stack([total[x:y].argmax(0) + x for x, y in zip(first[:-1], first[1:])])
+                top = np.stack([total[x:y - _SPAN].argmax(0) + x for x, y in zip(first[:-1], first[1:])])
                 for j in range(w):
                     at = ids[np.minimum(top + j, len(ids) - 1)]
                     gk[j] = np.einsum("tfd,tf->df", words[at], gp)
