@@ -1,8 +1,8 @@
 """Operator 2, language identification by multilingual mixtures.
 
 A document's character n-grams are drawn from a mixture of languages. Expectation-maximisation estimates the
-shares of the languages; the set of languages is the one, among the nested sets of the most probable, whose
-likelihood less a penalty for each language is largest. ``lang_pred`` is the language with the largest share in it.
+shares of the languages; the set of languages grows along the most probable ones, up to all learned languages, for as long as
+the likelihood less a penalty for each language grows. ``lang_pred`` is the language with the largest share in it.
 
 N-gram frequencies are learned from a bounded sample of rows with a language (``BOUND`` a language),
 never from the held-out fold, and summed in Spark.
@@ -25,7 +25,6 @@ BOUND = 3000     # rows of a language to learn from, at most about so many
 ORDER = 3        # letters in an n-gram
 BITS = 13
 STEPS = 10       # of expectation-maximisation
-MOST = 3         # languages in a set
 PENALTY = 4.0    # for each further language, times half the logarithm of the number of n-grams
 SMOOTH = 0.3
 
@@ -48,10 +47,8 @@ def ngrams(text: str) -> np.ndarray:
 def train(docs: DataFrame, bound: int = BOUND) -> dict:
     rows = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (share(F.col("doc_id"), 23) < min(1.0, bound / n)))
+    rates = rows.groupBy(F.col("lang").alias("_lang")).agg((F.lit(float(bound)) / F.count("*")).alias("rate"))
+    chosen = rows.join(rates, F.col("lang") == F.col("_lang")).filter(share(F.col("doc_id"), 23) < F.col("rate"))
 
     def counts(batches):
         total = {}
@@ -65,9 +62,9 @@ def train(docs: DataFrame, bound: int = BOUND) -> dict:
                 [pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(found[at].astype(np.int64))],
                 ["lang", "gram", "n"])
 
-    found = rows.filter(chosen).select("text", "lang").mapInArrow(counts, "lang string, gram int, n long")
+    found = chosen.select("text", "lang").mapInArrow(counts, "lang string, gram int, n long")
     table = found.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # languages x 2**BITS rows at most
-    names = sorted(sizes)
+    names = sorted(set(table["lang"]))
     likely = np.full((1 << BITS, len(names)), SMOOTH)
     if len(table):
         likely[table["gram"], table["lang"].map(names.index)] += table["n"]
@@ -94,16 +91,25 @@ def proportions(texts: list, model: dict) -> np.ndarray:
     c = np.concatenate([f[g] for f, g in zip(found, grams)]).astype(np.float32)
     p = model["likely"][np.concatenate(grams)]
     n_langs = len(model["names"])
-    whole, _, size = _mixture(p, c, first, rows, np.full((len(texts), n_langs), 1 / n_langs, np.float32))
+    whole, whole_fit, size = _mixture(p, c, first, rows, np.full((len(texts), n_langs), 1 / n_langs, np.float32))
     order = np.argsort(-whole, axis=1, kind="stable")
-    best, chosen = np.full(len(texts), -np.inf), np.zeros_like(whole)
-    for k in range(1, min(MOST, n_langs) + 1):
-        within = np.zeros_like(whole)
-        np.put_along_axis(within, order[:, :k], 1 / k, axis=1)
-        shares, fit, _ = _mixture(p, c, first, rows, within) if k < n_langs else (whole, _mixture(p, c, first, rows, whole)[1], 0)
-        value = fit - PENALTY * (k - 1) * 0.5 * np.log(size + 1)
-        better = value > best
-        best, chosen = np.where(better, value, best), np.where(better[:, None], shares, chosen)
+    best, chosen, going = np.full(len(texts), -np.inf), np.zeros_like(whole), np.arange(len(texts))
+    for k in range(1, n_langs + 1):
+        if k < n_langs:
+            within = np.zeros((len(going), n_langs), np.float32)
+            np.put_along_axis(within, order[going, :k], 1 / k, axis=1)
+            mine = np.isin(rows, going) if len(going) < len(texts) else slice(None)
+            lengths = np.diff(np.append(first, len(rows)))[going]
+            starts = np.cumsum(np.append(0, lengths[:-1]))
+            shares, fit, _ = _mixture(p[mine], c[mine], starts, np.repeat(np.arange(len(going)), lengths), within)
+        else:
+            shares, fit = whole[going], whole_fit[going]
+        value = fit - PENALTY * (k - 1) * 0.5 * np.log(size[going] + 1)
+        better = value > best[going]
+        best[going[better]], chosen[going[better]] = value[better], shares[better]
+        going = going[better]   # the others' likelihood fell: their sets are found
+        if not len(going):
+            break
     return chosen
 
 
