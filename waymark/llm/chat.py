@@ -14,7 +14,7 @@ are turns of their own; further columns are ignored. A conversation is one outpu
 so it must fit a row, as any string must.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, TURN, END = "<|im_start|>", "<|turn|>", "<|im_end|>\n"
@@ -35,7 +35,7 @@ def unescape(c: Column, role: bool = False) -> Column:
 
 
 def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted, loss_spans (start and length in code points, for each block of ``loss_role``)."""
+    """conv_id, formatted, loss_mask (one entry a block: whether it is under the loss). Time is linear in a conversation's length."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"),
                     F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(
@@ -56,37 +56,48 @@ def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     blocks = runs.select("conv_id", F.transform("runs", block).alias("blocks"))
 
-    def add(state, b):
-        begin = state["pos"] + F.length(b["head"])
-        span = F.struct(begin.alias("start"), F.length(b["body"]).alias("length"))
-        return F.struct(
-            (begin + F.length(b["body"]) + len(END)).alias("pos"),
-            F.when(b["role"] == loss_role, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
-    empty = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
     return blocks.select(
         "conv_id",
         F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], b["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("blocks", empty, add, lambda s: s["spans"]).alias("loss_spans"))
+        F.transform("blocks", lambda b: b["role"] == loss_role).alias("loss_mask"))
+
+
+def _pieces() -> Column:
+    """The blocks of a formatted conversation, without their ends."""
+    return F.filter(F.split("formatted", r"\Q" + END + r"\E"), lambda b: b != "")
+
+
+def loss_spans(formatted: DataFrame) -> DataFrame:
+    """conv_id, start, length: the parts of ``formatted`` under the loss in code points, one row a block, from running sums
+    over the blocks."""
+    rows = formatted.select("conv_id", "loss_mask", F.posexplode(_pieces()).alias("k", "block"))
+    head = F.instr("block", "\n")
+    before = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.length("block") + len(END)).over(before), F.lit(0))
+    found = rows.select("conv_id", F.col("loss_mask")[F.col("k")].alias("loss"), (begin + head).alias("start"),
+                        (F.length("block") - head).cast("long").alias("length"))
+    return found.filter("loss").drop("loss")
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text), loss_text: read back from the output of ``format_chat``."""
-    pieces = F.filter(F.split("formatted", r"\Q" + END + r"\E"), lambda b: b != "")
+    """conv_id, turns (role, text), loss_text: read back from the output of ``format_chat``, block by block."""
+    def texts(block):
+        line = F.instr(block, "\n")
+        return F.split(F.substring(block, line + 1, F.length(block)), r"\Q" + TURN + r"\E")
 
     def turns(block):
         line = F.instr(block, "\n")
         role = unescape(F.substring(block, F.lit(len(START) + 1), line - (len(START) + 1)), True)
-        texts = F.split(F.substring(block, line + 1, F.length(block)), r"\Q" + TURN + r"\E")
-        return F.transform(texts, lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
+        return F.transform(texts(block), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    def masked(span):
-        body = F.substring("formatted", span["start"] + 1, span["length"])
-        return F.array_join(F.transform(F.split(body, r"\Q" + TURN + r"\E"), lambda t: unescape(t)), "")
+    def masked(block, i):
+        body = F.array_join(F.transform(texts(block), lambda t: unescape(t)), "")
+        return F.when(F.col("loss_mask")[i], body).otherwise("")
 
-    return formatted.select(
-        "conv_id", "formatted", F.flatten(F.transform(pieces, turns)).alias("turns"),
-        F.array_join(F.transform("loss_spans", masked), "").alias("loss_text"))
+    cut = formatted.select("conv_id", "formatted", "loss_mask", _pieces().alias("pieces"))
+    return cut.select(
+        "conv_id", "formatted", F.flatten(F.transform("pieces", turns)).alias("turns"),
+        F.array_join(F.transform("pieces", masked), "").alias("loss_text"))
 
 
 def chat_digest(rows: DataFrame) -> DataFrame:
