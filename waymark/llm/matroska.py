@@ -30,7 +30,7 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, VOID = (
 DOC_TYPE, TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC = (
     0x4282, 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86)
 DEFAULT_DURATION, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE, BLOCK_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 PACKETS = ("{id} {kind}, packet_no long, track long, timestamp_ns long, duration_ns long, byte_offset long, "
@@ -161,41 +161,67 @@ def _lace(data, at: int, end: int, form: int):
     return [*ranges, (at, end - at)]
 
 
+def _setup(data) -> tuple:
+    """Timestamp scale, and the default duration of each track. The elements of a track entry come in any order, so an
+    entry is read whole before its duration is assigned; the setup itself may follow the clusters."""
+    scale, entries = 1_000_000, []
+    for element, _, body, stop in elements(data, 0, len(data)):
+        if element == TRACK_ENTRY:
+            entries.append({})
+        elif element == TIMESTAMP_SCALE:
+            scale = int.from_bytes(data[body:stop], "big")
+        elif element in (TRACK_NUMBER, DEFAULT_DURATION) and entries:
+            entries[-1][element] = int.from_bytes(data[body:stop], "big")
+    return scale, {e.get(TRACK_NUMBER, 0): e.get(DEFAULT_DURATION, 0) for e in entries}
+
+
 def packets(data) -> list:
-    """Rows (track, timestamp, duration, offset, length, lacing, keyframe, cluster, cued) of a file."""
-    scale, durations, track, cluster, began, segment = 1_000_000, {}, 0, -1, 0, 0
-    rows, cued, group = [], set(), None
+    """Rows (track, timestamp, duration, offset, length, lacing, keyframe, cluster, cued) of a file. A packet's duration is its share
+    of the block's own duration where the block group states one, else the track's default, else 0."""
+    scale, durations = _setup(data)
+    cluster, began, segment, rows, cued = -1, 0, 0, [], set()
+    group, whole, reference = None, None, False
+    blocks = []     # (first row, track, time) and what the group says of each block, known at its end
+
+    def finish():
+        if group is not None and blocks:
+            first, _, time = blocks[-1]
+            count = len(rows) - first
+            for i in range(first, len(rows)):
+                step = rows[i][2] if whole is None else whole * scale // count
+                rows[i] = (rows[i][0], time + (i - first) * step, step, *rows[i][3:6], not reference, rows[i][7])
+
     for element, at, body, stop in elements(data, 0, len(data)):
+        if group is not None and at >= group:
+            finish()
+            group, blocks = None, []
         if element == SEGMENT:
             segment = body
         elif element == CLUSTER:
-            cluster = at - segment
+            finish()
+            group, blocks, cluster = None, [], at - segment
         elif element == BLOCK_GROUP:
-            group = len(rows)
-        elif element == REFERENCE and group is not None:
-            rows[group:] = [(*r[:6], False, *r[7:]) for r in rows[group:]]
-        elif element in (TIMESTAMP_SCALE, TRACK_NUMBER, DEFAULT_DURATION, TIMESTAMP, CUE_CLUSTER):
-            value = int.from_bytes(data[body:stop], "big")
-            if element == TIMESTAMP_SCALE:
-                scale = value
-            elif element == TRACK_NUMBER:
-                track = value
-            elif element == DEFAULT_DURATION:
-                durations[track] = value
-            elif element == TIMESTAMP:
-                began = value
-            else:
-                cued.add(value)
+            finish()
+            group, whole, reference, blocks = stop, None, False, []
+        elif element == REFERENCE:
+            reference = True
+        elif element == BLOCK_DURATION:
+            whole = int.from_bytes(data[body:stop], "big")
+        elif element == TIMESTAMP:
+            began = int.from_bytes(data[body:stop], "big")
+        elif element == CUE_CLUSTER:
+            cued.add(int.from_bytes(data[body:stop], "big"))
         elif element in (SIMPLE_BLOCK, BLOCK):
-            if element == SIMPLE_BLOCK:
-                group = None
             number, head, _ = _vint(data, body)
             relative, flags = struct.unpack_from(">hB", data, head)
             form, step = flags >> 1 & 3, durations.get(number, 0)
             key = bool(flags & 0x80) or element == BLOCK
             time = (began + relative) * scale
+            if element == BLOCK:
+                blocks.append((len(rows), number, time))
             rows += [(number, time + i * step, step, o, n, LACING[form], key, cluster)
                      for i, (o, n) in enumerate(_lace(data, head + 3, stop, form))]
+    finish()
     return [(*r, r[7] in cued) for r in rows]
 
 
