@@ -6,13 +6,14 @@ siblings by weight. A node's capacity is that of its children, so a shortage lea
 are used up. All amounts are whole tokens; a division's remainder, less than a token for each child, is left over.
 
 A leaf with budget b and t tokens is read b div t times in full, and a prefix of b mod t tokens of the next epoch follows: documents in the
-epoch's seeded order, whole, up to the first that does not fit. The order is that of ``BUCKETS`` buckets (hash of seed and id),
+epoch's seeded order, whole, up to the first that does not fit. The order is that of ``BUCKETS`` buckets (hash of seed, id and text),
 then of the documents in a bucket, both by a hash of seed and epoch. So one aggregate of (leaf, bucket) sizes
 finds the bucket in which the prefix ends, and only that bucket is sorted, however large the leaf.
 
-Defined cases: null language is ``und``, null source ``none``; a null text has no tokens; a null id has the hash of an empty id; rows of
-one id are together in the order, so they are taken or left together; a leaf without tokens gives nothing; an empty
-table gives no rows; further columns are kept.
+Defined cases: null language is ``und``, null source ``none``; a null text has no tokens; a null id counts as an empty one, so rows
+without ids, or of one id, are told apart by their texts; rows of one id and one text are together in the order, so they are taken or
+left together; a leaf without tokens gives nothing; an empty table gives no rows; further columns are kept, but for
+columns named as the three that are added, which are replaced.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -56,7 +57,7 @@ def _hash(*parts) -> Column:
 def placed(docs: DataFrame) -> DataFrame:
     """The rows with their leaf, bucket and tokens."""
     source = F.coalesce("source", F.lit("none"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))
     return docs.withColumns({
         "__domain": domain_of(source), "__lang": F.coalesce("lang", F.lit("und")), "__source": source,
         "__bucket": F.substring(_hash(F.lit(str(SEED)), key), 1, DIGITS), "__key": key,
@@ -122,7 +123,8 @@ def plan(rows: DataFrame) -> DataFrame:
                             F.col("c.left").alias("__left")), "cuts")
     inside = rows.select(*LEVELS, "__bucket", "__key", "__tokens").join(cut, [*LEVELS, "__bucket"])
     inside = inside.withColumn("__hash", _hash(F.lit(str(SEED)), F.col("__full").cast("string"), "__key"))
-    running = F.sum("__tokens").over(W.partitionBy(*LEVELS).orderBy("__hash"))  # rows of one hash together
+    inside = inside.groupBy(*LEVELS, "__left", "__hash").agg(F.sum("__tokens").alias("__tokens"))   # rows of one hash together
+    running = F.sum("__tokens").over(W.partitionBy(*LEVELS).orderBy("__hash"))
     last = inside.withColumn("sum", running).filter(F.col("sum") <= F.col("__left")).groupBy(*LEVELS).agg(
         F.max("__hash").alias("__last"))
     return staged(cut.drop("__bucket", "__left").join(last, list(LEVELS), "left"), "plan")
@@ -134,9 +136,11 @@ def mix(docs: DataFrame) -> DataFrame:
     A leaf may hold a third of all rows, so the join with the plan is salted where Spark does not find the
     plan small enough to broadcast.
     """
+    docs = docs.drop("mix_domain", "mix_tokens", "mix_epochs")
     rows = placed(docs)
     salted = staged(plan(rows).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "salted")
-    spread = rows.withColumn("__salt", F.pmod(F.xxhash64("__bucket"), F.lit(SALTS)).cast("int"))
+    # Any row may go to any salt, since every salt holds the whole plan.
+    spread = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     joined = spread.join(salted, [*LEVELS, "__salt"])
     place = _hash(F.lit(str(SEED)), F.col("__full").cast("string"), "__bucket")
     own = _hash(F.lit(str(SEED)), F.col("__full").cast("string"), "__key")

@@ -124,7 +124,7 @@ def _level(name: str, path: str, parent: str, parents: str, on: str) -> str:
 
 MIXING_SQL = f"""
 WITH raw AS (
-  SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(source, 'none') AS source, coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+  SELECT doc_id, coalesce(lang, 'und') AS lang, coalesce(source, 'none') AS source, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS k,
          coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) AS tokens, md5(coalesce(source, 'none'))[1] AS h FROM documents),
 d AS (
   SELECT *, CASE WHEN h < '5' THEN 'web' WHEN h < '9' THEN 'books' WHEN h < 'd' THEN 'forum' ELSE 'news' END AS domain,
