@@ -110,10 +110,13 @@ def test_decontamination_against_brute_force(spark):
     benchmark = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame(spark, rows), benchmark).collect()}
     core = lambda t: [w for w in (x.strip(decontaminate._EDGE) for x in (t or "").lower().split()) if w]
+    expected = {}
     for doc_id, text in rows[:100]:
         for item, passage in items[:12]:
             share = round(smith_waterman(core(passage), core(text)) / 2 / len(core(passage)), 6)
-            assert got.get((doc_id, item), 0) == (share if share >= 0.5 else 0) or share < 0.62, (doc_id, item, share)
+            if share >= 0.5:
+                expected[doc_id, item] = share
+    assert len(expected) > 55 and got.items() <= expected.items() and len(got) >= 0.95 * len(expected)
     assert not any(d is None or d >= 100 for d, _ in got)
     assert decontaminate.contaminated(frame(spark, []).limit(0), benchmark).count() == 0
     assert decontaminate.contaminated(frame(spark, rows), benchmark.limit(0)).count() == 0
@@ -136,16 +139,45 @@ def test_decontamination_of_an_edited_copy_in_many_documents(spark):
     assert sorted(got) == [(k, 1, share) for k in range(1100)]
 
 
-def test_decontamination_writes_each_block_before_the_next(spark, monkeypatch):
-    rng = random.Random(9)
-    items = [(k, prose(rng, 20)) for k in range(12)]
+def test_recall_by_edits_against_all_alignments(spark):
+    """Copies with one word in k changed, against alignment of every document with every item: what the seeds lose."""
+    rng, items, rows, edits = random.Random(9), [], [], {}
+    for k in range(60):
+        items.append((k, " ".join(f"{w}{rng.randrange(400)}" for w in rng.choices(WORDS, k=rng.randint(10, 40)))))
+    for doc_id in range(600):
+        words, every = items[doc_id % 60][1].split(), 3 + doc_id // 60 % 8
+        for at in rng.sample(range(len(words)), len(words) // every):
+            words[at] = rng.choice(WORDS)
+        edits[doc_id] = every
+        rows.append((doc_id, prose(rng, 30) + " " + " ".join(words) + " " + prose(rng, 30)))
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    docs = frame(spark, [(k, prose(rng, 5) + " " + t) for k, t in items])
-    want = sorted(map(tuple, decontaminate.contaminated(docs, benchmark).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK", 4)
-    pairs = decontaminate.contaminated(docs, benchmark)
-    assert "MapInArrow" not in pairs._jdf.queryExecution().toString()  # no block's items wait in the plan
-    assert sorted(map(tuple, pairs.collect())) == want and {(k, k) for k in range(12)} <= {r[:2] for r in want}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame(spark, rows), benchmark).collect()}
+    held, every = {}, {}
+    for doc_id, text in rows:
+        item = doc_id % 60
+        words = items[item][1].split()
+        share = round(smith_waterman(words, text.split()) / 2 / len(words), 6)
+        if share >= 0.5:
+            every.setdefault(edits[doc_id], []).append((doc_id, item) in got)
+            assert got.get((doc_id, item), share) == share
+    recall = {k: sum(v) / len(v) for k, v in sorted(every.items()) if len(v) > 20}
+    total = sum(map(sum, every.values())) / sum(map(len, every.values()))
+    assert total >= 0.95 and all(v >= 0.9 for k, v in recall.items()), (total, recall)
+
+
+def test_items_of_one_passage_and_hot_seeds(spark, monkeypatch):
+    """Many items in one passage, one n-gram in every document, equal passages in many documents, windows of any width."""
+    rng = random.Random(31)
+    common = "as well as"
+    items = [(k, " ".join(prose(rng, 8).split() + common.split() + prose(rng, 8).split())) for k in range(20)]
+    rows = [(1, " ".join(t for _, t in items)), (None, items[3][1]), (None, "x"), (2, items[3][1]), (2, items[3][1])]
+    rows += [(10 + k, f"{prose(rng, 10)} {common} {prose(rng, 10)}") for k in range(300)]
+    rows += [(1000 + k, items[5][1]) for k in range(400)]
+    benchmark = spark.createDataFrame(items + [(3, items[3][1]), (50, "a b")], "item_id long, text string")
+    want = {(1, k, 1.0) for k in range(20)} | {(None, 3, 1.0), (2, 3, 1.0)} | {(1000 + k, 5, 1.0) for k in range(400)}
+    for window in (1, 2, 3):
+        monkeypatch.setattr(decontaminate, "WINDOW", window)
+        assert {tuple(r) for r in decontaminate.contaminated(frame(spark, rows), benchmark).collect()} == want
 
 
 def test_personal_data_base_and_mask(spark):

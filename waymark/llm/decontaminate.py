@@ -1,12 +1,17 @@
-"""Operator 10, benchmark decontamination: n-gram hits, then Smith-Waterman alignment.
+"""Operator 10, benchmark decontamination: rare n-gram seeds join passages to items, then Smith-Waterman alignment.
 
-One pass over the documents looks up every run of ``SEED`` words in the n-grams of the test items. Each passage in which
-at least ``HITS`` different n-grams of one item stand close together is aligned with the whole item, words as letters,
-however common its n-grams are; equal passages of a batch are aligned once. ``score`` is the best local
-alignment as a share of the item's alignment with itself.
+1. One scan for all items: every run of ``SEED`` words of a text is looked up in a filter of fixed size that holds the n-grams of
+   the items. Neighbouring hits make a passage: the words from an item's length before the first to one after the last. Equal
+   passages are one from here on, however many documents hold them.
+2. How many documents hold an n-gram is counted, for n-grams of the items only. Of every ``WINDOW`` consecutive hits of a passage
+   the rarest is a seed. So each part of a passage keeps its own rarest n-grams, even where none is rare.
+3. Seeds are joined with the n-grams of the items; a frequent seed is spread over salts.
+4. Each pair of passage and item with at least ``HITS`` different common n-grams close together is aligned, words as letters:
+   windows of four item lengths laid every two, so a copy of up to an item's length lies whole in one of them. ``score`` is the best local
+   alignment as a share of the item's alignment with itself.
 
-The benchmark is worked on in blocks of about ``BLOCK`` items, so what is sent to the executors is bounded. Passages are
-windows of four item lengths laid every two item lengths: a copy of up to an item's length lies whole in one of them.
+Neither the benchmark nor the documents pass through the driver; what every task gets is the filter (``FILTER_BITS`` bits) and the
+lengths of the longest and the shortest item.
 
 Defined cases: words are lower-cased and lose punctuation at their edges; null and empty texts hold nothing; items of
 fewer than ``SEED`` words cannot be found; a document id in several rows or a repeated item
@@ -18,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textops import WordHash, shingles, staged
+from waymark.llm.textops import WordHash, shingles, staged, tidy
 
 SEED = 3
 HITS = 2
-BLOCK = 2000
-CELLS = 1 << 20  # passages aligned at once, in words
+WINDOW = 2
+SALTS = 8
+CELLS = 1 << 19  # passages aligned at once, in words
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-FILTER_BITS = 22
+FILTER_BITS = 24
+PASSAGE_BYTES = 1 << 22  # of words that a batch of pairs holds
 _EDGE = ".,;:!?()[]{}<>\"'*#%&$|«»¿¡"
 
 
@@ -50,60 +57,107 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _items(block: DataFrame) -> list:
-    """(item id, word hashes) of a block's items that can be found."""
-    cache = CoreHash()
-    rows = [(r["item_id"], word_hashes(r["text"], cache)) for r in block.collect()]
-    return [(i, w) for i, w in rows if len(w) >= SEED]
-
-
-class Seeds:
-    """The n-grams of a block's items: which items hold an n-gram."""
-
-    def __init__(self, items: list):
-        grams = [np.unique(shingles(w, SEED)) for _, w in items]
-        owner = np.repeat(np.arange(len(items)), [len(g) for g in grams])
-        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.owners = owner[order]                      # items by n-gram
-        self.grams, self.first = np.unique(every[order], return_index=True)
-        self.ends = np.append(self.first[1:], len(every))
-        self.maybe = np.zeros(1 << FILTER_BITS, bool)
-        self.maybe[self._slot(self.grams)] = True
-        self.lengths = np.array([len(w) for _, w in items], np.int64)
-
-    @staticmethod
-    def _slot(grams):
-        return (grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-    def hits(self, words: np.ndarray):
-        """Positions and n-gram numbers."""
-        grams = shingles(words, SEED) if len(words) >= SEED else np.zeros(0, np.uint64)
-        at = np.flatnonzero(self.maybe[self._slot(grams)])
-        number = np.searchsorted(self.grams, grams[at])
-        number[number == len(self.grams)] = 0
-        same = self.grams[number] == grams[at] if len(at) else np.zeros(0, bool)
-        return at[same], number[same]
-
-    def passages(self, at: np.ndarray, number: np.ndarray, size: int):
-        """(item, begin, end) of windows with enough hits of an item."""
-        counts = self.ends[number] - self.first[number]
-        item = self.owners[np.concatenate([np.arange(a, z) for a, z in zip(self.first[number], self.ends[number])])]
-        at, number = np.repeat(at, counts), np.repeat(number, counts)
-        n = self.lengths[item]
-        window = at // (2 * n)
-        # A window reaches one item length beyond its two, so a hit may lie in the neighbour as well.
-        low, high = (at % (2 * n) < n) & (window > 0), at % (2 * n) >= n
-        item = np.concatenate([item, item[low], item[high]])
-        number = np.concatenate([number, number[low], number[high]])
-        window = np.concatenate([window, window[low] - 1, window[high] + 1])
-        found = np.unique(np.stack([item, window, number]), axis=1)
-        starts = np.flatnonzero(np.r_[True, (found[0, 1:] != found[0, :-1]) | (found[1, 1:] != found[1, :-1])])
-        for a, z in zip(starts, np.r_[starts[1:], found.shape[1]]):
-            if z - a >= min(HITS, self.lengths[found[0, a]] - SEED + 1):
-                i, w = found[0, a], found[1, a]
-                n = self.lengths[i]
-                yield int(i), int(max(0, 2 * n * w - n)), int(min(size, 2 * n * (w + 1) + n))
+def _grams(words: np.ndarray) -> np.ndarray:
+    return shingles(words, SEED) if len(words) >= SEED else np.zeros(0, np.uint64)
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item (a number), item_id, words, grams of the items that can be found."""
+    schema = pa.schema([("item_id", pa.int64()), ("words", pa.binary()), ("grams", pa.list_(pa.int64()))])
+
+    def read(batches):
+        cache = CoreHash()
+        for batch in batches:
+            rows = [(i, word_hashes(t, cache)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            rows = [(i, w) for i, w in rows if len(w) >= SEED]
+            if rows:
+                yield _rows(schema, [i for i, _ in rows], [w.tobytes() for _, w in rows],
+                            [np.unique(_grams(w)).view(np.int64).tolist() for _, w in rows])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+    return rows.mapInArrow(read, "item_id long, words binary, grams array<long>").withColumn("item", F.monotonically_increasing_id())
+
+
+def filter_of(items: DataFrame) -> np.ndarray:
+    """A bit for each slot that an n-gram of some item falls in: 2 ^ ``FILTER_BITS`` bits, whatever the benchmark."""
+    slot = F.shiftrightunsigned(F.col("gram"), 64 - FILTER_BITS)
+    slots = items.select(F.explode("grams").alias("gram")).select(slot.alias("s"))
+    words = slots.groupBy(F.shiftright("s", 6).cast("int").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    found = words.toPandas()
+    out[found["w"].to_numpy()] = found["bits"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def passages_of(docs: DataFrame, maybe, longest: int, need: int) -> DataFrame:
+    """doc_id, pid, words, at, grams: passages with at least ``need`` different hits, and where the hits are."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def read(batches):
+        cache, bits = CoreHash(), maybe.value
+        for batch in batches:
+            owners, bodies, places, found, held = [], [], [], [], 0
+            schema = pa.schema([("doc_id", batch.column(0).type), ("words", pa.binary()), ("at", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64()))])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = word_hashes(text.as_py(), cache)
+                grams = _grams(words)
+                hits = np.flatnonzero(bits[_slot(grams)])
+                if len(hits) < need:
+                    continue
+                for part in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * longest) + 1):
+                    if len(part) > 1 and len(np.unique(grams[part])) >= need or need == 1:
+                        begin, end = max(0, int(part[0]) - longest), min(len(words), int(part[-1]) + SEED + longest)
+                        owners.append(doc_id)
+                        bodies.append(words[begin:end].tobytes())
+                        places.append((part - begin).tolist())
+                        found.append(grams[part].view(np.int64).tolist())
+                        held += len(bodies[-1]) + 12 * len(part)
+                if held > PASSAGE_BYTES:
+                    yield _rows(schema, owners, bodies, places, found)
+                    owners, bodies, places, found, held = [], [], [], [], 0
+            if owners:
+                yield _rows(schema, owners, bodies, places, found)
+        tidy()
+
+    rows = docs.mapInArrow(read, f"doc_id {kind}, words binary, at array<int>, grams array<long>")
+    return rows.withColumn("pid", F.xxhash64("words")).withColumn("check", F.md5("words"))
+
+
+def _salted(big: DataFrame, small: DataFrame, key, by: str) -> DataFrame:
+    """Inner join on ``key``; a key may hold a third of the rows of ``big``, which are spread by ``by``."""
+    keys = [key] if isinstance(key, str) else key
+    big = big.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.join(small, [*keys, "salt"]).drop("salt")
+
+
+def seeds_of(passages: DataFrame, owners: DataFrame, items: DataFrame) -> DataFrame:
+    """pid, gram: of every ``WINDOW`` consecutive hits the rarest, by the documents whose passages hold it."""
+    own = items.select(F.explode("grams").alias("gram")).distinct()
+    counted = passages.join(owners.groupBy("pid").agg(F.count("*").alias("docs")), "pid")
+    hits = counted.select("pid", "docs", F.posexplode("grams").alias("k", "gram"))
+    n = hits.groupBy("gram").agg(F.sum("docs").alias("n")).join(own, "gram")   # without what only the filter takes for a hit
+    rare = _salted(hits, n, "gram", "pid").groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("k", "n", "gram"))).alias("hits"))
+    rarity = F.transform("hits", lambda h: F.struct(h["n"].alias("n"), h["gram"].alias("gram")))
+    last = F.greatest(F.size("hits") - WINDOW, F.lit(0))
+    picks = F.transform(F.sequence(F.lit(0), last), lambda s: F.array_min(F.slice(rarity, s + 1, F.lit(WINDOW))))
+    return rare.select("pid", F.explode(F.array_distinct(picks)).alias("p")).select("pid", "p.gram")
+
+
+def _windows(at: np.ndarray, grams: np.ndarray, n: int, size: int):
+    """(begin, end) of the windows of an item of ``n`` words that hold enough different hits of it."""
+    window = at // (2 * n)
+    low, high = (at % (2 * n) < n) & (window > 0), at % (2 * n) >= n
+    window, grams = np.concatenate([window, window[low] - 1, window[high] + 1]), np.concatenate([grams, grams[low], grams[high]])
+    pairs = np.unique(np.stack([window.astype(np.int64), grams.view(np.int64)]), axis=1)
+    for w, count in zip(*np.unique(pairs[0], return_counts=True)):
+        if count >= min(HITS, n - SEED + 1):
+            yield int(max(0, 2 * n * w - n)), int(min(size, 2 * n * (w + 1) + n))
 
 
 def smith_waterman(items: list, passages: list) -> np.ndarray:
@@ -127,65 +181,69 @@ def smith_waterman(items: list, passages: list) -> np.ndarray:
     return best
 
 
-def shares(items: list, passages: list) -> list:
-    """Score of each passage, given as (item number, bytes of its word hashes). Equal passages are aligned once."""
-    score = dict.fromkeys(passages)
-    todo = sorted(score, key=lambda p: len(items[p[0]][1]), reverse=True)
+def shares(pairs: list) -> list:
+    """Score of each (item words, passage words) pair of bytes. Equal pairs are aligned once, long ones in smaller groups."""
+    score = dict.fromkeys(pairs)
+    todo = sorted(score, key=lambda p: len(p[0]), reverse=True)
     while todo:
-        size = max(1, min(256, CELLS // (4 * len(items[todo[0][0]][1]))))
+        size = max(1, min(256, CELLS // max(1, len(todo[0][0]) // 2)))
         part, todo = todo[:size], todo[size:]
-        own = [items[i][1] for i, _ in part]
-        best = smith_waterman(own, [np.frombuffer(words, np.uint64) for _, words in part])
-        score.update(zip(part, (best / (MATCH * np.array([len(w) for w in own]))).tolist()))
-    return [score[p] for p in passages]
+        items, own = ([np.frombuffer(p[k], np.uint64) for p in part] for k in (0, 1))
+        best = smith_waterman(items, own)
+        score.update(zip(part, (best / (MATCH * np.array([len(w) for w in items]))).tolist()))
+    return [score[p] for p in pairs]
 
 
-def scan(docs: DataFrame, items: list, least: float) -> DataFrame:
-    """doc_id, item (its number) and score of the passages whose score is at least ``least``."""
-    seeds = Seeds(items)
+def aligned(pairs: DataFrame, least: float) -> DataFrame:
+    """pid, item, score of the pairs of passages and items (pid, item, words, at, grams, item_words, item_grams) that score enough."""
+    schema = pa.schema([("pid", pa.int64()), ("item", pa.int64()), ("score", pa.float64())])
 
-    def scored(kind, owners, passages):
-        schema = pa.schema([("doc_id", kind), ("item", pa.int32()), ("score", pa.float64())])
-        rows = [(d, p[0], s) for d, p, s in zip(owners, passages, shares(items, passages)) if s >= least]
-        if rows:
-            yield _rows(schema, *zip(*rows))
+    def scored(held):
+        best = {}
+        for (pid, item, _), share in zip(held, shares([p for _, _, p in held])):
+            if share >= least:
+                best[pid, item] = max(share, best.get((pid, item), 0))
+        if best:
+            yield _rows(schema, [p for p, _ in best], [i for _, i in best], list(best.values()))
 
     def read(batches):
-        cache = CoreHash()
         for batch in batches:
-            owners, passages, held = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = word_hashes(text.as_py(), cache)
-                at, number = seeds.hits(words)
-                if len(at) > 1 or len(at) and seeds.lengths.min() == SEED:
-                    for item, begin, end in seeds.passages(at, number, len(words)):
-                        owners.append(doc_id)
-                        passages.append((item, words[begin:end].tobytes()))
-                        held += 8 * (end - begin)
-                        if held > 1 << 24:
-                            yield from scored(batch.column(0).type, owners, passages)
-                            owners, passages, held = [], [], 0
-            yield from scored(batch.column(0).type, owners, passages)
-
-    return docs.mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item int, score double")
+            held, size = [], 0
+            for pid, item, words, at, grams, own, known in zip(*batch.columns):
+                words, own = words.as_py(), own.as_py()
+                hits = np.array(grams.as_py(), np.int64)
+                mine = np.isin(hits, np.array(known.as_py(), np.int64))
+                for a, z in _windows(np.array(at.as_py(), np.int64)[mine], hits[mine], len(own) // 8, len(words) // 8):
+                    held.append((pid.as_py(), item.as_py(), (own, words[8 * a:8 * z])))
+                    size += 8 * (z - a)
+                    if size > PASSAGE_BYTES:
+                        yield from scored(held)
+                        held, size = [], 0
+            yield from scored(held)
+        tidy()
+
+    return pairs.select("pid", "item", "words", "at", "grams", "item_words", "item_grams").mapInArrow(read, "pid long, item long, score double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, key: Column = None) -> DataFrame:
     """doc_id, item_id, score of the pairs whose score is at least ``least``; ``key`` may name rows by other than their id."""
     spark = docs.sparkSession
     docs = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), "text")
-    rows = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
-    blocks = max(1, -(-rows.count() // BLOCK))
-    result = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, score double")
-    for b in range(blocks):
-        items = _items(rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b))
-        if items:
-            # Written at once, so the items of one block only are held by the driver.
-            result = result.unionByName(staged(_block(docs, items, least), "pairs"))
-    return result
-
-
-def _block(docs: DataFrame, items: list, least: float) -> DataFrame:
-    names = docs.sparkSession.createDataFrame([(k, i) for k, (i, _) in enumerate(items)], "item int, item_id long")
-    return (scan(docs, items, least).join(F.broadcast(names), "item")
-            .groupBy("doc_id", "item_id").agg(F.round(F.max("score"), 6).alias("score")))
+    items = staged(items_of(benchmark), "items")
+    size = F.octet_length("words") / 8
+    longest, shortest = items.agg(F.max(size).cast("int"), F.min(size).cast("int")).first()
+    if longest is None:
+        return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, score double")
+    maybe = spark.sparkContext.broadcast(filter_of(items))
+    found = staged(passages_of(docs, maybe, longest, min(HITS, shortest - SEED + 1)), "passages")
+    maybe.unpersist()
+    # Equal passages once: their number is a hash of their words, checked by another one.
+    owners = found.select("doc_id", "pid", "check")
+    passages = staged(found.groupBy("pid", "check").agg(F.min_by(F.struct("words", "at", "grams"), "check").alias("p")).select("pid", "p.*"), "distinct")
+    postings = items.select("item", F.explode("grams").alias("gram"))
+    pairs = staged(_salted(seeds_of(passages, owners, items), postings, "gram", "pid").select("pid", "item").distinct(), "seeded")
+    own = items.select("item", F.col("words").alias("item_words"), F.col("grams").alias("item_grams"))
+    scores = staged(aligned(_salted(pairs.join(passages, "pid"), own, "item", "pid"), least), "scores")
+    named = scores.join(items.select("item", "item_id"), "item").groupBy("pid", "item_id").agg(F.max("score").alias("score"))
+    told = _salted(owners.select("doc_id", "pid", F.xxhash64("doc_id").alias("row")), named, "pid", "row")
+    return told.groupBy("doc_id", "item_id").agg(F.round(F.max("score"), 6).alias("score"))
