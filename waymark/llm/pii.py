@@ -410,6 +410,7 @@ def pieces(docs: DataFrame, bound: int = SAMPLE) -> list:
         rows = sorted(held.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([w for _, w in rows], pa.list_(pa.string()))],
                                          ["key", "words"])
+        tidy()
 
     texts = docs.select(F.xxhash64("text").alias("key"), F.col("text")).filter("text IS NOT NULL AND text <> ''")
     found = texts.mapInArrow(least, "key long, words array<string>").dropDuplicates(["key"]).orderBy("key").limit(bound)
@@ -487,6 +488,7 @@ def find(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
             kinds = [s[1] for s in base]
             rows.append([*map(kinds.count, range(4)), hashlib.sha256(_written(base).encode()).hexdigest(), _written(whole),
                          len(whole)])
+        tidy()
         return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     found = F.pandas_udf(spans, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
@@ -508,7 +510,8 @@ def mask(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     def replaced(column: pd.Series) -> pd.Series:
         texts = column.tolist()
         known = [t or "" for t in texts]
-        return pd.Series([None if t is None else masked(t, whole)
-                          for t, (_, whole) in zip(texts, _spans(known, model))], dtype=object)
+        out = pd.Series([None if t is None else masked(t, whole) for t, (_, whole) in zip(texts, _spans(known, model))], dtype=object)
+        tidy()
+        return out
 
     return docs.withColumn(text, F.pandas_udf(replaced, "string")(F.col(text)))

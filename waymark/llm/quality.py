@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textops import held_out, labelled_sample, staged
+from waymark.llm.textops import held_out, labelled_sample, staged, tidy
 
 BOUNDS = {0: 12_000, 1: 18_000}  # labelled rows to learn from, at most about so many
 FEATURES = 256
@@ -67,7 +67,12 @@ def _matrix(column) -> np.ndarray:
 
 
 def with_statistics(rows: DataFrame, text: str = "_text", name: str = "_x") -> DataFrame:
-    return rows.withColumn(name, F.pandas_udf(lambda c: pd.Series(list(_matrix(c))), "array<double>")(F.col(text)))
+    def measured(column: pd.Series) -> pd.Series:
+        out = pd.Series(list(_matrix(column)))
+        tidy()
+        return out
+
+    return rows.withColumn(name, F.pandas_udf(measured, "array<double>")(F.col(text)))
 
 
 def _partials(rows: DataFrame, part, size: int) -> np.ndarray:
@@ -143,7 +148,12 @@ def predict(column, model: dict) -> np.ndarray:
 
 def scored(docs: DataFrame, model: dict, name: str = "score", text: str = "text") -> DataFrame:
     """The same rows with a score column."""
-    return docs.withColumn(name, F.pandas_udf(lambda c: pd.Series(predict(c, model)), "double")(F.col(text)))
+    def told(column: pd.Series) -> pd.Series:
+        out = pd.Series(predict(column, model))
+        tidy()
+        return out
+
+    return docs.withColumn(name, F.pandas_udf(told, "double")(F.col(text)))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.sources.tables import shared_dir
 
+ROW_GROUP = 16 << 20
 WORD_CACHE = 50_000  # distinct words a task remembers; then the cache starts anew
 
 
@@ -37,7 +38,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     lean_batches(spark)
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    # Small row groups: a task's writer holds one in memory.
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
