@@ -5,7 +5,7 @@ import re
 from helpers import located
 from pyspark.sql import functions as F
 
-from waymark.operators import filters, scan
+from waymark.operators import cleaning, filters, scan, track
 from waymark.sources import tables
 
 
@@ -56,3 +56,31 @@ def test_prefilter_loses_nothing(spark):
                 expected.add((k, name))
     assert got == expected and len({f for _, f in got}) == 11
     assert sum(r.n_texts for r in scan.content_scan(df, "k", "_text").collect()) == len(expected)
+
+
+def test_rows_in_buckets_are_not_exchanged(spark, tmp_path):
+    rows = located(spark, [(t, f"id{k}", f"s{t // 4000 % 3}", 0.0, 0.0) for k in range(9) for t in range(0, 200_000, 700 + 100 * k)])
+    table = tables.write_by_identifier_day(rows, "by_identifier_day", str(tmp_path / "buckets"), 8)
+    got, plain = track.split_trajectories(table, 1800), track.split_trajectories(rows, 1800)
+    assert sorted(map(tuple, got.drop("utc_day").collect())) == sorted(map(tuple, plain.collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for make in (lambda r: track.split_trajectories(r, 1800), cleaning.sessions):
+            exchanged = 0
+            plan = make(spark.table("by_identifier_day"))._jdf.queryExecution().executedPlan().toString()
+            # Every exchange lies above an aggregate: what moves are summaries.
+            for line, below in zip(plan.splitlines(), [plan.splitlines()[i + 1:] for i in range(len(plan.splitlines()))]):
+                if "Exchange" in line:
+                    depth = len(line) - len(line.lstrip(" :+-"))
+                    inner = []
+                    for x in below:
+                        if len(x) - len(x.lstrip(" :+-")) <= depth:
+                            break
+                        inner.append(x)
+                    exchanged += 1
+                    assert any("Aggregate" in x for x in inner), line
+            assert exchanged >= 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql("DROP TABLE by_identifier_day")

@@ -50,9 +50,23 @@ def test_hot_identifier_is_spread(spark):
     rows_ = located(spark, hot + rest)
     numbered = track.split_trajectories(rows_, 1800)
     assert numbered.filter("source_address = 'hot'").agg(F.max("trajectory_id")).first()[0] == 1
-    day = F.floor((F.unix_seconds("timestamp")) / 86400)
-    biggest = rows_.groupBy("source_address", day).count().agg(F.max("count")).first()[0]
-    assert biggest <= 1441 < len(hot)
+    # Windows over rows are by identifier and day; windows by identifier alone are over aggregates.
+    plan = numbered._jdf.queryExecution().optimizedPlan()
+    nodes, row_windows = [plan], 0
+    while nodes:
+        node = nodes.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Window":
+            spec = node.partitionSpec().mkString(",")
+            inner, rows_below = [*below], True
+            while inner:
+                x = inner.pop()
+                rows_below = rows_below and x.nodeName() != "Aggregate"
+                inner += [x.children().apply(i) for i in range(x.children().size())]
+            assert "_chunk" in spec or not rows_below
+            row_windows += rows_below
+        nodes += below
+    assert row_windows >= 1
     summary = track.trajectory_summary(rows_, 1800).filter("source_address = 'hot'").first()
     assert (summary.start_epoch, summary.n_windows) == (BASE, len(hot))
     assert activities.activities(rows_).filter("source_address = 'hot'").count() == 0

@@ -5,6 +5,9 @@ Here rows are first split inside ``(identifier, time chunk)``, whose size the ta
 bounds (one row per identifier and 20 s window: at most 4,320 a day). Only the chunk
 summaries, a few rows per identifier and day, meet in the per-identifier window that
 joins sessions across chunk borders.
+
+A table written by (identifier, ``utc_day``) (``sources.tables.write_by_identifier_day``) already lies as the first step
+needs it: its stored day is the chunk, and no row is exchanged.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +16,12 @@ from pyspark.sql import functions as F
 from waymark.functions.timefn import epoch
 
 DAY = 86400
+UTC_DAY = "utc_day"
+
+
+def _chunk_of(rows: DataFrame, chunk_seconds: int) -> Column:
+    stored = chunk_seconds == DAY and UTC_DAY in rows.columns
+    return F.col(UTC_DAY) if stored else F.floor(epoch("timestamp") / chunk_seconds)
 
 
 def _breaks(gap: Column, gap_seconds: int, inclusive: bool) -> Column:
@@ -26,7 +35,7 @@ def with_gaps(
 
     A chunk's first row takes the end of the previous chunk from the chunk summary.
     """
-    chunked = rows.withColumn("_chunk", F.floor(epoch("timestamp") / chunk_seconds))
+    chunked = rows.withColumn("_chunk", _chunk_of(rows, chunk_seconds))
     w = Window.partitionBy(*keys, "_chunk").orderBy("timestamp", *order)
     ends = chunked.groupBy(*keys, "_chunk").agg(F.max(epoch("timestamp")).alias("_last"))
     before = ends.withColumn(
@@ -40,7 +49,7 @@ def with_gaps(
 
 
 def _split_in_chunks(rows, keys, gap_seconds, inclusive, order, chunk_seconds):
-    chunked = rows.withColumn("_chunk", F.floor(epoch("timestamp") / chunk_seconds))
+    chunked = rows.withColumn("_chunk", _chunk_of(rows, chunk_seconds))
     w = Window.partitionBy(*keys, "_chunk").orderBy("timestamp", *order)
     gap = epoch("timestamp") - F.lag(epoch("timestamp")).over(w)
     flagged = chunked.withColumn("_gap", gap)

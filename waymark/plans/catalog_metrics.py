@@ -1,5 +1,7 @@
 """Queries for Location, Count, Track, Revisits, Activities and cleaning (L, N, T, R, A, C)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from waymark.operators import activities as act
@@ -12,6 +14,7 @@ from waymark.plans.oracle import (
     BANDS, EPISODES, GPS, KST, RAW_PLANTED, TRIPS, VISITS, big, day, day_type, episodes, hour, r6, utc_text,
     with_base,
 )
+from waymark.sources import tables
 from waymark.sources.tables import stager
 
 # Location --------------------------------------------------------------------------------
@@ -241,6 +244,15 @@ def _(c: Context):
         "timestamp", "source_address", "sensor_name", "trajectory_id")
 
 
+@query("track_t1_from_buckets", with_base(
+    f"""SELECT w AS timestamp, id AS source_address, sensor AS sensor_name, {big('tid')} AS trajectory_id
+        FROM trips_rows""", TRIPS))
+def _(c: Context):
+    """From the table laid out by identifier and day: only day summaries are exchanged."""
+    return track.split_trajectories(c.located_by_day, 1800).select(
+        "timestamp", "source_address", "sensor_name", "trajectory_id")
+
+
 _TRACK = f"""SELECT id AS source_address, tid AS trajectory_id, {utc_text('t0')} AS start_utc,
     {utc_text('t1')} AS end_utc, dur AS duration_seconds, n AS n_windows, origin, destination, is_od FROM """
 
@@ -700,6 +712,16 @@ def _(c: Context):
     return cleaning.sessions(filters.keep_unflagged(c.sec1))
 
 
+@query("clean_c1_from_buckets", with_base(
+    f"""SELECT id AS source_address, sensor AS sensor_name, {big('g')} AS session_id, t0 AS start_epoch,
+        t1 AS end_epoch, n AS n_rows, t1 - t0 AS duration_seconds FROM sess"""))
+def _(c: Context):
+    name = f"waymark_seconds_{uuid.uuid4().hex}"
+    buckets = int(c.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = tables.write_by_identifier_day(filters.keep_unflagged(c.sec1), name, c.new_path(name), buckets)
+    return cleaning.sessions(rows)
+
+
 @query("clean_c2_remove_stationary", with_base(
     "SELECT id AS source_address, sensor AS sensor_name, count(*) AS n FROM cleaned GROUP BY 1, 2"))
 def _(c: Context):

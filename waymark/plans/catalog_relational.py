@@ -278,13 +278,19 @@ def _(c: Context):
         F.count("*").alias("n"))
 
 
+_SEEN = f"(SELECT * FROM loc WHERE (w + {KST}) // 86400 * 5 % 11 <> CAST(substr(sensor, 2) AS INT) % 11)"
+
+
 @query("join_j7_zero_filled_grid", with_base(
     f"""SELECT s.sensor AS sensor_name, {day(f'(g.d * 86400 - {KST})')} AS local_date, coalesce(n, 0) AS n
-        FROM sensors s CROSS JOIN (SELECT DISTINCT (w + {KST}) // 86400 AS d FROM loc) g
-        LEFT JOIN (SELECT sensor, (w + {KST}) // 86400 AS d, count(*) AS n FROM loc
+        FROM sensors s CROSS JOIN (SELECT DISTINCT (w + {KST}) // 86400 AS d FROM {_SEEN}) g
+        LEFT JOIN (SELECT sensor, (w + {KST}) // 86400 AS d, count(*) AS n FROM {_SEEN}
                    GROUP BY 1, 2) a ON a.sensor = s.sensor AND a.d = g.d"""))
 def _(c: Context):
-    per_day = c.located.groupBy(
+    """Each sensor is silent on every eleventh day or so: the zeros to be filled."""
+    day_no = F.floor((epoch("timestamp") + KST) / 86400)
+    seen = c.located.filter(day_no * 5 % 11 != F.substring("sensor_name", 2, 2).cast("int") % 11)
+    per_day = seen.groupBy(
         "sensor_name", local_date("timestamp").alias("local_date")).agg(F.count("*").alias("n"))
     return joins.fill_sensor_days(per_day, c.sensors, per_day, "n")
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from waymark.functions.timefn import use_utc
 from waymark.operators import activities, aggregate, cleaning, filters, location, revisits, track
 from waymark.params import CAMPUS, DISTRICT, MAINTAINED, CleaningParams
+from waymark.plans.oracle import KST
 from waymark.sources import synthetic, tables
 
 RULES = {"maintained": MAINTAINED, "campus": CAMPUS, "district": DISTRICT}
@@ -87,6 +88,13 @@ class Context:
     def located(self):
         return self.staged("located", lambda: location.locate_proximity(self.t20, self.sensors))
 
+    @cached_property
+    def located_by_day(self):
+        """The Location table in buckets of identifier and day; a table of the session's catalog over the shared folder."""
+        name = f"waymark_located_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return tables.write_by_identifier_day(self.located, name, self.new_path(name), buckets)
+
     @cached_property
     def trips(self):
         return track.trajectory_summary(self.located, 1800)
@@ -105,8 +113,11 @@ class Context:
 
     @cached_property
     def week(self):
-        """One local week at all sensors."""
-        return filters.local_period(self.t20, "2024-01-08 00:00:00", "2024-01-15 00:00:00")
+        """One local week at all sensors, in which some identifiers are seen on one day only; ``oracle.BANDS`` says the same."""
+        rows = filters.local_period(self.t20, "2024-01-08 00:00:00", "2024-01-15 00:00:00")
+        day = F.floor((F.unix_seconds("timestamp") + KST) / 86400) % 7
+        own = F.ascii(F.substring("source_address", 2, 1)) % 7
+        return rows.filter((F.substring("source_address", 1, 1) > "3") | (day == own))
 
     @cached_property
     def bands(self):

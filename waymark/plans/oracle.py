@@ -87,7 +87,8 @@ VISITS = trajectories(7200, "visits")
 BANDS = f""",
 week AS (
   SELECT * FROM t20 WHERE w + {KST} >= epoch(TIMESTAMP '2024-01-08 00:00:00')
-    AND w + {KST} < epoch(TIMESTAMP '2024-01-15 00:00:00')),
+    AND w + {KST} < epoch(TIMESTAMP '2024-01-15 00:00:00')
+    AND (substr(id, 1, 1) > '3' OR (w + {KST}) // 86400 % 7 = ascii(substr(id, 2, 1)) % 7)),
 bands AS (
   SELECT id, n_days, CASE WHEN n_days = 1 THEN '1 day' WHEN n_days >= 5 THEN '5–7 days'
                      ELSE '2–4 days' END AS band

@@ -1,6 +1,8 @@
 """Reading and writing the contract tables."""
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from waymark import schemas
 from waymark.functions import bitmaps
+from waymark.functions.islands import UTC_DAY
 from waymark.functions.timefn import ntz_as_utc, utc_text
 from waymark.operators.quality import ContractError, require_columns
 from waymark.sources import published
@@ -27,7 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ContractError("set spark.checkpoint.dir to a folder all executors share")
     key = spark.sparkContext.applicationId
-    return _scratch.setdefault(key, tempfile.mkdtemp(prefix="waymark-"))
+    if key not in _scratch:
+        _scratch[key] = tempfile.mkdtemp(prefix="waymark-")
+        atexit.register(shutil.rmtree, _scratch[key], ignore_errors=True)
+    return _scratch[key]
+
+
+def _state_of(spark: SparkSession, source: str) -> tuple:
+    """Names, sizes and times of the files of a folder and of the folders in it: a memo of what was made from them must not
+    outlive them."""
+    files = published.Files(spark, source)
+    found = []
+    for s in files.fs.listStatus(files.path(source)) if files.exists(source) else []:
+        inner = files.fs.listStatus(s.getPath()) if s.isDirectory() else [s]
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in inner]
+    return tuple(sorted(found))
 
 
 def stager(spark: SparkSession, run: str):
@@ -44,7 +61,7 @@ def stager(spark: SparkSession, run: str):
 def staged_once(spark: SparkSession, source: str, name: str, build) -> DataFrame:
     """A stage of a session: written to the shared folder by its first reader, and written
     anew if the folder has been cleared since."""
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, source, name, _state_of(spark, source))
     if key in _stages:
         path, schema = _stages[key]
         try:
@@ -108,6 +125,17 @@ def write_by_date(df: DataFrame, path: str, day: str = "local_date") -> None:
     _replaced(df, path, lambda new: df.repartition(day).write.partitionBy(day).option("compression", "zstd").parquet(new))
 
 
+def write_by_identifier_day(df: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """A table laid out for the windows and joins on (identifier, day): bucketed by both, one file a bucket, so an identifier
+    with a third of all rows lies in as many buckets as it has days. Returns the table ``name`` of the session's catalog, whose
+    files are in ``path``; windows by identifier and UTC day read it without an exchange."""
+    day = F.floor(F.unix_seconds("timestamp") / 86400).alias(UTC_DAY)
+    laid = df.select("*", day).repartition(buckets, "source_address", UTC_DAY).sortWithinPartitions("source_address", UTC_DAY, "timestamp")
+    laid.write.bucketBy(buckets, "source_address", UTC_DAY).sortBy("source_address", UTC_DAY, "timestamp").option(
+        "path", path).option("compression", "zstd").mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def day_table(spark: SparkSession, path: str, days: DataFrame) -> DataFrame:
     """A table of days with what is known of each (a few hundred rows a year), written so that a filter on it can prune others."""
     write_table(days.coalesce(1), path)
