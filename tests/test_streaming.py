@@ -83,6 +83,7 @@ def test_clusters_across_restarts(spark, tmp_path):
             for i in range(6) for t in range(0, 60000, 20) if rng.random() < (0.4 if t % 20000 < 6000 else 0.0)]
     rows += [(t, "long", "s0", 0.0, 0.0) for t in range(0, 60000, 600)]    # a trajectory beyond the accepted duration
     rows += [(t, "open", "s0", 0.0, 0.0) for t in range(58000, 59900, 20)] # one that the archive's end leaves open
+    rows += [(t, "id0", "s0", 0.0, 0.0) for t in range(59700, 59900, 20)]  # and rows beyond the last watermark after closed ones
     table = located(spark, rows)
     seen, told, watermark = restarted(spark, tmp_path, table, stateful.clusters, (15000,))
     got = stateful.clusters_of_archive(told, table, watermark)

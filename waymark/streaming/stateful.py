@@ -40,17 +40,20 @@ class _Ordered(StatefulProcessor):
         new = [tuple(row) for frame in rows for row in frame[self.names].itertuples(index=False)]
         if new and self.wanted():
             self.waiting.appendList(new)
-            self.handle.registerTimer(max(row[0] for row in new) * 1000 + 1)
+            # The first of them wakes the key; it then sees to the rest itself, whatever the last run's watermark leaves waiting.
+            self.handle.registerTimer(min(row[0] for row in new) * 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
         rows = sorted(self.waiting.get())
         ready = [row for row in rows if row[0] * 1000 < mark]
+        rest = rows[len(ready):]
         if ready:
             self.waiting.clear()
-            if len(ready) < len(rows):
-                self.waiting.appendList(rows[len(ready):])
+            if rest:
+                self.waiting.appendList(rest)
+                self.handle.registerTimer(rest[0][0] * 1000 + 1)
         out = self.fold(key, ready, mark)
         if out:
             yield pd.DataFrame(out, columns=self.out)
