@@ -22,3 +22,48 @@ def test_imports_without_llm(tmp_path, pipeline_stays):
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert done.stdout.split() == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))]
+
+
+def _exchanges_above_the_expansion(df):
+    """Exchanges that move rows of packets: those with the expansion (a Generate) below them."""
+    def walk(node):
+        below = [walk(node.children().apply(i)) for i in range(node.children().size())]
+        expanded = node.nodeName() == "Generate" or any(e for e, _ in below)
+        return expanded, sum(n for _, n in below) + (node.nodeName() == "Exchange" and any(e and g for (e, _), g in zip(
+            below, ["explode(sequence(0" in node.toString()] * len(below))))
+
+    limit = "spark.sql.adaptive.enabled"
+    before = df.sparkSession.conf.get(limit)
+    df.sparkSession.conf.set(limit, "false")
+    try:
+        return walk(df._jdf.queryExecution().executedPlan())[1]
+    finally:
+        df.sparkSession.conf.set(limit, before)
+
+
+def test_packets_are_not_exchanged_on_the_way_to_windows(spark):
+    """Events are dealt by identifier and day before they become packets; seconds, windows and duplicates follow in place."""
+    from waymark.operators import aggregate
+    from waymark.plans.context import Context
+    c = Context(spark, "/root/testdata/sf0.001")
+    seconds = aggregate.one_second(c.packets_by_day)
+    for rows in (seconds, aggregate.twenty_second(seconds), aggregate.twenty_second_from_raw(c.raw_by_day, c.district)):
+        assert _exchanges_above_the_expansion(rows) == 0
+    assert _exchanges_above_the_expansion(aggregate.one_second(c.packets)) == 1
+
+
+def test_tasks_grow_with_the_events(spark, monkeypatch):
+    from waymark.sources import synthetic
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(synthetic, "EVENTS_A_TASK", 50)
+    assert synthetic.parts(spark, sf) == 20
+    assert synthetic.packets_by_day(spark, sf).rdd.getNumPartitions() == 20
+
+
+def test_median_of_few_is_the_median(spark):
+    from pyspark.sql import functions as F
+    from waymark.functions.stats import median_of_few
+    rows = spark.createDataFrame([(g, v) for g, vs in enumerate(
+        [[None], [3], [4, 1], [2, None, 9, 7], [5, 5, 1, 8], [-3, -80, -41, -41, -12]]) for v in vs], "g int, v int")
+    got = rows.groupBy("g").agg(median_of_few("v").alias("few"), F.median("v").alias("all")).collect()
+    assert len(got) == 6 and all(r.few == r.all for r in got)

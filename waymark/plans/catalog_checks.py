@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from waymark import schemas
 from waymark.functions.identifiers import legacy_identifier
+from waymark.functions.islands import UTC_DAY
 from waymark.functions.timefn import epoch
 from waymark.operators import aggregate, filters, joins, quality, release
 from waymark.operators.count import count_sensor_window
@@ -86,7 +87,8 @@ def _(c: Context):
     "SELECT t AS timestamp, id AS source_address, sensor AS sensor_name, count(*) AS n FROM packets "
     "GROUP BY 1, 2, 3 HAVING count(*) > 1"))
 def _(c: Context):
-    return quality.duplicate_keys(c.packets.withColumn("timestamp", F.date_trunc("second", "timestamp")))
+    rows = c.packets_by_day.withColumn("timestamp", F.date_trunc("second", "timestamp"))
+    return quality.duplicate_keys(rows, aggregate.key_of(rows)).drop(UTC_DAY)
 
 
 @query("check_v8_packet_domain", with_base(
@@ -157,7 +159,8 @@ def _(c: Context):
           OR abs(a.rssi_sum - b.rssi_sum) > 1e-9 OR a.detections <> b.detections) GROUP BY 1, 2""", NARROW))
 def _(c: Context):
     apart = quality.table_differences(
-        c.t20, c.t20_narrow, aggregate.KEY, ["rssi_median", "rssi_sum", "detections", "strength_sum"])
+        c.t20_by_day, c.t20_narrow_by_day, aggregate.key_of(c.t20_by_day),
+        ["rssi_median", "rssi_sum", "detections", "strength_sum"])
     return apart.groupBy("difference", "sensor_name").agg(F.count("*").alias("n"))
 
 
@@ -177,7 +180,7 @@ def _(c: Context):
     "SELECT (SELECT count(*) FROM t20) AS n_windows, 0 AS n_differences"))
 def _(c: Context):
     written = c.spark.read.parquet(c.landed(c.t20, "t20"))
-    differences = quality.rebuild_differences(c.cleaned, written).agg(F.count("*")).scalar()
+    differences = quality.rebuild_differences(c.cleaned_by_day, written).agg(F.count("*")).scalar()
     return written.agg(F.count("*").alias("n_windows")).withColumn("n_differences", differences)
 
 
