@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.stats import average_rank, exact_quantiles
+from waymark.functions.stats import average_rank, exact_quantiles, pearson
 from waymark.operators.filters import drop_invalid_addresses, locally_administered
 
 SITE = ["site"]
@@ -49,22 +49,22 @@ def hourly_streams(rows: DataFrame, *by: str) -> DataFrame:
 
 def stream_correlation(hourly: DataFrame) -> DataFrame:
     """Pearson and Spearman correlation of the two hourly streams."""
-    pearson = hourly.groupBy("site").agg(
-        F.corr("n_random", "n_nonrandom").alias("pearson_r"), F.count("*").alias("n_hours")
+    linear = hourly.groupBy("site").agg(
+        pearson("n_random", "n_nonrandom").alias("pearson_r"), F.count("*").alias("n_hours")
     )
     ranked = average_rank(hourly, "n_random", SITE, "rank_random")
     ranked = average_rank(ranked, "n_nonrandom", SITE, "rank_nonrandom")
     spearman = ranked.groupBy("site").agg(
-        F.corr("rank_random", "rank_nonrandom").alias("spearman_rho")
+        pearson("rank_random", "rank_nonrandom").alias("spearman_rho")
     )
-    return pearson.join(spearman, "site")
+    return linear.join(spearman, "site")
 
 
 def sensor_correlation(hourly: DataFrame, min_hours: int = 10) -> DataFrame:
     """Pearson correlation by sensor; NULL with too few hours that have unflagged addresses."""
     supported = F.count_if(F.col("n_nonrandom") > 0) >= min_hours
     return hourly.groupBy("site", "sensor_name").agg(
-        F.when(supported, F.corr("n_random", "n_nonrandom")).alias("pearson_r"),
+        F.when(supported, pearson("n_random", "n_nonrandom")).alias("pearson_r"),
         F.count("*").alias("n_hours"),
     )
 
