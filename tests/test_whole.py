@@ -32,3 +32,9 @@ def test_correlation_of_constant_streams(spark):
     assert got["s01"] is None and got["s02"] != got["s02"] and got["s03"] == pytest.approx(1)
     flat = diagnostics.stream_correlation(hourly.filter("sensor_name = 's01'")).collect()[0]
     assert flat["pearson_r"] != flat["pearson_r"] and flat["spearman_rho"] != flat["spearman_rho"]
+
+
+def test_night_persistence_on_every_night(spark, c):
+    fixed = {r["source_address"] for r in filters.night_persistent(c.located).collect()}
+    want = {i: n for i, n in _counts(c.located).items() if i not in fixed}
+    assert {r["source_address"]: r["n"] for r in _query(spark, "filter_f10_night_persistence").collect()} == want

@@ -369,9 +369,12 @@ def _(c: Context):
     return rows.groupBy("sensor_name").agg(F.count("*").alias("n"))
 
 
-# Nights are thinned to a few for each identifier, so that the default tells them apart.
+# For the list of identifiers, nights are thinned to a few for each, so that the default tells them apart.
 _FEW = f"(SELECT * FROM loc WHERE {hour('w')} > 4 OR ((w + {KST}) // 86400 * 7 + ascii(substr(id, 1, 1))) % 5 = 0)"
-_NIGHT = f"""(SELECT id, count(DISTINCT (w + {KST}) // 86400) AS night_days FROM {_FEW}
+
+
+def _night(rows: str) -> str:
+    return f"""(SELECT id, count(DISTINCT (w + {KST}) // 86400) AS night_days FROM {rows}
               WHERE {hour('w')} <= 4 GROUP BY id HAVING count(DISTINCT (w + {KST}) // 86400) >= 3)"""
 
 
@@ -382,15 +385,15 @@ def _few_nights(c):
 
 
 @query("filter_f10_night_persistence", with_base(
-    f"""SELECT id AS source_address, count(*) AS n FROM {_FEW}
-        WHERE id NOT IN (SELECT id FROM {_NIGHT}) GROUP BY 1"""))
+    f"""SELECT id AS source_address, count(*) AS n FROM loc
+        WHERE id NOT IN (SELECT id FROM {_night('loc')}) GROUP BY 1"""))
 def _(c: Context):
-    kept = filters.drop_night_persistent(_few_nights(c))
+    kept = filters.drop_night_persistent(c.located)
     return kept.groupBy("source_address").agg(F.count("*").alias("n"))
 
 
 @query("filter_f10_night_persistent_ids", with_base(
-    f"SELECT id AS source_address, night_days FROM {_NIGHT}"))
+    f"SELECT id AS source_address, night_days FROM {_night(_FEW)}"))
 def _(c: Context):
     return filters.night_persistent(_few_nights(c))
 
