@@ -45,3 +45,9 @@ def test_valid_days_of_all_sensors(spark, c):
     day = F.to_date(F.from_utc_timestamp("timestamp", "Asia/Seoul")).cast("string")
     assert {r["source_address"]: r["n"] for r in _query(spark, "filter_f11_valid_days").collect()} == _counts(
         c.located.filter(day.isin(days)))
+
+
+def test_bands_of_the_whole_week(spark, c):
+    week = filters.local_period(c.t20, "2024-01-08 00:00:00", "2024-01-15 00:00:00")
+    days = week.select("source_address", F.to_date(F.from_utc_timestamp("timestamp", "Asia/Seoul")).alias("d")).distinct()
+    assert {r["source_address"]: r["n_days"] for r in _query(spark, "revisit_r2_observed_day_bands").collect()} == _counts(days)

@@ -12,8 +12,8 @@ from waymark.plans import stages
 from waymark.plans.catalog_scans import UPTIME_SQL
 from waymark.plans.context import Context, query
 from waymark.plans.oracle import (
-    BANDS, EPISODES, GPS, KST, RAW_PLANTED, TRIPS, VISITS, big, day, day_type, episodes, hour, r6, utc_text,
-    with_base,
+    BANDS, EPISODES, GPS, KST, PLANTED_BANDS, RAW_PLANTED, TRIPS, VISITS, big, day, day_type, episodes, hour, r6,
+    utc_text, with_base,
 )
 from waymark.sources import tables
 from waymark.sources.tables import stager
@@ -625,9 +625,9 @@ def _(c: Context):
         {r6('avg(is_stay) * 100')} AS stay_rate,
         {r6('median(dur / 60.0) FILTER (WHERE is_stay = 1)')} AS median_duration,
         {r6('avg(dur / 60.0) FILTER (WHERE is_stay = 1)')} AS mean_duration
-        FROM ep JOIN xb USING (id) GROUP BY 1""", EPISODES, EXTREME))
+        FROM ep JOIN xb USING (id) GROUP BY 1""", EPISODES, EXTREME.replace(BANDS, PLANTED_BANDS)))
 def _(c: Context):
-    return act.stays_by_band(c.episodes, c.bands)
+    return act.stays_by_band(c.episodes, revisits.observed_day_bands(c.planted_week))
 
 
 @query("activity_a14_types_by_band", with_base(

@@ -140,8 +140,13 @@ class Context:
 
     @cached_property
     def week(self):
-        """One local week at all sensors, in which some identifiers are seen on one day only; ``oracle.BANDS`` says the same."""
-        rows = filters.local_period(self.t20, "2024-01-08 00:00:00", "2024-01-15 00:00:00")
+        """One local week at all sensors; ``oracle.BANDS`` says the same."""
+        return filters.local_period(self.t20, "2024-01-08 00:00:00", "2024-01-15 00:00:00")
+
+    @cached_property
+    def planted_week(self):
+        """The week with some identifiers on one day only; ``oracle.PLANTED_BANDS`` says the same."""
+        rows = self.week
         day = F.floor((F.unix_seconds("timestamp") + KST) / 86400) % 7
         own = F.ascii(F.substring("source_address", 2, 1)) % 7
         return rows.filter((F.substring("source_address", 1, 1) > "3") | (day == own))
