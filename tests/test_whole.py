@@ -51,3 +51,7 @@ def test_bands_of_the_whole_week(spark, c):
     week = filters.local_period(c.t20, "2024-01-08 00:00:00", "2024-01-15 00:00:00")
     days = week.select("source_address", F.to_date(F.from_utc_timestamp("timestamp", "Asia/Seoul")).alias("d")).distinct()
     assert {r["source_address"]: r["n_days"] for r in _query(spark, "revisit_r2_observed_day_bands").collect()} == _counts(days)
+
+
+def test_cleaned_rows_are_returned(spark, c):
+    assert _query(spark, "clean_c3_cleaned_one_second").count() == c.cleaned.count()

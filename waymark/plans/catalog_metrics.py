@@ -729,18 +729,9 @@ def _(c: Context):
     return kept.groupBy("source_address", "sensor_name").agg(F.count("*").alias("n"))
 
 
-@query("clean_c3_cleaned_one_second", with_base(
-    f"""SELECT id AS source_address, t // 86400 AS day, count(*) AS n_rows,
-        {big("sum(CAST('0x' || substr(md5(concat_ws('|', t, id, sensor, flag, CAST(m * 2 AS BIGINT), n)), 1, 7) AS BIGINT))")} AS rows_hash
-        FROM cleaned GROUP BY 1, 2"""))
-def _(c: Context):
-    """Every cleaned row, told by a hash of all its columns: their sum for each identifier and day. Medians come in halves."""
-    row = F.concat_ws("|", F.unix_seconds("timestamp").cast("string"), "source_address", "sensor_name",
-                      F.col("source_address_randomized").cast("string"), (F.col("rssi_median") * 2).cast("long").cast("string"),
-                      F.col("packet_count").cast("string"))
-    day = F.floor(F.unix_seconds("timestamp") / 86400).alias("day")
-    return c.cleaned.groupBy("source_address", day).agg(
-        F.count("*").alias("n_rows"), F.sum(F.conv(F.substring(F.md5(row), 1, 7), 16, 10).cast("long")).alias("rows_hash"))
+@query("clean_c3_cleaned_one_second", with_base(_SEC + "cleaned"))
+def _(c: Context):
+    return c.cleaned
 
 
 HIST = """,
