@@ -55,3 +55,7 @@ def test_bands_of_the_whole_week(spark, c):
 
 def test_cleaned_rows_are_returned(spark, c):
     assert _query(spark, "clean_c3_cleaned_one_second").count() == c.cleaned.count()
+
+
+def test_grid_counts_every_row(spark, c):
+    assert _query(spark, "join_j7_zero_filled_grid").agg(F.sum("n")).collect()[0][0] == c.located.count()
