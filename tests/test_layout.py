@@ -67,3 +67,8 @@ def test_median_of_few_is_the_median(spark):
         [[None], [3], [4, 1], [2, None, 9, 7], [5, 5, 1, 8], [-3, -80, -41, -41, -12]]) for v in vs], "g int, v int")
     got = rows.groupBy("g").agg(median_of_few("v").alias("few"), F.median("v").alias("all")).collect()
     assert len(got) == 6 and all(r.few == r.all for r in got)
+
+
+def test_scopes_are_compared_by_addresses_read_once(spark):
+    df = catalog.queries()["release_x5_scope_overlap"](spark, "/root/testdata/sf0.001")
+    assert "explode(sequence(0" not in df._jdf.queryExecution().executedPlan().toString()
