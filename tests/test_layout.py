@@ -72,3 +72,15 @@ def test_median_of_few_is_the_median(spark):
 def test_scopes_are_compared_by_addresses_read_once(spark):
     df = catalog.queries()["release_x5_scope_overlap"](spark, "/root/testdata/sf0.001")
     assert "explode(sequence(0" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rekey_reads_its_table_once_for_all_columns(spark):
+    """Once for the identifiers and once for the rows; each more column used to read and join it again."""
+    from waymark.operators import release
+    rows = spark.range(9).selectExpr("explode(sequence(0, id)) AS n", "id").selectExpr(
+        "CONCAT('a', n) AS source_address", "CONCAT('b', id) AS device_address", "'' AS mac_address")
+    keyed = release.rekey(rows, "scope", bytes(range(32)), b"domain")
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence") <= 4
+    got = keyed.distinct().collect()
+    assert len(got) == 45 and {r["mac_address"] for r in got} == {""} and len({r["source_address"] for r in got}) == 9

@@ -93,15 +93,19 @@ def rewrite_ids(table: DataFrame, mapping: DataFrame, column: str = "source_addr
 def rekey(table: DataFrame, scope: str, key: bytes, domain: bytes) -> DataFrame:
     """Re-pseudonymise every identifier column of a table. Blank values stay blank; a value that is a
     pseudonym already and a collision fail the job."""
+    names = [c for c in table.columns if c.lower() in IDENTIFIER_COLUMNS]
+    if not names:
+        return table
     hashed = identifiers.keyed_hash(identifiers.scope_prefix(domain, scope), key)
+    # the columns share one mapping, so the table is read once for the identifiers of all; each set of values is small first
+    values = table.groupBy([identifiers.canonical_address(name).alias(f"_id_{i}") for i, name in enumerate(names)]).agg(F.lit(1))
+    ids = values.select(F.explode(F.array(*[f"_id_{i}" for i in range(len(names))])).alias("_id")).filter(F.col("_id") != "").distinct()
+    checked = _or_fail(~F.col("_id").rlike(PUBLIC_FORM), F.col("_id"), "input holds pseudonyms already")
+    mapping = _injective(ids.withColumn("_new", hashed(checked)), "_id", "_new")
     result = table
-    for name in [c for c in table.columns if c.lower() in IDENTIFIER_COLUMNS]:
-        canonical = F.lower(F.trim(F.col(name)))
-        ids = result.select(canonical.alias("_id")).filter(F.col("_id") != "").distinct()
-        checked = _or_fail(~F.col("_id").rlike(PUBLIC_FORM), F.col("_id"), "input holds pseudonyms already")
-        mapping = _injective(ids.withColumn("_new", hashed(checked)), "_id", "_new")
+    for name in names:
         result = (
-            result.withColumn("_id", canonical).join(mapping, "_id", "left")
+            result.withColumn("_id", identifiers.canonical_address(name)).join(mapping, "_id", "left")
             .withColumn(name, F.coalesce("_new", "_id", F.lit(""))).select(*table.columns)
         )
     return result
