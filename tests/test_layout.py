@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.plans import catalog
 
@@ -84,3 +85,18 @@ def test_rekey_reads_its_table_once_for_all_columns(spark):
     assert plan.count("Generate explode(sequence") <= 4
     got = keyed.distinct().collect()
     assert len(got) == 45 and {r["mac_address"] for r in got} == {""} and len({r["source_address"] for r in got}) == 9
+
+
+def test_runs_are_dealt_before_they_become_packets(spark):
+    """The same packets as in the capture table, each run in one partition, and no packet is exchanged or sorted."""
+    from waymark.sources import synthetic
+    sf = "/root/testdata/sf0.001"
+    runs = synthetic.packets_text_by_run(spark, sf)
+    plan = runs._jdf.queryExecution().executedPlan().toString()  # the outermost steps come first
+    assert plan.index("explode(sequence(k") < min(plan.index("Exchange"), plan.index("Sort"))
+    tasks = runs.select("run", F.spark_partition_id().alias("p")).distinct().groupBy("run").count().collect()
+    assert len(tasks) == 17 and {r["count"] for r in tasks} == {1}
+    assert runs.filter("run <> sensor_name").isEmpty()
+    plain = synthetic.packets_text(spark, sf)
+    assert runs.count() == plain.count()
+    assert runs.drop("run").exceptAll(plain).isEmpty()

@@ -125,7 +125,7 @@ def _(c: Context):
 def _(c: Context):
     """The ledger of an extraction whose first run was killed in its second batch, after that batch had written its rows."""
     source, out, done, book = c.new_path("captures"), c.new_path("extracted"), c.new_path("progress"), c.new_path("ledger")
-    c.packets_text.withColumn("run", F.col("sensor_name")).repartition("run").write.partitionBy("run").parquet(source)
+    c.packets_text_by_run.write.partitionBy("run").parquet(source)
 
     def keep(rows):
         return filters.exclude_subtypes(filters.rssi_between(rows))

@@ -179,6 +179,10 @@ class Context:
             F.lit("s02").alias("sensor_name"), F.lit("c2").alias("sensor_code"), F.lit(-50).alias("rssi"), "site")
         return self.raw.filter(F.unix_seconds("timestamp") % every == 0).unionByName(stay)
 
+    @cached_property
+    def packets_text_by_run(self):
+        return synthetic.packets_text_by_run(self.spark, self.dir)
+
     @cached_property
     def gps(self):
         return self.staged("gps", lambda: synthetic.gps(self.spark, self.dir))

@@ -76,6 +76,20 @@ def hardware_address(user_id: Column) -> Column:
     )
 
 
+# Steps after which a burst on the move reaches its next sensor.
+STEPS_A_SENSOR = 20
+
+
+def _step_us():
+    """The time of step ``k`` of a burst that starts at ``us``."""
+    return F.col("us") + (F.col("k") * F.col("step")).cast("long") * 1000000 + F.when(
+        F.col("event_id").isNull(), 0).otherwise(F.col("k") % 3 * 137000)
+
+
+def _branches():
+    return F.explode(F.when(F.col("event_id").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> int:
     """Tasks over the expanded events: their number grows with the table."""
     wanted = -(-events(spark, sf_dir).count() // EVENTS_A_TASK)
@@ -94,10 +108,9 @@ def _laid_out(spark: SparkSession, sf_dir: str, starts: DataFrame) -> DataFrame:
         parts(spark, sf_dir), "source_address", UTC_DAY)
     return (
         dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        .withColumn("us", F.col("us") + (F.col("k") * F.col("step")).cast("long") * 1000000
-                    + F.when(F.col("event_id").isNull(), 0).otherwise(F.col("k") % 3 * 137000))
+        .withColumn("us", _step_us())
         .filter(day(F.col("us")).eqNullSafe(F.col(UTC_DAY)))
-        .withColumn("b", F.explode(F.when(F.col("event_id").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+        .withColumn("b", _branches())
     )
 
 
@@ -128,7 +141,7 @@ def _sensor_and_strength(bursts: DataFrame) -> DataFrame:
         bursts.withColumn(
             "sensor",
             F.when(e.isNull(), 0).when(dwells, (e + b) % N_SENSORS)
-            .otherwise((e + F.floor(k / 20) + 3 * b) % N_SENSORS),
+            .otherwise((e + F.floor(k / STEPS_A_SENSOR) + 3 * b) % N_SENSORS),
         )
         .withColumn("strength", F.when(e.isNull(), -50).otherwise(-(35 + (e * 31 + k * 7 + b * 23) % 60)).cast("int"))
     )
@@ -142,9 +155,15 @@ def _bursts(spark: SparkSession, sf_dir: str, address: Column = None) -> DataFra
 
 def packets_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capture table, timestamps parsed, laid out by identifier and ``utc_day``."""
+    return _packet_columns(_sensor_and_strength(_laid_out(spark, sf_dir, _starts(spark, sf_dir))), UTC_DAY)
+
+
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _moving(spark, sf_dir, identifier(F.col("user_id"))).unionByName(_stationary(spark, sf_dir))
+
+
+def _packet_columns(rows: DataFrame, *more: str) -> DataFrame:
     e, k = F.col("event_id"), F.col("k")
-    starts = _moving(spark, sf_dir, identifier(F.col("user_id"))).unionByName(_stationary(spark, sf_dir))
-    rows = _sensor_and_strength(_laid_out(spark, sf_dir, starts))
     fixed = e.isNull()
     return rows.select(
         F.timestamp_micros("us").alias("timestamp"),
@@ -153,10 +172,22 @@ def packets_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("probe-request").alias("subtype"),
         "strength", "source_address", F.when(F.col("user_id") % 5 == 0, 1).otherwise(0).alias("source_address_randomized"),
         F.when(fixed, 1).otherwise(F.col("sensor") % 14 + 1).cast("int").alias("channel"),
-        sensor_name(F.col("sensor")).alias("sensor_name"), UTC_DAY,
+        sensor_name(F.col("sensor")).alias("sensor_name"), *more,
     )
 
 
+def packets_text_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capture table as landed and its service run (one a sensor), each run in one task. Bursts are cut where their sensor
+    may change and dealt by run before they are expanded, so a task reads pieces of events and sorts no packets."""
+    pieces = _sensor_and_strength(
+        _starts(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEPS_A_SENSOR)))).withColumn("b", _branches()))
+    dealt = pieces.withColumn("last", F.least(F.col("k") + STEPS_A_SENSOR - 1, "last")).select(
+        "event_id", "user_id", "source_address", "us", "step", "b", "k", "last", sensor_name(F.col("sensor")).alias("run")
+    ).repartition(4 * N_SENSORS, "run").sortWithinPartitions("run")
+    rows = dealt.withColumn("k", F.explode(F.sequence("k", "last"))).withColumn("us", _step_us())
+    return _as_text(_packet_columns(_sensor_and_strength(rows), "run"), "run")
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capture table, timestamps parsed."""
     return packets_by_day(spark, sf_dir).drop(UTC_DAY)
@@ -164,9 +195,13 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capture table as landed: RFC 3339 text timestamps with milliseconds."""
-    return packets(spark, sf_dir).withColumn(
+    return _as_text(packets(spark, sf_dir))
+
+
+def _as_text(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.withColumn(
         "timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    ).select(*schemas.PACKETS_RAW.names)
+    ).select(*schemas.PACKETS_RAW.names, *more)
 
 
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
