@@ -182,8 +182,8 @@ def packets_text_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = _sensor_and_strength(
         _starts(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEPS_A_SENSOR)))).withColumn("b", _branches()))
     dealt = pieces.withColumn("last", F.least(F.col("k") + STEPS_A_SENSOR - 1, "last")).select(
-        "event_id", "user_id", "source_address", "us", "step", "b", "k", "last", sensor_name(F.col("sensor")).alias("run")
-    ).repartition(4 * N_SENSORS, "run").sortWithinPartitions("run")
+        "event_id", "user_id", "source_address", "us", "step", "b", "k", "last", "sensor", sensor_name(F.col("sensor")).alias("run")
+    ).repartitionById(N_SENSORS, F.col("sensor").cast("int")).sortWithinPartitions("run")
     rows = dealt.withColumn("k", F.explode(F.sequence("k", "last"))).withColumn("us", _step_us())
     return _as_text(_packet_columns(_sensor_and_strength(rows), "run"), "run")
 
