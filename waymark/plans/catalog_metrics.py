@@ -12,8 +12,8 @@ from waymark.plans import stages
 from waymark.plans.catalog_scans import UPTIME_SQL
 from waymark.plans.context import Context, query
 from waymark.plans.oracle import (
-    BANDS, EPISODES, GPS, KST, PLANTED_BANDS, RAW_PLANTED, TRIPS, VISITS, big, day, day_type, episodes, hour, r6,
-    utc_text, with_base,
+    BANDS, EPISODES, GPS, KST, PLANTED_BANDS, RAW_PLANTED, TRIPS, VISITS, WHOLE_BANDS, big, day, day_type, episodes, hour,
+    r6, utc_text, with_base,
 )
 from waymark.sources import tables
 from waymark.sources.tables import stager
@@ -369,38 +369,39 @@ def _(c: Context):
 
 
 @query("revisit_r2_observed_day_bands", with_base(
-    "SELECT id AS source_address, n_days, band AS observed_day_band FROM bands", BANDS))
+    "SELECT id AS source_address, n_days, band AS observed_day_band FROM bands", WHOLE_BANDS))
 def _(c: Context):
-    return c.bands
+    return c.whole_bands
 
 
 @query("revisit_r3_day_distribution", with_base(
-    "SELECT n_days, band AS observed_day_band, count(*) AS n FROM bands GROUP BY 1, 2", BANDS))
+    "SELECT n_days, band AS observed_day_band, count(*) AS n FROM bands GROUP BY 1, 2", WHOLE_BANDS))
 def _(c: Context):
-    return revisits.day_distribution(c.bands)
+    return revisits.day_distribution(c.whole_bands)
 
 
 @query("revisit_r3_band_summary", with_base(
     f"""SELECT band AS observed_day_band, {big('sum(n)')} AS total, min(n_days) AS x_min, max(n_days) AS x_max,
         {r6('median(n_days)')} AS x_mid, max(n) AS y_top,
         {r6('sum(n) * 100.0 / (SELECT count(*) FROM bands)')} AS pct
-        FROM (SELECT n_days, band, count(*) AS n FROM bands GROUP BY 1, 2) GROUP BY 1""", BANDS))
+        FROM (SELECT n_days, band, count(*) AS n FROM bands GROUP BY 1, 2) GROUP BY 1""", WHOLE_BANDS))
 def _(c: Context):
-    return revisits.band_summary(revisits.day_distribution(c.bands))
+    return revisits.band_summary(revisits.day_distribution(c.whole_bands))
 
 
-EXTREME = BANDS + ",\nxb AS (SELECT * FROM bands WHERE band IN ('1 day', '5–7 days'))"
+_XB = ",\nxb AS (SELECT * FROM bands WHERE band IN ('1 day', '5–7 days'))"
+EXTREME, WHOLE_EXTREME = BANDS + _XB, WHOLE_BANDS + _XB
 
 
 @query("revisit_r4_band_hourly_profile", with_base(
     f"""SELECT band AS observed_day_band, hour, n, {r6('n * 100.0 / sum(n) OVER (PARTITION BY band)')} AS pct
         FROM (SELECT band, {hour('w')} AS hour, count(DISTINCT id) AS n FROM week JOIN xb USING (id)
-              GROUP BY 1, 2)""", EXTREME))
+              GROUP BY 1, 2)""", WHOLE_EXTREME))
 def _(c: Context):
-    return revisits.band_hourly_profile(c.week, c.bands)
+    return revisits.band_hourly_profile(c.t20, c.whole_bands)
 
 
-DIFF = EXTREME + """,
+DIFF = WHOLE_EXTREME + """,
 shares AS (SELECT band, sensor, count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY band) AS pct
            FROM week JOIN xb USING (id) GROUP BY 1, 2),
 diffs AS (SELECT sensor, coalesce(max(pct) FILTER (WHERE band = '1 day'), 0) AS p1,
@@ -412,16 +413,16 @@ _DIFF = f"""SELECT sensor AS sensor_name, {r6('p1')} AS pct_one_day, {r6('p5')}
 
 @query("revisit_r5_band_sensor_difference", with_base(_DIFF + "diffs", DIFF))
 def _(c: Context):
-    return revisits.band_sensor_difference(c.week, c.bands)
+    return revisits.band_sensor_difference(c.t20, c.whole_bands)
 
 
 @query("revisit_r6_top_differences", with_base(
     _DIFF + "(SELECT *, rank() OVER (ORDER BY abs(p1 - p5) DESC) AS r FROM diffs) WHERE r <= 10", DIFF))
 def _(c: Context):
-    return revisits.top_differences(revisits.band_sensor_difference(c.week, c.bands))
+    return revisits.top_differences(revisits.band_sensor_difference(c.t20, c.whole_bands))
 
 
-DAYSTATS = EXTREME + f""",
+DAYSTATS = WHOLE_EXTREME + f""",
 daystats AS (SELECT id, band, (w + {KST}) // 86400 AS d, count(*) AS n, count(DISTINCT sensor) AS s,
                     (max(w) - min(w)) / 60.0 AS m FROM week JOIN xb USING (id) GROUP BY 1, 2, 3)"""
 
@@ -430,7 +431,7 @@ daystats AS (SELECT id, band, (w + {KST}) // 86400 AS d, count(*) AS n, count(DI
     f"""SELECT id AS source_address, {day(f'(d * 86400 - {KST})')} AS local_date, n AS n_detections,
         s AS n_sensors, {r6('m')} AS duration_mins, band AS observed_day_band FROM daystats""", DAYSTATS))
 def _(c: Context):
-    return revisits.identifier_day_stats(c.week, c.bands)
+    return revisits.identifier_day_stats(c.t20, c.whole_bands)
 
 
 @query("revisit_r7_identifier_day_summary", with_base(
@@ -440,7 +441,7 @@ def _(c: Context):
         {r6('median(m)')} AS median_duration, {r6('avg(m)')} AS mean_duration
         FROM daystats GROUP BY 1""", DAYSTATS))
 def _(c: Context):
-    return revisits.identifier_day_summary(revisits.identifier_day_stats(c.week, c.bands))
+    return revisits.identifier_day_summary(revisits.identifier_day_stats(c.t20, c.whole_bands))
 
 
 VDAYS = VISITS + f""",

@@ -155,6 +155,11 @@ class Context:
     def bands(self):
         return revisits.observed_day_bands(self.week)
 
+    @cached_property
+    def whole_bands(self):
+        """Bands of all days; ``oracle.WHOLE_BANDS`` says the same."""
+        return revisits.observed_day_bands(self.t20)
+
     @cached_property
     def episodes(self):
         return activities.episodes_of(self.accepted("maintained"))

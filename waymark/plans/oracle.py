@@ -98,6 +98,10 @@ bands AS (
 PLANTED_BANDS = BANDS.replace("TIMESTAMP '2024-01-15 00:00:00')),", f"""TIMESTAMP '2024-01-15 00:00:00')
     AND (substr(id, 1, 1) > '3' OR (w + {KST}) // 86400 % 7 = ascii(substr(id, 2, 1)) % 7)),""", 1)
 
+# The same from all days; ``Context.whole_bands`` says the same.
+WHOLE_BANDS = BANDS.replace(f"""SELECT * FROM t20 WHERE w + {KST} >= epoch(TIMESTAMP '2024-01-08 00:00:00')
+    AND w + {KST} < epoch(TIMESTAMP '2024-01-15 00:00:00')),""", "SELECT * FROM t20),", 1)
+
 
 def episodes(visits: str, keep: str, metres: float, name: str = "ep") -> str:
     """Episodes of the kept trajectories: anchor clusters by recursion over row numbers."""
