@@ -130,3 +130,14 @@ def test_very_long_text_and_a_bounded_memory_of_words():
 def test_sql(spark, sf):
     text, _, ok = check.compare(spark, check.database(sf), sf, "op12_setsketch_duplicates")
     assert ok, text
+
+
+def test_a_node_meets_its_registers_once(spark):
+    """Whatever the number of its bands, so that members of large groups are not multiplied by a join."""
+    nodes = spark.createDataFrame([(i, bytearray([i] * 4)) for i in range(6)], "node long, registers binary")
+    rows = spark.createDataFrame([(b, i, 0, 9, 1) for b in range(40) for i in range(6)], "band long, node long, label long, n long, blocks int")
+    got = setsketch._with_registers(rows, nodes)
+    plain = rows.join(nodes, "node").select(got.columns)
+    assert got.count() == 240 and got.exceptAll(plain).isEmpty()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join Inner") < plan.index("Aggregate")

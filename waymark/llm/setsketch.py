@@ -192,7 +192,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def bands_of(nodes: DataFrame) -> DataFrame:
-    """node, band: a hash of the registers of each band, the band's number in its last ``NUMBER`` bits."""
+    """node, band, n: a hash of the registers of each band, the band's number in its last ``NUMBER`` bits; n goes along."""
     bands, rows = band_plan()
     if bands > 1 << NUMBER:
         raise ValueError("more bands than their numbers have bits for")
@@ -208,10 +208,10 @@ def bands_of(nodes: DataFrame) -> DataFrame:
                 for k in range(rows):
                     total = mix(total * np.uint64(257) + r[:, :, k])
                 total = total >> np.uint64(NUMBER) << np.uint64(NUMBER) | number
-                node = np.repeat(batch.column(0).to_numpy(), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total.reshape(-1).view(np.int64))], ["node", "band"])
+                node, n = (np.repeat(batch.column(k).to_numpy(), bands) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total.reshape(-1).view(np.int64)), pa.array(n)], ["node", "band", "n"])
 
-    return nodes.select("node", "registers").mapInArrow(read, "node long, band long")
+    return nodes.select("node", "registers", "n").mapInArrow(read, "node long, band long, n long")
 
 
 def _salted(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
@@ -222,7 +222,7 @@ def _salted(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """band, node, leader (the bucket's least node) of all buckets of two nodes or more."""
+    """band, node, n, leader (the bucket's least node) of all buckets of two nodes or more."""
     members = bands_of(nodes)
     full = members.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
     full = staged(full.select("band", "leader"), "full-bands")
@@ -406,10 +406,18 @@ def _forest(first, second, label: np.ndarray) -> list:
     return out
 
 
+def _with_registers(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (band, node, label, n, blocks) with the registers of their nodes. A node meets its registers once, with all of its
+    bands, of which it has a bounded number: a member of a large group is in most of them."""
+    bands = rows.groupBy("node", "label", "n").agg(F.collect_list(F.struct("band", "blocks")).alias("at"))
+    met = bands.join(nodes.select("node", "registers"), "node")
+    return met.select("node", "label", "n", "registers", F.inline("at"))
+
+
 def open_blocks(nodes: DataFrame, met: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """band, x, y, node, label, side, n, registers: the members of buckets that hold several components, in pairs of blocks."""
-    told = staged(met.select("band", "node").join(labels, "node", "left").select(
-        "band", "node", F.coalesce("label", "node").alias("label")), f"{name}-buckets")
+    told = staged(met.select("band", "node", "n").join(labels, "node", "left").select(
+        "band", "node", "n", F.coalesce("label", "node").alias("label")), f"{name}-buckets")
     open_ = told.groupBy("band").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"),
         F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).filter("low < high")
@@ -418,10 +426,10 @@ def open_blocks(nodes: DataFrame, met: DataFrame, labels: DataFrame, name: str)
     open_ = open_.groupBy("size", "members", "low", "high").agg(F.min_by("band", number).alias("band")).select("band")
     open_ = staged(open_, f"{name}-bands")
     rows = with_hit(told, "band", open_).filter("__hit").drop("__hit")
-    rows = staged(_salted(rows, open_, "band", "node").join(nodes.select("node", "n"), "node"), f"{name}-members")
+    rows = staged(_salted(rows, open_, "band", "node"), f"{name}-members")
     weight = rows.groupBy("band").agg(F.sum("n").alias("grams"), F.count("*").alias("size"))
     weight = weight.select("band", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    rows = _salted(rows, weight, "band", "node").join(nodes.select("node", "registers"), "node")
+    rows = _with_registers(_salted(rows, weight, "band", "node"), nodes)
     rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
