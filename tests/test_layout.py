@@ -100,3 +100,18 @@ def test_runs_are_dealt_before_they_become_packets(spark):
     plain = synthetic.packets_text(spark, sf)
     assert runs.count() == plain.count()
     assert runs.drop("run").exceptAll(plain).isEmpty()
+
+
+def test_windows_within_a_day_are_not_exchanged(spark):
+    """Windows and estimates of located rows follow where the rows lie, unless a window may cross midnight; the sums are the same."""
+    from waymark.operators import location
+    from waymark.plans.context import Context
+    c = Context(spark, "/root/testdata/sf0.001")
+    widths = (20, 60)
+    laid = location.estimates(location.window_strength(c.packets_by_day.withColumnRenamed("strength", "rssi"), widths), c.sensors)
+    plain = location.estimates(location.window_strength(c.packets.withColumnRenamed("strength", "rssi"), widths), c.sensors)
+    assert _exchanges_above_the_expansion(laid) == 0 < _exchanges_above_the_expansion(plain)
+    keys = ["source_address", "width", "window_start", "px", "py"]
+    assert laid.count() == plain.count() and laid.select(keys).exceptAll(plain.select(keys)).isEmpty()
+    crossing = location.window_strength(c.packets_by_day.withColumnRenamed("strength", "rssi"), (20, 70))
+    assert "utc_day" not in crossing.columns

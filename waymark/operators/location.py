@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.stats import euclid, exact_quantiles
 from waymark.functions.timefn import epoch
-from waymark.functions.islands import UTC_DAY
+from waymark.functions.islands import DAY, UTC_DAY
 from waymark.operators import filters
 from waymark.operators.joins import nearest_asof
 
@@ -61,18 +61,21 @@ def tied_windows(t20: DataFrame) -> DataFrame:
 def window_strength(raw: DataFrame, widths=SWEEP_WIDTHS) -> DataFrame:
     """Sum of 100 + RSSI per identifier, sensor and window, for all widths in one job.
 
-    Seconds are summed first; each width then adds up seconds, not raw rows.
+    Seconds are summed first; each width then adds up seconds, not raw rows. Rows laid out by identifier and ``utc_day`` stay
+    where they are if no window crosses midnight, that is, if all widths divide the day.
     """
+    laid = [UTC_DAY] if UTC_DAY in raw.columns else []
+    day = laid if all(DAY % w == 0 for w in widths) else []
     seconds = (
         filters.drop_rssi_sentinels(raw)
         .withColumn("second", epoch("timestamp"))
-        .groupBy("source_address", "sensor_name", "second", *([UTC_DAY] if UTC_DAY in raw.columns else []))
+        .groupBy("source_address", "sensor_name", "second", *laid)
         .agg(F.sum(F.lit(100) + F.col("rssi")).alias("s"))
     )
     return (
         seconds.withColumn("width", F.explode(F.array(*[F.lit(int(w)) for w in widths])))
         .withColumn("window_start", F.col("second") - F.pmod(F.col("second"), F.col("width")))
-        .groupBy("source_address", "width", "window_start", "sensor_name")
+        .groupBy("source_address", *day, "width", "window_start", "sensor_name")
         .agg(F.sum("s").alias("strength_sum"))
         .withColumn("midpoint", F.col("window_start") + F.col("width") / 2.0)
     )
@@ -81,9 +84,9 @@ def window_strength(raw: DataFrame, widths=SWEEP_WIDTHS) -> DataFrame:
 def estimates(strengths: DataFrame, sensors: DataFrame) -> DataFrame:
     """Proximity, centroid and weighted centroid of every identifier-window, as columns."""
     placed = strengths.join(sensors.select("sensor_name", "x", "y"), "sensor_name")
-    s = F.col("strength_sum")
+    s, day = F.col("strength_sum"), [UTC_DAY] if UTC_DAY in strengths.columns else []
     return (
-        placed.groupBy("source_address", "width", "window_start", "midpoint")
+        placed.groupBy("source_address", *day, "width", "window_start", "midpoint")
         .agg(
             F.min(F.struct((-s).alias("weakness"), "sensor_name", "x", "y")).alias("best"),
             F.avg("x").alias("cx"), F.avg("y").alias("cy"),

@@ -59,7 +59,7 @@ errors AS (SELECT *, sqrt((ex - p.x) * (ex - p.x) + (ey - p.y) * (ey - p.y)) AS
     "SELECT id AS source_address, width, w0 AS window_start, sensor AS sensor_name, s AS strength_sum "
     "FROM ws WHERE width IN (20, 60)", GT_SQL))
 def _(c: Context):
-    return location.window_strength(c.located_raw, (20, 60)).drop("midpoint")
+    return location.window_strength(c.located_raw, (20, 60)).drop("midpoint", UTC_DAY)
 
 
 def _estimates(c, widths):
