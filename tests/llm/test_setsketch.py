@@ -141,3 +141,33 @@ def test_a_node_meets_its_registers_once(spark):
     assert got.count() == 240 and got.exceptAll(plain).isEmpty()
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate inline") < plan.index("Join Inner") < plan.index("Aggregate")
+
+
+def test_a_settled_group_meets_the_rest_only(spark, monkeypatch):
+    """A bucket of one large component and a few others makes rows in proportion to its size, and all pairs between components
+    meet once (43 members in 9 blocks made 387 rows before)."""
+    monkeypatch.setattr(setsketch, "BLOCK", 5)
+    nodes = spark.createDataFrame([(i, bytearray([i] * 4)) for i in range(43)], "node long, registers binary")
+    met = spark.createDataFrame([(128, i, 9) for i in range(43)], "band long, node long, n long")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)], "node long, label long")
+    rows = setsketch.open_blocks(nodes, met, labels, "test").collect()
+    assert len(rows) == 40 + 3 * 9
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["x"], r["y"]), []).append(r)
+    pairs = []
+    for part in groups.values():
+        facing = setsketch._facing(np.array([r["side"] for r in part]), np.array([r["label"] for r in part]))
+        pairs += [tuple(sorted((part[i]["node"], part[j]["node"]))) for i, j in zip(*np.nonzero(facing))]
+    assert sorted(pairs) == [(a, b) for a in range(43) for b in range(max(40, a + 1), 43)]
+
+
+def test_the_leader_is_near_to_most(spark):
+    """Edited copies share bands with their source; the source leads their buckets, whatever its number."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(edited(rng, base, 2)) for _ in range(60)] + [" ".join(base)]
+    nodes = setsketch.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumnRenamed("doc_id", "node")
+    met = setsketch.buckets(nodes).collect()
+    held = {r["band"] for r in met if r["node"] == 60}
+    assert held and all(r["leader"] == 60 for r in met if r["band"] in held)

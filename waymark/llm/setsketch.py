@@ -9,12 +9,14 @@ confirmed on full sets: 100 * intersection >= 85 * union.
 
 1. ``sketches``: one pass over the texts. Equal sets are one node from here on.
 2. ``buckets``: nodes that share the registers of a band. Bands and rows miss a pair at the threshold once in ``1 / (1 - RECALL)``.
-3. ``star``: each node against the least node of the buckets it shares most with: one pair a node, sifted, then verified.
-   Verified links make components, so a group of thousands of near copies is settled by as many pairs as it has members.
-4. ``forest``: buckets whose members are still in several components. Their members meet in blocks, sketches only, and the
-   likeliest pairs between components that make a forest are verified: at most one a member.
-5. ``rest``: the same for the buckets that still hold several components, but now the sets of all nodes with a likely partner in
-   another component meet. So every candidate pair between components is decided; no pairs are written but the links of a
+3. ``star``: each node against the leader of the buckets it shares most with, the node that meets most others: one pair a node,
+   sifted, then verified. Verified links make components, so a group of thousands of near copies is settled by as many pairs as
+   it has members.
+4. ``forest``: buckets whose members are still in several components. Their members meet in blocks, sketches only and once,
+   those of a bucket's largest component only with the others, and the likeliest pairs between components that make a forest
+   are verified: at most one a member.
+5. ``rest``: in the groups that still hold several components the sets of all nodes with a likely partner in another
+   component meet. So every candidate pair between components is decided; no pairs are written but the links of a
    spanning forest, and a block holds a bounded number of shingles.
 6. Components of all links; the least id of a component names it.
 
@@ -222,12 +224,18 @@ def _salted(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """band, node, n, leader (the bucket's least node) of all buckets of two nodes or more."""
+    """band, node, n, leader of all buckets of two nodes or more. The leader is the node that meets most others over all its
+    bands, then the least: in a group of near copies the text they were made from, which most of them are near to."""
     members = bands_of(nodes)
-    full = members.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
-    full = staged(full.select("band", "leader"), "full-bands")
+    full = members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    full = staged(full, "full-bands")
     meeting = with_hit(members, "band", full.select("band")).filter("__hit").drop("__hit")
-    return staged(_salted(meeting, full, "band", "node"), "buckets")
+    meeting = staged(_salted(meeting, full, "band", "node"), "meeting")
+    degrees = meeting.groupBy("node").agg(F.sum("size").alias("degree"))
+    met = meeting.select("band", "node", "n").join(degrees, "node")
+    leaders = met.groupBy("band").agg(F.min(F.struct((-F.col("degree")).alias("order"), "node")).alias("least"))
+    leaders = staged(leaders.select("band", F.col("least.node").alias("leader")), "leaders")
+    return staged(_salted(meeting.select("band", "node", "n"), leaders, "band", "node"), "buckets")
 
 
 # Pairs ----------------------------------------------------------------------------------------------------------------
@@ -350,14 +358,15 @@ def _likely_pairs(n, registers, wanted, similar, band: int) -> tuple:
     band it shares only."""
     bands, rows = band_plan()
     first, second, equal = [], [], []
+    near = np.minimum(n[:, None], n[None, :]) >= similar.similarity * np.maximum(n[:, None], n[None, :]) - 1e-9
     for i in range(len(n)):
-        js = np.flatnonzero(wanted[i])
+        js = np.flatnonzero(wanted[i] & near[i])
         if len(js):
             same = registers[js] == registers[i]
+            keep = same.sum(axis=1) >= similar.fewest
+            js, same = js[keep], same[keep]
             before = same[:, :band * rows].reshape(len(js), band, rows).all(axis=2).any(axis=1)
             js, same = js[~before], same[~before].sum(axis=1)
-            keep = same >= similar.fewest
-            js, same = js[keep], same[keep]
             if len(js):
                 greater, less = _counts(registers[i], registers[js])
                 found = similar.likely(np.full(len(js), n[i]), n[js], greater, less)
@@ -407,31 +416,50 @@ def _forest(first, second, label: np.ndarray) -> list:
 
 
 def _with_registers(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows (band, node, label, n, blocks) with the registers of their nodes. A node meets its registers once, with all of its
-    bands, of which it has a bounded number: a member of a large group is in most of them."""
-    bands = rows.groupBy("node", "label", "n").agg(F.collect_list(F.struct("band", "blocks")).alias("at"))
+    """The rows (node, label, n, band and further columns) with the registers of their nodes. A node meets its registers once, with
+    all of its bands, of which it has a bounded number: a member of a large group is in most of them."""
+    more = [c for c in rows.columns if c not in ("node", "label", "n")]
+    bands = rows.groupBy("node", "label", "n").agg(F.collect_list(F.struct(*more)).alias("at"))
     met = bands.join(nodes.select("node", "registers"), "node")
     return met.select("node", "label", "n", "registers", F.inline("at"))
 
 
+def _plan_of_blocks(size: str, grams: str, main_size: str, main_grams: str) -> list:
+    """split, rest, blocks: how an open bucket is cut. Members of its largest component need not meet each other, so they get
+    blocks of their own, after those of the rest, and meet the blocks of the rest only, where that makes fewer rows. So a
+    bucket whose members are settled but for a few makes rows in proportion to its size."""
+    def cut(n, g):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(g / BLOCK_GRAMS)).cast("int")
+
+    n, g, m, h = (F.col(c) for c in (size, grams, main_size, main_grams))
+    whole, rest, main = cut(n, g), cut(n - m, g - h), cut(m, h)
+    split = m * rest + (n - m) * (rest + main) < n * whole
+    return [split.alias("split"), F.when(split, rest).otherwise(whole).alias("rest"),
+            F.when(split, rest + main).otherwise(whole).alias("blocks")]
+
+
 def open_blocks(nodes: DataFrame, met: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """band, x, y, node, label, side, n, registers: the members of buckets that hold several components, in pairs of blocks."""
     told = staged(met.select("band", "node", "n").join(labels, "node", "left").select(
         "band", "node", "n", F.coalesce("label", "node").alias("label")), f"{name}-buckets")
-    open_ = told.groupBy("band").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"),
-        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members")).filter("low < high")
+    parts = told.groupBy("band", "label").agg(F.count("*").alias("size"), F.sum("n").alias("grams"),
+                                              F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
+    open_ = parts.groupBy("band").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.sum("size").alias("size"), F.sum("grams").alias("grams"),
+        F.sum("members").alias("members"), F.max(F.struct("size", "grams", "label")).alias("main")).filter("low < high")
     # Buckets of the same members are worked on once, in the first of their bands.
     number = F.col("band").bitwiseAND((1 << NUMBER) - 1)
-    open_ = open_.groupBy("size", "members", "low", "high").agg(F.min_by("band", number).alias("band")).select("band")
-    open_ = staged(open_, f"{name}-bands")
-    rows = with_hit(told, "band", open_).filter("__hit").drop("__hit")
-    rows = staged(_salted(rows, open_, "band", "node"), f"{name}-members")
-    weight = rows.groupBy("band").agg(F.sum("n").alias("grams"), F.count("*").alias("size"))
-    weight = weight.select("band", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    rows = _with_registers(_salted(rows, weight, "band", "node"), nodes)
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.groupBy("size", "members", "low", "high").agg(F.min_by(F.struct("band", "grams", "main"), number).alias("one"))
+    open_ = staged(open_.select("one.band", F.col("one.main.label").alias("main"), *_plan_of_blocks(
+        "size", "one.grams", "one.main.size", "one.main.grams")), f"{name}-bands")
+    rows = with_hit(told, "band", open_.select("band")).filter("__hit").drop("__hit")
+    rows = _salted(rows, open_, "band", "node").withColumn("own", F.col("split") & (F.col("label") == F.col("main")))
+    rows = staged(rows.select("band", "node", "n", "label", "own", "rest", "blocks"), f"{name}-members")
+    rows = _with_registers(rows, nodes)
+    hashed = F.xxhash64("node")
+    rows = rows.withColumn("side", F.when(F.col("own"), F.col("rest") + F.pmod(hashed, F.col("blocks") - F.col("rest"))).otherwise(
+        F.pmod(hashed, F.col("rest"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("rest")).otherwise(F.col("blocks")) - 1)))
     rows = rows.withColumn("x", F.least("side", "other")).withColumn("y", F.greatest("side", "other"))
     return (rows.select("band", "x", "y", "node", "label", "side", "n", "registers").repartition("band", "x", "y")
             .sortWithinPartitions("band", "x", "y"))
@@ -449,30 +477,38 @@ def _compared(batches):
     tidy()
 
 
-def forest_links(docs: DataFrame, nodes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: verified links of the forests that the likeliest pairs of each group of an open bucket make."""
+def likely_members(nodes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, x, y, node, side, other: of each group of open buckets the nodes with a likely partner in another component (other
+    is null), and the likeliest pairs (node, other) that make a forest of its components. Sketches meet here, and only here."""
+    schema = pa.schema([("band", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("node", pa.int64()), ("side", pa.int32()), ("other", pa.int64())])
+
     def read(batches):
-        for _, node, label, _, first, second, equal in _compared(batches):
+        for key, node, label, side, first, second, equal in _compared(batches):
+            at = np.unique(np.concatenate([first, second]))
             order = np.argsort(-equal, kind="stable")
-            links = _forest(first[order], second[order], label)
-            ends = np.sort(np.array([(node[i], node[j]) for i, j in links]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 1]), pa.array(ends[:, 0])], ["a", "b"])
+            ends = np.sort(np.array([(node[i], node[j]) for i, j in _forest(first[order], second[order], label)]), axis=1)
+            k, m = len(at), len(ends)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([v] * (k + m), f.type) for v, f in zip(key, schema)], pa.array(np.concatenate([node[at], ends[:, 1]])),
+                 pa.array([*side[at].tolist(), *[0] * m], pa.int32()), pa.array([*[None] * k, *ends[:, 0].tolist()], pa.int64())], schema=schema)
 
-    likely = open_blocks(nodes, met, labels, "forest").mapInArrow(read, "a long, b long").distinct()
-    return verified(docs, nodes, staged(likely, "likely-forest"), "forest")
+    rows = open_blocks(nodes, met, labels, "open")
+    return rows.mapInArrow(read, "band long, x int, y int, node long, side int, other long")
 
 
-def rest_links(docs: DataFrame, nodes: DataFrame, met: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: verified links between the components of buckets that still hold several; every likely pair between them is decided."""
-    def sift(batches):
-        for (band, x, y), node, label, side, first, second, _ in _compared(batches):
-            at = np.unique(np.concatenate([first, second]))
-            k = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([band] * k, pa.int64()), pa.array([x] * k, pa.int32()), pa.array([y] * k, pa.int32()), pa.array(node[at], pa.int64()),
-                 pa.array(label[at], pa.int64()), pa.array(side[at], pa.int32())], ["band", "x", "y", "node", "label", "side"])
+def forest_links(docs: DataFrame, nodes: DataFrame, likely: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: verified links of the forests that the likeliest pairs of each group of an open bucket make."""
+    pairs = likely.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    return verified(docs, nodes, staged(pairs, "likely-forest"), "forest")
+
 
-    likely = open_blocks(nodes, met, labels, "rest").mapInArrow(sift, "band long, x int, y int, node long, label long, side int")
+def rest_links(docs: DataFrame, nodes: DataFrame, likely: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: verified links between the components of groups that still hold several; every likely pair between them is decided."""
+    group = ["band", "x", "y"]
+    told = staged(likely.filter("other IS NULL").drop("other").join(labels, "node", "left").select(
+        *group, "node", F.coalesce("label", "node").alias("label"), "side"), "rest-members")
+    several = told.groupBy(*group).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    likely = told.join(several.select(*group), group)
     likely = staged(likely, "likely-rest")
     wanted = likely.select("node").distinct().join(nodes, "node")
     sets = staged(sets_of(docs, wanted.select("node", "doc_id", "key")), "rest-sets")
@@ -510,8 +546,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = buckets(nodes)
     links = staged(star_links(docs, nodes, met), "star-links")
     labels = _components(links)
+    likely = staged(likely_members(nodes, met, labels), "likely")
     for step in (forest_links, rest_links):
-        more = staged(step(docs, nodes, met, labels), step.__name__)
+        more = staged(step(docs, nodes, likely, labels), step.__name__)
         if not more.isEmpty():
             links = links.union(more)
             labels = _components(links)
