@@ -115,3 +115,13 @@ def test_windows_within_a_day_are_not_exchanged(spark):
     assert laid.count() == plain.count() and laid.select(keys).exceptAll(plain.select(keys)).isEmpty()
     crossing = location.window_strength(c.packets_by_day.withColumnRenamed("strength", "rssi"), (20, 70))
     assert "utc_day" not in crossing.columns
+
+
+def test_multiset_difference_groups_its_rows_once(spark):
+    from waymark.operators.joins import multiset_difference
+    left = spark.createDataFrame([(1, None), (1, None), (1, None), (2, "a"), (3, "b")], "k long, v string")
+    right = spark.createDataFrame([(1, None), (2, "a"), (2, "a"), (4, None)], "k long, v string")
+    got = multiset_difference(left, right)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([
+        (1, None, "left_only"), (1, None, "left_only"), (3, "b", "left_only"), (2, "a", "right_only"), (4, None, "right_only")], key=repr)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
