@@ -3,14 +3,19 @@ mixtures of many languages; the classifiers' parts by brute force."""
 
 import itertools
 import math
+import os
 import random
+import subprocess
+import sys
 import time
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from waymark.llm import chat, jaccard, langid, matroska, mixing, quality, toxicity
+from waymark.llm import chat, jaccard, langid, matroska, mixing, pii, quality, toxicity
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 WORDS = [a + b + c for a in "bdfgkl" for b in "aeiou" for c in ("n", "r", "st", "lm")]
 
@@ -222,3 +227,24 @@ def test_gradient_learns_a_pair_of_words():
         _, pooled, _ = toxicity._pooled(ids, np.array([0]), table, model)
         right += (toxicity._logits(pooled, model)[0] > 0) == bool(label)
     assert right >= 95
+
+
+def test_workers_of_the_pipeline_do_without_pandas():
+    """A worker loads the modules of what it runs; pandas among them would stay in its memory for good."""
+    names = "corpus_pipeline, waymark.llm.decontaminate, waymark.llm.jaccard, waymark.llm.mixing, waymark.llm.pii, waymark.llm.quality"
+    code = f"import {names}, sys; print('pandas' in sys.modules)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.stdout.split()[-1:] == ["False"], done.stderr
+
+
+def test_texts_of_a_batch_are_decoded_in_parts(monkeypatch):
+    """The spans are the same however many tokens are decoded together, and no more than a part and a sequence are."""
+    words = [f"word{chr(97 + i % 26)}" for i in range(200)]
+    model = pii.train(pii.written_table([words], times=4))
+    texts = [t for t, _ in pii.written_table([words], times=3, seed=5)]
+    whole, sizes, gather = pii.field_spans(texts, model), [], pii._gather
+    longest = max(len(s) for t in texts for s in pii.sequences(t))
+    monkeypatch.setattr(pii, "_gather", lambda seqs, v: sizes.append(sum(map(len, seqs))) or gather(seqs, v))
+    monkeypatch.setattr(pii, "AT_ONCE", 50, raising=False)
+    assert pii.field_spans(texts, model) == whole and any(whole)
+    assert len(sizes) > 1 and max(sizes) < 50 + longest

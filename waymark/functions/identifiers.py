@@ -4,7 +4,6 @@ the key stays in the function's closure, so no plan or event log prints it."""
 import hashlib
 import hmac
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +28,8 @@ def _check_key(key: bytes) -> None:
 
 def keyed_hash(prefix: bytes, key: bytes):
     """Pandas UDF: HMAC-SHA-256 of prefix + text, as 32 hex digits; NULL and '' are kept."""
+    import pandas as pd  # here, so that workers which only read this module do not load it
+
     _check_key(key)
 
     @F.pandas_udf("string")

@@ -21,13 +21,12 @@ rows; further columns are ignored, and kept by ``without_near_copies``.
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textops import WordHash, shingles, staged, tidy, with_hit, without
+from waymark.llm.textops import WordHash, shingles, staged, tidy, with_hit, with_made, without
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -282,7 +281,6 @@ def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
         F.col("doc_id").alias("id"), "key").distinct()
     some = with_hit(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"),
                                 F.col("text").alias("own_text")), "own_id", twice).filter("__hit").drop("__hit")
-    keyed = some.withColumn("own", F.pandas_udf(
-        lambda c: pd.Series([key_of(words_of(t)) for t in c], dtype=object), "binary")(F.col("own_text")))
+    keyed = with_made(some, "own_text", "own", "binary", lambda texts: [key_of(words_of(t)) for t in texts])
     more = keyed.join(again, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")))
     return kept.unionByName(more.dropDuplicates(["id", "key"]).select("row.*"))

@@ -22,20 +22,22 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from waymark.llm.textops import tidy
+from waymark.llm.textops import tidy, with_made
 
 KINDS = ("email", "ip", "card", "phone")
 NAMES = (*KINDS, "secret")
+COUNTS = tuple(f"n_{k}" for k in KINDS)
 SAMPLE = 300       # texts that lend their words to the labelled table
 PIECE = 24         # words of each
 TIMES = 36         # examples of each form in the labelled table
 CONTEXT = 3        # tokens on either side of a token that may be personal
 KNOWN = 20_000     # tokens a worker remembers
+AT_ONCE = 4_096    # tokens decoded together, at least one sequence
 EPOCHS, RATE, L2 = 40, 0.5, 1e-4
 STATES = ("O", *(f"{p}-{k}" for k in NAMES for p in "BI"))
 N = len(STATES)
@@ -443,9 +445,28 @@ def field_spans(texts, model) -> list:
     if not seqs:
         return out
     vocabulary = model.setdefault("cache", Vocabulary(model["features"]))
-    rows, cols, total = _gather([s for _, s in seqs], vocabulary)
-    lengths = np.array([len(s) for _, s in seqs])
-    states = viterbi(_emissions(rows, cols, total, model["weights"]), lengths, model["trans"])
+    for part in _parts(seqs):
+        rows, cols, total = _gather([s for _, s in part], vocabulary)
+        lengths = np.array([len(s) for _, s in part])
+        _told(part, viterbi(_emissions(rows, cols, total, model["weights"]), lengths, model["trans"]), out)
+    return out
+
+
+def _parts(seqs: list):
+    """The (text, sequence) pairs in runs of ``AT_ONCE`` tokens: what decoding holds does not grow with a batch."""
+    part, size = [], 0
+    for pair in seqs:
+        part.append(pair)
+        size += len(pair[1])
+        if size >= AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _told(seqs: list, states, out: list) -> None:
+    """Adds the spans that the states of the sequences say to those of their texts."""
     at = 0
     for i, seq in seqs:
         open_kind = None
@@ -465,7 +486,6 @@ def field_spans(texts, model) -> list:
                 out[i].append((start, kind, end))
             open_kind = kind
         at += len(seq)
-    return out
 
 
 def _spans(texts, model):
@@ -482,17 +502,22 @@ def _written(spans) -> str:
 
 def find(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, counts of base spans, digest of the base spans, all spans and their number."""
-    def spans(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for base, whole in _spans(column.fillna("").tolist(), model):
-            kinds = [s[1] for s in base]
-            rows.append([*map(kinds.count, range(4)), hashlib.sha256(_written(base).encode()).hexdigest(), _written(whole),
-                         len(whole)])
-        tidy()
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
+    kinds = [(n, pa.int64()) for n in COUNTS] + [("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())]
+
+    def spans(batches):
+        for batch in batches:
+            columns = [[] for _ in kinds]
+            for base, whole in _spans([t or "" for t in batch.column(1).to_pylist()], model):
+                counts = list(map([s[1] for s in base].count, range(len(KINDS))))
+                for column, value in zip(columns, (*counts, hashlib.sha256(_written(base).encode()).hexdigest(), _written(whole), len(whole))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, (_, k) in zip(columns, kinds)]],
+                                             [batch.schema.names[0], *[n for n, _ in kinds]])
+            tidy()
 
-    found = F.pandas_udf(spans, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
-    return docs.select(F.col(key), found(F.col(text)).alias("_f")).select(key, "_f.*")
+    rows = docs.select(F.col(key), F.col(text))
+    schema = T.StructType([rows.schema[0], *[T.StructField(n, T.StringType() if k == pa.string() else T.LongType()) for n, k in kinds]])
+    return rows.mapInArrow(spans, schema)
 
 
 def masked(text: str, spans) -> str:
@@ -507,11 +532,8 @@ def masked(text: str, spans) -> str:
 
 def mask(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced in the text."""
-    def replaced(column: pd.Series) -> pd.Series:
-        texts = column.tolist()
+    def replaced(texts):
         known = [t or "" for t in texts]
-        out = pd.Series([None if t is None else masked(t, whole) for t, (_, whole) in zip(texts, _spans(known, model))], dtype=object)
-        tidy()
-        return out
+        return [None if t is None else masked(t, whole) for t, (_, whole) in zip(texts, _spans(known, model))]
 
-    return docs.withColumn(text, F.pandas_udf(replaced, "string")(F.col(text)))
+    return with_made(docs, text, text, "string", replaced)

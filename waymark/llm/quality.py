@@ -17,12 +17,11 @@ from collections import Counter
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.textops import held_out, labelled_sample, staged, tidy
+from waymark.llm.textops import held_out, labelled_sample, staged, with_made
 
 BOUNDS = {0: 12_000, 1: 18_000}  # labelled rows to learn from, at most about so many
 FEATURES = 256
@@ -67,12 +66,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def with_statistics(rows: DataFrame, text: str = "_text", name: str = "_x") -> DataFrame:
-    def measured(column: pd.Series) -> pd.Series:
-        out = pd.Series(list(_matrix(column)))
-        tidy()
-        return out
-
-    return rows.withColumn(name, F.pandas_udf(measured, "array<double>")(F.col(text)))
+    return with_made(rows, text, name, "array<double>", lambda texts: [statistics(t) for t in texts])
 
 
 def _partials(rows: DataFrame, part, size: int) -> np.ndarray:
@@ -148,12 +142,7 @@ def predict(column, model: dict) -> np.ndarray:
 
 def scored(docs: DataFrame, model: dict, name: str = "score", text: str = "text") -> DataFrame:
     """The same rows with a score column."""
-    def told(column: pd.Series) -> pd.Series:
-        out = pd.Series(predict(column, model))
-        tidy()
-        return out
-
-    return docs.withColumn(name, F.pandas_udf(told, "double")(F.col(text)))
+    return with_made(docs, text, name, "double", lambda texts: predict(texts, model))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -113,6 +113,23 @@ def tidy() -> None:
         pass
 
 
+def with_made(rows: DataFrame, text: str, name: str, kind: str, made) -> DataFrame:
+    """The rows with a column ``name`` that ``made`` makes of the texts of an Arrow batch, list to list; ``name`` may be the text
+    itself. Batches go in and out as Arrow, so a worker never loads pandas (some 40 MB of it, for as long as it lives)."""
+    wide = rows.withColumn(name, F.col(text) if name == text else F.lit(None).cast(kind))
+    source, target = wide.columns.index(text), wide.columns.index(name)
+
+    def read(batches):
+        for batch in batches:
+            field = batch.schema.field(target)
+            out = pa.array(made(batch.column(source).to_pylist()), field.type)
+            yield batch.set_column(target, field.name, out)
+            del batch, out
+            tidy()
+
+    return wide.mapInArrow(read, wide.schema)
+
+
 class WordHash(dict):
     """word -> 64-bit hash, remembered for words seen before."""
 
