@@ -125,3 +125,20 @@ def test_multiset_difference_groups_its_rows_once(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([
         (1, None, "left_only"), (1, None, "left_only"), (3, "b", "left_only"), (2, "a", "right_only"), (4, None, "right_only")], key=repr)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("name", ["check_v12_table_equality"])
+def test_tables_of_one_layout_are_compared_where_they_lie(spark, monkeypatch, name):
+    """No row is exchanged by identifier between tables in buckets of identifier and day."""
+    from waymark.plans.context import Context
+    plans, setting = [], "spark.sql.requireAllClusterKeysForCoPartition"
+
+    def stage(self):
+        return lambda df, _: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(Context, "stage", stage)
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    joins = [p for p in plans if "FullOuter" in p]
+    assert len(joins) == 1 and spark.conf.get(setting) == before
+    assert not any("Exchange hashpartitioning" in line and "timestamp" in line for line in joins[0].splitlines())

@@ -161,7 +161,7 @@ def _(c: Context):
     apart = quality.table_differences(
         c.t20_by_day, c.t20_narrow_by_day, aggregate.key_of(c.t20_by_day),
         ["rssi_median", "rssi_sum", "detections", "strength_sum"])
-    return apart.groupBy("difference", "sensor_name").agg(F.count("*").alias("n"))
+    return c.in_place(apart.groupBy("difference", "sensor_name").agg(F.count("*").alias("n")), "differences")
 
 
 @query("check_v13_multiset_difference", with_base(

@@ -210,6 +210,23 @@ class Context:
         """A ``stage(df, name)`` that writes below a folder of its own."""
         return tables.stager(self.spark, f"run-{uuid.uuid4().hex}")
 
+    def in_place(self, result: DataFrame, name: str) -> DataFrame:
+        """Writes a small ``result`` of joins between tables of one layout by identifier and day, on keys that hold both: their rows
+        stay where they lie. By default Spark would exchange both sides by all keys, against a skew that the day rules out."""
+        key = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "false")
+        try:
+            return self.stage()(result, name)
+        finally:
+            self.spark.conf.set(key, before)
+
+    def landed_by_day(self, df: DataFrame, name: str) -> DataFrame:
+        """A written table that keeps the layout by identifier and ``utc_day``."""
+        table = f"waymark_{name}_{uuid.uuid4().hex}"
+        tables.write_buckets(df, table, f"{tables.shared_dir(self.spark)}/{table}", self.parts)
+        return self.spark.table(table)
+
     def new_path(self, name: str) -> str:
         return f"{tables.shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
 
