@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark import schemas
-from waymark.operators.aggregate import KEY, twenty_second
+from waymark.functions.islands import UTC_DAY
+from waymark.operators.aggregate import KEY, key_of, twenty_second
 from waymark.operators.location import strongest_sensor, tied_windows
 from waymark.operators.release import MEASURES, TOLERANCE
 
@@ -192,7 +193,9 @@ def table_differences(left: DataFrame, right: DataFrame, keys: list, numeric: li
 
 def rebuild_differences(cleaned: DataFrame, t20: DataFrame) -> DataFrame:
     """The 20 s table against a rebuild from the cleaned seconds."""
-    return table_differences(twenty_second(cleaned), t20, KEY, MEASURES)
+    rebuilt = twenty_second(cleaned)
+    keys = key_of(t20) if UTC_DAY in rebuilt.columns else KEY
+    return table_differences(rebuilt, t20, keys, MEASURES)
 
 
 def hash_collisions(raw: DataFrame, address: Column, hashed: Column) -> DataFrame:
@@ -223,7 +226,8 @@ def identifier_bijection(internal: DataFrame, public: DataFrame, mapping: DataFr
 
 def location_agreement(expected: DataFrame, other: DataFrame) -> DataFrame:
     """Windows whose Location differs between two 20 s tables, and windows decided by a tie."""
-    key = ["source_address", "timestamp"]
+    laid = UTC_DAY in expected.columns and UTC_DAY in other.columns
+    key = ["source_address", *([UTC_DAY] if laid else []), "timestamp"]
     e = strongest_sensor(expected).select(*key, F.col("sensor_name").alias("e"))
     o = strongest_sensor(other).select(*key, F.col("sensor_name").alias("o"))
     ties = tied_windows(expected).agg(F.count("*")).scalar()

@@ -179,9 +179,9 @@ def _(c: Context):
 @query("check_v14_rebuild", with_base(
     "SELECT (SELECT count(*) FROM t20) AS n_windows, 0 AS n_differences"))
 def _(c: Context):
-    written = c.spark.read.parquet(c.landed(c.t20, "t20"))
+    written = c.landed_by_day(c.t20_by_day, "t20_written")
     differences = quality.rebuild_differences(c.cleaned_by_day, written).agg(F.count("*")).scalar()
-    return written.agg(F.count("*").alias("n_windows")).withColumn("n_differences", differences)
+    return c.in_place(written.agg(F.count("*").alias("n_windows")).withColumn("n_differences", differences), "rebuild")
 
 
 @query("check_v15_physical_types", _schema_sql(schemas.TWENTY_SECOND, "t20"))
