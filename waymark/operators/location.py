@@ -46,11 +46,12 @@ def locate_proximity(t20: DataFrame, sensors: DataFrame) -> DataFrame:
 
 def tied_windows(t20: DataFrame) -> DataFrame:
     """Identifier-windows whose best score is shared by several sensors."""
-    per_score = t20.groupBy("source_address", "timestamp", "strength_sum").agg(
+    day = [UTC_DAY] if UTC_DAY in t20.columns else []
+    per_score = t20.groupBy("source_address", "timestamp", *day, "strength_sum").agg(
         F.count("*").alias("n")
     )
     return (
-        per_score.groupBy("source_address", "timestamp")
+        per_score.groupBy("source_address", "timestamp", *day)
         .agg(F.max(F.struct("strength_sum", "n")).alias("top"))
         .filter(F.col("top.n") > 1)
         .select("source_address", "timestamp", F.col("top.strength_sum").alias("strength_sum"),

@@ -226,7 +226,7 @@ def _(c: Context):
           WHERE strength_sum = mx GROUP BY id, w HAVING count(*) > 1)) AS tied_device_windows
        FROM loc a FULL OUTER JOIN nloc b ON a.id = b.id AND a.w = b.w""", NARROW))
 def _(c: Context):
-    return quality.location_agreement(c.t20, c.t20_narrow)
+    return c.in_place(quality.location_agreement(c.t20_by_day, c.t20_narrow_by_day), "agreement")
 
 
 @query("check_v19_sensor_coverage", with_base(
