@@ -127,7 +127,7 @@ def test_multiset_difference_groups_its_rows_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
 
 
-@pytest.mark.parametrize("name", ["check_v12_table_equality", "check_v14_rebuild", "check_v18_location_agreement"])
+@pytest.mark.parametrize("name", ["check_v12_table_equality", "check_v14_rebuild", "check_v18_location_agreement", "release_x9_location_impact"])
 def test_tables_of_one_layout_are_compared_where_they_lie(spark, monkeypatch, name):
     """No row is exchanged by identifier between tables in buckets of identifier and day."""
     from waymark.plans.context import Context

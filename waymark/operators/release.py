@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import bitmaps, identifiers
+from waymark.functions.islands import UTC_DAY
 from waymark.functions.timefn import local
 from waymark.operators.location import strongest_sensor
 from waymark.params import LOCAL_TIMEZONE
@@ -174,8 +175,9 @@ def row_impact(current: DataFrame, candidate: DataFrame) -> DataFrame:
 
 def location_impact(current: DataFrame, candidate: DataFrame) -> DataFrame:
     """Identifier-windows whose assigned sensor is the same, changed or one-sided."""
+    laid = UTC_DAY in current.columns and UTC_DAY in candidate.columns
     paired = _paired(strongest_sensor(current), strongest_sensor(candidate),
-                     ["source_address", "timestamp"], ["sensor_name"])
+                     ["source_address", *([UTC_DAY] if laid else []), "timestamp"], ["sensor_name"])
     same = F.col("cur_sensor_name") == F.col("cand_sensor_name")
     return paired.agg(
         F.count("in_cur").alias("current_device_windows"),

@@ -256,7 +256,7 @@ def _(c: Context):
        count(*) FILTER (WHERE a.sensor <> b.sensor) AS changed_location_assignments
        FROM loc a FULL OUTER JOIN nloc b ON a.id = b.id AND a.w = b.w""", NARROW))
 def _(c: Context):
-    return release.location_impact(c.t20, c.t20_narrow)
+    return c.in_place(release.location_impact(c.t20_by_day, c.t20_narrow_by_day), "impact")
 
 
 def _period_sql(seconds):
