@@ -365,7 +365,7 @@ def _(c: Context):
 # all events lie in January, when New York is five hours behind
 @query("revisit_r1_new_york", _revisits_sql("strftime(make_timestamp((w - 18000) * 1000000), '%Y-%m-%d')"))
 def _(c: Context):
-    return revisits.revisits(c.located, tz="America/New_York")
+    return revisits.revisits(c.located_by_day, tz="America/New_York")
 
 
 @query("revisit_r2_observed_day_bands", with_base(
