@@ -142,3 +142,18 @@ def test_tables_of_one_layout_are_compared_where_they_lie(spark, monkeypatch, na
     joins = [p for p in plans if "FullOuter" in p]
     assert len(joins) == 1 and spark.conf.get(setting) == before
     assert not any("Exchange hashpartitioning" in line and "timestamp" in line for line in joins[0].splitlines())
+
+
+def test_daily_paths_of_laid_rows_move_as_pieces(spark):
+    """The same paths from rows with and without their UTC day, a local date in two of them and a sensor seen in both."""
+    from waymark.operators import disclosure
+    rows = spark.createDataFrame([(0, "a", "s2"), (20, "a", "s1"), (40, "a", "s2"), (54000, "a", "s3"), (86400, "a", "s1"), (86420, "a", "s4"),
+                                  (141000, "a", "s1"), (60, "b", "s1")], "t long, source_address string, sensor_name string")
+    rows = rows.select(F.timestamp_seconds(F.col("t") + 1705276800).alias("timestamp"), "source_address", "sensor_name",
+                       F.floor((F.col("t") + 1705276800) / 86400).alias("utc_day"))
+    got = sorted(map(tuple, disclosure.daily_sequence(rows).select("source_address", "sensor_sequence", "sensors_visited").collect()))
+    plain = sorted(map(tuple, disclosure.daily_sequence(rows.drop("utc_day")).select("source_address", "sensor_sequence", "sensors_visited").collect()))
+    assert got == plain == [("a", "s1", 1), ("a", "s2>s1", 2), ("a", "s3>s1>s4", 3), ("b", "s1", 1)]
+    laid = disclosure.daily_sequence(rows.repartition(8, "source_address", "utc_day"))
+    assert "sensor_name" not in "".join(
+        line for line in laid._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import bitmaps
+from waymark.functions.islands import UTC_DAY
 from waymark.functions.timefn import local
 from waymark.params import LOCAL_TIMEZONE
 
@@ -90,16 +91,19 @@ def routine_signature(profile: DataFrame) -> DataFrame:
 
 
 def daily_sequence(t20: DataFrame, tz: str = LOCAL_TIMEZONE) -> DataFrame:
-    """Sensors of each identifier-day in order of first sight (at most one entry a sensor)."""
-    here = local("timestamp", tz)
-    first_seen = t20.groupBy("source_address", F.to_date(here).alias("local_date"), "sensor_name").agg(
+    """Sensors of each identifier-day in order of first sight (at most one entry a sensor). Of rows laid out by identifier and
+    ``utc_day``, only the sensors of the pieces of a local date move, one row a piece."""
+    laid = [UTC_DAY] if UTC_DAY in t20.columns else []
+    first_seen = t20.groupBy("source_address", *laid, F.to_date(local("timestamp", tz)).alias("local_date"), "sensor_name").agg(
         F.min("timestamp").alias("first_seen")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("first_seen", "sensor_name")))
-    return first_seen.groupBy("source_address", "local_date").agg(
-        F.array_join(F.transform(ordered, lambda s: s["sensor_name"]), ">").alias("sensor_sequence"),
-        F.count("*").alias("sensors_visited"),
-    )
+    pieces = first_seen.groupBy("source_address", *laid, "local_date").agg(
+        F.collect_list(F.struct("first_seen", "sensor_name")).alias("seen"))
+    whole = pieces.groupBy("source_address", "local_date").agg(F.array_sort(F.flatten(F.collect_list("seen"))).alias("seen"))
+    names = F.array_distinct(F.transform("seen", lambda s: s["sensor_name"]))
+    return whole.select(
+        "source_address", "local_date", F.array_join(names, ">").alias("sensor_sequence"),
+        F.size(names).cast("long").alias("sensors_visited"))
 
 
 def daily_sequence_sizes(sequences: DataFrame) -> DataFrame:

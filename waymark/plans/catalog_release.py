@@ -356,7 +356,7 @@ def _(c: Context):
     f"""SELECT {day(f'(d * 86400 - {KST})')} AS local_date, q AS sensor_sequence, n AS sensors_visited, group_size
         FROM sequences""", PROFILE))
 def _(c: Context):
-    return disclosure.daily_sequence_sizes(disclosure.daily_sequence(c.t20))
+    return disclosure.daily_sequence_sizes(disclosure.daily_sequence(c.t20_by_day))
 
 
 def _sizes_sql(table, label):
@@ -387,14 +387,14 @@ INDICATORS = PROFILE + ",\nindicators AS (" + " UNION ALL ".join(
 @query("disclosure_x16_indicators", with_base(
     f"SELECT 'site' AS site, metric, {r6('value')} AS value FROM indicators", INDICATORS))
 def _(c: Context):
-    return disclosure.disclosure_indicators(c.t20, "site", RESIDENTIAL, c.stage())
+    return disclosure.disclosure_indicators(c.t20_by_day, "site", RESIDENTIAL, c.stage())
 
 
 @query("disclosure_x16_indicator_percent", with_base(
     f"""SELECT 'site' AS site, metric, {r6('value')} AS value,
         {r6('value * 100.0 / (SELECT count(*) FROM prof)')} AS percent FROM indicators""", INDICATORS))
 def _(c: Context):
-    return disclosure.as_percent(disclosure.disclosure_indicators(c.t20, "site", RESIDENTIAL, c.stage()))
+    return disclosure.as_percent(disclosure.disclosure_indicators(c.t20_by_day, "site", RESIDENTIAL, c.stage()))
 
 
 # Fixed values, written out again for the counterpart: markers by class, and the patterns without look-around, which DuckDB's
