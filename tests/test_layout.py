@@ -157,3 +157,15 @@ def test_daily_paths_of_laid_rows_move_as_pieces(spark):
     laid = disclosure.daily_sequence(rows.repartition(8, "source_address", "utc_day"))
     assert "sensor_name" not in "".join(
         line for line in laid._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+
+
+def test_revisits_of_another_zone_keep_the_layout(spark):
+    """Pieces of trajectories are found where the located rows lie; only their summaries are exchanged."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog.queries()["revisit_r1_new_york"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "Exchange hashpartitioning(source_address" in plan and "_chunk" not in "".join(
+        line.split("ENSURE")[0] for line in plan.splitlines() if "Exchange" in line)
