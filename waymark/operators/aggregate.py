@@ -15,8 +15,15 @@ KEY = ["timestamp", "source_address", "sensor_name"]
 
 def key_of(rows: DataFrame) -> list:
     """The key of the rows; of rows laid out by identifier and ``utc_day``, with the day, so that they are not exchanged. The
-    day follows from the time, and no second or 20 s window crosses it."""
-    return ["source_address", UTC_DAY, "sensor_name", "timestamp"] if UTC_DAY in rows.columns else KEY
+    day follows from the time, and no second or 20 s window crosses it. The order is that of the stored stages."""
+    return ["source_address", UTC_DAY, "timestamp", "sensor_name"] if UTC_DAY in rows.columns else KEY
+
+
+def _by_key(rows: DataFrame):
+    """The rows grouped by their key. Rows laid out by identifier and ``utc_day`` are sorted by it first: where the session lets sorted
+    rows be aggregated as they come (``tables.SORTED``), their lists are then neither hashed nor written between two aggregations."""
+    key = key_of(rows)
+    return (rows.sortWithinPartitions(*key) if UTC_DAY in rows.columns else rows).groupBy(*key)
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
@@ -29,8 +36,7 @@ def one_second(packets: DataFrame, rules: CleaningParams = MAINTAINED_CLEANING)
         filters.rssi_between(packets, rules.rssi_min, rules.rssi_max), rules.exclude_subtypes
     )
     return _in_order(
-        kept.withColumn("timestamp", F.date_trunc("second", "timestamp"))
-        .groupBy(*key_of(kept))
+        _by_key(kept.withColumn("timestamp", F.date_trunc("second", "timestamp")))
         .agg(
             F.min("source_address_randomized").alias("source_address_randomized"),
             median_of_few("strength").alias("rssi_median"),
@@ -44,7 +50,7 @@ def deduplicate_one_second(rows: DataFrame) -> DataFrame:
 
     Keys with conflicting flags are an input error; ``quality.flag_conflicts`` reports them.
     """
-    return _in_order(rows.groupBy(*key_of(rows)).agg(
+    return _in_order(_by_key(rows).agg(
         F.min("source_address_randomized").alias("source_address_randomized"),
         median_of_few("rssi_median").alias("rssi_median"),
         F.sum("packet_count").alias("packet_count"),
@@ -55,8 +61,7 @@ def twenty_second(cleaned: DataFrame) -> DataFrame:
     """Tumbling 20 s windows. ``rssi_sum`` adds the one-second medians, ``detections`` counts
     distinct seconds, never packets."""
     return _in_order(
-        cleaned.withColumn("timestamp", floor_epoch("timestamp", WINDOW_SECONDS))
-        .groupBy(*key_of(cleaned))
+        _by_key(cleaned.withColumn("timestamp", floor_epoch("timestamp", WINDOW_SECONDS)))
         .agg(
             median_of_few("rssi_median").alias("rssi_median"),
             F.sum("rssi_median").alias("rssi_sum"),
@@ -75,7 +80,7 @@ def twenty_second_from_raw(raw: DataFrame, sensor_codes: DataFrame) -> DataFrame
     """Restricted one-second source: map sensor codes, drop sentinels, deduplicate seconds,
     aggregate, keep windows with 1 to 20 seconds."""
     mapped = _one_form(map_sensor_codes(filters.drop_rssi_sentinels(raw), sensor_codes))
-    seconds = mapped.groupBy(*key_of(mapped)).agg(median_of_few("rssi").alias("rssi_median"))
+    seconds = _by_key(mapped).agg(median_of_few("rssi").alias("rssi_median"))
     return twenty_second(seconds).filter(F.col("detections").between(1, WINDOW_SECONDS))
 
 

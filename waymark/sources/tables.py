@@ -1,6 +1,7 @@
 """Reading and writing the contract tables."""
 
 import atexit
+import contextlib
 import json
 import shutil
 import tempfile
@@ -89,9 +90,29 @@ def staged_by_day(spark: SparkSession, source: str, name: str, build, buckets: i
     return spark.table(table)
 
 
+# Groups of sorted rows are aggregated as the rows come, in one step.
+SORTED = {"spark.sql.execution.replaceHashWithSortAgg": "true"}
+# Times as 64-bit microseconds: half the cost of the old 96-bit form, to write and to read.
+MICROS = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict):
+    """The session with these settings, which are put back at the end."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
 def write_buckets(laid: DataFrame, name: str, path: str, buckets: int) -> None:
-    laid.write.bucketBy(buckets, "source_address", UTC_DAY).sortBy("source_address", UTC_DAY, "timestamp").option(
-        "path", path).option("compression", "zstd").mode("overwrite").saveAsTable(name)
+    with settings(laid.sparkSession, SORTED | MICROS):
+        laid.write.bucketBy(buckets, "source_address", UTC_DAY).sortBy("source_address", UTC_DAY, "timestamp").option(
+            "path", path).option("compression", "zstd").mode("overwrite").saveAsTable(name)
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
