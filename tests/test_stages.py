@@ -1,9 +1,12 @@
 """Stages and comparisons of rows laid out by identifier and day: what they cost by their plans, and that they give the same rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import aggregate
+from waymark.functions import islands
+from waymark.operators import aggregate, cleaning
 from waymark.plans.context import Context
 from waymark.sources import tables
 
@@ -42,3 +45,38 @@ def test_stages_hold_the_medians_of_their_rows(spark, c):
         F.median("strength").alias("rssi_median"), F.count("*").alias("packet_count"))
     got = c.sec1.select(want.columns)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def _sessions(rows, gap):
+    out, last = {}, {}
+    for key, t in sorted(rows):
+        number, start, end, n = out.get(key, [(0, None, None, 0)])[-1]
+        if n and t - last[key] <= gap:
+            out[key][-1] = (number, start, t, n + 1)
+        else:
+            out.setdefault(key, []).append((number + 1, t, t, 1))
+        last[key] = t
+    return sorted((key, *s) for key, sessions in out.items() for s in sessions)
+
+
+@pytest.mark.parametrize("laid", [True, False])
+def test_sessions_follow_from_cells(spark, laid):
+    """Sessions over cells and midnights, gaps of the limit and one second more, repeated seconds; windows see cells, not rows."""
+    rng = random.Random(4)
+    rows, t = [], {key: rng.randrange(86000, 86400) for key in ("a", "b", "c")}
+    for _ in range(900):
+        key = rng.choice("abc")
+        t[key] += rng.choice([0, 1, 3, 60, 299, 300, 301, 2000])
+        rows.append((key, t[key]))
+    df = spark.createDataFrame(rows, "source_address string, t long").select(
+        F.timestamp_seconds("t").alias("timestamp"), "source_address", F.lit("s").alias("sensor_name"))
+    if laid:
+        df = df.withColumn("utc_day", F.floor(F.unix_seconds("timestamp") / 86400))
+    got = cleaning.sessions(df, 300)
+    columns = ["source_address", "session_id", "start_epoch", "end_epoch", "n_rows"]
+    assert sorted(map(tuple, got.select(columns).collect())) == _sessions(rows, 300)
+    assert islands.cells(df, ["source_address"], 300).count() < len(rows)
+    plan = plan_of(got)  # the outermost steps come first
+    assert "partial_count(1)" in plan[plan.rindex("Window"):]
+
+

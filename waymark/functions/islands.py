@@ -51,7 +51,8 @@ def with_gaps(
 def _split_in_chunks(rows, keys, gap_seconds, inclusive, order, chunk_seconds):
     chunked = rows.withColumn("_chunk", _chunk_of(rows, chunk_seconds))
     w = Window.partitionBy(*keys, "_chunk").orderBy("timestamp", *order)
-    gap = epoch("timestamp") - F.lag(epoch("timestamp")).over(w)
+    last = F.col("_last") if "_last" in rows.columns else epoch("timestamp")
+    gap = epoch("timestamp") - F.lag(last).over(w)
     flagged = chunked.withColumn("_gap", gap)
     split = F.when(_breaks(F.col("_gap"), gap_seconds, inclusive), 1).otherwise(0)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -93,20 +94,33 @@ def split_sessions(
     )
 
 
+def cells(rows: DataFrame, keys: list, gap_seconds: int, *, chunk_seconds: int = DAY) -> DataFrame:
+    """Rows counted (``n``) by ``keys``, chunk and cells of ``gap_seconds``, each with its first ``timestamp`` and ``_last`` one. No
+    session is split inside a cell, whose seconds are less than a gap apart, so sessions follow from the far fewer cells."""
+    stored = [UTC_DAY] if chunk_seconds == DAY and UTC_DAY in rows.columns else []
+    seconds = epoch("timestamp")
+    chunk = F.floor(seconds / chunk_seconds).alias("_of")
+    cell = F.floor(seconds / gap_seconds).alias("_cell")
+    return rows.groupBy(*keys, *(stored or [chunk]), cell).agg(
+        F.min("timestamp").alias("timestamp"), F.max(seconds).alias("_last"), F.count("*").alias("n")
+    ).select(*keys, *stored, "timestamp", "_last", "n")
+
+
 def session_spans(
     rows: DataFrame, keys: list, gap_seconds: int, measures: dict, *,
     inclusive: bool = False, order: tuple = (), chunk_seconds: int = DAY,
 ) -> DataFrame:
     """Per chunk-local session: ``keys``, ``session_id``, ``start_epoch``, ``end_epoch`` and the
     given aggregate ``measures``. A session that crosses chunk borders has one row per chunk;
-    callers merge them with a second, far smaller, ``groupBy(keys, session_id)``.
+    callers merge them with a second, far smaller, ``groupBy(keys, session_id)``. ``rows`` may be ``cells`` of this gap.
     """
     marked = _split_in_chunks(
         rows, keys, gap_seconds, inclusive, order, chunk_seconds
     )
+    last = F.col("_last") if "_last" in rows.columns else epoch("timestamp")
     spans = marked.groupBy(*keys, "_chunk", "_local").agg(
         F.min(epoch("timestamp")).alias("start_epoch"),
-        F.max(epoch("timestamp")).alias("end_epoch"),
+        F.max(last).alias("end_epoch"),
         *[measure.alias(name) for name, measure in measures.items()],
     )
     w = Window.partitionBy(*keys).orderBy("start_epoch")

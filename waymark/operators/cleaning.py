@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.identifiers import legacy_identifier
-from waymark.functions.islands import session_spans
+from waymark.functions.islands import cells, session_spans
 from waymark.operators import aggregate, filters
 from waymark.params import HISTORICAL_CLEANING, MAINTAINED_CLEANING, CleaningParams
 
@@ -13,7 +13,7 @@ SESSION_KEY = ["source_address", "sensor_name"]
 
 def sessions(rows: DataFrame, gap_seconds: int = 300) -> DataFrame:
     """Sessions of an identifier at one sensor: number, first and last time, duration."""
-    spans = session_spans(rows, SESSION_KEY, gap_seconds, {"n": F.count("*")})
+    spans = session_spans(cells(rows, SESSION_KEY, gap_seconds), SESSION_KEY, gap_seconds, {"n": F.sum("n")})
     return (
         spans.groupBy(*SESSION_KEY, "session_id")
         .agg(
