@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import islands
 from waymark.operators import aggregate, cleaning
+from waymark.plans import catalog
 from waymark.plans.context import Context
 from waymark.sources import tables
 
@@ -80,3 +81,13 @@ def test_sessions_follow_from_cells(spark, laid):
     assert "partial_count(1)" in plan[plan.rindex("Window"):]
 
 
+def _exchanges_of_rows(plan):
+    return [line for line in plan.splitlines() if "Exchange" in line and "timestamp" in line]
+
+
+@pytest.mark.parametrize("name", ["set_u2_except_all"])
+def test_two_tables_of_one_layout_are_read_where_they_lie(spark, name):
+    """The windows of both tables were exchanged by all their columns before."""
+    assert not _exchanges_of_rows(plan_of(catalog.queries()[name](spark, SF)))
+
+
