@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import islands
-from waymark.operators import aggregate, cleaning
+from waymark.operators import aggregate, cleaning, release
 from waymark.plans import catalog
 from waymark.plans.context import Context
 from waymark.sources import tables
@@ -85,9 +85,14 @@ def _exchanges_of_rows(plan):
     return [line for line in plan.splitlines() if "Exchange" in line and "timestamp" in line]
 
 
-@pytest.mark.parametrize("name", ["set_u2_except_all"])
+@pytest.mark.parametrize("name", ["set_u2_except_all", "release_x10_daily_difference"])
 def test_two_tables_of_one_layout_are_read_where_they_lie(spark, name):
-    """The windows of both tables were exchanged by all their columns before."""
+    """Both exchanged the windows of both tables by identifier and time before."""
     assert not _exchanges_of_rows(plan_of(catalog.queries()[name](spark, SF)))
 
 
+@pytest.mark.parametrize("grain", ["day", "hour"])
+def test_periods_of_laid_rows_are_put_together(c, grain):
+    """A local day lies in two UTC days, so its identifiers are counted once and its windows in both."""
+    laid, plain = release.period_totals(c.t20_by_day, grain), release.period_totals(c.t20, grain)
+    assert sorted(map(tuple, laid.collect())) == sorted(map(tuple, plain.collect()))

@@ -198,16 +198,21 @@ PERIOD_MEASURES = {
 
 
 def period_totals(t20: DataFrame, grain: str, tz: str = LOCAL_TIMEZONE) -> DataFrame:
-    """Rows, identifier-windows, identifiers and detections per local day or hour."""
+    """Rows, identifier-windows, identifiers and detections per local day or hour. Rows laid out by identifier and ``utc_day`` are
+    counted where they lie; a period of two UTC days is put together from its parts."""
+    day = [UTC_DAY] if UTC_DAY in t20.columns else []
     here = F.date_trunc(grain, local("timestamp", tz))
     # one identifier-window lies in one period, so counting it never needs its own distinct
-    windows = t20.groupBy(here.alias("period"), "source_address", "timestamp").agg(
+    windows = t20.groupBy("source_address", *day, "timestamp").agg(
         F.count("*").alias("rows"), F.sum("detections").alias("detections")
     )
-    per_id = windows.groupBy("period", "source_address").agg(
+    per_id = windows.groupBy(here.alias("period"), "source_address", *day).agg(
         F.sum("rows").alias("rows"), F.count("*").alias("windows"),
         F.sum("detections").alias("detections"),
     )
+    if day:
+        per_id = per_id.groupBy("period", "source_address").agg(
+            *[F.sum(c).alias(c) for c in ("rows", "windows", "detections")])
     return per_id.groupBy("period").agg(
         F.sum("rows").alias("sensor_window_rows"), F.sum("windows").alias("device_windows"),
         F.count("*").alias("devices"), F.sum("detections").alias("detections"),

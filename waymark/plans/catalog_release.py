@@ -277,7 +277,7 @@ periods AS (
 
 @query("release_x10_daily_difference", with_base("SELECT * FROM periods", _period_sql(86400)))
 def _(c: Context):
-    return release.period_diff(c.t20, c.t20_narrow, "day")
+    return release.period_diff(c.t20_by_day, c.t20_narrow_by_day, "day")
 
 
 @query("release_x10_hourly_difference", with_base("SELECT * FROM periods", _period_sql(3600)))
