@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import islands
-from waymark.operators import aggregate, cleaning, release
+from waymark.operators import aggregate, cleaning, quality, release
 from waymark.plans import catalog
 from waymark.plans.context import Context
 from waymark.sources import tables
@@ -96,3 +96,22 @@ def test_periods_of_laid_rows_are_put_together(c, grain):
     """A local day lies in two UTC days, so its identifiers are counted once and its windows in both."""
     laid, plain = release.period_totals(c.t20_by_day, grain), release.period_totals(c.t20, grain)
     assert sorted(map(tuple, laid.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_rules_of_a_packet_are_evaluated_once(spark):
+    """A filter on the broken rules went below the projections that they are made of: each expression was evaluated for every rule
+    and column again, in code too large to be compiled."""
+    plan = catalog.queries()["check_v8_packet_domain"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 3 and plan.count("date_format(") == 1
+
+
+def test_times_of_the_calendar_as_a_pattern_reads_them(spark):
+    texts = ["2024-01-01T00:00:00Z", "2024-02-30T00:00:00Z", "2023-02-29T01:01:01Z", "2024-02-29T23:59:59.123456789Z", "2024-02-29T24:00:00Z",
+             "2024-02-29T23:60:00Z", "2024-02-29T23:59:60Z", "0000-01-01T00:00:00Z", "9999-12-31T23:59:59Z", "2024-13-01T00:00:00Z",
+             "2024-00-01T00:00:00Z", "2024-01-00T00:00:00Z", "1582-10-10T00:00:00Z", "2024-01-01 00:00:00Z", "2024-01-01T00:00:00", None, "",
+             " 2024-01-01T00:00:00Z", "2024-01-01T00:00:00+00:00", "1900-02-29T00:00:00Z", "2000-02-29T00:00:00.5Z"]
+    text = F.col("timestamp")
+    whole = F.replace(F.substring(text, 1, 19), F.lit("T"), F.lit(" "))
+    by_pattern = text.isNull() | ~text.rlike(quality.UTC_TEXT) | F.try_to_timestamp(whole, F.lit("yyyy-MM-dd HH:mm:ss")).isNull()
+    rows = spark.createDataFrame([(t,) for t in texts], "timestamp string").select(by_pattern.alias("a"), quality.invalid_utc_text().alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and 0 < sum(r["b"] for r in rows) < len(texts)
