@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import check
-from waymark.llm import setsketch
+from waymark.llm import jaccard, setsketch
 from waymark.llm.setsketch import ByteWords, Similar, Sketcher
 
 
@@ -171,3 +171,24 @@ def test_the_leader_is_near_to_most(spark):
     met = setsketch.buckets(nodes).collect()
     held = {r["band"] for r in met if r["node"] == 60}
     assert held and all(r["leader"] == 60 for r in met if r["band"] in held)
+
+
+def test_only_filters_of_a_fixed_size_are_broadcast(spark, monkeypatch):
+    """Tables that grow with the texts went through the driver as long as their files were small, salted ones eight times."""
+    plans, staged = [], setsketch.staged
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(setsketch, "staged", kept)
+    monkeypatch.setattr(jaccard, "staged", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        out = setsketch.near_duplicates(spark.createDataFrame(corpus(), "doc_id long, text string"))
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert len(plans) > 15 and all("__chunk" in line for line in joins)

@@ -101,11 +101,11 @@ def signatures(docs: DataFrame, threshold: float = THRESHOLD, seed: int = 11) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, key binary, bands array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, small=lambda rows: rows) -> DataFrame:
     """node, label of the (node, band) graph: nodes that share a band, directly or in steps, get one label, their least node.
 
     Minima go from nodes to bands and back until no label changes; minima are combined before each shuffle, and
-    each round is written, so lost executors cost one round at most.
+    each round is written, so lost executors cost one round at most. ``small`` may say how the smaller sides of joins are moved.
     """
     edges = edges.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
@@ -113,17 +113,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # A band may hold a third of all nodes: its minimum goes to every salt.
         spread = low.select("band", "low", salts)
-        moved = edges.join(spread, ["band", "salt"]).groupBy("node").agg(F.min("low").alias("label"))
+        moved = edges.join(small(spread), ["band", "salt"]).groupBy("node").agg(F.min("low").alias("label"))
         # Labels are nodes themselves, so a node may go on to the label of its label at once.
         # Nodes that are their own label cannot take anyone further; a label of many nodes is spread over salts.
         ahead = moved.filter("label < node").select(F.col("node").alias("label"), F.col("label").alias("further"), salts)
         salted = moved.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        now = staged(salted.join(ahead, ["label", "salt"], "left").select(
+        now = staged(salted.join(small(ahead), ["label", "salt"], "left").select(
             "node", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if labels is not None and now.join(labels, ["node", "label"], "left_anti").isEmpty():
+        if labels is not None and now.join(small(labels), ["node", "label"], "left_anti").isEmpty():
             return now
         labels = now
-        low = edges.join(labels, "node").groupBy("band").agg(F.min("label").alias("low"))
+        low = edges.join(small(labels), "node").groupBy("band").agg(F.min("label").alias("low"))
 
 
 def _verified(rows: list, threshold: float):

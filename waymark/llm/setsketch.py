@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.jaccard import components
-from waymark.llm.textops import mix, shingles, staged, tidy, with_hit
+from waymark.llm.textops import exchanged, mix, shingles, staged, tidy, with_hit
 
 WORDS = 5
 LINK = (85, 100)        # intersection to union
@@ -220,7 +220,7 @@ def _salted(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
     """Inner join on ``key``; a key may hold a third of the rows of ``big``, which are spread by ``by``, and one row of ``small``."""
     big = big.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
     small = small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return big.join(small, [key, "salt"]).drop("salt")
+    return big.join(exchanged(small), [key, "salt"]).drop("salt")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
     meeting = with_hit(members, "band", full.select("band")).filter("__hit").drop("__hit")
     meeting = staged(_salted(meeting, full, "band", "node"), "meeting")
     degrees = meeting.groupBy("node").agg(F.sum("size").alias("degree"))
-    met = meeting.select("band", "node", "n").join(degrees, "node")
+    met = meeting.select("band", "node", "n").join(exchanged(degrees), "node")
     leaders = met.groupBy("band").agg(F.min(F.struct((-F.col("degree")).alias("order"), "node")).alias("least"))
     leaders = staged(leaders.select("band", F.col("least.node").alias("leader")), "leaders")
     return staged(_salted(meeting.select("band", "node", "n"), leaders, "band", "node"), "buckets")
@@ -287,18 +287,19 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                                              ["key", "grams"])
         tidy()
 
-    return rows.mapInArrow(read, "key binary, grams binary").join(wanted.select("node", "key"), "key").select("node", "grams")
+    return rows.mapInArrow(read, "key binary, grams binary").join(exchanged(wanted.select("node", "key")), "key").select("node", "grams")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Of the pairs (a, b) those that are linked by their full sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = exchanged(wanted).join(nodes, "node")
     sets = staged(sets_of(docs, wanted.select("node", "doc_id", "key")), f"{name}-sets")
     # The partners of b go to as many groups as their number asks for, each with the set of b in front.
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
-    member = _salted(pairs.withColumn("node", F.col("a")).join(sets, "node").select("a", "b", "grams"), sizes, "b", "a")
+    member = _salted(exchanged(pairs.withColumn("node", F.col("a"))).join(sets, "node").select("a", "b", "grams"), sizes, "b", "a")
     member = member.select("b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part"), "a", "grams")
-    front = sets.withColumnRenamed("node", "b").join(sizes, "b").select(
+    front = sets.withColumnRenamed("node", "b").join(exchanged(sizes), "b").select(
         "b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(-1).cast("long").alias("a"), "grams")
 
     def read(batches):
@@ -324,9 +325,10 @@ def star_links(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
     pairs = shared.groupBy("node").agg(F.max(F.struct("times", (-F.col("leader")).alias("leader"))).alias("best"))
     pairs = pairs.select(F.col("node").alias("a"), (-F.col("best.leader")).alias("b"))
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
-    lead = met.select(F.col("leader").alias("node")).distinct().join(nodes, "node")
+    lead = met.select(F.col("leader").alias("node")).distinct()
+    lead = exchanged(lead).join(nodes, "node")
     lead = lead.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
-    likely = staged(sifted(_salted(pairs.join(left, "a"), lead, "b", "a")), "likely-stars")
+    likely = staged(sifted(_salted(exchanged(pairs).join(left, "a"), lead, "b", "a")), "likely-stars")
     return verified(docs, nodes, likely, "star")
 
 
@@ -420,7 +422,7 @@ def _with_registers(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     all of its bands, of which it has a bounded number: a member of a large group is in most of them."""
     more = [c for c in rows.columns if c not in ("node", "label", "n")]
     bands = rows.groupBy("node", "label", "n").agg(F.collect_list(F.struct(*more)).alias("at"))
-    met = bands.join(nodes.select("node", "registers"), "node")
+    met = exchanged(bands).join(nodes.select("node", "registers"), "node")
     return met.select("node", "label", "n", "registers", F.inline("at"))
 
 
@@ -440,7 +442,7 @@ def _plan_of_blocks(size: str, grams: str, main_size: str, main_grams: str) -> l
 
 def open_blocks(nodes: DataFrame, met: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     """band, x, y, node, label, side, n, registers: the members of buckets that hold several components, in pairs of blocks."""
-    told = staged(met.select("band", "node", "n").join(labels, "node", "left").select(
+    told = staged(met.select("band", "node", "n").join(exchanged(labels), "node", "left").select(
         "band", "node", "n", F.coalesce("label", "node").alias("label")), f"{name}-buckets")
     parts = told.groupBy("band", "label").agg(F.count("*").alias("size"), F.sum("n").alias("grams"),
                                               F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
@@ -505,12 +507,12 @@ def forest_links(docs: DataFrame, nodes: DataFrame, likely: DataFrame, labels: D
 def rest_links(docs: DataFrame, nodes: DataFrame, likely: DataFrame, labels: DataFrame) -> DataFrame:
     """a, b: verified links between the components of groups that still hold several; every likely pair between them is decided."""
     group = ["band", "x", "y"]
-    told = staged(likely.filter("other IS NULL").drop("other").join(labels, "node", "left").select(
+    told = staged(likely.filter("other IS NULL").drop("other").join(exchanged(labels), "node", "left").select(
         *group, "node", F.coalesce("label", "node").alias("label"), "side"), "rest-members")
     several = told.groupBy(*group).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    likely = told.join(several.select(*group), group)
+    likely = told.join(exchanged(several.select(*group)), group)
     likely = staged(likely, "likely-rest")
-    wanted = likely.select("node").distinct().join(nodes, "node")
+    wanted = exchanged(likely.select("node").distinct()).join(nodes, "node")
     sets = staged(sets_of(docs, wanted.select("node", "doc_id", "key")), "rest-sets")
 
     def verify(batches):
@@ -527,14 +529,14 @@ def rest_links(docs: DataFrame, nodes: DataFrame, likely: DataFrame, labels: Dat
                                                   pa.array([int(node[j]) for _, j in links], pa.int64())], ["a", "b"])
         tidy()
 
-    return (likely.join(sets, "node").select("band", "x", "y", "node", "label", "side", "grams").repartition("band", "x", "y")
+    return (exchanged(likely).join(sets, "node").select("band", "x", "y", "node", "label", "side", "grams").repartition("band", "x", "y")
             .sortWithinPartitions("band", "x", "y").mapInArrow(verify, "a long, b long"))
 
 
 def _components(links: DataFrame) -> DataFrame:
     """node, label of the linked nodes; a label is a component's least node."""
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("band")).union(links.select("b", "b"))
-    return components(staged(ends.distinct(), "link-ends"))
+    return components(staged(ends.distinct(), "link-ends"), exchanged)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -554,13 +556,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             labels = _components(links)
 
     # Equal sets are one node, so a node of several rows is told of as well as one with links.
-    known = nodes.select("node", "key", "doc_id", "copies").join(labels, "node", "left").filter("copies > 1 OR label IS NOT NULL")
+    known = nodes.select("node", "key", "doc_id", "copies").join(exchanged(labels), "node", "left").filter("copies > 1 OR label IS NOT NULL")
     known = known.withColumn("label", F.coalesce("label", "node"))
     least = known.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     told = _salted(known.select("key", "label", "node"), least, "label", "node").select("key", "component_id", F.lit(True).alias("known"))
     told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(SALTS)).cast("int").alias("salt")
-    own = rows.select("doc_id", F.col("n").alias("n_shingles"), "key", salt).join(told, ["key", "salt"], "left")
+    own = rows.select("doc_id", F.col("n").alias("n_shingles"), "key", salt).join(exchanged(told), ["key", "salt"], "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

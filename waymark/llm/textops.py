@@ -43,6 +43,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exchanged(rows: DataFrame) -> DataFrame:
+    """Rows that a join is to exchange. Numbers of a staged table take far less room in its files, by whose size Spark would
+    otherwise choose to send them to the driver and from there to all executors, than as rows of a hash table, salted ones most."""
+    return rows.hint("merge")
+
+
 def share(key: Column, seed: int) -> Column:
     """A value in [0, 1) that depends on the key only."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
