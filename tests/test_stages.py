@@ -115,3 +115,17 @@ def test_times_of_the_calendar_as_a_pattern_reads_them(spark):
     by_pattern = text.isNull() | ~text.rlike(quality.UTC_TEXT) | F.try_to_timestamp(whole, F.lit("yyyy-MM-dd HH:mm:ss")).isNull()
     rows = spark.createDataFrame([(t,) for t in texts], "timestamp string").select(by_pattern.alias("a"), quality.invalid_utc_text().alias("b")).collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and 0 < sum(r["b"] for r in rows) < len(texts)
+
+
+def test_the_five_metrics_are_found_where_the_windows_lie(spark, monkeypatch):
+    """The Location table is written in buckets from rows that stay in theirs, and trajectories are split in place."""
+    plans, landed = [], Context.landed_by_day
+
+    def kept(self, df, name):
+        plans.append(plan_of(df))
+        return landed(self, df, name)
+
+    monkeypatch.setattr(Context, "landed_by_day", kept)
+    result = catalog.queries()["clean_c5_five_metrics_rows"](spark, SF)
+    assert len(plans) == 1 and "Exchange hashpartitioning" not in plans[0]
+    assert not any("_chunk" in line.split("ENSURE")[0] for line in plan_of(result).splitlines() if "Exchange" in line)

@@ -16,7 +16,6 @@ from waymark.plans.oracle import (
     r6, utc_text, with_base,
 )
 from waymark.sources import tables
-from waymark.sources.tables import stager
 
 # Location --------------------------------------------------------------------------------
 
@@ -766,9 +765,8 @@ def _(c: Context):
        UNION ALL SELECT 'revisits', count(DISTINCT id) FROM visits WHERE n >= 2
        UNION ALL SELECT 'activities', count(*) FROM ep""", TRIPS, EPISODES))
 def _(c: Context):
-    """All metrics from one run; the Location table is written once and read by the others."""
-    metrics = stages.five_metrics(
-        c.t20, c.sensors, stage=stager(c.spark, c.new_path("run").rsplit("/", 1)[-1]))
+    """All metrics from one run; the Location table is written once, in the buckets of its windows, and read by the others."""
+    metrics = stages.five_metrics(c.t20_by_day, c.sensors, stage=c.landed_by_day)
     lines = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("metric"), "n_rows")
              for name, df in metrics.items()]
     result = lines[0]
