@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from waymark import schemas
 from waymark.functions import islands
-from waymark.operators import aggregate, cleaning, quality, release
+from waymark.operators import aggregate, cleaning, joins, quality, release
 from waymark.plans import catalog
 from waymark.plans.context import Context
 from waymark.sources import tables
@@ -117,6 +118,14 @@ def test_times_of_the_calendar_as_a_pattern_reads_them(spark):
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and 0 < sum(r["b"] for r in rows) < len(texts)
 
 
+def test_the_slim_report_moves_the_planted_rows_only(spark, c):
+    """Both tables were exchanged by all their columns before."""
+    public = c.landed_by_day(tables.slim(c.t20_by_day), "slim")
+    plan = plan_of(joins.multiset_difference(tables.slim(c.t20_planted_by_day), public))
+    assert plan.count("Exchange") == 1 == plan.count("Exchange hashpartitioning(source_address")
+    assert tables.slim(c.t20).columns == schemas.TWENTY_SECOND_PUBLIC.names
+
+
 def test_the_five_metrics_are_found_where_the_windows_lie(spark, monkeypatch):
     """The Location table is written in buckets from rows that stay in theirs, and trajectories are split in place."""
     plans, landed = [], Context.landed_by_day

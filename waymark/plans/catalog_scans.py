@@ -230,8 +230,8 @@ def _(c: Context):
                     ELSE copies - 1 END)""")} AS n_differences FROM planted""", PLANTED))
 def _(c: Context):
     """A table with planted defects against the slim form of the sound one."""
-    public = c.spark.read.parquet(c.landed(tables.slim(c.t20), "slim"))
-    apart = joins.multiset_difference(tables.slim(c.t20_planted), public).agg(F.count("*")).scalar()
+    public = c.landed_by_day(tables.slim(c.t20_by_day), "slim")
+    apart = joins.multiset_difference(tables.slim(c.t20_planted_by_day), public).agg(F.count("*")).scalar()
     return tables.slim_report(c.t20_planted).withColumn("n_differences", apart)
 
 
