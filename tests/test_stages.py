@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark import schemas
 from waymark.functions import islands
-from waymark.operators import aggregate, cleaning, joins, quality, release
+from waymark.operators import aggregate, cleaning, joins, location, quality, release
 from waymark.plans import catalog
 from waymark.plans.context import Context
 from waymark.sources import tables
@@ -138,3 +138,13 @@ def test_the_five_metrics_are_found_where_the_windows_lie(spark, monkeypatch):
     result = catalog.queries()["clean_c5_five_metrics_rows"](spark, SF)
     assert len(plans) == 1 and "Exchange hashpartitioning" not in plans[0]
     assert not any("_chunk" in line.split("ENSURE")[0] for line in plan_of(result).splitlines() if "Exchange" in line)
+
+
+def test_windows_over_midnight_move_once(spark, c):
+    """The sums of windows were exchanged by window and sensor, and the parts of estimates again by window."""
+    rows = c.packets_by_day.withColumnRenamed("strength", "rssi")
+    laid = location.estimates(location.window_strength(rows, (20, 70)), c.sensors)
+    plain = location.estimates(location.window_strength(rows.drop("utc_day"), (20, 70)), c.sensors)
+    moves = [line for line in plan_of(laid).splitlines() if "Exchange hashpartitioning" in line and "window_start" in line]
+    assert len(moves) == 1 and "sensor_name" not in moves[0]
+    assert laid.count() == plain.count() and laid.exceptAll(plain.select(laid.columns)).isEmpty()
